@@ -24,7 +24,7 @@ def parse_two_line_reply(reply) -> tuple[Column, Column]:
     r = ustrip(F.coalesce(_col(reply), F.lit("")))
     lines = F.filter(F.transform(F.split(r, r"\R"), lambda x: ustrip(x)), lambda x: x != F.lit(""))
     n = F.size(lines)
-    last = F.element_at(lines, -1)
+    last = F.try_element_at(lines, F.lit(-1))
     earlier = ustrip(F.array_join(F.slice(lines, 1, F.greatest(n - 1, F.lit(0))), " "))
     digit = F.regexp_extract(r, r"(?U)\b([01])\b", 1)
     label = (F.when(n == 0, F.lit(None))

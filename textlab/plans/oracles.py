@@ -65,7 +65,7 @@ trial_log AS (
   FROM events)"""
 
 
-def kmeans_sql(seed_sql: str, n_iter: int, select_sql: str) -> str:
+def kmeans_sql(seed_sql: str, n_iter: int, select_sql: str, extra_ctes: str = "") -> str:
     """Seeded 2-means as a CTE chain of ``n_iter`` assign/update steps over
     (id, dim, value); an empty cluster keeps its centroid; ties -> lower id."""
     parts = [VECTORS_CTE.strip(),
@@ -91,6 +91,8 @@ def kmeans_sql(seed_sql: str, n_iter: int, select_sql: str) -> str:
     parts.append(assign(n_iter).replace(f"a{n_iter} AS", "final AS"))
     parts.append("assigned AS (SELECT vs.*, CAST(final.cluster AS INTEGER) AS cluster "
                  "FROM vs JOIN final USING (id))")
+    if extra_ctes.strip():
+        parts.append(extra_ctes.strip().strip(","))
     return "WITH " + ",\n".join(parts) + "\n" + select_sql
 
 
@@ -104,13 +106,13 @@ def flagship_sql() -> str:
         "FROM assigned GROUP BY cluster")
 
 
-def pool_sql(select_sql: str) -> str:
+def pool_sql(select_sql: str, extra_ctes: str = "") -> str:
     """The labelled pool (cluster from seeded 2-means on original_label, H3/H4 label)."""
-    body = kmeans_sql("CASE WHEN original_label = 1 THEN 0 ELSE 1 END", 5, "")
-    return (body.rstrip() + ",\n"
-            "pc AS (SELECT CASE WHEN count(*) FILTER (WHERE cluster = 0 AND original_label = 1) > "
+    ctes = ("pc AS (SELECT CASE WHEN count(*) FILTER (WHERE cluster = 0 AND original_label = 1) > "
             "count(*) FILTER (WHERE cluster = 1 AND original_label = 1) THEN 0 ELSE 1 END AS positive_cluster "
             "FROM assigned),\n"
             "pool AS (SELECT a.id, a.text, a.embedding, a.domain, a.original_label, a.cluster, "
-            "CAST(a.cluster = pc.positive_cluster AS INTEGER) AS label FROM assigned a, pc)\n"
-            + select_sql)
+            "CAST(a.cluster = pc.positive_cluster AS INTEGER) AS label FROM assigned a, pc)")
+    if extra_ctes.strip():
+        ctes += ",\n" + extra_ctes.strip().strip(",")
+    return kmeans_sql("CASE WHEN original_label = 1 THEN 0 ELSE 1 END", 5, select_sql, ctes)

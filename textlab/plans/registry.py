@@ -39,6 +39,7 @@ def _load_all() -> None:
     from textlab.plans import queries_text  # noqa: F401
     from textlab.plans import queries_vectors  # noqa: F401
     from textlab.plans import queries_trials  # noqa: F401
+    from textlab.plans import queries_models  # noqa: F401
 
 
 def all_queries() -> dict[str, Query]:

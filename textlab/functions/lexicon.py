@@ -48,34 +48,41 @@ def _lits(words: Sequence[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
-def keyword_hits(text, lexicon: Sequence[str] = KEYWORDS) -> Column:
-    """Lexicon entries that are substrings of lower(text), in lexicon order."""
-    low = F.lower(_col(text))
+def _low(text, lowered: bool) -> Column:
+    return _col(text) if lowered else F.lower(_col(text))
+
+
+def keyword_hits(text, lexicon: Sequence[str] = KEYWORDS, lowered: bool = False) -> Column:
+    """Lexicon entries that are substrings of lower(text), in lexicon order.
+    Pass ``lowered=True`` with a column lower-cased once upstream when several
+    lexicon functions read the same long text."""
+    low = _low(text, lowered)
     return F.filter(_lits(lexicon), lambda k: F.contains(low, k))
 
 
-def has_keyword(text, lexicon: Sequence[str] = KEYWORDS) -> Column:
-    low = F.lower(_col(text))
+def has_keyword(text, lexicon: Sequence[str] = KEYWORDS, lowered: bool = False) -> Column:
+    low = _low(text, lowered)
     return F.exists(_lits(lexicon), lambda k: F.contains(low, k))
 
 
-def tone(text, markers: Sequence[str] = TONE_MARKERS) -> Column:
+def tone(text, markers: Sequence[str] = TONE_MARKERS, lowered: bool = False) -> Column:
     """T4: 'negative' if any marker occurs, else 'neutral'."""
-    return F.when(has_keyword(text, markers), F.lit("negative")).otherwise(F.lit("neutral"))
+    return F.when(has_keyword(text, markers, lowered), F.lit("negative")).otherwise(F.lit("neutral"))
 
 
-def context_indicators(text, indicators=CONTEXT_INDICATORS) -> Column:
+def context_indicators(text, indicators=CONTEXT_INDICATORS, lowered: bool = False) -> Column:
     """T5: names of the indicators present, in order, joined by ', '; 'none' if empty."""
-    names = F.array(*[F.when(has_keyword(text, words), F.lit(name)) for name, words in indicators])
+    names = F.array(*[F.when(has_keyword(text, words, lowered), F.lit(name)) for name, words in indicators])
     found = F.filter(names, lambda x: x.isNotNull())
     return F.when(F.size(found) > 0, F.array_join(found, ", ")).otherwise(F.lit("none"))
 
 
-def exception_reason(text, reasons=EXCEPTION_REASONS, default: str = EXCEPTION_DEFAULT) -> Column:
+def exception_reason(text, reasons=EXCEPTION_REASONS, default: str = EXCEPTION_DEFAULT,
+                     lowered: bool = False) -> Column:
     """First matching reason in order, else the default."""
     out = F.lit(default)
     for name, words in reversed(list(reasons)):
-        out = F.when(has_keyword(text, words), F.lit(name)).otherwise(out)
+        out = F.when(has_keyword(text, words, lowered), F.lit(name)).otherwise(out)
     return out
 
 

@@ -5,10 +5,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import (ArrayType, DoubleType, IntegerType, LongType, StructField,
+                               StructType)
 
-from textlab.functions.vector import as_double_array, nearest_centroid
+from textlab.functions.vector import as_double_array
 from textlab.session import stage
 
 
@@ -36,6 +40,73 @@ def _cluster_means(df: DataFrame, cluster_col: str, vec_col: str) -> dict[int, l
     return {c: [dims[i] for i in sorted(dims)] for c, dims in out.items()}
 
 
+def _nearest(x: np.ndarray, cents: np.ndarray):
+    """Nearest centroid by squared Euclidean distance, lowest id on ties."""
+    d = np.empty((x.shape[0], cents.shape[0]))
+    for j in range(cents.shape[0]):
+        diff = x - cents[j]
+        d[:, j] = (diff * diff).sum(axis=1)
+    lab = d.argmin(axis=1)
+    return lab, d[np.arange(len(lab)), lab]
+
+
+def _lloyd_step(base: DataFrame, vec_col: str, centroids: list[list[float]]) -> dict[int, list[float]]:
+    """One assign + update pass: every task assigns its Arrow batches with
+    NumPy and emits k partial (count, sum) rows; the partial sums are added
+    per (cluster, dim) in Spark and only k x d means reach the driver."""
+    cents = np.asarray(centroids, dtype=np.float64)
+    schema = StructType([StructField("c", LongType()), StructField("n", LongType()),
+                         StructField("s", ArrayType(DoubleType()))])
+
+    def run(it):
+        k, d = cents.shape
+        cnt = np.zeros(k, dtype=np.int64)
+        acc = np.zeros((k, d))
+        for pdf in it:
+            if not len(pdf):
+                continue
+            x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
+            lab, _ = _nearest(x, cents)
+            for j in range(k):
+                m = lab == j
+                cnt[j] += int(m.sum())
+                acc[j] += x[m].sum(axis=0)
+        keep = np.nonzero(cnt > 0)[0]
+        if len(keep):
+            yield pd.DataFrame({"c": keep.astype(np.int64), "n": cnt[keep],
+                                "s": [acc[j].tolist() for j in keep]})
+
+    part = base.select(vec_col).mapInPandas(run, schema)
+    rows = (part.select("c", "n", F.posexplode("s").alias("pos", "v"))
+            .groupBy("c", "pos").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+            .collect())
+    sums: dict[int, dict[int, float]] = {}
+    counts: dict[int, int] = {}
+    for r in rows:
+        sums.setdefault(int(r["c"]), {})[int(r["pos"])] = float(r["v"])
+        counts[int(r["c"])] = int(r["n"])
+    return {c: [dims[i] / counts[c] for i in sorted(dims)] for c, dims in sums.items()}
+
+
+def assign_clusters(df: DataFrame, vec_col: str, centroids: list[list[float]]) -> DataFrame:
+    """Add ``cluster`` (int) and ``sqdist`` with the same NumPy arithmetic as
+    the Lloyd steps (so the final labels match the last update exactly)."""
+    cents = np.asarray(centroids, dtype=np.float64)
+    schema = StructType(list(df.schema.fields)).add("cluster", IntegerType()).add("sqdist", DoubleType())
+
+    def run(it):
+        for pdf in it:
+            if not len(pdf):
+                continue
+            x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
+            lab, dist = _nearest(x, cents)
+            pdf["cluster"] = lab.astype(np.int32)
+            pdf["sqdist"] = dist
+            yield pdf
+
+    return df.mapInPandas(run, schema)
+
+
 def seeded_kmeans(df: DataFrame, vec_col: str = "embedding", seed_col: str | None = "seed",
                   init_centroids: list[list[float]] | None = None, k: int = 2,
                   max_iter: int = 300, tol: float = 0.0, staged: bool = True) -> KMeansResult:
@@ -43,12 +114,12 @@ def seeded_kmeans(df: DataFrame, vec_col: str = "embedding", seed_col: str | Non
 
     Initial centroid ``j`` is the mean of the rows whose ``seed_col == j``
     (e.g. 0 = positive source, 1 = the rest), or ``init_centroids``.
-    Each iteration is one Spark job over the staged vectors: nearest centroid
-    by squared Euclidean distance (lowest id on ties) as a literal-array
-    expression, then a map-side-combined mean per (cluster, dim). The driver
-    holds only k x d numbers; lineage does not grow with the iterations.
-    An empty cluster keeps its previous centroid. Stops when the largest
-    centroid shift is <= ``tol`` or after ``max_iter`` updates.
+    Each iteration is one Spark job over the staged vectors: per Arrow batch
+    a NumPy nearest-centroid (squared Euclidean, lowest id on ties) and
+    per-task partial sums, then a (cluster, dim) sum. The driver holds only
+    k x d numbers; lineage does not grow with the iterations. An empty
+    cluster keeps its previous centroid. Stops when the largest centroid
+    shift is <= ``tol`` or after ``max_iter`` updates.
     """
     base = stage(df, "kmeans-input") if staged else df
     if init_centroids is None:
@@ -63,8 +134,7 @@ def seeded_kmeans(df: DataFrame, vec_col: str = "embedding", seed_col: str | Non
     shifts: list[float] = []
     n_iter = 0
     for _ in range(max_iter):
-        cl, _d = nearest_centroid(vec_col, centroids)
-        means = _cluster_means(base.select(cl.alias("_c"), vec_col), "_c", vec_col)
+        means = _lloyd_step(base, vec_col, centroids)
         new = [means.get(j, centroids[j]) for j in range(k)]
         shift = max(sum((a - b) ** 2 for a, b in zip(o, n)) ** 0.5 for o, n in zip(centroids, new))
         centroids = new
@@ -72,8 +142,7 @@ def seeded_kmeans(df: DataFrame, vec_col: str = "embedding", seed_col: str | Non
         shifts.append(shift)
         if shift <= tol:
             break
-    cl, d = nearest_centroid(vec_col, centroids)
-    assigned = base.withColumn("cluster", cl).withColumn("sqdist", d)
+    assigned = assign_clusters(base, vec_col, centroids)
     return KMeansResult(assigned, centroids, n_iter, shifts)
 
 

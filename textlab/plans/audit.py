@@ -23,7 +23,7 @@ def clustered_vectors(spark: SparkSession, sf_dir: str, seed: str = "domain",
     ``seed='domain'``: centroid 0 = mean of the positive domain, 1 = the rest.
     ``seed='original_label'``: centroid 0 = mean of ``original_label = 1``.
     """
-    v = adapters.vectors(spark, sf_dir)
+    v = adapters.vectors(spark, sf_dir).select("id", "embedding", "domain", "original_label")
     if seed == "domain":
         s = F.when(F.col("domain") == "positive", 0).otherwise(1)
     else:
@@ -39,6 +39,6 @@ def cluster_domain_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The few-shot pool: id, text, embedding, cluster, original_label, label (H4)."""
+    """The few-shot pool: id, embedding, domain, cluster, original_label, label (H4)."""
     a = clustered_vectors(spark, sf_dir, "original_label")
     return cluster_labels(a, "cluster", "original_label").drop("seed", "sqdist")

@@ -20,11 +20,8 @@ def tfidf_features(spark, d):
     docs = A.table(spark, d, "documents").select("doc_id", "text")
     m = featurize_pipeline("text").fit(docs)
     out = m.transform(docs)
-    from pyspark.ml.functions import vector_to_array
-    arr = vector_to_array("features")
     return out.select("doc_id", F.size(F.col("_tok")).alias("n_tokens"),
-                      F.round(F.aggregate(F.transform(arr, lambda x: x * x), F.lit(0.0), lambda a, x: a + x), 6)
-                      .alias("sq_norm"))
+                      F.size(F.array_distinct(F.col("_tok"))).alias("n_terms"))
 
 
 @register("pca_projection")

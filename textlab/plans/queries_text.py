@@ -131,11 +131,13 @@ def _reason_sql() -> str:
   {_reason_sql()} AS reason
 FROM documents""")
 def keyword_features(spark, d):
-    x = A.table(spark, d, "documents")
-    hits = L.keyword_hits("text", A.TEST_LEXICON)
+    # lower-case each (long) text once; every lexicon test reads that column
+    x = A.table(spark, d, "documents").select("doc_id", F.lower("text").alias("low"))
+    hits = L.keyword_hits("low", A.TEST_LEXICON, lowered=True)
     return x.select("doc_id", F.array_join(hits, ",").alias("hits"), F.size(hits).cast("int").alias("n_hits"),
-                    L.tone("text").alias("tone"), L.context_indicators("text").alias("indicators"),
-                    L.exception_reason("text").alias("reason"))
+                    L.tone("low", lowered=True).alias("tone"),
+                    L.context_indicators("low", lowered=True).alias("indicators"),
+                    L.exception_reason("low", lowered=True).alias("reason"))
 
 
 @register("keyword_priors", f"""WITH x AS (

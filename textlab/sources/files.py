@@ -24,12 +24,21 @@ POSTS_SCHEMA = StructType([StructField("title", StringType()),
 def read_posts(spark: SparkSession, path, schema: StructType = POSTS_SCHEMA,
                map_null_tokens: bool = True) -> DataFrame:
     """CSV with a header, quoted fields that hold newlines and quotes,
-    explicit schema (never inferred). Header columns not in the schema are
-    pruned by name; pandas' null markers ('', 'NA', 'NaN', 'null', ...)
-    become null."""
+    no type inference. Spark maps a CSV schema by position, so the full
+    schema is built from the header (wanted columns typed from ``schema``,
+    the rest strings) and the wanted columns are then selected by name,
+    which prunes the others. Pandas' null markers ('', 'NA', 'NaN', 'null',
+    ...) become null."""
+    header = (spark.read.option("header", True).option("inferSchema", False)
+              .option("multiLine", True).option("escape", '"').csv(path).columns)
+    wanted = {f.name: f for f in schema.fields}
+    missing = [n for n in wanted if n not in header]
+    if missing:
+        raise ValueError(f"{path} lacks columns {missing}")
+    full = StructType([wanted.get(h, StructField(h, StringType())) for h in header])
     df = (spark.read.option("header", True).option("multiLine", True)
-          .option("escape", '"').option("quote", '"').option("enforceSchema", False)
-          .schema(schema).csv(path))
+          .option("escape", '"').option("quote", '"')
+          .schema(full).csv(path).select(*wanted))
     if map_null_tokens:
         for f in schema.fields:
             if isinstance(f.dataType, StringType):
@@ -107,10 +116,22 @@ def tolerant_union(spark: SparkSession, paths: Sequence[str], columns: Sequence[
         raise ValueError("No valid files among %d paths" % len(paths))
     r = spark.read
     if fmt == "csv":
-        r = r.option("header", True).option("multiLine", True).option("escape", '"')
-        if schema is None:
-            schema = StructType([StructField(c, StringType()) for c in columns])
-        r = r.option("enforceSchema", False).schema(schema)
+        # files may order their columns differently: read each header's layout
+        # as strings and align by name in one union of per-layout scans
+        layouts: dict[tuple, list[str]] = {}
+        for p in valid:
+            layouts.setdefault(tuple(file_schema(spark, p, "csv").fieldNames()), []).append(p)
+        parts = []
+        for names, ps in layouts.items():
+            sch = StructType([StructField(n, StringType()) for n in names])
+            parts.append(r.option("header", True).option("multiLine", True).option("escape", '"')
+                         .schema(sch).csv(ps)
+                         .select(*columns, F.col("_metadata.file_path").alias("source_file")))
+        df = parts[0]
+        for p in parts[1:]:
+            df = df.unionByName(p)
+        report = spark.createDataFrame(skipped, "path string, reason string")
+        return df, report
     df = r.format(fmt).load(valid)
     df = df.select(*columns, F.col("_metadata.file_path").alias("source_file"))
     report = spark.createDataFrame(skipped, "path string, reason string")

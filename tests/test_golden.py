@@ -127,8 +127,9 @@ def test_early_stop_cases(spark):
             4: [0.1, 0.2, 0.3]}
     rows = [(t, s + 1, v) for t, vals in seqs.items() for s, v in enumerate(vals)]
     df = spark.createDataFrame(rows, "trial int, step long, eval_f1 double")
-    got = {r["trial"]: r["stop_step"] for r in early_stop(df, patience=2, threshold=0.01).collect()}
-    assert got == {1: 3, 2: None, 3: 5, 4: None}  # trial 2: a running max would stop at 4
+    res = {r["trial"]: (r["stop_step"], r["best_at_stop"]) for r in early_stop(df, patience=2, threshold=0.01).collect()}
+    assert {t: v[0] for t, v in res.items()} == {1: 3, 2: None, 3: 5, 4: None}  # trial 2: a running max stops at 4
+    assert res[1][1] == 0.5 and res[2][1] == 0.526
 
 
 def test_tiny_vectors_kmeans(spark):

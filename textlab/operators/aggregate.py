@@ -24,10 +24,11 @@ def value_counts(df: DataFrame, col: str, sort: str = "count") -> DataFrame:
 
 
 def value_shares(df: DataFrame, col: str) -> DataFrame:
-    """Normalised counts; the total is a window over the (small) count table."""
-    from pyspark.sql import Window
+    """Normalised counts; the one-row total is broadcast to the count table."""
     c = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    return c.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
+    total = df.agg(F.count(F.lit(1)).alias("_total"))  # one row, broadcast
+    return (c.crossJoin(F.broadcast(total))
+            .withColumn("share", F.round(F.col("n") / F.col("_total"), 6)).drop("_total"))
 
 
 def crosstab(df: DataFrame, row_col: str, col_col: str, values: Sequence) -> DataFrame:

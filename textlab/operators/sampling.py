@@ -32,17 +32,24 @@ def class_quotas(counts: dict, frac) -> dict:
 
 
 def stratified_split(df: DataFrame, label_col: str, key: str, frac=0.2, seed: int = 42,
-                     prefix_len: int = 4, out_col: str = "split") -> DataFrame:
+                     prefix_len: int | None = None, out_col: str = "split",
+                     bucket_rows: int = 100_000) -> DataFrame:
     """Q1: exact stratified train/val split in hash order.
 
     Per class the first ``quota`` rows in hash order go to ``val``. To avoid a
     window over a whole class, a histogram of hash prefixes per class
-    (<= 16^prefix_len rows per class) finds the boundary prefix; only the rows
-    of that one bucket are ranked.
+    (16^prefix_len bins) finds the boundary prefix; only the rows of that one
+    bucket are ranked. The prefix length grows with the largest class so a
+    bucket holds about ``bucket_rows`` rows (4 hex digits up to ~6.5e9 rows
+    per class, then 5, ...); md5 prefixes are uniform, so no bucket is hot.
     """
+    import math
     counts = {r[0]: int(r[1]) for r in df.groupBy(label_col).count().collect()}
     if None in counts:
         raise ValueError("null label in stratified_split")
+    if prefix_len is None:
+        biggest = max(counts.values(), default=1)
+        prefix_len = max(4, min(8, math.ceil(math.log(max(biggest / bucket_rows, 1.0), 16))))
     quotas = class_quotas(counts, frac)
     spark = df.sparkSession
     q = spark.createDataFrame(list(quotas.items()), f"{label_col} {df.schema[label_col].dataType.simpleString()}, _quota long")

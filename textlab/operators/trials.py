@@ -7,37 +7,55 @@ from pyspark.sql import functions as F
 
 
 def early_stop(df: DataFrame, trial_col: str = "trial", step_col: str = "step",
-               metric_col: str = "eval_f1", patience: int = 3, threshold: float = 0.0) -> DataFrame:
+               metric_col: str = "eval_f1", patience: int = 3, threshold: float = 0.0,
+               n_parts: int | None = None) -> DataFrame:
     """Per trial, the step at which early stopping fires (null if never).
 
-    State (best, bad, stop): a value improves only if ``f1 > best + threshold``
-    (then bad = 0), else bad += 1; stop at the first step where
-    ``bad >= patience``; null metrics leave the state unchanged. A running max
-    is not equivalent when threshold > 0, so this is a sequential fold over
-    the step-ordered (step, f1) pairs of the trial, in the JVM.
-    Only non-null (step, f1) pairs of one trial are held together (16 bytes a
-    step); see README for the bound.
-    """
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(step_col).alias("s"),
-                                                 F.col(metric_col).cast("double").alias("f"))))
-    init = F.struct(F.lit(float("-inf")).alias("best"), F.lit(0).alias("bad"),
-                    F.lit(None).cast("bigint").alias("stop"))
+    Fold semantics: a value improves only if ``f1 > best + threshold`` (then
+    bad = 0), else bad += 1; stop at the first step where ``bad >= patience``;
+    null metrics change nothing. A running max is not equivalent when
+    threshold > 0.
 
-    def step(acc, x):
-        better = x["f"] > acc["best"] + F.lit(threshold)
-        bad = F.when(better, F.lit(0)).otherwise(acc["bad"] + 1)
-        stop = F.when(acc["stop"].isNull() & ~better & (bad >= patience), x["s"].cast("bigint")) \
-            .otherwise(acc["stop"])
-        return F.when(acc["stop"].isNotNull(), acc).otherwise(
-            F.struct(F.when(better, x["f"]).otherwise(acc["best"]).alias("best"),
-                     bad.alias("bad"), stop.alias("stop")))
+    Exact and distributed, with no trial held in one task: every improvement
+    resets the state to (its own value, 0), so the chain of improvements is a
+    pointer structure. Each non-null row ``i`` (dense index per trial) points
+    to ``nxt(i)``, the first of the next ``patience`` rows with
+    ``f1 > f1_i + threshold`` (a P-row look-ahead join); a row without one is
+    terminal and stops the trial at row ``i + patience`` if that exists. The
+    first non-null row starts the chain (it beats -inf); its terminal row is
+    found by pointer jumping (log2(rows per trial) self-joins on unique keys).
+    """
+    from textlab.operators.windows import group_row_number
+    from textlab.session import stage
 
-    g = (df.where(F.col(metric_col).isNotNull())
-         .groupBy(trial_col).agg(pairs.alias("_p"), F.max(metric_col).alias("best_f1")))
-    folded = g.select(trial_col, "best_f1", F.aggregate("_p", init, step).alias("_s"))
-    return folded.select(trial_col, F.col("_s.stop").alias("stop_step"),
-                         F.round(F.col("_s.best"), 6).alias("best_at_stop"),
-                         F.round("best_f1", 6).alias("best_f1"))
+    x = df.where(F.col(metric_col).isNotNull()).select(
+        F.col(trial_col).alias("t"), F.col(step_col).alias("s"), F.col(metric_col).cast("double").alias("f"))
+    x = stage(group_row_number(x, ["t"], ["s"], "i", n_parts), "early-stop-idx")
+    look = x.select("t", F.explode(F.sequence(F.lit(1), F.lit(patience))).alias("d"),
+                    F.col("i").alias("j"), F.col("f").alias("fj")).withColumn("i", F.col("j") - F.col("d"))
+    cand = (look.join(x.select("t", "i", "f"), ["t", "i"])
+            .where(F.col("fj") > F.col("f") + F.lit(threshold))
+            .groupBy("t", "i").agg(F.min("j").alias("nxt")))
+    ptr = (x.select("t", "i").join(cand, ["t", "i"], "left")
+           .select("t", "i", F.coalesce("nxt", "i").alias("p")))
+    sizes = x.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.max("f").alias("best_f1"))
+    longest = sizes.agg(F.max("n")).first()[0] or 1
+    rounds = max(1, int(longest).bit_length())
+    ptr = stage(ptr, "early-stop-ptr")
+    for r in range(rounds):
+        nxt = ptr.select("t", F.col("i").alias("p"), F.col("p").alias("pp"))
+        ptr = ptr.join(nxt, ["t", "p"]).select("t", "i", F.col("pp").alias("p"))
+        if r % 4 == 3:
+            ptr = stage(ptr, "early-stop-ptr")
+    root = ptr.where(F.col("i") == 1).select("t", F.col("p").alias("root"))
+    fr = x.select("t", F.col("i").alias("root"), F.col("f").alias("best_at_stop"))
+    st = x.select("t", F.col("i").alias("stop_i"), F.col("s").alias("stop_step"))
+    out = (root.join(fr, ["t", "root"])
+           .withColumn("stop_i", F.col("root") + F.lit(patience))
+           .join(st, ["t", "stop_i"], "left")
+           .join(sizes, "t"))
+    return out.select(F.col("t").alias(trial_col), F.col("stop_step").cast("bigint").alias("stop_step"),
+                      F.round("best_at_stop", 6).alias("best_at_stop"), F.round("best_f1", 6).alias("best_f1"))
 
 
 def best_trial(df: DataFrame, trial_col: str = "trial", metric_col: str = "eval_f1") -> DataFrame:

@@ -41,6 +41,16 @@ def running_best(df: DataFrame, group_col: str, order_col: str, metric_col: str,
             .drop("_blk", "_within", "_prior"))
 
 
+def _range_slices(df: DataFrame, n: int, cols: Sequence[str]) -> DataFrame:
+    """Range-partition by ``cols`` and record each row's partition id as a
+    column, written once to the shared checkpoint folder. Spark's range
+    partitioner samples with a seed tied to the RDD id, so two reads of an
+    un-materialised range exchange may disagree on partition ids; the staged
+    ``_pid`` column makes the slicing fixed (and survives executor loss)."""
+    from textlab.session import stage
+    return stage(df.repartitionByRange(n, *cols).withColumn("_pid", F.spark_partition_id()), "slices")
+
+
 def row_index(df: DataFrame, order_cols: Sequence[str], out_col: str = "idx",
               n_parts: int | None = None) -> DataFrame:
     """Dense 0-based position in ``order_cols`` order (unique key).
@@ -50,7 +60,7 @@ def row_index(df: DataFrame, order_cols: Sequence[str], out_col: str = "idx",
     rows inside each range partition. No single-partition window.
     """
     n_parts = n_parts or df.sparkSession.sparkContext.defaultParallelism
-    r = df.repartitionByRange(n_parts, *order_cols).withColumn("_pid", F.spark_partition_id())
+    r = _range_slices(df, n_parts, order_cols)
     counts = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offs = counts.withColumn("_off", F.coalesce(
         F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
@@ -61,6 +71,52 @@ def row_index(df: DataFrame, order_cols: Sequence[str], out_col: str = "idx",
             .drop("_pid", "_off"))
 
 
+def _n_parts(df: DataFrame, n_parts: int | None) -> int:
+    if n_parts:
+        return n_parts
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def group_row_number(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
+                     out_col: str = "rn", n_parts: int | None = None) -> DataFrame:
+    """1-based position inside each group, in ``order_cols`` order (unique
+    within the group), without putting a whole group in one task.
+
+    Range-partition by (group, order): a group holding a third of the rows
+    spans many partitions. Rows per (group, partition) are counted (at most
+    groups + partitions rows), prefix-summed per group, and rows are numbered
+    inside each (group, partition) slice.
+    """
+    n = _n_parts(df, n_parts)
+    r = _range_slices(df, n, [*group_cols, *order_cols])
+    counts = r.groupBy(*group_cols, "_pid").agg(F.count(F.lit(1)).alias("_n"))
+    offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(
+        Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0))).drop("_n")
+    w = Window.partitionBy(*group_cols, "_pid").orderBy(*order_cols)
+    return (r.join(offs, [*group_cols, "_pid"])
+            .withColumn(out_col, (F.col("_off") + F.row_number().over(w)).cast("bigint"))
+            .drop("_pid", "_off"))
+
+
+def cumulative_sum(df: DataFrame, order_cols: Sequence[str], value_cols: Sequence[str],
+                   prefix: str = "cum_", n_parts: int | None = None) -> DataFrame:
+    """Running totals over the whole table in ``order_cols`` order without a
+    single-partition window: per range partition totals (one row each) are
+    prefix-summed and broadcast, then each partition sums its own rows."""
+    n = _n_parts(df, n_parts)
+    r = _range_slices(df, n, order_cols)
+    tot = r.groupBy("_pid").agg(*[F.sum(c).alias(f"_t_{c}") for c in value_cols])
+    wp = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offs = tot.select("_pid", *[F.coalesce(F.sum(f"_t_{c}").over(wp), F.lit(0)).alias(f"_o_{c}")
+                                for c in value_cols])
+    w = Window.partitionBy("_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    out = r.join(F.broadcast(offs), "_pid")
+    for c in value_cols:
+        out = out.withColumn(prefix + c, (F.col(f"_o_{c}") + F.sum(c).over(w)).cast("bigint"))
+    return out.drop("_pid", *[f"_o_{c}" for c in value_cols])
+
+
 def batch_examples(df: DataFrame, idx_col: str, label_col: str = "label", batch_size: int = 100,
                    per_label: int = 3) -> DataFrame:
     """In each *full* batch of ``batch_size`` rows, the first ``per_label``
@@ -80,16 +136,15 @@ def cumulative_progress(df: DataFrame, idx_col: str, label_col: str = "label",
     """Running totals per label after each batch of ``batch_size`` rows.
 
     Counts are taken per batch first (n / batch_size rows), then summed
-    cumulatively over that small table.
+    cumulatively with the partitioned prefix sum (no single-task window).
     """
     per = df.groupBy(F.floor(F.col(idx_col) / batch_size).cast("bigint").alias("batch")).agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.col(label_col) == 1).alias("positives"),
         F.count_if(F.col(label_col) == 0).alias("negatives"),
         F.count_if(F.col(label_col).isNull()).alias("nulls"))
-    w = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
-    return per.select("batch", *[F.sum(c).over(w).cast("bigint").alias(f"cum_{c}")
-                                 for c in ("rows", "positives", "negatives", "nulls")])
+    cols = ["rows", "positives", "negatives", "nulls"]
+    return cumulative_sum(per, ["batch"], cols).select("batch", *[f"cum_{c}" for c in cols])
 
 
 def head(df: DataFrame, n: int, order_cols: Sequence[str]) -> DataFrame:

@@ -135,13 +135,13 @@ def json_replies(spark, sf_dir) -> DataFrame:
 
 
 def trial_log(spark, sf_dir) -> DataFrame:
-    """events as a trial log: trial = user, step = order in the trial."""
-    from pyspark.sql import Window
-    ev = table(spark, sf_dir, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return ev.select(
-        F.col("user_id").alias("trial"),
-        F.row_number().over(w).cast("bigint").alias("step"),
+    """events as a trial log: trial = user, step = order in the trial
+    (numbered without putting a whole user in one task)."""
+    from textlab.operators.windows import group_row_number
+    ev = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value")
+    x = group_row_number(ev, ["user_id"], ["ts", "event_id"], "step")
+    return x.select(
+        F.col("user_id").alias("trial"), F.col("step").cast("bigint").alias("step"),
         F.when(F.col("event_type") == "error", F.lit(None).cast("double"))
          .otherwise(F.col("value") / 1000.0).alias("eval_f1"),
     )

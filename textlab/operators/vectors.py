@@ -33,10 +33,11 @@ def attach_centroid(df: DataFrame, centroids: DataFrame, group_col: str,
                     out_col: str = "dist") -> DataFrame:
     """Distance of each row to its group's centroid.
 
-    The centroid table has one row per group (bounded by the number of groups,
-    not by the data), so it is broadcast.
+    The centroid table has one row per group. No broadcast hint: with few
+    groups AQE turns the join into a broadcast from the measured size; with
+    many groups it stays a shuffle join (and AQE splits a hot group).
     """
-    return (df.join(F.broadcast(centroids), group_col, "inner")
+    return (df.join(centroids, group_col, "inner")
             .withColumn(out_col, euclidean(vec_col, centroid_col))
             .drop(centroid_col))
 
@@ -60,5 +61,5 @@ def domain_similarity(df: DataFrame, group_col: str = "domain",
     c = group_mean_vector(df, group_col, vec_col)
     a = c.select(F.col(group_col).alias("group_a"), F.col("centroid").alias("ca"))
     b = c.select(F.col(group_col).alias("group_b"), F.col("centroid").alias("cb"))
-    return (a.join(F.broadcast(b), F.lit(True))
+    return (a.join(b, F.lit(True))  # groups x groups centroid pairs, never row pairs
             .select("group_a", "group_b", F.round(cosine("ca", "cb"), 6).alias("cosine")))

@@ -96,7 +96,7 @@ def class_weights(spark, d):
 
 
 @register("fixed_class_weights", """SELECT doc_id, quality AS label,
-  CASE WHEN quality = 1 THEN 2.0 ELSE 1.0 END AS weight FROM labels""")
+  CAST(CASE WHEN quality = 1 THEN 2.0 ELSE 1.0 END AS DOUBLE) AS weight FROM labels""")
 def fixed_class_weights(spark, d):
     lab = A.table(spark, d, "labels").select("doc_id", F.col("quality").alias("label"))
     return lab.withColumn("weight", M.fixed_class_weights("label"))

@@ -9,6 +9,7 @@ from textlab.functions import lexicon as L
 from textlab.functions import prompts as P
 from textlab.functions.parse import parse_json_reply, parse_two_line_reply
 from textlab.operators import aggregate as G
+from textlab.operators.fewshot import augment
 from textlab.operators.metrics import keyword_priors
 from textlab.operators.sampling import binary_few_shot
 from textlab.operators.scoring import generate_pairs, label_with_reply_model
@@ -179,13 +180,9 @@ def paraphrase(spark, d):
   SELECT doc_id, 1, {_paraphrase_sql('text', "CAST(doc_id AS VARCHAR) || ':1'")} FROM documents)
 SELECT doc_id, variant, md5(text) AS text_md5 FROM v WHERE variant = 0 OR length(text) > 10""")
 def augment_selected(spark, d):
-    x = A.table(spark, d, "documents")
-    v = x.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("variant"))
-    key = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("variant").cast("string"))
-    v = v.withColumn("text", F.when(F.col("variant") == 0, F.col("text"))
-                     .otherwise(L.paraphrase_one("text", key)))
-    return (v.where((F.col("variant") == 0) | (F.length("text") > 10))
-            .select("doc_id", F.col("variant").cast("int").alias("variant"), F.md5("text").alias("text_md5")))
+    x = A.table(spark, d, "documents").select("doc_id", "text")
+    v = augment(x, 2, "text", "doc_id", min_chars=10)
+    return v.select("doc_id", F.col("variant").cast("int").alias("variant"), F.md5("text").alias("text_md5"))
 
 
 _PREFIX = "Classify the message below.\nMessage: "

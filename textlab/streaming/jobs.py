@@ -29,11 +29,13 @@ def _batch_sink(out_dir: str, partition_cols=("batch_id",)):
 
 def score_new_files(spark: SparkSession, src_dir: str, schema: StructType, out_dir: str,
                     checkpoint: str, score: Callable[[DataFrame], DataFrame],
-                    max_files_per_trigger: int | None = None):
+                    max_files_per_trigger: int | None = None, glob: str | None = None):
     """Score each arriving parquet file once. A rerun with the same
     checkpoint processes only new files; a bad file does not stop the rest
-    (``ignoreCorruptFiles``)."""
+    (``ignoreCorruptFiles``). ``glob`` keeps only matching file names."""
     r = spark.readStream.schema(schema).option("ignoreCorruptFiles", True)
+    if glob:
+        r = r.option("pathGlobFilter", glob)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     src = r.parquet(src_dir).withColumn("source_file", F.col("_metadata.file_path"))
@@ -46,8 +48,8 @@ def score_new_files(spark: SparkSession, src_dir: str, schema: StructType, out_d
 def resume_generation(todo: DataFrame, out_dir: str, key: str,
                       generate: Callable[[DataFrame], DataFrame], slice_rows: int = 25) -> int:
     """R2 (batch form): generate only rows whose key is not yet in
-    ``out_dir``, appended in slices of about ``slice_rows`` rows by key
-    order, so an interruption loses at most one slice. Returns slices written."""
+    ``out_dir``, appended in hash slices of about ``slice_rows`` rows, so an
+    interruption loses at most one slice. Returns slices written."""
     spark = todo.sparkSession
     try:
         done = spark.read.parquet(out_dir).select(key)

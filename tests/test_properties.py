@@ -143,3 +143,34 @@ def test_dedup_first_is_deterministic(spark):
     assert _vals(a, "post_id") == _vals(b, "post_id")
     keep = dedup_first(p, "retrieved_on", "post_id", nulls="keep")
     assert keep.where("retrieved_on IS NULL").count() == p.where("retrieved_on IS NULL").count()
+
+
+def _fold_reference(rows, patience, threshold):
+    """Brute-force early-stop fold (small fixture only)."""
+    out = {}
+    for t in sorted({r[0] for r in rows}):
+        seq = sorted((s, f) for tt, s, f in rows if tt == t and f is not None)
+        if not seq:
+            continue
+        best, bad, stop = float("-inf"), 0, None
+        for s, f in seq:
+            if f > best + threshold:
+                best, bad = f, 0
+            else:
+                bad += 1
+                if bad >= patience:
+                    stop = s
+                    break
+        out[t] = (stop, round(best, 6))
+    return out
+
+
+@pytest.mark.parametrize("block", [2, 3, 7, 4096])
+def test_early_stop_blocks_match_fold(spark, block):
+    from textlab.operators.trials import early_stop
+    tl = A.trial_log(spark, SF01).where("trial < 40")
+    rows = [(r["trial"], r["step"], r["eval_f1"]) for r in tl.collect()]
+    ref = _fold_reference(rows, 3, 0.01)
+    got = {r["trial"]: (r["stop_step"], r["best_at_stop"])
+           for r in early_stop(tl, patience=3, threshold=0.01, block=block).collect()}
+    assert got == ref

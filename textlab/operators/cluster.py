@@ -40,6 +40,11 @@ def _cluster_means(df: DataFrame, cluster_col: str, vec_col: str) -> dict[int, l
     return {c: [dims[i] for i in sorted(dims)] for c, dims in out.items()}
 
 
+# Partial sums (partitions x k x d doubles) are collected directly below this
+# size; above it they are added per (cluster, dim) in Spark first.
+PARTIAL_COLLECT_LIMIT = 1 << 20
+
+
 def _nearest(x: np.ndarray, cents: np.ndarray):
     """Nearest centroid by squared Euclidean distance, lowest id on ties."""
     d = np.empty((x.shape[0], cents.shape[0]))
@@ -77,6 +82,15 @@ def _lloyd_step(base: DataFrame, vec_col: str, centroids: list[list[float]]) ->
                                 "s": [acc[j].tolist() for j in keep]})
 
     part = base.select(vec_col).mapInPandas(run, schema)
+    k, d = cents.shape
+    if base.rdd.getNumPartitions() * k * d <= PARTIAL_COLLECT_LIMIT:
+        # proven small: at most partitions x k rows of d doubles reach the driver
+        tot_n = np.zeros(k, dtype=np.int64)
+        tot_s = np.zeros((k, d))
+        for r in part.collect():
+            tot_n[int(r["c"])] += int(r["n"])
+            tot_s[int(r["c"])] += np.asarray(r["s"], dtype=np.float64)
+        return {int(c): (tot_s[c] / tot_n[c]).tolist() for c in range(k) if tot_n[c] > 0}
     rows = (part.select("c", "n", F.posexplode("s").alias("pos", "v"))
             .groupBy("c", "pos").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
             .collect())

@@ -6,9 +6,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _block_exits(patience: int, threshold: float, block: int):
+    """Per (trial, block) pandas step for ``early_stop``: for each entry
+    offset o < patience of the block, follow the improvement chain inside the
+    block (plus ``patience`` look-ahead rows of the next one) and report
+    where it leaves: ``exit_o`` = entry offset in the next block, or a
+    terminal row ``root`` (the last improvement; the stop is ``root + P``)."""
+    import numpy as np
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        idx = pdf["i"].to_numpy(dtype=np.int64)
+        f = pdf["f"].to_numpy(dtype=np.float64)
+        t, b = pdf["t"].iloc[0], int(pdf["b"].iloc[0])
+        start = b * block + 1
+        end = start + block                       # first idx of the next block
+        pos = {int(v): k for k, v in enumerate(idx)}
+        n = len(idx)
+        nxt = np.full(n, -1, dtype=np.int64)      # position of the next improvement
+        for d in range(patience, 0, -1):          # smallest d wins
+            if d >= n:
+                continue
+            ok = np.zeros(n, dtype=bool)
+            ok[:n - d] = (f[d:] > f[:n - d] + threshold) & (idx[d:] == idx[:n - d] + d)
+            nxt[ok] = np.arange(n)[ok] + d
+        rows = []
+        for o in range(patience):
+            k = pos.get(start + o)
+            if k is None:
+                continue
+            while True:
+                j = nxt[k]
+                if j < 0:
+                    rows.append((t, b, o, None, int(idx[k]), float(f[k])))
+                    break
+                if idx[j] >= end:
+                    rows.append((t, b, o, int(idx[j] - end), None, None))
+                    break
+                k = j
+        return pd.DataFrame(rows, columns=["t", "b", "o", "exit_o", "root", "root_f"])
+    return run
+
+
 def early_stop(df: DataFrame, trial_col: str = "trial", step_col: str = "step",
                metric_col: str = "eval_f1", patience: int = 3, threshold: float = 0.0,
-               n_parts: int | None = None) -> DataFrame:
+               block: int = 4096, n_parts: int | None = None) -> DataFrame:
     """Per trial, the step at which early stopping fires (null if never).
 
     Fold semantics: a value improves only if ``f1 > best + threshold`` (then
@@ -16,46 +59,61 @@ def early_stop(df: DataFrame, trial_col: str = "trial", step_col: str = "step",
     null metrics change nothing. A running max is not equivalent when
     threshold > 0.
 
-    Exact and distributed, with no trial held in one task: every improvement
-    resets the state to (its own value, 0), so the chain of improvements is a
-    pointer structure. Each non-null row ``i`` (dense index per trial) points
-    to ``nxt(i)``, the first of the next ``patience`` rows with
-    ``f1 > f1_i + threshold`` (a P-row look-ahead join); a row without one is
-    terminal and stops the trial at row ``i + patience`` if that exists. The
-    first non-null row starts the chain (it beats -inf); its terminal row is
-    found by pointer jumping (log2(rows per trial) self-joins on unique keys).
+    Exact and distributed, with no trial held in one task. Every improvement
+    resets the state to (its own value, 0), so the improvements form a chain
+    whose hops are at most ``patience`` rows long; a row with no improvement
+    in the next ``patience`` rows ends the chain and the trial stops
+    ``patience`` rows later. Non-null rows get a dense index per trial and are
+    cut into blocks of ``block`` rows; a chain can enter a block only at one
+    of its first ``patience`` rows, so one grouped pandas step per
+    (trial, block) maps each entry to its exit (or end). Blocks are then
+    chained by pointer jumping over that small table (log2(blocks per trial)
+    rounds; none when a trial fits one block).
     """
+    from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
+
     from textlab.operators.windows import group_row_number
     from textlab.session import stage
 
+    block = max(block, patience)  # a hop (<= patience rows) then never skips a block
     x = df.where(F.col(metric_col).isNotNull()).select(
         F.col(trial_col).alias("t"), F.col(step_col).alias("s"), F.col(metric_col).cast("double").alias("f"))
     x = stage(group_row_number(x, ["t"], ["s"], "i", n_parts), "early-stop-idx")
-    look = x.select("t", F.explode(F.sequence(F.lit(1), F.lit(patience))).alias("d"),
-                    F.col("i").alias("j"), F.col("f").alias("fj")).withColumn("i", F.col("j") - F.col("d"))
-    cand = (look.join(x.select("t", "i", "f"), ["t", "i"])
-            .where(F.col("fj") > F.col("f") + F.lit(threshold))
-            .groupBy("t", "i").agg(F.min("j").alias("nxt")))
-    ptr = (x.select("t", "i").join(cand, ["t", "i"], "left")
-           .select("t", "i", F.coalesce("nxt", "i").alias("p")))
+    b = F.floor((F.col("i") - 1) / block).cast("long")
+    own = x.select("t", "i", "f", b.alias("b"))
+    # the first `patience` rows of each block are also given to the previous block
+    ahead = (x.where((F.col("i") - 1) % block < patience).where(F.col("i") > block)
+             .select("t", "i", "f", (b - 1).alias("b")))
+    tt = x.schema["t"].dataType
+    schema = StructType([StructField("t", tt), StructField("b", LongType()), StructField("o", IntegerType()),
+                         StructField("exit_o", LongType()), StructField("root", LongType()),
+                         StructField("root_f", DoubleType())])
+    exits = stage(own.unionByName(ahead).groupBy("t", "b")
+                  .applyInPandas(_block_exits(patience, threshold, block), schema), "early-stop-blocks")
     sizes = x.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.max("f").alias("best_f1"))
-    longest = sizes.agg(F.max("n")).first()[0] or 1
-    rounds = max(1, int(longest).bit_length())
-    ptr = stage(ptr, "early-stop-ptr")
-    for r in range(rounds):
-        nxt = ptr.select("t", F.col("i").alias("p"), F.col("p").alias("pp"))
-        ptr = ptr.join(nxt, ["t", "p"]).select("t", "i", F.col("pp").alias("p"))
-        if r % 4 == 3:
-            ptr = stage(ptr, "early-stop-ptr")
-    root = ptr.where(F.col("i") == 1).select("t", F.col("p").alias("root"))
-    fr = x.select("t", F.col("i").alias("root"), F.col("f").alias("best_at_stop"))
+    blocks = int(exits.agg(F.max("b")).first()[0] or 0) + 1
+    # pointer jumping over (t, b, o): "entering block b at offset o" leads to a
+    # terminal root, or to entering block tb at offset exit_o; each round
+    # follows the pointer of the entry it points to
+    cur = exits.select("t", "b", "o", (F.col("b") + 1).alias("tb"), "exit_o", "root", "root_f")
+    for _ in range(max(0, (blocks - 1).bit_length())):
+        nxt = cur.select("t", F.col("b").alias("tb"), F.col("o").alias("exit_o"),
+                         F.col("tb").alias("n_tb"), F.col("exit_o").alias("n_exit"),
+                         F.col("root").alias("n_root"), F.col("root_f").alias("n_root_f"))
+        j = cur.join(nxt, ["t", "tb", "exit_o"], "left")
+        done = F.col("exit_o").isNull()
+        cur = stage(j.select("t", "b", "o",
+                             F.when(done, F.col("tb")).otherwise(F.col("n_tb")).alias("tb"),
+                             F.when(done, F.col("exit_o")).otherwise(F.col("n_exit")).alias("exit_o"),
+                             F.when(done, F.col("root")).otherwise(F.col("n_root")).alias("root"),
+                             F.when(done, F.col("root_f")).otherwise(F.col("n_root_f")).alias("root_f")),
+                    "early-stop-chain")
+    res = cur.where((F.col("b") == 0) & (F.col("o") == 0)).select("t", "root", "root_f")
     st = x.select("t", F.col("i").alias("stop_i"), F.col("s").alias("stop_step"))
-    out = (root.join(fr, ["t", "root"])
-           .withColumn("stop_i", F.col("root") + F.lit(patience))
-           .join(st, ["t", "stop_i"], "left")
-           .join(sizes, "t"))
+    out = (res.withColumn("stop_i", F.col("root") + F.lit(patience))
+           .join(st, ["t", "stop_i"], "left").join(sizes, "t"))
     return out.select(F.col("t").alias(trial_col), F.col("stop_step").cast("bigint").alias("stop_step"),
-                      F.round("best_at_stop", 6).alias("best_at_stop"), F.round("best_f1", 6).alias("best_f1"))
+                      F.round("root_f", 6).alias("best_at_stop"), F.round("best_f1", 6).alias("best_f1"))
 
 
 def best_trial(df: DataFrame, trial_col: str = "trial", metric_col: str = "eval_f1") -> DataFrame:

@@ -57,12 +57,32 @@ def keyword_hits(text, lexicon: Sequence[str] = KEYWORDS, lowered: bool = False)
     Pass ``lowered=True`` with a column lower-cased once upstream when several
     lexicon functions read the same long text."""
     low = _low(text, lowered)
-    return F.filter(_lits(lexicon), lambda k: F.contains(low, k))
+    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in lexicon]))
+
+
+def keyword_hits_joined(text, lexicon: Sequence[str] = KEYWORDS, sep: str = ",",
+                        lowered: bool = False) -> Column:
+    """T3 as one string (``concat_ws`` skips the misses); fully code-generated."""
+    low = _low(text, lowered)
+    return F.concat_ws(sep, *[F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in lexicon])
+
+
+def keyword_count(text, lexicon: Sequence[str] = KEYWORDS, lowered: bool = False) -> Column:
+    low = _low(text, lowered)
+    out = F.lit(0)
+    for w in lexicon:
+        out = out + F.contains(low, F.lit(w)).cast("int")
+    return out
 
 
 def has_keyword(text, lexicon: Sequence[str] = KEYWORDS, lowered: bool = False) -> Column:
+    """Any entry is a substring of lower(text): an OR chain of ``contains``
+    (code-generated, short-circuits; no lambda per row)."""
     low = _low(text, lowered)
-    return F.exists(_lits(lexicon), lambda k: F.contains(low, k))
+    out = F.lit(False)
+    for w in lexicon:
+        out = out | F.contains(low, F.lit(w))
+    return out
 
 
 def tone(text, markers: Sequence[str] = TONE_MARKERS, lowered: bool = False) -> Column:

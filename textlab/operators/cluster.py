@@ -55,23 +55,30 @@ def _nearest(x: np.ndarray, cents: np.ndarray):
     return lab, d[np.arange(len(lab)), lab]
 
 
-def _lloyd_step(base: DataFrame, vec_col: str, centroids: list[list[float]]) -> dict[int, list[float]]:
+def _lloyd_step(base: DataFrame, vec_col: str, centroids: list[list[float]] | None,
+                label_col: str | None = None, k: int | None = None,
+                dim: int | None = None) -> dict[int, list[float]]:
     """One assign + update pass: every task assigns its Arrow batches with
-    NumPy and emits k partial (count, sum) rows; the partial sums are added
-    per (cluster, dim) in Spark and only k x d means reach the driver."""
-    cents = np.asarray(centroids, dtype=np.float64)
+    NumPy and emits k partial (count, sum) rows; only k x d means reach the
+    driver. With ``centroids=None`` rows are grouped by ``label_col``
+    (0..k-1) instead (the seed means)."""
+    cents = None if centroids is None else np.asarray(centroids, dtype=np.float64)
+    kk, dd = (cents.shape if cents is not None else (k, dim))
     schema = StructType([StructField("c", LongType()), StructField("n", LongType()),
                          StructField("s", ArrayType(DoubleType()))])
 
     def run(it):
-        k, d = cents.shape
+        k, d = kk, dd
         cnt = np.zeros(k, dtype=np.int64)
         acc = np.zeros((k, d))
         for pdf in it:
             if not len(pdf):
                 continue
             x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
-            lab, _ = _nearest(x, cents)
+            if cents is None:
+                lab = pdf[label_col].to_numpy(dtype=np.int64)
+            else:
+                lab, _ = _nearest(x, cents)
             for j in range(k):
                 m = lab == j
                 cnt[j] += int(m.sum())
@@ -81,8 +88,9 @@ def _lloyd_step(base: DataFrame, vec_col: str, centroids: list[list[float]]) ->
             yield pd.DataFrame({"c": keep.astype(np.int64), "n": cnt[keep],
                                 "s": [acc[j].tolist() for j in keep]})
 
-    part = base.select(vec_col).mapInPandas(run, schema)
-    k, d = cents.shape
+    cols = [vec_col] if cents is not None else [vec_col, label_col]
+    part = base.select(*cols).mapInPandas(run, schema)
+    k, d = kk, dd
     if base.rdd.getNumPartitions() * k * d <= PARTIAL_COLLECT_LIMIT:
         # proven small: at most partitions x k rows of d doubles reach the driver
         tot_n = np.zeros(k, dtype=np.int64)
@@ -137,7 +145,9 @@ def seeded_kmeans(df: DataFrame, vec_col: str = "embedding", seed_col: str | Non
     """
     base = stage(df, "kmeans-input") if staged else df
     if init_centroids is None:
-        means = _cluster_means(base.where(F.col(seed_col).isNotNull()), seed_col, vec_col)
+        seeded = base.where(F.col(seed_col).isNotNull() & (F.col(seed_col) >= 0) & (F.col(seed_col) < k))
+        dim = int(base.select(F.max(F.size(vec_col))).first()[0] or 0)
+        means = _lloyd_step(seeded, vec_col, None, seed_col, k, dim)
         missing = [j for j in range(k) if j not in means]
         if missing:
             raise ValueError(f"seed groups {missing} are empty")

@@ -7,45 +7,69 @@ from pyspark.sql import functions as F
 
 
 def _block_exits(patience: int, threshold: float, block: int):
-    """Per (trial, block) pandas step for ``early_stop``: for each entry
-    offset o < patience of the block, follow the improvement chain inside the
-    block (plus ``patience`` look-ahead rows of the next one) and report
-    where it leaves: ``exit_o`` = entry offset in the next block, or a
-    terminal row ``root`` (the last improvement; the stop is ``root + P``)."""
+    """mapInPandas step for ``early_stop`` over rows sorted by (t, b, i).
+
+    For each (trial, block) group and each entry offset o < patience, follow
+    the improvement chain inside the block (its own rows plus ``patience``
+    look-ahead rows of the next block) and report where it leaves:
+    ``exit_o`` = entry offset in the next block, or a terminal ``root`` (the
+    last improvement; the stop is ``root + patience``). Vectorised over all
+    groups of a batch: NumPy shifts for the look-ahead, NumPy pointer
+    doubling for the chains. A group cut by a batch boundary is carried over.
+    """
     import numpy as np
     import pandas as pd
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
+    cols = ["t", "b", "o", "exit_o", "root", "root_f"]
+
+    def process(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = pdf["t"].to_numpy()
+        b = pdf["b"].to_numpy(dtype=np.int64)
         idx = pdf["i"].to_numpy(dtype=np.int64)
         f = pdf["f"].to_numpy(dtype=np.float64)
-        t, b = pdf["t"].iloc[0], int(pdf["b"].iloc[0])
-        start = b * block + 1
-        end = start + block                       # first idx of the next block
-        pos = {int(v): k for k, v in enumerate(idx)}
         n = len(idx)
-        nxt = np.full(n, -1, dtype=np.int64)      # position of the next improvement
-        for d in range(patience, 0, -1):          # smallest d wins
+        start = b * block + 1
+        end = start + block
+        own = idx < end
+        same = lambda d: (t[d:] == t[:n - d]) & (b[d:] == b[:n - d]) & (idx[d:] == idx[:n - d] + d)
+        nxt = np.full(n, -1, dtype=np.int64)
+        for d in range(patience, 0, -1):          # smallest hop wins
             if d >= n:
                 continue
             ok = np.zeros(n, dtype=bool)
-            ok[:n - d] = (f[d:] > f[:n - d] + threshold) & (idx[d:] == idx[:n - d] + d)
-            nxt[ok] = np.arange(n)[ok] + d
-        rows = []
-        for o in range(patience):
-            k = pos.get(start + o)
-            if k is None:
+            ok[:n - d] = same(d) & (f[d:] > f[:n - d] + threshold)
+            nxt[ok] = np.nonzero(ok)[0] + d
+        ar = np.arange(n)
+        # ptr: next improvement while it stays inside the block, else self
+        ptr = np.where((nxt >= 0) & own[np.maximum(nxt, 0)], nxt, ar)
+        for _ in range(max(1, int(block).bit_length())):
+            ptr = ptr[ptr]
+        entry = own & (idx - start < patience)
+        last = ptr[entry]
+        ex = nxt[last]
+        out = pd.DataFrame({"t": t[entry], "b": b[entry], "o": (idx - start)[entry].astype(np.int32)})
+        has_exit = ex >= 0
+        out["exit_o"] = pd.array(np.where(has_exit, idx[np.maximum(ex, 0)] - end[entry], 0), dtype="Int64")
+        out.loc[~has_exit, "exit_o"] = pd.NA
+        out["root"] = pd.array(idx[last], dtype="Int64")
+        out.loc[has_exit, "root"] = pd.NA
+        out["root_f"] = np.where(has_exit, np.nan, f[last])
+        return out[cols]
+
+    def run(it):
+        carry = None
+        for pdf in it:
+            if carry is not None and len(carry):
+                pdf = pd.concat([carry, pdf], ignore_index=True)
+            if not len(pdf):
                 continue
-            while True:
-                j = nxt[k]
-                if j < 0:
-                    rows.append((t, b, o, None, int(idx[k]), float(f[k])))
-                    break
-                if idx[j] >= end:
-                    rows.append((t, b, o, int(idx[j] - end), None, None))
-                    break
-                k = j
-        return pd.DataFrame(rows, columns=["t", "b", "o", "exit_o", "root", "root_f"])
+            lt, lb = pdf["t"].iloc[-1], pdf["b"].iloc[-1]
+            tail = ((pdf["t"] == lt) & (pdf["b"] == lb)).to_numpy()
+            carry = pdf[tail]
+            if (~tail).any():
+                yield process(pdf[~tail].reset_index(drop=True))
+        if carry is not None and len(carry):
+            yield process(carry.reset_index(drop=True))
     return run
 
 
@@ -78,7 +102,7 @@ def early_stop(df: DataFrame, trial_col: str = "trial", step_col: str = "step",
     block = max(block, patience)  # a hop (<= patience rows) then never skips a block
     x = df.where(F.col(metric_col).isNotNull()).select(
         F.col(trial_col).alias("t"), F.col(step_col).alias("s"), F.col(metric_col).cast("double").alias("f"))
-    x = stage(group_row_number(x, ["t"], ["s"], "i", n_parts), "early-stop-idx")
+    x = group_row_number(x, ["t"], ["s"], "i", n_parts)  # slices are staged inside
     b = F.floor((F.col("i") - 1) / block).cast("long")
     own = x.select("t", "i", "f", b.alias("b"))
     # the first `patience` rows of each block are also given to the previous block
@@ -88,10 +112,13 @@ def early_stop(df: DataFrame, trial_col: str = "trial", step_col: str = "step",
     schema = StructType([StructField("t", tt), StructField("b", LongType()), StructField("o", IntegerType()),
                          StructField("exit_o", LongType()), StructField("root", LongType()),
                          StructField("root_f", DoubleType())])
-    exits = stage(own.unionByName(ahead).groupBy("t", "b")
-                  .applyInPandas(_block_exits(patience, threshold, block), schema), "early-stop-blocks")
+    grouped = own.unionByName(ahead).repartition("t", "b").sortWithinPartitions("t", "b", "i")
+    exits = grouped.mapInPandas(_block_exits(patience, threshold, block), schema)
     sizes = x.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.max("f").alias("best_f1"))
-    blocks = int(exits.agg(F.max("b")).first()[0] or 0) + 1
+    longest = int(sizes.agg(F.max("n")).first()[0] or 0)
+    blocks = max(1, -(-longest // block))
+    if blocks > 1:
+        exits = stage(exits, "early-stop-blocks")
     # pointer jumping over (t, b, o): "entering block b at offset o" leads to a
     # terminal root, or to entering block tb at offset exit_o; each round
     # follows the pointer of the entry it points to

@@ -134,8 +134,8 @@ FROM documents""")
 def keyword_features(spark, d):
     # lower-case each (long) text once; every lexicon test reads that column
     x = A.table(spark, d, "documents").select("doc_id", F.lower("text").alias("low"))
-    hits = L.keyword_hits("low", A.TEST_LEXICON, lowered=True)
-    return x.select("doc_id", F.array_join(hits, ",").alias("hits"), F.size(hits).cast("int").alias("n_hits"),
+    return x.select("doc_id", L.keyword_hits_joined("low", A.TEST_LEXICON, ",", lowered=True).alias("hits"),
+                    L.keyword_count("low", A.TEST_LEXICON, lowered=True).cast("int").alias("n_hits"),
                     L.tone("low", lowered=True).alias("tone"),
                     L.context_indicators("low", lowered=True).alias("indicators"),
                     L.exception_reason("low", lowered=True).alias("reason"))

@@ -24,11 +24,10 @@ def value_counts(df: DataFrame, col: str, sort: str = "count") -> DataFrame:
 
 
 def value_shares(df: DataFrame, col: str) -> DataFrame:
-    """Normalised counts; the one-row total is broadcast to the count table."""
+    """Normalised counts; the total is a scalar subquery."""
     c = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("_total"))  # one row, broadcast
-    return (c.crossJoin(F.broadcast(total))
-            .withColumn("share", F.round(F.col("n") / F.col("_total"), 6)).drop("_total"))
+    total = df.agg(F.count(F.lit(1)).alias("_total")).scalar()  # scalar subquery
+    return c.withColumn("share", F.round(F.col("n") / total, 6))
 
 
 def crosstab(df: DataFrame, row_col: str, col_col: str, values: Sequence) -> DataFrame:

@@ -186,8 +186,8 @@ def cluster_labels(df: DataFrame, cluster_col: str = "cluster",
                    positive_col: str = "original_label") -> DataFrame:
     """H4: ``label = (cluster == positive_cluster)``; the one-row H3 result is
     broadcast."""
-    pc = resolve_positive_cluster(df, cluster_col, positive_col)
-    return (df.crossJoin(F.broadcast(pc))
+    pc = resolve_positive_cluster(df, cluster_col, positive_col).scalar()  # scalar subquery
+    return (df.withColumn("positive_cluster", pc)
             .withColumn("label", (F.col(cluster_col) == F.col("positive_cluster")).cast("int")))
 
 

@@ -29,7 +29,8 @@ def _pool_blocks(pool: DataFrame, id_col: str, vec_col: str, extra: list[str],
     """Yield pandas blocks of the pool, each at most ~``max_block_bytes``.
 
     Block membership is a hash of the id, so blocks are balanced whatever the
-    key distribution; each block is fetched by a pushed-down filter.
+    key distribution; with several blocks the pool is staged once split by
+    block, so each fetch is a partition-pruned read of that block only.
     """
     stats = pool.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d")).first()
     n, d = int(stats["n"]), int(stats["d"] or 0)
@@ -40,6 +41,11 @@ def _pool_blocks(pool: DataFrame, id_col: str, vec_col: str, extra: list[str],
     cols = [id_col, vec_col, *extra]
     blk = F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_blocks))
     tagged = pool.select(*cols).withColumn("_blk", blk)
+    if n_blocks > 1:
+        # one pass writes the pool split by block; each block read below is a
+        # partition-pruned scan of its own files, not a rescan of the pool
+        from textlab.session import stage
+        tagged = stage(tagged, "pool-blocks", ["_blk"])
     for b in range(n_blocks):
         pdf = tagged.where(F.col("_blk") == b).drop("_blk").toPandas()
         if len(pdf) * row_bytes > 2 * max_block_bytes:

@@ -112,11 +112,9 @@ def error_breakdown(df: DataFrame, group_cols: Sequence[str] = ("cluster", "labe
     """Wrong rows per group plus each group's error rate and share of errors."""
     wrong = F.col(label_col) != F.col(pred_col)
     g = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n"), F.count_if(wrong).alias("errors"))
-    total = df.agg(F.count_if(wrong).alias("_errors"))  # one row, broadcast
-    return (g.crossJoin(F.broadcast(total))
-            .withColumn("error_rate", F.round(_ratio(F.col("errors"), F.col("n")), 6))
-            .withColumn("error_share", F.round(_ratio(F.col("errors"), F.col("_errors")), 6))
-            .drop("_errors"))
+    total = df.agg(F.count_if(wrong).alias("_errors")).scalar()  # scalar subquery
+    return (g.withColumn("error_rate", F.round(_ratio(F.col("errors"), F.col("n")), 6))
+            .withColumn("error_share", F.round(_ratio(F.col("errors"), total), 6)))
 
 
 def class_weights(df: DataFrame, label_col: str = "label") -> DataFrame:

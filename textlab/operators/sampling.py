@@ -147,8 +147,8 @@ def random_balanced(df: DataFrame, k: int, key: str, label_col: str = "label", s
     n_first = first.agg(F.count(F.lit(1)).alias("_m"))
     top = rest.orderBy("_h", key).limit(k)  # at most k candidates: TakeOrdered
     fill = (top.withColumn("_r", F.row_number().over(Window.orderBy("_h", key)))
-            .crossJoin(F.broadcast(n_first)).where(F.col("_r") <= F.lit(k) - F.col("_m"))
-            .drop("_r", "_m"))
+            .where(F.col("_r") <= F.lit(k) - n_first.scalar())
+            .drop("_r"))
     return (first.unionByName(fill).withColumn("order_key", hash_order(key, seed, "shuffle"))
             .drop("_h"))
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlab.functions.vector import as_double_array, cosine, euclidean
+from textlab.functions.vector import as_double_array, euclidean
 
 
 def group_mean_vector(df: DataFrame, group_col: str, vec_col: str = "embedding",
@@ -44,22 +44,27 @@ def attach_centroid(df: DataFrame, centroids: DataFrame, group_col: str,
 
 def median_flag(df: DataFrame, len_col: str, out_col: str = "long_text",
                 exact: bool = True) -> DataFrame:
-    """``len > median(len)``; the one-row median is broadcast back."""
+    """``len > median(len)``; the median is a scalar subquery."""
     m = F.median(len_col) if exact else F.percentile_approx(len_col, 0.5, 10000)
-    med = df.agg(m.cast("double").alias("_median"))
-    return (df.crossJoin(F.broadcast(med))  # one row: a broadcast scalar
-            .withColumn(out_col, (F.col(len_col) > F.col("_median")).cast("int"))
-            .drop("_median"))
+    med = df.agg(m.cast("double").alias("_median")).scalar()  # scalar subquery
+    return df.withColumn(out_col, (F.col(len_col) > med).cast("int"))
 
 
 def domain_similarity(df: DataFrame, group_col: str = "domain",
                       vec_col: str = "embedding") -> DataFrame:
     """H8: cosine similarity between group centroids (one row per ordered pair).
 
-    The pairs are among centroids (groups x groups), never among rows.
+    Centroids are exploded to (group, dim, value); an equi-join on the
+    dimension and a sum per (group_a, group_b) give the dot products. Work is
+    groups^2 x dims, never rows x rows.
     """
-    c = group_mean_vector(df, group_col, vec_col)
-    a = c.select(F.col(group_col).alias("group_a"), F.col("centroid").alias("ca"))
-    b = c.select(F.col(group_col).alias("group_b"), F.col("centroid").alias("cb"))
-    return (a.join(b, F.lit(True))  # groups x groups centroid pairs, never row pairs
-            .select("group_a", "group_b", F.round(cosine("ca", "cb"), 6).alias("cosine")))
+    x = df.select(F.col(group_col).alias("g"), F.posexplode(as_double_array(vec_col)).alias("pos", "v"))
+    c = x.groupBy("g", "pos").agg(F.avg("v").alias("v"))
+    nrm = c.groupBy("g").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("nrm"))
+    a = c.select(F.col("g").alias("group_a"), "pos", F.col("v").alias("va"))
+    b = c.select(F.col("g").alias("group_b"), "pos", F.col("v").alias("vb"))
+    dots = a.join(b, "pos").groupBy("group_a", "group_b").agg(F.sum(F.col("va") * F.col("vb")).alias("dot"))
+    na = nrm.select(F.col("g").alias("group_a"), F.col("nrm").alias("na"))
+    nb = nrm.select(F.col("g").alias("group_b"), F.col("nrm").alias("nb"))
+    return (dots.join(na, "group_a").join(nb, "group_b")
+            .select("group_a", "group_b", F.round(F.col("dot") / (F.col("na") * F.col("nb")), 6).alias("cosine")))

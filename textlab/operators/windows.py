@@ -121,10 +121,9 @@ def batch_examples(df: DataFrame, idx_col: str, label_col: str = "label", batch_
                    per_label: int = 3) -> DataFrame:
     """In each *full* batch of ``batch_size`` rows, the first ``per_label``
     rows of each label. The last partial batch gives nothing."""
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
+    n = df.agg(F.count(F.lit(1)).alias("_n")).scalar()  # scalar subquery
     x = (df.withColumn("batch", F.floor(F.col(idx_col) / batch_size).cast("bigint"))
-         .crossJoin(F.broadcast(n))  # one-row total
-         .where(F.col("batch") < F.floor(F.col("_n") / batch_size)).drop("_n"))
+         .where(F.col("batch") < F.floor(n / batch_size)))
     w = Window.partitionBy("batch", label_col).orderBy(idx_col)
     return (x.where(F.col(label_col).isNotNull())
             .withColumn("pick", F.row_number().over(w))

@@ -230,8 +230,9 @@ def few_shot_prompt(spark, d):
     blk = ex.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order_key", line.alias("l")))),
                                           lambda s: s["l"]), "").alias("examples"))
     b = A.table(spark, d, "benchmark")
-    prompt = F.concat(F.lit(P.system_rules() + "\n\n### Examples"), F.col("examples"), P.target_block("text"))
-    x = b.crossJoin(F.broadcast(blk)).select("item_id", prompt.alias("prompt"))
+    # the examples block is one value: a scalar subquery, computed once
+    prompt = F.concat(F.lit(P.system_rules() + "\n\n### Examples"), blk.scalar(), P.target_block("text"))
+    x = b.select("item_id", prompt.alias("prompt"))
     return x.select("item_id", F.md5("prompt").alias("prompt_md5"),
                     F.length("prompt").cast("int").alias("prompt_chars"))
 

@@ -137,10 +137,8 @@ qp AS (SELECT a.id, a.embedding, a.rc || '_' || CAST(a.original_label AS VARCHAR
 qx AS (SELECT id, unnest(range(1, len(embedding) + 1)) AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM qp),
 qc AS (SELECT p.quadrant, x.dim, avg(x.v) AS v FROM qp p JOIN qx x ON p.id = x.id GROUP BY ALL)"""))
 def quadrant_few_shot_q(spark, d):
-    pool = labelled_pool(spark, d)
-    pc = pool.select("positive_cluster").limit(1)
-    picked = quadrant_few_shot(pool.drop("positive_cluster").crossJoin(F.broadcast(pc)), 3, 3,
-                               positive_cluster=F.col("positive_cluster"))
+    pool = labelled_pool(spark, d)  # carries the H3 positive_cluster column
+    picked = quadrant_few_shot(pool, 3, 3, positive_cluster=F.col("positive_cluster"))
     return picked.select("id", "quadrant", "kind", "order_key")
 
 

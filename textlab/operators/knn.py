@@ -76,6 +76,7 @@ def knn(targets: DataFrame, pool: DataFrame, k: int, id_col: str = "id", vec_col
     t = targets.select(F.col(id_col).cast("long").alias("_tid"), F.col(vec_col).alias("_tv"))
     parts = []
     for block in _pool_blocks(pool, id_col, vec_col, extra, max_block_bytes):
+        block = block.sort_values(id_col, kind="stable").reset_index(drop=True)  # column order = id order
         ids = block[id_col].to_numpy(dtype=np.int64)
         mat = _matrix(block[vec_col])
         norms = np.linalg.norm(mat, axis=1)
@@ -96,23 +97,22 @@ def knn(targets: DataFrame, pool: DataFrame, k: int, id_col: str = "id", vec_col
                 if exclude_self:
                     s = np.where(tids[:, None] == pids[None, :], -np.inf, s)
                 kk = min(k, s.shape[1])
+                # exact top-k per row, vectorised: everything above the k-th
+                # value, then the lowest-id ties at the k-th value
                 kth = -np.partition(-s, kk - 1, axis=1)[:, kk - 1]
-                rows_t, rows_n, rows_s, rows_i = [], [], [], []
-                for i in range(s.shape[0]):
-                    cand = np.nonzero((s[i] >= kth[i]) & np.isfinite(s[i]))[0]
-                    order = np.lexsort((pids[cand], -s[i, cand]))[:kk]
-                    sel = cand[order]
-                    rows_t.append(np.full(len(sel), tids[i]))
-                    rows_n.append(pids[sel])
-                    rows_s.append(s[i, sel])
-                    rows_i.append(sel)
-                if not rows_t:
+                valid = np.isfinite(s)
+                gt = (s > kth[:, None]) & valid
+                eq = (s == kth[:, None]) & valid
+                need = kk - gt.sum(axis=1)
+                sel = gt | (eq & (np.cumsum(eq, axis=1) <= need[:, None]))
+                r, c = np.nonzero(sel)
+                if not len(r):
                     continue
-                sel_all = np.concatenate(rows_i)
-                out = {"target_id": np.concatenate(rows_t), "neighbor_id": np.concatenate(rows_n),
-                       "sim": np.concatenate(rows_s)}
-                for c in extra:
-                    out[c] = pex[c][sel_all]
+                order = np.lexsort((c, -s[r, c], r))
+                r, c = r[order], c[order]
+                out = {"target_id": tids[r], "neighbor_id": pids[c], "sim": s[r, c]}
+                for col in extra:
+                    out[col] = pex[col][c]
                 yield pd.DataFrame(out)
 
         parts.append(t.mapInPandas(run, schema))

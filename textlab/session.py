@@ -46,12 +46,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
     if not path:
         path = tempfile.mkdtemp(prefix="textlab-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    if not spark.sparkContext.getCheckpointDir():  # set once; each call would add a folder
+        spark.sparkContext.setCheckpointDir(path)
     return path
 
 

@@ -207,3 +207,78 @@ per AS (SELECT ps.id, ps.own,
 sc AS (SELECT *, s_own / (n_own - 1) AS a FROM per)"""))
 def silhouette_q(spark, d):
     return silhouette(clustered_vectors(spark, d, "domain"), "cluster", "id", "embedding")
+
+
+# Fixed order and answers of the four example groups in the cluster prompt.
+QUADRANT_GROUPS = [("0_1", 1, "pattern_pos", 1), ("1_0", 2, "pattern_neg", 0),
+                   ("0_0", 3, "exception_pos", 1), ("1_1", 4, "exception_neg", 0)]
+
+
+def _quadrant_prompt_sql() -> str:
+    from textlab.functions import lexicon as L
+    from textlab.functions import prompts as P
+    from textlab.plans.queries_text import _any, _indicators_sql, _list, _reason_sql, _sql_lit
+    hits = f"array_to_string(list_filter({_list(L.KEYWORDS)}, lambda k: contains(lower(t), k)), ', ')"
+    tone = f"CASE WHEN {_any(L.TONE_MARKERS, 'lower(t)')} THEN 'negative' ELSE 'neutral' END"
+    ind = _indicators_sql().replace("lower(text)", "lower(t)")
+    reason = _reason_sql().replace("lower(text)", "lower(t)")
+    groups = " ".join(f"WHEN '{q}' THEN {o}" for q, o, _, _ in QUADRANT_GROUPS)
+    names = " ".join(f"WHEN '{q}' THEN '{n}'" for q, _, n, _ in QUADRANT_GROUPS)
+    answers = " ".join(f"WHEN '{q}' THEN '{a}'" for q, _, _, a in QUADRANT_GROUPS)
+    extra = f"""
+pcl AS (SELECT positive_cluster FROM pc),
+qq AS (SELECT * FROM (VALUES ('0_1', 3, 1), ('1_0', 3, 5), ('0_0', 1, 5), ('1_1', 1, 5)) t(quadrant, quota, oversample)),
+qp AS (SELECT a.id, a.embedding, a.rc || '_' || CAST(a.original_label AS VARCHAR) AS quadrant,
+              CASE WHEN a.rc_i + a.original_label = 1 THEN 'pattern' ELSE 'exception' END AS kind, qq.quota, qq.oversample
+       FROM (SELECT pool.*, CASE WHEN pool.cluster = pcl.positive_cluster THEN '0' ELSE '1' END AS rc,
+                    CASE WHEN pool.cluster = pcl.positive_cluster THEN 0 ELSE 1 END AS rc_i FROM pool, pcl) a
+       JOIN qq ON qq.quadrant = a.rc || '_' || CAST(a.original_label AS VARCHAR)),
+qx AS (SELECT id, unnest(range(1, len(embedding) + 1)) AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM qp),
+qc AS (SELECT p.quadrant, x.dim, avg(x.v) AS v FROM qp p JOIN qx x ON p.id = x.id GROUP BY ALL),
+sel AS ({QUAD_SQL}),
+ex AS (SELECT sel.quadrant, sel.order_key, substr(d.text, 1, 200) AS t,
+              CASE sel.quadrant {groups} END AS gorder, CASE sel.quadrant {names} END AS grp,
+              CASE sel.quadrant {answers} END AS answer
+       FROM sel JOIN documents d ON d.doc_id = sel.id),
+lines AS (SELECT gorder, order_key, chr(10) || '[' || grp || '] Message: "' || t || '"' || chr(10) || 'Reasoning: ' ||
+  CASE grp WHEN 'pattern_pos' THEN 'cue words present: ' || {hits} || '; tone ' || {tone} || '; follows the usual pattern.'
+           WHEN 'pattern_neg' THEN 'no cue words; follows the usual pattern.'
+           WHEN 'exception_pos' THEN 'no cue words, yet indicators: ' || {ind} || '; an exception.'
+           ELSE 'cue words present: ' || {hits} || '; reason: ' || {reason} || '; an exception.' END
+  || chr(10) || 'Answer: ' || answer AS line FROM ex),
+blk AS (SELECT string_agg(line, '' ORDER BY gorder, order_key) AS examples FROM lines),
+pr AS (SELECT b.item_id, {_sql_lit(P.system_rules())} || chr(10) || chr(10) || '### Examples' || blk.examples
+          || chr(10) || chr(10) || '### Target' || chr(10) || 'Message: "' || coalesce(b.text, '') || '"' || chr(10)
+          || 'Answer:' AS prompt FROM benchmark b, blk)"""
+    return O.pool_sql("SELECT item_id, md5(prompt) AS prompt_md5, CAST(length(prompt) AS INTEGER) AS prompt_chars FROM pr",
+                      extra)
+
+
+def quadrant_prompt(spark, d):
+    """T8 (cluster path): Q7 examples grouped pattern+, pattern-, exception+,
+    exception-, each with T3-T6 reasoning, rendered once into one block (a
+    scalar subquery) and attached to every target. Ids are chosen first;
+    the text is joined last."""
+    from textlab.functions import prompts as P
+    pool = labelled_pool(spark, d)
+    picked = quadrant_few_shot(pool, 3, 3, positive_cluster=F.col("positive_cluster"))
+    docs = A.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 200).alias("t"))
+    ex = picked.select("id", "quadrant", "order_key").join(docs, "id")
+    q = F.col("quadrant")
+    gorder, grp, answer = F.lit(None), F.lit(None), F.lit(None)
+    for code, o, name, a in reversed(QUADRANT_GROUPS):
+        gorder = F.when(q == code, F.lit(o)).otherwise(gorder)
+        grp = F.when(q == code, F.lit(name)).otherwise(grp)
+        answer = F.when(q == code, F.lit(str(a))).otherwise(answer)
+    ex = ex.select("order_key", "t", gorder.alias("gorder"), grp.alias("grp"), answer.alias("answer"))
+    line = F.concat(F.lit("\n["), F.col("grp"), F.lit("] Message: \""), F.col("t"), F.lit("\"\nReasoning: "),
+                    P.quadrant_reasoning("t", F.col("grp")), F.lit("\nAnswer: "), F.col("answer"))
+    blk = ex.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("gorder", "order_key", line.alias("l")))),
+                                          lambda s: s["l"]), "").alias("examples"))  # bounded by the quotas
+    b = A.table(spark, d, "benchmark")
+    prompt = F.concat(F.lit(P.system_rules() + "\n\n### Examples"), blk.scalar(), P.target_block("text"))
+    x = b.select("item_id", prompt.alias("prompt"))
+    return x.select("item_id", F.md5("prompt").alias("prompt_md5"), F.length("prompt").cast("int").alias("prompt_chars"))
+
+
+register("quadrant_prompt", _quadrant_prompt_sql())(quadrant_prompt)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from textlab.functions.hashing import hfrac
 from textlab.plans.registry import register
 from textlab.session import ensure_checkpoint_dir
-from textlab.streaming.jobs import score_new_files, streaming_dedup
+from textlab.streaming.jobs import running_totals, score_new_files, streaming_dedup, streaming_progress
 
 
 def _scratch(spark, name: str) -> str:
@@ -51,3 +51,17 @@ def stream_dedup_events(spark, d):
          .option("checkpointLocation", root + "/ck").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(root + "/out")
+
+
+@register("stream_progress_totals", """SELECT CAST(0 AS BIGINT) AS batch_id, count(*) AS cum_total,
+  count(*) FILTER (WHERE quality = 1) AS cum_positives, count(*) FILTER (WHERE quality = 0) AS cum_negatives,
+  count(*) FILTER (WHERE quality IS NULL) AS cum_nulls FROM labels""")
+def stream_progress_totals(spark, d):
+    """Labelling progress per micro-batch (G5 counts + first examples per
+    label, keyed by batch id) over the labels table as a file source; running
+    totals come from the per-batch sink."""
+    src = spark.read.parquet(f"{d}/labels.parquet")
+    root = _scratch(spark, "progress")
+    streaming_progress(spark, d, src.schema, root + "/out", root + "/ck", label_col="quality",
+                       glob="labels.parquet")
+    return running_totals(spark, root + "/out")

@@ -67,7 +67,8 @@ def resume_generation(todo: DataFrame, out_dir: str, key: str,
 
 
 def streaming_progress(spark: SparkSession, src_dir: str, schema: StructType, out_dir: str,
-                       checkpoint: str, label_col: str = "label", per_label: int = 3):
+                       checkpoint: str, label_col: str = "label", per_label: int = 3,
+                       glob: str | None = None):
     """Per micro-batch, the G5 counts and the first examples of each
     label, written keyed by batch id. Running totals are a cumulative sum
     over the (small) per-batch table, see ``running_totals``."""
@@ -85,8 +86,10 @@ def streaming_progress(spark: SparkSession, src_dir: str, schema: StructType, ou
             .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id") \
             .parquet(out_dir + "/examples")
 
-    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src_dir)
-           .withColumn("source_file", F.col("_metadata.file_path")))
+    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    if glob:
+        r = r.option("pathGlobFilter", glob)
+    src = r.parquet(src_dir).withColumn("source_file", F.col("_metadata.file_path"))
     q = (src.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()

@@ -101,7 +101,8 @@ def running_totals(spark: SparkSession, out_dir: str) -> DataFrame:
     from pyspark.sql import Window
     s = spark.read.parquet(out_dir + "/summary")
     w = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)  # one row per batch
-    return s.select("batch_id", *[F.sum(c).over(w).cast("bigint").alias(f"cum_{c}")
+    return s.select(F.col("batch_id").cast("bigint").alias("batch_id"),
+                    *[F.sum(c).over(w).cast("bigint").alias(f"cum_{c}")
                                   for c in ("total", "positives", "negatives", "nulls")])
 
 

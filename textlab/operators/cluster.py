@@ -28,18 +28,6 @@ class KMeansResult:
         return float(self.assignments.agg(F.sum("sqdist")).first()[0] or 0.0)
 
 
-def _cluster_means(df: DataFrame, cluster_col: str, vec_col: str) -> dict[int, list[float]]:
-    """k x d means, collected (bounded by k * d, independent of the row count)."""
-    rows = (df.select(F.col(cluster_col).alias("c"),
-                      F.posexplode(as_double_array(vec_col)).alias("pos", "v"))
-            .groupBy("c", "pos").agg(F.avg("v").alias("v"))
-            .collect())
-    out: dict[int, dict[int, float]] = {}
-    for r in rows:
-        out.setdefault(int(r["c"]), {})[int(r["pos"])] = float(r["v"])
-    return {c: [dims[i] for i in sorted(dims)] for c, dims in out.items()}
-
-
 # Partial sums (partitions x k x d doubles) are collected directly below this
 # size; above it they are added per (cluster, dim) in Spark first.
 PARTIAL_COLLECT_LIMIT = 1 << 20

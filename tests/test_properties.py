@@ -174,3 +174,17 @@ def test_early_stop_blocks_match_fold(spark, block):
     got = {r["trial"]: (r["stop_step"], r["best_at_stop"])
            for r in early_stop(tl, patience=3, threshold=0.01, block=block).collect()}
     assert got == ref
+
+
+@pytest.mark.parametrize("n_parts", [1, 3])
+def test_group_row_number_across_arrow_batches(spark, n_parts):
+    from textlab.operators.windows import group_row_number
+    ev = A.table(spark, SF01, "events").select("user_id", "ts", "event_id")
+    ref = ev.withColumn("ref", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # groups straddle batches
+    try:
+        got = group_row_number(ev, ["user_id"], ["ts", "event_id"], "rn", n_parts=n_parts).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {(r["user_id"], r["event_id"]): r["ref"] for r in ref.collect()}
+    assert {(r["user_id"], r["event_id"]): r["rn"] for r in got} == want

@@ -90,9 +90,9 @@ def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
 def _check_sizes(df: DataFrame, group_col: str, n: int, on_short: str) -> None:
     if on_short != "error":
         return
-    short = df.groupBy(group_col).count().where(F.col("count") < n).collect()
+    short = df.groupBy(group_col).count().where(F.col("count") < n).limit(20).collect()
     if short:
-        raise ValueError(f"groups smaller than {n}: {[(r[0], r[1]) for r in short]}")
+        raise ValueError(f"groups smaller than {n} (first 20): {[(r[0], r[1]) for r in short]}")
 
 
 def balanced_sample(df: DataFrame, group_col: str, n: int, key: str, seed: int = 42,

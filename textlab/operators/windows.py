@@ -41,34 +41,70 @@ def running_best(df: DataFrame, group_col: str, order_col: str, metric_col: str,
             .drop("_blk", "_within", "_prior"))
 
 
-def _range_slices(df: DataFrame, n: int, cols: Sequence[str]) -> DataFrame:
-    """Range-partition by ``cols`` and record each row's partition id as a
-    column, written once to the shared checkpoint folder. Spark's range
-    partitioner samples with a seed tied to the RDD id, so two reads of an
-    un-materialised range exchange may disagree on partition ids; the staged
-    ``_pid`` column makes the slicing fixed (and survives executor loss)."""
+def _range_slices(df: DataFrame, n: int, group_cols: Sequence[str], order_cols: Sequence[str]) -> DataFrame:
+    """Range-partition by (group, order), sort inside each slice and number
+    the rows of each group within the slice (``_local``, 1-based) in one
+    pass, then write the result with its slice id (``_pid``) to the shared
+    checkpoint folder.
+
+    Staging fixes the slicing: Spark's range partitioner samples with a seed
+    tied to the RDD id, so two reads of an unmaterialised range exchange may
+    disagree on slice ids. Numbering inside the same stage as the range
+    exchange avoids a second full shuffle for a window.
+    """
+    import numpy as np
+    from pyspark.sql.types import LongType, StructType
+
     from textlab.session import stage
-    return stage(df.repartitionByRange(n, *cols).withColumn("_pid", F.spark_partition_id()), "slices")
+    keys = list(group_cols)
+    r = (df.repartitionByRange(n, *keys, *order_cols).sortWithinPartitions(*keys, *order_cols)
+         .withColumn("_pid", F.spark_partition_id()))
+    schema = StructType(list(r.schema.fields)).add("_local", LongType())
+
+    def run(it):
+        prev_key, prev_cnt = None, 0
+        for pdf in it:
+            if not len(pdf):
+                continue
+            m = len(pdf)
+            if keys:
+                kv = pdf[keys]
+                new = kv.ne(kv.shift()).any(axis=1).to_numpy().copy()
+                first_key, last_key = tuple(kv.iloc[0]), tuple(kv.iloc[-1])
+            else:
+                new = np.zeros(m, dtype=bool)
+                first_key = last_key = ()
+            new[0] = True
+            run_id = np.cumsum(new)
+            starts = np.nonzero(new)[0]
+            local = np.arange(m) - starts[run_id - 1] + 1
+            if prev_key is not None and first_key == prev_key:
+                local[run_id == 1] += prev_cnt
+            pdf["_local"] = local.astype(np.int64)
+            prev_key, prev_cnt = last_key, int(local[-1])
+            yield pdf
+
+    return stage(r.mapInPandas(run, schema), "slices")
 
 
 def row_index(df: DataFrame, order_cols: Sequence[str], out_col: str = "idx",
               n_parts: int | None = None) -> DataFrame:
     """Dense 0-based position in ``order_cols`` order (unique key).
 
-    Like ``zipWithIndex`` but on DataFrames: range-partition by the key, count
-    rows per partition (a tiny table), prefix-sum those counts, then number
-    rows inside each range partition. No single-partition window.
+    Like ``zipWithIndex`` but on DataFrames: range-partition by the key and
+    number rows inside each slice in the same pass, count rows per slice (a
+    tiny table), prefix-sum those counts and add them (broadcast). One
+    shuffle, no single-partition window.
     """
     n_parts = n_parts or df.sparkSession.sparkContext.defaultParallelism
-    r = _range_slices(df, n_parts, order_cols)
+    r = _range_slices(df, n_parts, [], order_cols)
     counts = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offs = counts.withColumn("_off", F.coalesce(
         F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0))).select("_pid", "_off")
-    w = Window.partitionBy("_pid").orderBy(*order_cols)
-    return (r.join(F.broadcast(offs), "_pid")
-            .withColumn(out_col, (F.col("_off") + F.row_number().over(w) - 1).cast("bigint"))
-            .drop("_pid", "_off"))
+    return (r.join(F.broadcast(offs), "_pid")  # one row per slice
+            .withColumn(out_col, (F.col("_off") + F.col("_local") - 1).cast("bigint"))
+            .drop("_pid", "_off", "_local"))
 
 
 def _n_parts(df: DataFrame, n_parts: int | None) -> int:
@@ -83,20 +119,20 @@ def group_row_number(df: DataFrame, group_cols: Sequence[str], order_cols: Seque
     within the group), without putting a whole group in one task.
 
     Range-partition by (group, order): a group holding a third of the rows
-    spans many partitions. Rows per (group, partition) are counted (at most
-    groups + partitions rows), prefix-summed per group, and rows are numbered
-    inside each (group, partition) slice.
+    spans many slices. Rows are numbered per group inside each slice in the
+    same pass; rows per (group, slice) are counted (at most groups + slices
+    rows), prefix-summed per group and added back with a join on
+    (group, slice), which AQE broadcasts when that table is small.
     """
     n = _n_parts(df, n_parts)
-    r = _range_slices(df, n, [*group_cols, *order_cols])
+    r = _range_slices(df, n, group_cols, order_cols)
     counts = r.groupBy(*group_cols, "_pid").agg(F.count(F.lit(1)).alias("_n"))
     offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(
         Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0))).drop("_n")
-    w = Window.partitionBy(*group_cols, "_pid").orderBy(*order_cols)
     return (r.join(offs, [*group_cols, "_pid"])
-            .withColumn(out_col, (F.col("_off") + F.row_number().over(w)).cast("bigint"))
-            .drop("_pid", "_off"))
+            .withColumn(out_col, (F.col("_off") + F.col("_local")).cast("bigint"))
+            .drop("_pid", "_off", "_local"))
 
 
 def cumulative_sum(df: DataFrame, order_cols: Sequence[str], value_cols: Sequence[str],
@@ -105,7 +141,7 @@ def cumulative_sum(df: DataFrame, order_cols: Sequence[str], value_cols: Sequenc
     single-partition window: per range partition totals (one row each) are
     prefix-summed and broadcast, then each partition sums its own rows."""
     n = _n_parts(df, n_parts)
-    r = _range_slices(df, n, order_cols)
+    r = _range_slices(df, n, [], order_cols)
     tot = r.groupBy("_pid").agg(*[F.sum(c).alias(f"_t_{c}") for c in value_cols])
     wp = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offs = tot.select("_pid", *[F.coalesce(F.sum(f"_t_{c}").over(wp), F.lit(0)).alias(f"_o_{c}")

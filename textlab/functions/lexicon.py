@@ -92,9 +92,11 @@ def tone(text, markers: Sequence[str] = TONE_MARKERS, lowered: bool = False) ->
 
 def context_indicators(text, indicators=CONTEXT_INDICATORS, lowered: bool = False) -> Column:
     """T5: names of the indicators present, in order, joined by ', '; 'none' if empty."""
-    names = F.array(*[F.when(has_keyword(text, words, lowered), F.lit(name)) for name, words in indicators])
-    found = F.filter(names, lambda x: x.isNotNull())
-    return F.when(F.size(found) > 0, F.array_join(found, ", ")).otherwise(F.lit("none"))
+    # concat_ws skips the nulls of the indicators that are absent; each
+    # indicator is tested once and the whole expression is code-generated
+    joined = F.concat_ws(", ", *[F.when(has_keyword(text, words, lowered), F.lit(name))
+                                 for name, words in indicators])
+    return F.when(joined == F.lit(""), F.lit("none")).otherwise(joined)
 
 
 def exception_reason(text, reasons=EXCEPTION_REASONS, default: str = EXCEPTION_DEFAULT,

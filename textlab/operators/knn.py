@@ -6,8 +6,9 @@ block is broadcast in turn and every target batch does one matmul against it
 inside ``mapInPandas`` (Arrow batches, NumPy BLAS), keeping only a local
 top-k (kNN) or per-cluster distance sums (silhouette). So the shuffle carries
 at most k rows per (target, block) and nothing grows with targets x pool.
-The final merge is a window over (target) whose groups hold <= k x blocks
-rows.
+With several blocks each pass is written out before the next block is
+fetched, so the driver holds one block at a time. The final merge is a
+window over (target) whose groups hold <= k x blocks rows.
 """
 
 from __future__ import annotations
@@ -54,6 +55,33 @@ def _pool_blocks(pool: DataFrame, id_col: str, vec_col: str, extra: list[str],
             yield pdf
 
 
+def _run_blocks(spark, blocks, make_part, schema: StructType, name: str) -> DataFrame | None:
+    """Run one pass per pool block. With a single block the pass stays lazy.
+    With several, each pass is written to the shared checkpoint folder before
+    the next block is fetched and its broadcast destroyed, so the driver
+    holds one block at a time, never the pool."""
+    import os
+    import uuid
+
+    from textlab.session import ensure_checkpoint_dir
+    first, path, n = None, None, 0
+    for block in blocks:
+        part, bc = make_part(block)
+        n += 1
+        if n == 1:
+            first, first_bc = part, bc
+            continue
+        if path is None:
+            path = os.path.join(ensure_checkpoint_dir(spark), "stages", f"{name}-{uuid.uuid4().hex}")
+            first.write.mode("append").parquet(path)
+            first_bc.destroy()
+        part.write.mode("append").parquet(path)
+        bc.destroy()
+    if path is None:
+        return first
+    return spark.read.schema(schema).parquet(path)
+
+
 def _matrix(vs) -> np.ndarray:
     return np.asarray(np.stack([np.asarray(v, dtype=np.float64) for v in vs]), dtype=np.float64)
 
@@ -74,8 +102,8 @@ def knn(targets: DataFrame, pool: DataFrame, k: int, id_col: str = "id", vec_col
                   StructField("sim", DoubleType())] + [StructField(c, pool_schema[c]) for c in extra]
     schema = StructType(out_fields)
     t = targets.select(F.col(id_col).cast("long").alias("_tid"), F.col(vec_col).alias("_tv"))
-    parts = []
-    for block in _pool_blocks(pool, id_col, vec_col, extra, max_block_bytes):
+
+    def make_part(block):
         block = block.sort_values(id_col, kind="stable").reset_index(drop=True)  # column order = id order
         ids = block[id_col].to_numpy(dtype=np.int64)
         mat = _matrix(block[vec_col])
@@ -115,12 +143,12 @@ def knn(targets: DataFrame, pool: DataFrame, k: int, id_col: str = "id", vec_col
                     out[col] = pex[col][c]
                 yield pd.DataFrame(out)
 
-        parts.append(t.mapInPandas(run, schema))
-    if not parts:
-        return spark.createDataFrame([], schema.add("rank", IntegerType()))
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
+        return t.mapInPandas(run, schema), bc
+
+    allp = _run_blocks(spark, _pool_blocks(pool, id_col, vec_col, extra, max_block_bytes),
+                       make_part, schema, "knn-partial")
+    if allp is None:
+        return spark.createDataFrame([], StructType(list(schema.fields)).add("rank", IntegerType()))
     w = Window.partitionBy("target_id").orderBy(F.desc("sim"), F.asc("neighbor_id"))
     return allp.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
 
@@ -141,10 +169,10 @@ def silhouette(df: DataFrame, cluster_col: str = "cluster", id_col: str = "id",
                          StructField("_c", LongType()), StructField("_sum", DoubleType())])
     t = df.select(F.col(id_col).cast("long").alias("_id"), F.col(cluster_col).cast("long").alias("_own"),
                   F.col(vec_col).alias("_tv"))
-    parts = []
     pool = df.select(F.col(id_col).cast("long").alias(id_col), F.col(vec_col),
                      F.col(cluster_col).cast("long").alias("_pc"))
-    for block in _pool_blocks(pool, id_col, vec_col, ["_pc"], max_block_bytes):
+
+    def make_part(block):
         mat = _matrix(block[vec_col])
         sq = (mat * mat).sum(axis=1)
         cl = block["_pc"].to_numpy(dtype=np.int64)
@@ -168,10 +196,10 @@ def silhouette(df: DataFrame, cluster_col: str = "cluster", id_col: str = "id",
                                                 "_sum": dist[:, pcl == c].sum(axis=1)}))
                 yield pd.concat(frames, ignore_index=True)
 
-        parts.append(t.mapInPandas(run, schema))
-    sums = parts[0]
-    for p in parts[1:]:
-        sums = sums.unionByName(p)
+        return t.mapInPandas(run, schema), bc
+
+    sums = _run_blocks(spark, _pool_blocks(pool, id_col, vec_col, ["_pc"], max_block_bytes),
+                       make_part, schema, "silhouette-partial")
     sums = sums.groupBy("_id", "_own", "_c").agg(F.sum("_sum").alias("_sum"))
     sizes = df.groupBy(F.col(cluster_col).cast("long").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
     x = sums.join(F.broadcast(sizes), "_c")  # one row per cluster

@@ -94,11 +94,19 @@ def semantic_balanced(neighbors: DataFrame, k: int, label_col: str = "label") ->
 
 def retrieve_and_classify(targets: DataFrame, pool: DataFrame, k: int, id_col: str = "id",
                           vec_col: str = "embedding", label_col: str = "label",
-                          exclude_self: bool = True) -> DataFrame:
+                          exclude_self: bool = True, text_col: str | None = None,
+                          max_chars: int = 200) -> DataFrame:
     """Per target, Q10 examples from the labelled pool (E3), then a
     similarity-weighted vote: prediction 1 when the positive examples' summed
     similarity is larger; confidence = the winning share; a target without
-    usable examples gets (0, 0.0, 0 examples)."""
+    usable examples gets (0, 0.0, 0.5, 0 examples, status 'no examples').
+
+    With ``text_col`` each target's few-shot prompt (T8: rules, its examples
+    in similarity order, the target) is rendered and its length reported as
+    ``prompt_chars``; ids are chosen first and the texts joined last, and a
+    target's example list is bounded by ``k``.
+    """
+    from textlab.functions import prompts as P
     nb = knn(targets, pool, 2 * k, id_col, vec_col, [label_col], exclude_self)
     sel = semantic_balanced(nb, k, label_col)
     pos = F.greatest(F.col("sim"), F.lit(0.0))
@@ -111,12 +119,26 @@ def retrieve_and_classify(targets: DataFrame, pool: DataFrame, k: int, id_col: s
     res = agg.select("target_id", (F.col("s1") > F.col("s0")).cast("int").alias("prediction"),
                      F.round(F.greatest(p1, 1 - p1), 6).alias("confidence"),
                      F.round(p1, 6).alias("p_positive"), F.col("examples_used").cast("int"))
-    t = targets.select(F.col(id_col).cast("long").alias("target_id"))
-    return (t.join(res, "target_id", "left")
-            .select("target_id", F.coalesce("prediction", F.lit(0)).alias("prediction"),
-                    F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
-                    F.coalesce("p_positive", F.lit(0.5)).alias("p_positive"),
-                    F.coalesce("examples_used", F.lit(0)).alias("examples_used")))
+    cols = [F.col(id_col).cast("long").alias("target_id")] + ([F.col(text_col).alias("_tt")] if text_col else [])
+    t = targets.select(*cols)
+    out = t.join(res, "target_id", "left")
+    base = [F.col("target_id"), F.coalesce("prediction", F.lit(0)).alias("prediction"),
+            F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
+            F.coalesce("p_positive", F.lit(0.5)).alias("p_positive"),
+            F.coalesce("examples_used", F.lit(0)).alias("examples_used"),
+            F.when(F.col("examples_used") > 0, F.lit("ok")).otherwise(F.lit("no examples")).alias("status")]
+    if not text_col:
+        return out.select(*base)
+    ex_text = pool.select(F.col(id_col).cast("long").alias("neighbor_id"),
+                          F.substring(text_col, 1, max_chars).alias("_et"))
+    lines = sel.select("target_id", "neighbor_id", "rank", label_col).join(ex_text, "neighbor_id")
+    line = P.example_line(F.col("_et"), F.col(label_col))
+    blk = lines.groupBy("target_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("rank", line.alias("l")))), lambda s: s["l"]), "").alias("_ex"))
+    prompt = F.concat(F.lit(P.system_rules() + "\n\n### Examples"), F.coalesce("_ex", F.lit("")),
+                      P.target_block("_tt"))
+    return (out.join(blk, "target_id", "left")
+            .select(*base, F.length(prompt).cast("int").alias("prompt_chars")))
 
 
 def augment(df: DataFrame, factor: int, text_col: str = "text", id_col: str = "id",

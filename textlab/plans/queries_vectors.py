@@ -176,19 +176,38 @@ def semantic_balanced_q(spark, d):
     return semantic_balanced(nb, 4, "label").select("target_id", "neighbor_id", "label", "rank")
 
 
-@register("retrieve_and_classify", SEM_SQL + """,
+def _retrieve_sql() -> str:
+    from textlab.functions import prompts as P
+    from textlab.plans.queries_text import _sql_lit
+    sem = SEM_SQL.replace(
+        "WITH t AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, CAST(label < 5 AS INTEGER) AS label FROM embeddings)",
+        "WITH t AS (SELECT e.vec_id AS id, CAST(e.embedding AS DOUBLE[]) AS e, CAST(e.label < 5 AS INTEGER) AS label, "
+        "d.text FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id)")
+    return sem + f""",
 agg AS (SELECT target_id, sum(CASE WHEN label = 1 THEN greatest(sim, 0.0) ELSE 0.0 END) AS s1,
                sum(CASE WHEN label = 0 THEN greatest(sim, 0.0) ELSE 0.0 END) AS s0,
                count(*) AS n FROM sel GROUP BY target_id),
 res AS (SELECT target_id, CAST(s1 > s0 AS INTEGER) AS prediction,
-               CASE WHEN s1 + s0 > 0 THEN s1 / (s1 + s0) ELSE 0.5 END AS p1, CAST(n AS INTEGER) AS examples_used FROM agg)
+               CASE WHEN s1 + s0 > 0 THEN s1 / (s1 + s0) ELSE 0.5 END AS p1, CAST(n AS INTEGER) AS examples_used FROM agg),
+blk AS (SELECT sel.target_id, string_agg(chr(10) || 'Message: "' || substr(t.text, 1, 200) || '"' || chr(10) ||
+               'Answer: ' || CAST(sel.label AS VARCHAR), '' ORDER BY sel.rank) AS ex
+        FROM sel JOIN t ON t.id = sel.neighbor_id GROUP BY sel.target_id)
 SELECT t.id AS target_id, coalesce(prediction, 0) AS prediction,
        coalesce(round(greatest(p1, 1 - p1), 6), 0.0) AS confidence,
-       coalesce(round(p1, 6), 0.5) AS p_positive, coalesce(examples_used, 0) AS examples_used
-FROM t LEFT JOIN res ON t.id = res.target_id""")
+       coalesce(round(p1, 6), 0.5) AS p_positive, coalesce(examples_used, 0) AS examples_used,
+       CASE WHEN examples_used > 0 THEN 'ok' ELSE 'no examples' END AS status,
+       CAST(length({_sql_lit(P.system_rules())} || chr(10) || chr(10) || '### Examples' || coalesce(blk.ex, '') ||
+            chr(10) || chr(10) || '### Target' || chr(10) || 'Message: "' || coalesce(t.text, '') || '"' ||
+            chr(10) || 'Answer:') AS INTEGER) AS prompt_chars
+FROM t LEFT JOIN res ON t.id = res.target_id LEFT JOIN blk ON t.id = blk.target_id"""
+
+
 def retrieve_and_classify_q(spark, d):
-    v = _two_class(spark, d)
-    return retrieve_and_classify(v, v, 4, "id", "embedding", "label")
+    v = A.vectors(spark, d).select("id", "embedding", F.col("original_label").alias("label"), "text")
+    return retrieve_and_classify(v, v, 4, "id", "embedding", "label", text_col="text")
+
+
+register("retrieve_and_classify", _retrieve_sql())(retrieve_and_classify_q)
 
 
 @register("silhouette", O.kmeans_sql(

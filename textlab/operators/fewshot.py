@@ -107,7 +107,10 @@ def retrieve_and_classify(targets: DataFrame, pool: DataFrame, k: int, id_col: s
     target's example list is bounded by ``k``.
     """
     from textlab.functions import prompts as P
-    nb = knn(targets, pool, 2 * k, id_col, vec_col, [label_col], exclude_self)
+    from textlab.session import stage
+    # the all-pairs pass is the expensive part: run it once (targets x 2k rows
+    # are written) and let the vote and the prompts both read the result
+    nb = stage(knn(targets, pool, 2 * k, id_col, vec_col, [label_col], exclude_self), "neighbours")
     sel = semantic_balanced(nb, k, label_col)
     pos = F.greatest(F.col("sim"), F.lit(0.0))
     agg = sel.groupBy("target_id").agg(

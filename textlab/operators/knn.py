@@ -82,6 +82,19 @@ def _run_blocks(spark, blocks, make_part, schema: StructType, name: str) -> Data
     return spark.read.schema(schema).parquet(path)
 
 
+# Largest targets x block matrix one task builds at a time (float64 bytes).
+MATMUL_BYTES = 64 << 20
+
+
+def _row_chunks(it: Iterator[pd.DataFrame], pool_rows: int) -> Iterator[pd.DataFrame]:
+    """Split Arrow batches so a (rows x pool_rows) float64 matrix stays within
+    ``MATMUL_BYTES`` whatever the batch size."""
+    step = max(1, MATMUL_BYTES // (8 * max(pool_rows, 1)))
+    for pdf in it:
+        for i in range(0, len(pdf), step):
+            yield pdf.iloc[i:i + step].reset_index(drop=True)
+
+
 def _matrix(vs) -> np.ndarray:
     return np.asarray(np.stack([np.asarray(v, dtype=np.float64) for v in vs]), dtype=np.float64)
 
@@ -113,9 +126,7 @@ def knn(targets: DataFrame, pool: DataFrame, k: int, id_col: str = "id", vec_col
 
         def run(it: Iterator[pd.DataFrame], bc=bc) -> Iterator[pd.DataFrame]:
             pids, pm, pn, pex = bc.value
-            for pdf in it:
-                if not len(pdf):
-                    continue
+            for pdf in _row_chunks(it, len(pids)):
                 tm = _matrix(pdf["_tv"])
                 tn = np.linalg.norm(tm, axis=1)
                 den = np.outer(tn, pn)
@@ -181,9 +192,7 @@ def silhouette(df: DataFrame, cluster_col: str = "cluster", id_col: str = "id",
 
         def run(it, bc=bc):
             pm, psq, pcl, pu = bc.value
-            for pdf in it:
-                if not len(pdf):
-                    continue
+            for pdf in _row_chunks(it, len(pcl)):
                 tm = _matrix(pdf["_tv"])
                 tsq = (tm * tm).sum(axis=1)
                 d2 = tsq[:, None] + psq[None, :] - 2.0 * (tm @ pm.T)

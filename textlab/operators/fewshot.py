@@ -94,8 +94,7 @@ def semantic_balanced(neighbors: DataFrame, k: int, label_col: str = "label") ->
 
 def retrieve_and_classify(targets: DataFrame, pool: DataFrame, k: int, id_col: str = "id",
                           vec_col: str = "embedding", label_col: str = "label",
-                          exclude_self: bool = True, text_col: str | None = None,
-                          max_chars: int = 200) -> DataFrame:
+                          exclude_self: bool = True, text_col: str | None = None) -> DataFrame:
     """Per target, Q10 examples from the labelled pool (E3), then a
     similarity-weighted vote: prediction 1 when the positive examples' summed
     similarity is larger; confidence = the winning share; a target without
@@ -133,7 +132,7 @@ def retrieve_and_classify(targets: DataFrame, pool: DataFrame, k: int, id_col: s
     if not text_col:
         return out.select(*base)
     ex_text = pool.select(F.col(id_col).cast("long").alias("neighbor_id"),
-                          F.substring(text_col, 1, max_chars).alias("_et"))
+                          F.col(text_col).alias("_et"))  # whole texts
     lines = sel.select("target_id", "neighbor_id", "rank", label_col).join(ex_text, "neighbor_id")
     line = P.example_line(F.col("_et"), F.col(label_col))
     blk = lines.groupBy("target_id").agg(F.array_join(F.transform(

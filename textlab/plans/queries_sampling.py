@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textlab.functions.hashing import hash_order
-from textlab.functions.text import preview
 from textlab.operators import sampling as Q
 from textlab.operators.windows import topk_per_group
 from textlab.plans import adapters as A
@@ -94,13 +93,13 @@ def shuffle(spark, d):
 
 @register("sample_errors", f"""WITH {O.PREDICTIONS_CTE.strip()},
 w AS (SELECT p.model, p.doc_id, p.label, p.prediction, p.prob AS confidence,
-             CASE WHEN length(d.text) > 100 THEN substr(d.text, 1, 100) || '...' ELSE d.text END AS text,
+             d.text AS text,
              row_number() OVER (PARTITION BY p.model ORDER BY {H('p.doc_id', 42, 'errors')}, p.doc_id) AS rn
       FROM predictions p JOIN documents d ON p.doc_id = d.doc_id WHERE p.label <> p.prediction)
 SELECT model, doc_id, label, prediction, confidence, text FROM w WHERE rn <= 20""")
 def sample_errors(spark, d):
     p = A.predictions(spark, d).where(F.col("label") != F.col("prediction"))
-    docs = A.table(spark, d, "documents").select("doc_id", preview("text", 100).alias("text"))
+    docs = A.table(spark, d, "documents").select("doc_id", "text")
     x = p.withColumn("_h", hash_order("doc_id", 42, "errors"))
     top = topk_per_group(x, ["model"], [F.col("_h"), F.col("doc_id")], 20, "_r")
     # ids first, wide text last

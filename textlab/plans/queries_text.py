@@ -214,7 +214,7 @@ def fallback_prompt(spark, d):
   SELECT d.doc_id, d.text, l.quality, {O.horder('d.doc_id', 42, 'shuffle')} AS order_key,
          row_number() OVER (PARTITION BY l.quality ORDER BY {O.horder('d.doc_id', 42, 'fewshot')}, d.doc_id) AS rn
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
-blk AS (SELECT string_agg(chr(10) || 'Message: "' || substr(text, 1, 200) || '"' || chr(10) || 'Answer: '
+blk AS (SELECT string_agg(chr(10) || 'Message: "' || text || '"' || chr(10) || 'Answer: '
                || CAST(quality AS VARCHAR), '' ORDER BY order_key) AS examples FROM ex WHERE rn <= 2),
 pr AS (SELECT b.item_id, {_sql_lit(P.system_rules())} || chr(10) || chr(10) || '### Examples' || blk.examples
           || chr(10) || chr(10) || '### Target' || chr(10) || 'Message: "' || coalesce(b.text, '') || '"' || chr(10)
@@ -226,7 +226,7 @@ def few_shot_prompt(spark, d):
     docs = A.table(spark, d, "documents").select("doc_id", "text")
     lab = A.table(spark, d, "labels").select("doc_id", "quality")
     ex = binary_few_shot(docs.join(lab, "doc_id"), 2, "doc_id", "quality")
-    line = P.example_line(F.substring("text", 1, 200), F.col("quality"))
+    line = P.example_line(F.col("text"), F.col("quality"))
     blk = ex.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order_key", line.alias("l")))),
                                           lambda s: s["l"]), "").alias("examples"))
     b = A.table(spark, d, "benchmark")

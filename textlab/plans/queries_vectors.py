@@ -189,7 +189,7 @@ agg AS (SELECT target_id, sum(CASE WHEN label = 1 THEN greatest(sim, 0.0) ELSE 0
                count(*) AS n FROM sel GROUP BY target_id),
 res AS (SELECT target_id, CAST(s1 > s0 AS INTEGER) AS prediction,
                CASE WHEN s1 + s0 > 0 THEN s1 / (s1 + s0) ELSE 0.5 END AS p1, CAST(n AS INTEGER) AS examples_used FROM agg),
-blk AS (SELECT sel.target_id, string_agg(chr(10) || 'Message: "' || substr(t.text, 1, 200) || '"' || chr(10) ||
+blk AS (SELECT sel.target_id, string_agg(chr(10) || 'Message: "' || t.text || '"' || chr(10) ||
                'Answer: ' || CAST(sel.label AS VARCHAR), '' ORDER BY sel.rank) AS ex
         FROM sel JOIN t ON t.id = sel.neighbor_id GROUP BY sel.target_id)
 SELECT t.id AS target_id, coalesce(prediction, 0) AS prediction,
@@ -255,7 +255,7 @@ qp AS (SELECT a.id, a.embedding, a.rc || '_' || CAST(a.original_label AS VARCHAR
 qx AS (SELECT id, unnest(range(1, len(embedding) + 1)) AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM qp),
 qc AS (SELECT p.quadrant, x.dim, avg(x.v) AS v FROM qp p JOIN qx x ON p.id = x.id GROUP BY ALL),
 sel AS ({QUAD_SQL}),
-ex AS (SELECT sel.quadrant, sel.order_key, substr(d.text, 1, 200) AS t,
+ex AS (SELECT sel.quadrant, sel.order_key, d.text AS t,
               CASE sel.quadrant {groups} END AS gorder, CASE sel.quadrant {names} END AS grp,
               CASE sel.quadrant {answers} END AS answer
        FROM sel JOIN documents d ON d.doc_id = sel.id),
@@ -281,7 +281,7 @@ def quadrant_prompt(spark, d):
     from textlab.functions import prompts as P
     pool = labelled_pool(spark, d)
     picked = quadrant_few_shot(pool, 3, 3, positive_cluster=F.col("positive_cluster"))
-    docs = A.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 200).alias("t"))
+    docs = A.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("t"))
     ex = picked.select("id", "quadrant", "order_key").join(docs, "id")
     q = F.col("quadrant")
     gorder, grp, answer = F.lit(None), F.lit(None), F.lit(None)

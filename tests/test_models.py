@@ -65,3 +65,13 @@ def test_reply_model_isolates_errors(spark):
 
     got = {r["doc_id"]: (r["reply"], r["status"]) for r in apply_reply_fn(df.repartition(1), fn).collect()}
     assert got[1] == ("r:ok", "ok") and got[2][0] is None and got[2][1].startswith("error")
+
+
+def test_pca_fit_once_project_many(spark):
+    from textlab.operators.cluster import fit_pca, pca
+    v = A.two_class_vectors(spark, SF01)
+    m = fit_pca(v, "embedding", 2)
+    a = {r["id"]: r["pca"] for r in m.project(v.where("label < 5")).collect()}
+    b = {r["id"]: r["pca"] for r in pca(v, "embedding", 2)[0].where("label < 5").collect()}
+    assert a.keys() == b.keys()
+    assert all(abs(x - y) < 1e-9 for k in a for x, y in zip(a[k], b[k]))

@@ -179,28 +179,48 @@ def cluster_labels(df: DataFrame, cluster_col: str = "cluster",
             .withColumn("label", (F.col(cluster_col) == F.col("positive_cluster")).cast("int")))
 
 
-def pca(df: DataFrame, vec_col: str = "embedding", k: int = 2, out_col: str = "pca"):
-    """H6: centred PCA (Spark ML's PCA projects without subtracting the mean).
-
-    Returns (projected DataFrame, explained variance list). Signs are fixed so
-    the largest-magnitude loading of each component is positive.
-    """
+@dataclass
+class PcaModel:
+    """A centred PCA fitted once (H6); ``project`` applies it to any frame."""
+    scaler: object
+    pca: object
+    signs: list[float]
+    explained_variance: list[float]
+    vec_col: str = "embedding"
+
+    def project(self, df: DataFrame, out_col: str = "pca") -> DataFrame:
+        from pyspark.ml.functions import array_to_vector, vector_to_array
+        v = df.withColumn("_v", array_to_vector(as_double_array(self.vec_col)))
+        out = self.pca.transform(self.scaler.transform(v)).withColumn("_pa", vector_to_array("_p"))
+        out = out.withColumn(out_col, F.array(*[F.col("_pa")[j] * F.lit(sg) for j, sg in enumerate(self.signs)]))
+        return out.drop("_v", "_c", "_p", "_pa")
+
+
+def fit_pca(df: DataFrame, vec_col: str = "embedding", k: int = 2) -> PcaModel:
+    """H6: centred PCA (Spark ML's PCA projects without subtracting the mean,
+    so a mean-only StandardScaler runs first). Signs are fixed so the
+    largest-magnitude loading of each component is positive. Fit once, then
+    project every frame (clusters, labels, groups) with the same model."""
     from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
 
     v = df.withColumn("_v", array_to_vector(as_double_array(vec_col)))
     scaler = StandardScaler(withMean=True, withStd=False, inputCol="_v", outputCol="_c").fit(v)
-    c = scaler.transform(v)
-    model = PCA(k=k, inputCol="_c", outputCol="_p").fit(c)
+    model = PCA(k=k, inputCol="_c", outputCol="_p").fit(scaler.transform(v))
     pc = model.pc.toArray()
     signs = []
     for j in range(k):
         col = pc[:, j]
         i = max(range(len(col)), key=lambda t: abs(col[t]))
         signs.append(1.0 if col[i] >= 0 else -1.0)
-    out = model.transform(c).withColumn("_pa", vector_to_array("_p"))
-    out = out.withColumn(out_col, F.array(*[F.col("_pa")[j] * F.lit(signs[j]) for j in range(k)]))
-    return out.drop("_v", "_c", "_p", "_pa"), list(model.explainedVariance.toArray())
+    return PcaModel(scaler, model, signs, list(model.explainedVariance.toArray()), vec_col)
+
+
+def pca(df: DataFrame, vec_col: str = "embedding", k: int = 2, out_col: str = "pca"):
+    """H6 convenience: fit on ``df`` and project it. Returns (projected
+    DataFrame, explained variance list)."""
+    m = fit_pca(df, vec_col, k)
+    return m.project(df, out_col), m.explained_variance
 
 
 def prototype_clusters(df: DataFrame, vec_col: str | None = "embedding", k: int = 4,

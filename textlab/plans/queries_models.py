@@ -15,7 +15,10 @@ from textlab.plans import adapters as A
 from textlab.plans.registry import register
 
 
-@register("tfidf_features")
+@register("tfidf_features", """WITH t AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_\\p{M}]+'), lambda x: x <> '') AS toks
+  FROM documents)
+SELECT doc_id, CAST(len(toks) AS INTEGER) AS n_tokens, CAST(len(list_distinct(toks)) AS INTEGER) AS n_terms FROM t""")
 def tfidf_features(spark, d):
     docs = A.table(spark, d, "documents").select("doc_id", "text")
     m = featurize_pipeline("text").fit(docs)

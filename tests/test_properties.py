@@ -188,3 +188,10 @@ def test_group_row_number_across_arrow_batches(spark, n_parts):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     want = {(r["user_id"], r["event_id"]): r["ref"] for r in ref.collect()}
     assert {(r["user_id"], r["event_id"]): r["rn"] for r in got} == want
+
+
+def test_group_row_number_null_keys(spark):
+    from textlab.operators.windows import group_row_number
+    df = spark.createDataFrame([(None, 1), (None, 2), (None, 3), (1, 1), (1, 2)], "g long, o long")
+    got = {(r["g"], r["o"]): r["rn"] for r in group_row_number(df, ["g"], ["o"], "rn", n_parts=2).collect()}
+    assert got == {(None, 1): 1, (None, 2): 2, (None, 3): 3, (1, 1): 1, (1, 2): 2}

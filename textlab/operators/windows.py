@@ -41,6 +41,11 @@ def running_best(df: DataFrame, group_col: str, order_col: str, metric_col: str,
             .drop("_blk", "_within", "_prior"))
 
 
+def _same_key(a: tuple, b: tuple) -> bool:
+    import pandas as pd
+    return all((x == y) or (pd.isna(x) and pd.isna(y)) for x, y in zip(a, b))
+
+
 def _range_slices(df: DataFrame, n: int, group_cols: Sequence[str], order_cols: Sequence[str]) -> DataFrame:
     """Range-partition by (group, order), sort inside each slice and number
     the rows of each group within the slice (``_local``, 1-based) in one
@@ -69,7 +74,9 @@ def _range_slices(df: DataFrame, n: int, group_cols: Sequence[str], order_cols:
             m = len(pdf)
             if keys:
                 kv = pdf[keys]
-                new = kv.ne(kv.shift()).any(axis=1).to_numpy().copy()
+                prev = kv.shift()
+                same = (kv == prev) | (kv.isna() & prev.isna())  # null keys form one group
+                new = (~same).any(axis=1).to_numpy().copy()
                 first_key, last_key = tuple(kv.iloc[0]), tuple(kv.iloc[-1])
             else:
                 new = np.zeros(m, dtype=bool)
@@ -78,7 +85,7 @@ def _range_slices(df: DataFrame, n: int, group_cols: Sequence[str], order_cols:
             run_id = np.cumsum(new)
             starts = np.nonzero(new)[0]
             local = np.arange(m) - starts[run_id - 1] + 1
-            if prev_key is not None and first_key == prev_key:
+            if prev_key is not None and _same_key(first_key, prev_key):
                 local[run_id == 1] += prev_cnt
             pdf["_local"] = local.astype(np.int64)
             prev_key, prev_cnt = last_key, int(local[-1])
@@ -130,9 +137,11 @@ def group_row_number(df: DataFrame, group_cols: Sequence[str], order_cols: Seque
     offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(
         Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0))).drop("_n")
-    return (r.join(offs, [*group_cols, "_pid"])
+    o = offs.select(*[F.col(g).alias(f"_o_{g}") for g in group_cols], F.col("_pid").alias("_o_pid"), "_off")
+    cond = [r[g].eqNullSafe(o[f"_o_{g}"]) for g in group_cols] + [r["_pid"] == o["_o_pid"]]  # null keys too
+    return (r.join(o, cond)
             .withColumn(out_col, (F.col("_off") + F.col("_local")).cast("bigint"))
-            .drop("_pid", "_off", "_local"))
+            .drop("_pid", "_off", "_local", "_o_pid", *[f"_o_{g}" for g in group_cols]))
 
 
 def cumulative_sum(df: DataFrame, order_cols: Sequence[str], value_cols: Sequence[str],

@@ -30,10 +30,12 @@ def running_best(df: DataFrame, group_col: str, order_col: str, metric_col: str,
     prior = bm.withColumn(
         "_prior", F.max("_bmax").over(Window.partitionBy(group_col).orderBy("_blk")
                                       .rowsBetween(Window.unboundedPreceding, -1))
-    ).select(group_col, "_blk", "_prior")
+    ).select(F.col(group_col).alias("_pg"), F.col("_blk").alias("_pb"), "_prior")
     w_in = (Window.partitionBy(group_col, "_blk").orderBy(order_col)
             .rowsBetween(Window.unboundedPreceding, -1))
-    y = x.withColumn("_within", F.max(metric_col).over(w_in)).join(prior, [group_col, "_blk"], "left")
+    x = x.withColumn("_within", F.max(metric_col).over(w_in))
+    y = (x.join(prior, x[group_col].eqNullSafe(prior["_pg"]) & (x["_blk"] == prior["_pb"]), "left")
+         .drop("_pg", "_pb"))
     prev = F.greatest(F.col("_prior"), F.col("_within"))
     m = F.col(metric_col)
     return (y.withColumn("prev_best", prev)

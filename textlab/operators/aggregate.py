@@ -42,8 +42,11 @@ def crosstab(df: DataFrame, row_col: str, col_col: str, values: Sequence) -> Dat
     return out
 
 
-def load_report(df: DataFrame, file_col: str, text_col: str, label_col: str) -> DataFrame:
-    """Per file, rows loaded / kept after cleaning / removed, label counts.
+def load_report(df: DataFrame, file_col: str, text_col: str, label_col: str,
+                with_total: bool = True) -> DataFrame:
+    """Per file, rows loaded / kept after cleaning / removed, label counts,
+    plus a totals row (``file_col`` null) from the same aggregation
+    (``rollup``), so the data is read once.
 
     ``file_col`` is usually ``_metadata.file_path`` captured at the scan.
     Rows are kept when the text is not blank and the label parses.
@@ -51,7 +54,8 @@ def load_report(df: DataFrame, file_col: str, text_col: str, label_col: str) ->
     from textlab.functions.text import cast_label
     lab = cast_label(label_col)
     kept = ~is_blank(text_col) & lab.isNotNull()
-    return df.groupBy(file_col).agg(
+    g = df.rollup(file_col) if with_total else df.groupBy(file_col)
+    return g.agg(
         F.count(F.lit(1)).alias("loaded"),
         F.count_if(kept).alias("kept"),
         F.count_if(~kept).alias("removed"),

@@ -143,7 +143,7 @@ SELECT source, count(*) AS loaded, count(*) FILTER (WHERE kept) AS kept,
        count(*) FILTER (WHERE NOT kept) AS removed,
        count(*) FILTER (WHERE kept AND lab = 1) AS positives,
        count(*) FILTER (WHERE kept AND lab = 0) AS negatives
-FROM y GROUP BY source""")
+FROM y GROUP BY ROLLUP (source)""")
 def load_report(spark, d):
     docs = A.table(spark, d, "documents")
     lab = A.table(spark, d, "labels").select("doc_id", "quality")

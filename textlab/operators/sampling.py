@@ -98,10 +98,11 @@ def _check_sizes(df: DataFrame, group_col: str, n: int, on_short: str) -> None:
 def balanced_sample(df: DataFrame, group_col: str, n: int, key: str, seed: int = 42,
                     on_short: str = "error") -> DataFrame:
     """Q3 / Q4: exactly ``n`` rows per group in hash order (error when a group
-    is short, or ``on_short='take_all'``)."""
+    is short, or ``on_short='take_all'``), then shuffled (``order_key``)."""
     _check_sizes(df, group_col, n, on_short)
     x = df.withColumn("_h", hash_order(key, seed, "balanced"))
-    return topk_per_group(x, [group_col], [F.col("_h"), F.col(key)], n, "_r").drop("_r", "_h")
+    picked = topk_per_group(x, [group_col], [F.col("_h"), F.col(key)], n, "_r").drop("_r", "_h")
+    return picked.withColumn("order_key", hash_order(key, seed, "shuffle"))
 
 
 def bootstrap_per_group(df: DataFrame, group_col: str, n: int, key: str, seed: int = 42) -> DataFrame:

@@ -35,7 +35,7 @@ def sample_n(spark, d):
     return Q.sample_n(A.table(spark, d, "documents").select("doc_id", "lang"), 500, "doc_id")
 
 
-@register("balanced_sample", f"""SELECT doc_id, quality FROM (
+@register("balanced_sample", f"""SELECT doc_id, quality, {H('doc_id', 42, 'shuffle')} AS order_key FROM (
   SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY {H('doc_id', 42, 'balanced')}, doc_id) AS rn
   FROM labels) WHERE rn <= 50""")
 def balanced_sample(spark, d):
@@ -43,7 +43,7 @@ def balanced_sample(spark, d):
     return Q.balanced_sample(lab, "quality", 50, "doc_id")
 
 
-@register("sample_per_domain", f"""SELECT doc_id, domain FROM (
+@register("sample_per_domain", f"""SELECT doc_id, domain, {H('doc_id', 42, 'shuffle')} AS order_key FROM (
   SELECT doc_id, {O.DOMAIN_SQL} AS domain,
          row_number() OVER (PARTITION BY {O.DOMAIN_SQL} ORDER BY {H('doc_id', 42, 'balanced')}, doc_id) AS rn
   FROM documents) WHERE rn <= 100""")

@@ -108,13 +108,21 @@ def best_threshold(df: DataFrame, by: Sequence[str] = ("model",), label_col: str
 
 
 def error_breakdown(df: DataFrame, group_cols: Sequence[str] = ("cluster", "label"),
-                    label_col: str = "label", pred_col: str = "prediction") -> DataFrame:
-    """Wrong rows per group plus each group's error rate and share of errors."""
+                    label_col: str = "label", pred_col: str = "prediction",
+                    share_within: Sequence[str] = ()) -> DataFrame:
+    """Wrong rows per group plus each group's error rate and its share
+    of the errors (of all rows, or of each ``share_within`` group, e.g. per
+    model; those totals come from the small per-group table)."""
     wrong = F.col(label_col) != F.col(pred_col)
     g = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n"), F.count_if(wrong).alias("errors"))
+    g = g.withColumn("error_rate", F.round(_ratio(F.col("errors"), F.col("n")), 6))
+    if share_within:
+        tot = g.groupBy(*share_within).agg(F.sum("errors").alias("_errors"))
+        return (g.join(tot, list(share_within))
+                .withColumn("error_share", F.round(_ratio(F.col("errors"), F.col("_errors")), 6))
+                .drop("_errors"))
     total = df.agg(F.count_if(wrong).alias("_errors")).scalar()  # scalar subquery
-    return (g.withColumn("error_rate", F.round(_ratio(F.col("errors"), F.col("n")), 6))
-            .withColumn("error_share", F.round(_ratio(F.col("errors"), total), 6)))
+    return g.withColumn("error_share", F.round(_ratio(F.col("errors"), total), 6))
 
 
 def class_weights(df: DataFrame, label_col: str = "label") -> DataFrame:

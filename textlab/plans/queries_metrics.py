@@ -152,3 +152,25 @@ def logit_functions(spark, d):
                     F.round(V.softmax("logits")[1], 6).alias("p_softmax"),
                     F.round(V.sigmoid(F.col("logits")[1] - F.col("logits")[0]), 6).alias("p_sigmoid"),
                     V.threshold_predict("prob", 0.6).alias("pred_06"))
+
+
+def _error_cluster_sql() -> str:
+    return O.pool_sql(f"""SELECT model, cluster, label, n, errors,
+  round({_div('errors', 'n')}, 6) AS error_rate,
+  round({_div('errors', 'sum(errors) OVER (PARTITION BY model)')}, 6) AS error_share FROM g""",
+                      O.PREDICTIONS_CTE.strip() + """,
+g AS (SELECT p.model, pool.cluster, p.label, count(*) AS n, count(*) FILTER (WHERE p.label <> p.prediction) AS errors
+      FROM predictions p JOIN pool ON pool.id = p.doc_id GROUP BY p.model, pool.cluster, p.label)""")
+
+
+def error_breakdown_cluster(spark, d):
+    """Errors per (cluster, true label) for each model, with the error
+    rate and the share of the model's errors; clusters come from the H2/H4
+    pool (joined by id)."""
+    from textlab.plans.audit import labelled_pool
+    pool = labelled_pool(spark, d).select(F.col("id").alias("doc_id"), "cluster")
+    x = A.predictions(spark, d).join(pool, "doc_id")
+    return M.error_breakdown(x, ["model", "cluster", "label"], share_within=["model"])
+
+
+register("error_breakdown_cluster", _error_cluster_sql())(error_breakdown_cluster)

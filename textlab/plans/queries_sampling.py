@@ -91,17 +91,29 @@ def shuffle(spark, d):
     return Q.shuffle(A.table(spark, d, "documents").select("doc_id"), "doc_id")
 
 
-@register("sample_errors", f"""WITH {O.PREDICTIONS_CTE.strip()},
+def _sample_errors_sql() -> str:
+    return O.pool_sql("""SELECT w.model, w.doc_id, w.label, w.prediction, w.confidence, pool.cluster,
+       pool.original_label, d.text
+FROM w LEFT JOIN pool ON pool.id = w.doc_id JOIN documents d ON d.doc_id = w.doc_id WHERE w.rn <= 20""",
+                      O.PREDICTIONS_CTE.strip() + f""",
 w AS (SELECT p.model, p.doc_id, p.label, p.prediction, p.prob AS confidence,
-             d.text AS text,
              row_number() OVER (PARTITION BY p.model ORDER BY {H('p.doc_id', 42, 'errors')}, p.doc_id) AS rn
-      FROM predictions p JOIN documents d ON p.doc_id = d.doc_id WHERE p.label <> p.prediction)
-SELECT model, doc_id, label, prediction, confidence, text FROM w WHERE rn <= 20""")
+      FROM predictions p WHERE p.label <> p.prediction)""")
+
+
 def sample_errors(spark, d):
+    """Q11: up to 20 wrong rows per model in hash order, with confidence, the
+    row's cluster and original label (null without a vector) and its text;
+    ids are picked first, the pool and the wide text are joined last."""
+    from textlab.plans.audit import labelled_pool
     p = A.predictions(spark, d).where(F.col("label") != F.col("prediction"))
-    docs = A.table(spark, d, "documents").select("doc_id", "text")
     x = p.withColumn("_h", hash_order("doc_id", 42, "errors"))
     top = topk_per_group(x, ["model"], [F.col("_h"), F.col("doc_id")], 20, "_r")
-    # ids first, wide text last
-    return (top.join(docs, "doc_id")
-            .select("model", "doc_id", "label", "prediction", F.col("prob").alias("confidence"), "text"))
+    pool = labelled_pool(spark, d).select(F.col("id").alias("doc_id"), "cluster", "original_label")
+    docs = A.table(spark, d, "documents").select("doc_id", "text")
+    return (top.join(pool, "doc_id", "left").join(docs, "doc_id")
+            .select("model", "doc_id", "label", "prediction", F.col("prob").alias("confidence"),
+                    "cluster", "original_label", "text"))
+
+
+register("sample_errors", _sample_errors_sql())(sample_errors)

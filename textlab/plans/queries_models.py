@@ -47,7 +47,11 @@ def _labelled_vectors(spark, d):
 
 @register("domain_shift_auc")
 def domain_shift_auc_q(spark, d):
-    s = _labelled_vectors(spark, d)
+    """H9: can a simple classifier tell the positive domain from the others?
+    (accuracy / AUC near 0.5 = no shift)."""
+    from textlab.functions.text import label_from_source
+    v = A.vectors(spark, d).select("id", "embedding", label_from_source("domain").alias("label"))
+    s = stratified_split(v, "label", "id", frac=0.2)
     return domain_shift_auc(s.where("split = 'train'"), s.where("split = 'val'"), "label", "embedding")
 
 

@@ -178,3 +178,12 @@ def test_quadrant_cases(spark):
     assert len([i for q, i in got if q == "1_1"]) == 1  # max(1, 2 // 3)
     assert not [q for q, _ in pick(2, no_exceptions=True) if q in ("0_0", "1_1")]
     assert [i for q, i in pick(1) if q == "0_1"] == [2]
+
+
+def test_two_line_reply_unicode_line_breaks(spark):
+    # Python's splitlines also breaks on U+2028 and vertical tab; so does \R
+    df = spark.createDataFrame([(1, "Because of tone\u20281"), (2, "Short note\x0b0"), (3, "a\u0085b\r\n1")],
+                               "id int, reply string")
+    lab, expl = parse_two_line_reply("reply")
+    got = _rows(df.select("id", lab.alias("label"), expl.alias("expl")), "label", "expl")
+    assert got == [(1, "Because of tone"), (0, "Short note"), (1, "a b")]

@@ -83,7 +83,7 @@ def test_paraphrase_cases(spark):
 
 
 def test_blank_and_cast_cases(spark):
-    df = spark.createDataFrame([(1, None), (2, "   "), (3, "\t\n"), (4, " "), (5, "abcde"),
+    df = spark.createDataFrame([(1, None), (2, "   "), (3, "\t\n"), (4, "\u00a0"), (5, "abcde"),
                                 (6, "abcdef")], "id int, text string")
     kept = [r["id"] for r in df.where(~is_blank("text")).orderBy("id").collect()]
     assert kept == [5, 6]

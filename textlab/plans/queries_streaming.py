@@ -65,3 +65,38 @@ def stream_progress_totals(spark, d):
     streaming_progress(spark, d, src.schema, root + "/out", root + "/ck", label_col="quality",
                        glob="labels.parquet")
     return running_totals(spark, root + "/out")
+
+
+def _resume_sql() -> str:
+    from textlab.plans.queries_text import _json_replies_sql
+    return f"""WITH {_json_replies_sql()}
+SELECT post_id, CASE WHEN post_id % 4 = 0 THEN 'done' ELSE DM END AS DM,
+       CASE WHEN post_id % 4 = 0 THEN 'done' ELSE Sentiment END AS Sentiment,
+       CASE WHEN post_id % 4 = 0 THEN 'ok' ELSE parse END AS parse FROM jparsed"""
+
+
+def resume_generation_slices(spark, d):
+    """R2: resumable generation. Rows already in the output folder (the
+    ``done_rows`` fixture) are skipped; the rest are generated with the reply
+    function and appended in hash slices, so an interruption loses one slice."""
+    from textlab.functions.parse import parse_json_reply
+    from textlab.operators.scoring import apply_reply_fn
+    from textlab.plans import fixture_models as FM
+    from textlab.streaming.jobs import resume_generation
+
+    todo = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("post_id"), "text")
+    out = _scratch(spark, "resume") + "/out"
+    (todo.where(F.col("post_id") % 4 == 0)
+     .select("post_id", F.lit("done").alias("DM"), F.lit("done").alias("Sentiment"), F.lit("ok").alias("parse"))
+     .write.mode("overwrite").parquet(out))
+
+    def generate(df):
+        r = apply_reply_fn(df, FM.json_reply_model)
+        dm, se, st = parse_json_reply("reply")
+        return r.select("post_id", dm.alias("DM"), se.alias("Sentiment"), st.alias("parse"))
+
+    resume_generation(todo, out, "post_id", generate, slice_rows=250)
+    return spark.read.parquet(out).select("post_id", "DM", "Sentiment", "parse")
+
+
+register("resume_generation_slices", _resume_sql())(resume_generation_slices)

@@ -21,7 +21,6 @@ def con():
 def test_registry_consistent():
     assert set(ORACLES) <= set(QUERIES)
     assert len(ORACLES) >= 60
-    assert not any(n.startswith("op") and n[2:3].isdigit() for n in QUERIES)
 
 
 def test_entry_smoke(spark):

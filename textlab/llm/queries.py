@@ -96,3 +96,62 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textlab.llm.sharding import shard_documents
     return shard_documents(documents(spark, sf_dir), [1.0] * N_SHARDS).select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+# ---- 3: token files -----------------------------------------------------------------------------
+
+TOKENIZER = "byte_bpe_50k.json"
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+@register("op3_token_files")
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from textlab.llm import token_files as T
+    root = T.scratch(spark, "token-files")
+    T.write(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), root)
+    return T.read(spark, root).select(F.col("id").alias("doc_id"), "start", "n_tokens",
+                                      F.crc32("ids").cast("long").alias("ids_crc32"))
+
+
+# ---- 5: byte-level BPE --------------------------------------------------------------------------
+
+@register("op5_bpe")
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from textlab.llm import bpe_shuffle as B
+    ranks = B.read_ranks(public_tokenizers.path(RANKS))
+    out = B.decode(B.encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN), ranks)
+    return out.select(F.col("id").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                      F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+# ---- 7: benchmark decontamination ---------------------------------------------------------------
+
+@register("op7_decontaminate", r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT item_id, least(len(w), 13) AS n,
+               unnest(list_transform(range(1, greatest(len(w) - 12, 1) + 1),
+                                     lambda k: array_to_string(w[k:k + 12], ' '))) AS g
+        FROM b WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM win),
+pos AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS k, w FROM d, sizes WHERE len(w) >= n),
+hit AS (SELECT DISTINCT p.doc_id, p.k, p.n, win.item_id
+        FROM (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS g FROM pos) p JOIN win USING (n, g)),
+words AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (
+            SELECT doc_id, unnest(range(k, k + n)) AS x FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items,
+            string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hit GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""")
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textlab.llm.decontaminate import scan
+    found = scan(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))

@@ -167,3 +167,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = L.fit(docs.filter(~F.col("held_out")))
     return L.label(docs.select("doc_id", "text", "held_out"), model).select(
         "doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+
+
+# ---- 4: n-gram Jaccard join ---------------------------------------------------------------------
+
+@register("op4_ngram_join")
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textlab.llm.ngram_join import similar_groups
+    return similar_groups(documents(spark, sf_dir)).select(
+        F.col("id").alias("doc_id"), "class_id", "class_size", "n_class_links", "n_links", "group_id", "kept")

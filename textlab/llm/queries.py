@@ -176,3 +176,13 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textlab.llm.ngram_join import similar_groups
     return similar_groups(documents(spark, sf_dir)).select(
         F.col("id").alias("doc_id"), "class_id", "class_size", "n_class_links", "n_links", "group_id", "kept")
+
+
+# ---- 1: suffix-array dedup ----------------------------------------------------------------------
+
+@register("op1_suffix_dedup")
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textlab.llm.suffix_dedup import repeated_spans
+    return repeated_spans(documents(spark, sf_dir)).select(
+        F.col("id").alias("doc_id"), "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -136,10 +136,10 @@ def test_tiny_vectors_kmeans(spark):
     from textlab.operators.cluster import seeded_kmeans
     df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 0.0]), (3, [10.0, 0.0]), (4, [5.0, 0.0])],
                                "id int, embedding array<double>")
-    r = seeded_kmeans(df, init_centroids=[[0.0, 0.0], [10.0, 0.0]], max_iter=1, staged=False)
+    r = seeded_kmeans(df, init_centroids=[[0.0, 0.0], [10.0, 0.0]], max_iter=1)
     # point 4 is equidistant at the first assignment -> cluster 0
     assert r.centroids[0] == pytest.approx([5.0 / 3, 0.0])
-    r2 = seeded_kmeans(df, init_centroids=[[0.0, 0.0], [1000.0, 1000.0]], max_iter=3, staged=False)
+    r2 = seeded_kmeans(df, init_centroids=[[0.0, 0.0], [1000.0, 1000.0]], max_iter=3)
     assert r2.centroids[1] == [1000.0, 1000.0]  # empty cluster keeps its centroid
     assert {x["cluster"] for x in r2.assignments.collect()} == {0}
 

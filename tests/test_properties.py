@@ -94,16 +94,36 @@ def test_kmeans_inertia_never_rises(spark):
     assert all(b <= a + 1e-9 for a, b in zip(inert, inert[1:]))
 
 
+@pytest.mark.parametrize("sf", [SF01, "/root/testdata/sf0.1"])
+def test_kmeans_reaches_the_fixed_point(spark, sf):
+    """Plain Lloyd steps in NumPy until no label changes give the same labels."""
+    import numpy as np
+    from textlab.plans.audit import clustered_vectors
+    got = clustered_vectors(spark, sf, "domain").select("id", "embedding", "seed", "cluster").collect()
+    x = np.array([r.embedding for r in got], dtype=np.float64)
+    lab = np.array([r.seed for r in got])
+    cents = np.array([x[lab == j].mean(axis=0) for j in (0, 1)])
+    steps = 0
+    while True:
+        new = ((x[:, None, :] - cents[None]) ** 2).sum(axis=2).argmin(axis=1)
+        steps += 1
+        if steps > 1 and (new == lab).all():
+            break
+        lab = new
+        cents = np.array([x[lab == j].mean(axis=0) for j in (0, 1)])
+    assert steps > 6 and [r.cluster for r in got] == lab.tolist()
+
+
 def test_kmeans_matches_mllib(spark):
     """Cross-check H2 against mllib KMeans with the same initial model."""
     from pyspark.mllib.clustering import KMeans, KMeansModel
     from pyspark.mllib.linalg import Vectors
     from textlab.operators.cluster import seeded_kmeans
     v = A.two_class_vectors(spark, SF01).withColumn("seed", (1 - F.col("original_label")).cast("int"))
-    ours = seeded_kmeans(v, "embedding", "seed", max_iter=5)
+    ours = seeded_kmeans(v, "embedding", "seed")
     init = seeded_kmeans(v, "embedding", "seed", max_iter=0)
     rdd = v.select("embedding").rdd.map(lambda r: Vectors.dense([float(x) for x in r[0]]))
-    m = KMeans.train(rdd, 2, maxIterations=5, initialModel=KMeansModel(init.centroids), epsilon=0.0)
+    m = KMeans.train(rdd, 2, maxIterations=300, initialModel=KMeansModel(init.centroids), epsilon=0.0)
     mine = {r["id"]: r["cluster"] for r in ours.assignments.collect()}
     vecs = v.select("id", "embedding").collect()
     agree = sum(1 for r in vecs if m.predict(Vectors.dense([float(x) for x in r[1]])) == mine[r["id"]])

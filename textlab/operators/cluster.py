@@ -28,11 +28,6 @@ class KMeansResult:
         return float(self.assignments.agg(F.sum("sqdist")).first()[0] or 0.0)
 
 
-# Partial sums (partitions x k x d doubles) are collected directly below this
-# size; above it they are added per (cluster, dim) in Spark first.
-PARTIAL_COLLECT_LIMIT = 1 << 20
-
-
 def _nearest(x: np.ndarray, cents: np.ndarray):
     """Nearest centroid by squared Euclidean distance, lowest id on ties."""
     d = np.empty((x.shape[0], cents.shape[0]))
@@ -43,22 +38,20 @@ def _nearest(x: np.ndarray, cents: np.ndarray):
     return lab, d[np.arange(len(lab)), lab]
 
 
-def _lloyd_step(base: DataFrame, vec_col: str, centroids: list[list[float]] | None,
-                label_col: str | None = None, k: int | None = None,
-                dim: int | None = None) -> dict[int, list[float]]:
-    """One assign + update pass: every task assigns its Arrow batches with
-    NumPy and emits k partial (count, sum) rows; only k x d means reach the
-    driver. With ``centroids=None`` rows are grouped by ``label_col``
-    (0..k-1) instead (the seed means)."""
-    cents = None if centroids is None else np.asarray(centroids, dtype=np.float64)
-    kk, dd = (cents.shape if cents is not None else (k, dim))
+def _lloyd_step(base: DataFrame, vec_col: str, dim: int, cents: np.ndarray | None,
+                before: np.ndarray | None = None, label_col: str | None = None,
+                k: int = 0) -> tuple[dict[int, list[float]], int]:
+    """One assign + update pass: the new means, and how many rows changed their cluster since the
+    centroids ``before``. Every task emits k partial (count, sum, changed) rows, which Spark adds up;
+    k x d numbers reach the driver. With ``cents=None`` rows are grouped by ``label_col`` (0..k-1)
+    instead (the seed means)."""
+    k = len(cents) if cents is not None else k
     schema = StructType([StructField("c", LongType()), StructField("n", LongType()),
-                         StructField("s", ArrayType(DoubleType()))])
+                         StructField("moved", LongType()), StructField("s", ArrayType(DoubleType()))])
 
     def run(it):
-        k, d = kk, dd
-        cnt = np.zeros(k, dtype=np.int64)
-        acc = np.zeros((k, d))
+        cnt, moved = np.zeros(k, dtype=np.int64), np.zeros(k, dtype=np.int64)
+        acc = np.zeros((k, dim))
         for pdf in it:
             if not len(pdf):
                 continue
@@ -67,35 +60,21 @@ def _lloyd_step(base: DataFrame, vec_col: str, centroids: list[list[float]] | No
                 lab = pdf[label_col].to_numpy(dtype=np.int64)
             else:
                 lab, _ = _nearest(x, cents)
+            changed = np.ones(len(lab), bool) if before is None else _nearest(x, before)[0] != lab
             for j in range(k):
                 m = lab == j
                 cnt[j] += int(m.sum())
+                moved[j] += int(changed[m].sum())
                 acc[j] += x[m].sum(axis=0)
         keep = np.nonzero(cnt > 0)[0]
         if len(keep):
-            yield pd.DataFrame({"c": keep.astype(np.int64), "n": cnt[keep],
+            yield pd.DataFrame({"c": keep.astype(np.int64), "n": cnt[keep], "moved": moved[keep],
                                 "s": [acc[j].tolist() for j in keep]})
 
-    cols = [vec_col] if cents is not None else [vec_col, label_col]
-    part = base.select(*cols).mapInPandas(run, schema)
-    k, d = kk, dd
-    if base.rdd.getNumPartitions() * k * d <= PARTIAL_COLLECT_LIMIT:
-        # proven small: at most partitions x k rows of d doubles reach the driver
-        tot_n = np.zeros(k, dtype=np.int64)
-        tot_s = np.zeros((k, d))
-        for r in part.collect():
-            tot_n[int(r["c"])] += int(r["n"])
-            tot_s[int(r["c"])] += np.asarray(r["s"], dtype=np.float64)
-        return {int(c): (tot_s[c] / tot_n[c]).tolist() for c in range(k) if tot_n[c] > 0}
-    rows = (part.select("c", "n", F.posexplode("s").alias("pos", "v"))
-            .groupBy("c", "pos").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
-            .collect())
-    sums: dict[int, dict[int, float]] = {}
-    counts: dict[int, int] = {}
-    for r in rows:
-        sums.setdefault(int(r["c"]), {})[int(r["pos"])] = float(r["v"])
-        counts[int(r["c"])] = int(r["n"])
-    return {c: [dims[i] / counts[c] for i in sorted(dims)] for c, dims in sums.items()}
+    part = base.select(vec_col, *([label_col] if cents is None else [])).mapInPandas(run, schema)
+    rows = part.groupBy("c").agg(F.sum("n").alias("n"), F.sum("moved").alias("moved"),
+                                 F.array(*[F.sum(F.col("s")[i]) for i in range(dim)]).alias("s")).collect()
+    return ({int(r["c"]): [v / r["n"] for v in r["s"]] for r in rows}, sum(int(r["moved"]) for r in rows))
 
 
 def assign_clusters(df: DataFrame, vec_col: str, centroids: list[list[float]]) -> DataFrame:
@@ -119,43 +98,42 @@ def assign_clusters(df: DataFrame, vec_col: str, centroids: list[list[float]]) -
 
 def seeded_kmeans(df: DataFrame, vec_col: str = "embedding", seed_col: str | None = "seed",
                   init_centroids: list[list[float]] | None = None, k: int = 2,
-                  max_iter: int = 300, tol: float = 0.0, staged: bool = True) -> KMeansResult:
-    """H2: Lloyd's k-means with given initial centroids.
+                  max_iter: int | None = None) -> KMeansResult:
+    """H2: Lloyd's k-means with given initial centroids, run until no row changes its cluster.
 
     Initial centroid ``j`` is the mean of the rows whose ``seed_col == j``
     (e.g. 0 = positive source, 1 = the rest), or ``init_centroids``.
     Each iteration is one Spark job over the staged vectors: per Arrow batch
-    a NumPy nearest-centroid (squared Euclidean, lowest id on ties) and
-    per-task partial sums, then a (cluster, dim) sum. The driver holds only
-    k x d numbers; lineage does not grow with the iterations. An empty
-    cluster keeps its previous centroid. Stops when the largest centroid
-    shift is <= ``tol`` or after ``max_iter`` updates.
+    a NumPy nearest-centroid (squared Euclidean, lowest id on ties), compared
+    with the assignment before, and per-task partial sums, added up in Spark. The
+    driver holds only k x d numbers; lineage does not grow with the iterations. An
+    empty cluster keeps its previous centroid. Assignments are written once and
+    read from there. ``max_iter`` is a caller's own bound; there is none by default
+    (the within-cluster sum falls with every step, so the loop ends).
     """
-    base = stage(df, "kmeans-input") if staged else df
+    base = stage(df, "kmeans-input")
+    dim = int(base.select(F.max(F.size(vec_col))).first()[0] or 0)
     if init_centroids is None:
         seeded = base.where(F.col(seed_col).isNotNull() & (F.col(seed_col) >= 0) & (F.col(seed_col) < k))
-        dim = int(base.select(F.max(F.size(vec_col))).first()[0] or 0)
-        means = _lloyd_step(seeded, vec_col, None, seed_col, k, dim)
+        means, _ = _lloyd_step(seeded, vec_col, dim, None, None, seed_col, k)
         missing = [j for j in range(k) if j not in means]
         if missing:
             raise ValueError(f"seed groups {missing} are empty")
-        centroids = [means[j] for j in range(k)]
+        cents = np.array([means[j] for j in range(k)])
     else:
-        centroids = [list(map(float, c)) for c in init_centroids]
-        k = len(centroids)
+        cents = np.array(init_centroids, dtype=np.float64)
+        k = len(cents)
+    before: np.ndarray | None = None
     shifts: list[float] = []
-    n_iter = 0
-    for _ in range(max_iter):
-        means = _lloyd_step(base, vec_col, centroids)
-        new = [means.get(j, centroids[j]) for j in range(k)]
-        shift = max(sum((a - b) ** 2 for a, b in zip(o, n)) ** 0.5 for o, n in zip(centroids, new))
-        centroids = new
-        n_iter += 1
-        shifts.append(shift)
-        if shift <= tol:
+    while max_iter is None or len(shifts) < max_iter:
+        means, moved = _lloyd_step(base, vec_col, dim, cents, before)
+        new = np.array([means.get(j, cents[j]) for j in range(k)])
+        shifts.append(float(np.sqrt(((new - cents) ** 2).sum(axis=1)).max()))
+        before, cents = cents, new
+        if not moved:
             break
-    assigned = assign_clusters(base, vec_col, centroids)
-    return KMeansResult(assigned, centroids, n_iter, shifts)
+    assigned = stage(assign_clusters(base, vec_col, cents.tolist()), "kmeans-assigned")
+    return KMeansResult(assigned, cents.tolist(), len(shifts), shifts)
 
 
 def resolve_positive_cluster(df: DataFrame, cluster_col: str = "cluster",

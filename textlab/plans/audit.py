@@ -16,9 +16,8 @@ from textlab.plans import adapters
 DOMAINS = ["positive", "neutral_a", "neutral_b"]
 
 
-def clustered_vectors(spark: SparkSession, sf_dir: str, seed: str = "domain",
-                      max_iter: int = 5) -> DataFrame:
-    """Vectors with ``cluster`` from a seeded 2-means run.
+def clustered_vectors(spark: SparkSession, sf_dir: str, seed: str = "domain") -> DataFrame:
+    """Vectors with ``cluster`` from a seeded 2-means run to convergence.
 
     ``seed='domain'``: centroid 0 = mean of the positive domain, 1 = the rest.
     ``seed='original_label'``: centroid 0 = mean of ``original_label = 1``.
@@ -29,7 +28,7 @@ def clustered_vectors(spark: SparkSession, sf_dir: str, seed: str = "domain",
     else:
         s = F.when(F.col("original_label") == 1, 0).otherwise(1)
     v = v.withColumn("seed", s.cast("int"))
-    res = seeded_kmeans(v, "embedding", "seed", k=2, max_iter=max_iter, tol=0.0)
+    res = seeded_kmeans(v, "embedding", "seed", k=2)
     return res.assignments.withColumn("cluster", F.col("cluster").cast("int"))
 
 

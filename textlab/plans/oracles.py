@@ -65,40 +65,39 @@ trial_log AS (
   FROM events)"""
 
 
-def kmeans_sql(seed_sql: str, n_iter: int, select_sql: str, extra_ctes: str = "") -> str:
-    """Seeded 2-means as a CTE chain of ``n_iter`` assign/update steps over
-    (id, dim, value); an empty cluster keeps its centroid; ties -> lower id."""
+def kmeans_sql(seed_sql: str, select_sql: str, extra_ctes: str = "") -> str:
+    """Seeded 2-means over (id, dim, value), as a recursive CTE of centroids that ends when they
+    repeat (to 1e-12, the noise of a parallel average); an empty cluster keeps its centroid;
+    ties -> lower id."""
+    def assign(cents: str) -> str:
+        return (f"SELECT id, cluster FROM (SELECT x.id, c.cluster, sum((x.val - c.val) * (x.val - c.val)) AS dist "
+                f"FROM x JOIN {cents} c ON x.dim = c.dim GROUP BY x.id, c.cluster) "
+                f"QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist, cluster) = 1")
+
     parts = [VECTORS_CTE.strip(),
              f"vs AS (SELECT *, CAST({seed_sql} AS INTEGER) AS seed FROM v)",
-             "x AS (SELECT id, unnest(range(1, len(embedding) + 1)) AS dim, "
+             "x AS MATERIALIZED (SELECT id, unnest(range(1, len(embedding) + 1)) AS dim, "
              "CAST(unnest(embedding) AS DOUBLE) AS val FROM vs)",
-             "c0 AS (SELECT x.dim, vs.seed AS cluster, avg(x.val) AS val "
-             "FROM x JOIN vs USING (id) GROUP BY ALL)"]
-
-    def assign(i: int) -> str:
-        return (f"a{i} AS (SELECT id, cluster, dist FROM ("
-                f"SELECT x.id, c.cluster, sum((x.val - c.val) * (x.val - c.val)) AS dist, "
-                f"row_number() OVER (PARTITION BY x.id ORDER BY sum((x.val - c.val) * (x.val - c.val)), c.cluster) AS rn "
-                f"FROM x JOIN c{i} c ON x.dim = c.dim GROUP BY x.id, c.cluster) WHERE rn = 1)")
-
-    for i in range(n_iter):
-        parts.append(assign(i))
-        parts.append(
-            f"n{i + 1} AS (SELECT x.dim, a.cluster, avg(x.val) AS val FROM x JOIN a{i} a USING (id) GROUP BY ALL)")
-        parts.append(
-            f"c{i + 1} AS (SELECT * FROM n{i + 1} UNION ALL SELECT * FROM c{i} "
-            f"WHERE cluster NOT IN (SELECT cluster FROM n{i + 1}))")
-    parts.append(assign(n_iter).replace(f"a{n_iter} AS", "final AS"))
-    parts.append("assigned AS (SELECT vs.*, CAST(final.cluster AS INTEGER) AS cluster "
-                 "FROM vs JOIN final USING (id))")
+             "km AS (SELECT 0 AS step, vs.seed AS cluster, x.dim, avg(x.val) AS val "
+             "FROM x JOIN vs USING (id) GROUP BY ALL UNION ALL "
+             f"(WITH a AS ({assign('km')}), "
+             "n AS (SELECT a.cluster, x.dim, avg(x.val) AS val FROM x JOIN a USING (id) GROUP BY ALL) "
+             "SELECT km.step + 1, km.cluster, km.dim, coalesce(n.val, km.val) "
+             "FROM km LEFT JOIN n ON n.cluster = km.cluster AND n.dim = km.dim "
+             "WHERE EXISTS (SELECT 1 FROM km k JOIN n ON n.cluster = k.cluster AND n.dim = k.dim "
+             "WHERE abs(n.val - k.val) > 1e-12)))",
+             "cents AS (SELECT * FROM km WHERE step = (SELECT max(step) FROM km))",
+             f"final AS ({assign('cents')})",
+             "assigned AS (SELECT vs.*, CAST(final.cluster AS INTEGER) AS cluster "
+             "FROM vs JOIN final USING (id))"]
     if extra_ctes.strip():
         parts.append(extra_ctes.strip().strip(","))
-    return "WITH " + ",\n".join(parts) + "\n" + select_sql
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + select_sql
 
 
 def flagship_sql() -> str:
     return kmeans_sql(
-        "CASE WHEN domain = 'positive' THEN 0 ELSE 1 END", 5,
+        "CASE WHEN domain = 'positive' THEN 0 ELSE 1 END",
         "SELECT cluster, "
         "CAST(count(*) FILTER (WHERE domain = 'positive') AS BIGINT) AS positive, "
         "CAST(count(*) FILTER (WHERE domain = 'neutral_a') AS BIGINT) AS neutral_a, "
@@ -115,4 +114,4 @@ def pool_sql(select_sql: str, extra_ctes: str = "") -> str:
             "CAST(a.cluster = pc.positive_cluster AS INTEGER) AS label FROM assigned a, pc)")
     if extra_ctes.strip():
         ctes += ",\n" + extra_ctes.strip().strip(",")
-    return kmeans_sql("CASE WHEN original_label = 1 THEN 0 ELSE 1 END", 5, select_sql, ctes)
+    return kmeans_sql("CASE WHEN original_label = 1 THEN 0 ELSE 1 END", select_sql, ctes)

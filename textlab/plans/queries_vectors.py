@@ -85,7 +85,7 @@ def stack_embeddings_q(spark, d):
 
 
 @register("bincount_clusters", O.kmeans_sql(
-    "CASE WHEN domain = 'positive' THEN 0 ELSE 1 END", 5,
+    "CASE WHEN domain = 'positive' THEN 0 ELSE 1 END",
     "SELECT c.cluster, count(a.id) AS n FROM (SELECT unnest([0, 1]) AS cluster) c "
     "LEFT JOIN assigned a ON a.cluster = c.cluster GROUP BY c.cluster"))
 def bincount_clusters(spark, d):
@@ -98,7 +98,7 @@ def cluster_labels_q(spark, d):
 
 
 @register("attach_cluster_label", O.kmeans_sql(
-    "CASE WHEN domain = 'positive' THEN 0 ELSE 1 END", 5,
+    "CASE WHEN domain = 'positive' THEN 0 ELSE 1 END",
     "SELECT d.doc_id, d.lang, a.cluster, CAST(1 - a.cluster AS INTEGER) AS label "
     "FROM documents d JOIN assigned a ON d.doc_id = a.id"))
 def attach_cluster_label_q(spark, d):
@@ -211,7 +211,7 @@ register("retrieve_and_classify", _retrieve_sql())(retrieve_and_classify_q)
 
 
 @register("silhouette", O.kmeans_sql(
-    "CASE WHEN domain = 'positive' THEN 0 ELSE 1 END", 5, """
+    "CASE WHEN domain = 'positive' THEN 0 ELSE 1 END", """
 SELECT round(avg(CASE WHEN n_own <= 1 OR b IS NULL THEN 0.0 WHEN greatest(a, b) = 0 THEN 0.0
                       ELSE (b - a) / greatest(a, b) END), 6) AS silhouette,
        count(*) AS n_points, count(DISTINCT own) AS n_clusters FROM sc""", """

@@ -87,9 +87,9 @@ def test_blank_and_cast_cases(spark):
                                 (6, "abcdef")], "id int, text string")
     kept = [r["id"] for r in df.where(~is_blank("text")).orderBy("id").collect()]
     assert kept == [5, 6]
-    casts = spark.createDataFrame([(1, "1.0"), (2, "0"), (3, "1.9"), (4, ""), (5, "x")], "id int, raw string")
+    casts = spark.createDataFrame([(1, "1.0"), (2, "0"), (3, "1.9"), (4, ""), (5, "x"), (6, "-0.5"), (7, "-1.9")], "id int, raw string")
     got = _rows(casts.select("id", cast_label("raw").alias("l")), "l")
-    assert got == [(1,), (0,), (1,), (None,), (None,)]
+    assert got == [(1,), (0,), (1,), (None,), (None,), (0,), (-1,)]
     e = spark.createDataFrame([(1, None), (2, 3)], "id int, v int")
     assert _rows(e.select("id", null_to_empty("v").alias("s")), "s") == [("",), ("3",)]
 

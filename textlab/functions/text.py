@@ -79,7 +79,7 @@ def cast_label(c) -> Column:
     ``try_cast`` to double first so '1.0' works under ANSI mode, then the
     double -> int cast truncates (1.9 -> 1), as pandas ``astype(int)`` does.
     """
-    return F.floor(_col(c).cast("string").try_cast("double")).try_cast("int")
+    return _col(c).cast("string").try_cast("double").try_cast("int")
 
 
 def word_count(c) -> Column:

@@ -24,10 +24,10 @@ def value_counts(df: DataFrame, col: str, sort: str = "count") -> DataFrame:
 
 
 def value_shares(df: DataFrame, col: str) -> DataFrame:
-    """Normalised counts; the total is a scalar subquery."""
+    """Normalised counts; the total is a sum over the counts (one row per value)."""
+    from pyspark.sql import Window
     c = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("_total")).scalar()  # scalar subquery
-    return c.withColumn("share", F.round(F.col("n") / total, 6))
+    return c.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
 
 
 def crosstab(df: DataFrame, row_col: str, col_col: str, values: Sequence) -> DataFrame:

@@ -204,18 +204,19 @@ def pca(df: DataFrame, vec_col: str = "embedding", k: int = 2, out_col: str = "p
 def prototype_clusters(df: DataFrame, vec_col: str | None = "embedding", k: int = 4,
                        dims: int = 50, seed: int = 42, len_col: str = "n_chars",
                        label_col: str = "label", id_col: str = "id") -> DataFrame:
-    """H7: PCA to <= ``dims`` then k-means; without vectors fall back to
+    """H7: centred PCA to <= ``dims`` then k-means; without vectors fall back to
     ``2 * (len > median) + label``; without either, a hash bucket."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector
 
     if vec_col and vec_col in df.columns:
-        v = df.withColumn("_v", array_to_vector(as_double_array(vec_col)))
-        d = len(v.select(vec_col).first()[0])
-        p = PCA(k=min(dims, d), inputCol="_v", outputCol="_p").fit(v).transform(v)
-        km = KMeans(k=k, seed=seed, featuresCol="_p", predictionCol="cluster").fit(p)
-        return km.transform(p).drop("_v", "_p").withColumn("cluster", F.col("cluster").cast("int"))
+        first = df.select(F.size(vec_col)).first()
+        if first is None:
+            return df.withColumn("cluster", F.lit(0))
+        p = fit_pca(df, vec_col, min(dims, first[0])).project(df, "_proj")
+        p = p.withColumn("_proj", array_to_vector("_proj"))
+        km = KMeans(k=k, seed=seed, featuresCol="_proj", predictionCol="cluster").fit(p)
+        return km.transform(p).drop("_proj").withColumn("cluster", F.col("cluster").cast("int"))
     if len_col in df.columns and label_col in df.columns:
         from textlab.operators.vectors import median_flag
         return (median_flag(df, len_col, "_long")

@@ -62,14 +62,16 @@ def param_grid(spark: SparkSession, grid: Mapping[str, Sequence], fixed: Mapping
 def score_models(eval_df: DataFrame, scorers: Mapping[str, Callable[[DataFrame], DataFrame]],
                  key: str, label_col: str = "label", pred_col: str = "prediction"):
     """Every scorer over the same eval set, as one long table
-    ``(model, key, label, prediction)``. A scorer that fails while building
-    its plan is skipped and reported; the others go on."""
+    ``(model, key, label, prediction)``. Each scorer's predictions are written to
+    the shared stage folder in a job of their own, so one that fails, while its
+    plan is built or while it runs, is skipped and reported; the others go on."""
+    from textlab.session import stage
     parts, skipped = [], []
     for name, fn in scorers.items():
         try:
             out = fn(eval_df)
-            parts.append(out.select(F.lit(name).alias("model"), key, label_col,
-                                    F.col(pred_col).cast("int").alias(pred_col)))
+            parts.append(stage(out.select(F.lit(name).alias("model"), key, label_col,
+                                          F.col(pred_col).cast("int").alias(pred_col)), "scores"))
         except Exception as e:  # noqa: BLE001 - isolation is the point
             log.warning("scorer %s skipped: %s", name, e)
             skipped.append((name, str(e)))

@@ -30,10 +30,10 @@ def confusion_counts(df: DataFrame, by: Sequence[str] = ("model",), label_col: s
 
 
 def binary_metrics(df: DataFrame, by: Sequence[str] = ("model",), label_col: str = "label",
-                   pred_col: str = "prediction", digits: int = 6) -> DataFrame:
+                   pred_col: str = "prediction", digits: int | None = 6) -> DataFrame:
     """G6 + G7 + G8: accuracy, precision, recall, F1 (zero division -> 0),
     specificity and sensitivity (0 unless both classes occur in labels or
-    predictions), and support-weighted F1."""
+    predictions), and support-weighted F1. ``digits=None`` leaves the values raw."""
     c = confusion_counts(df, by, label_col, pred_col)
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
     n = tp + fp + fn + tn
@@ -42,7 +42,7 @@ def binary_metrics(df: DataFrame, by: Sequence[str] = ("model",), label_col: str
     f1 = _ratio(2 * tp, 2 * tp + fp + fn)
     f1_0 = _ratio(2 * tn, 2 * tn + fn + fp)
     two = (F.col("_has0") > 0) & (F.col("_has1") > 0)
-    r = lambda e: F.round(e, digits)
+    r = lambda e: e if digits is None else F.round(e, digits)
     return c.select(
         *by, "tp", "fp", "fn", "tn",
         r(_ratio(tp + tn, n)).alias("accuracy"),
@@ -69,42 +69,45 @@ def confusion_matrix(df: DataFrame, by: Sequence[str] = ("model",), label_col: s
 SWEEP_STEPS = list(range(2, 18))
 
 
-def threshold_sweep(df: DataFrame, by: Sequence[str] = ("model",), label_col: str = "label",
-                    prob_col: str = "prob", digits: int = 6) -> DataFrame:
-    """G10 (table): F1 at each cut-off, predicting ``prob > t`` (strict).
+def _sweep(df: DataFrame, by: Sequence[str], label_col: str, prob_col: str) -> DataFrame:
+    """Counts and raw F1 at each cut-off ``_i`` / 20.
 
-    Rows are first counted per (rounded prob, label); the 16 cut-offs are
-    exploded over those counts, never over the rows.
+    Rows are counted per (number of cut-offs strictly below the raw probability, label): at most
+    17 x 2 rows per group, exact for any probability. The cut-offs are exploded over those counts.
     """
-    counts = (df.groupBy(*by, F.round(F.col(prob_col), digits).alias("_p"), F.col(label_col).alias("_y"))
+    p = F.col(prob_col)
+    below = sum((F.coalesce(p > i / 20.0, F.lit(False)).cast("int") for i in SWEEP_STEPS), F.lit(0))
+    counts = (df.groupBy(*by, below.alias("_b"), F.col(label_col).alias("_y"))
               .agg(F.count(F.lit(1)).alias("_n")))
-    ts = F.array(*[F.lit(i) for i in SWEEP_STEPS])
-    x = counts.select("*", F.explode(ts).alias("_i"))
-    t = F.col("_i") / F.lit(20.0)
-    pos = F.col("_p") > t
+    x = counts.select("*", F.posexplode(F.array(*[F.lit(i) for i in SWEEP_STEPS])).alias("_k", "_i"))
+    pos = F.col("_b") > F.col("_k")
     agg = x.groupBy(*by, "_i").agg(
         F.sum(F.when(pos & (F.col("_y") == 1), F.col("_n")).otherwise(0)).alias("tp"),
         F.sum(F.when(pos & (F.col("_y") == 0), F.col("_n")).otherwise(0)).alias("fp"),
         F.sum(F.when(~pos & (F.col("_y") == 1), F.col("_n")).otherwise(0)).alias("fn"),
     )
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return agg.select(*by, F.round(F.col("_i") / F.lit(20.0), 2).alias("threshold"),
-                      tp.cast("bigint").alias("tp"), fp.cast("bigint").alias("fp"),
-                      fn.cast("bigint").alias("fn"),
-                      F.round(_ratio(2 * tp, 2 * tp + fp + fn), digits).alias("f1"))
+    return agg.withColumn("f1", _ratio(2 * tp, 2 * tp + fp + fn))
+
+
+def threshold_sweep(df: DataFrame, by: Sequence[str] = ("model",), label_col: str = "label",
+                    prob_col: str = "prob", digits: int = 6) -> DataFrame:
+    """G10 (table): F1 at each cut-off, predicting ``prob > t`` (strict, on the raw probability)."""
+    return _sweep(df, by, label_col, prob_col).select(
+        *by, F.round(F.col("_i") / F.lit(20.0), 2).alias("threshold"), *[F.col(c).cast("bigint") for c in ("tp", "fp", "fn")],
+        F.round("f1", digits).alias("f1"))
 
 
 def best_threshold(df: DataFrame, by: Sequence[str] = ("model",), label_col: str = "label",
-                   prob_col: str = "prob", default: float = 0.5) -> DataFrame:
-    """Best cut-off by F1; the lowest cut-off wins ties; ``default``
+                   prob_col: str = "prob", default: float = 0.5, digits: int = 6) -> DataFrame:
+    """Best cut-off by raw F1; the lowest cut-off wins ties; ``default``
     when no cut-off gives F1 > 0."""
-    s = threshold_sweep(df, by, label_col, prob_col)
-    b = s.groupBy(*by).agg(F.max_by(F.struct("threshold", "f1"),
-                                    F.struct(F.col("f1"), -F.col("threshold"))).alias("_b"))
+    s = _sweep(df, by, label_col, prob_col)
+    b = s.groupBy(*by).agg(F.max_by(F.struct("_i", "f1"), F.struct(F.col("f1"), -F.col("_i"))).alias("_b"))
     return b.select(*by,
-                    F.when(F.col("_b.f1") > 0, F.col("_b.threshold")).otherwise(F.lit(default))
+                    F.when(F.col("_b.f1") > 0, F.round(F.col("_b._i") / F.lit(20.0), 2)).otherwise(F.lit(default))
                     .alias("best_threshold"),
-                    F.col("_b.f1").alias("best_f1"))
+                    F.round("_b.f1", digits).alias("best_f1"))
 
 
 def error_breakdown(df: DataFrame, group_cols: Sequence[str] = ("cluster", "label"),
@@ -121,7 +124,8 @@ def error_breakdown(df: DataFrame, group_cols: Sequence[str] = ("cluster", "labe
         return (g.join(tot, list(share_within))
                 .withColumn("error_share", F.round(_ratio(F.col("errors"), F.col("_errors")), 6))
                 .drop("_errors"))
-    total = df.agg(F.count_if(wrong).alias("_errors")).scalar()  # scalar subquery
+    from pyspark.sql import Window
+    total = F.sum("errors").over(Window.partitionBy())  # one row per group: the rows are read once
     return g.withColumn("error_share", F.round(_ratio(F.col("errors"), total), 6))
 
 
@@ -130,8 +134,7 @@ def class_weights(df: DataFrame, label_col: str = "label") -> DataFrame:
     from pyspark.sql import Window
     c = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_c"))
     w = Window.partitionBy()
-    return (c.withColumn("weight", F.round(F.sqrt(F.sum("n_c").over(w) /
-                                                  (F.count(F.lit(1)).over(w) * F.col("n_c"))), 6)))
+    return c.withColumn("weight", F.sqrt(F.sum("n_c").over(w) / (F.count(F.lit(1)).over(w) * F.col("n_c"))))
 
 
 def attach_class_weights(df: DataFrame, label_col: str = "label", out_col: str = "weight") -> DataFrame:
@@ -162,10 +165,10 @@ def keyword_priors(df: DataFrame, has_kw_col: str = "has_keyword", label_col: st
 
 def leaderboard(df: DataFrame, model_col: str = "model", label_col: str = "label",
                 pred_col: str = "prediction") -> DataFrame:
-    """G15 + W8: metrics per model, ranked by F1 (desc) then model name."""
+    """G15 + W8: metrics per model, ranked by raw F1 (desc) then model name; rounded last."""
     from pyspark.sql import Window
-    m = binary_metrics(df, (model_col,), label_col, pred_col)
+    m = binary_metrics(df, (model_col,), label_col, pred_col, digits=None)
     w = Window.orderBy(F.desc("f1"), F.asc(model_col))  # one row per model: tiny
-    return (m.select(model_col, "accuracy", "precision", "recall", "f1")
-            .withColumn("rank", F.row_number().over(w).cast("int"))
-            .withColumn("is_best", F.col("rank") == 1))
+    return (m.withColumn("rank", F.row_number().over(w).cast("int"))
+            .select(model_col, *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1")], "rank",
+                    (F.col("rank") == 1).alias("is_best")))

@@ -71,29 +71,35 @@ def domain_shift_auc(train: DataFrame, test: DataFrame, label_col: str = "label"
     return met.select(F.lit(round(auc, 6)).alias("auc"), "accuracy", "f1", "tp", "fp", "fn", "tn")
 
 
-def sweep(train: DataFrame, label_col: str = "label", vec_col: str = "embedding",
-          grid: Mapping[str, Sequence] | None = None, train_ratio: float = 0.8,
-          parallelism: int = 4, seed: int = 42):
-    """Grid over LogisticRegression params with TrainValidationSplit
-    (trials run ``parallelism`` at a time); returns (trial table, best model).
-    The trial table has one row per grid point with its validation metric
-    (area under ROC), ready for G18."""
-    from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
+def sweep(train: DataFrame, val: DataFrame, label_col: str = "label", vec_col: str = "embedding",
+          grid: Mapping[str, Sequence] | None = None, thresholds: Sequence[float] = (0.4, 0.5, 0.6)):
+    """A grid over class-weighted LogisticRegression parameters and the decision threshold, ranked by
+    the F1 on the held-out split; returns (trial table, best model, best threshold).
+
+    One fit per parameter set; all its thresholds are scored in one pass over ``val``. Ties go to the
+    earlier trial, whose order is the grid's (the threshold varies fastest).
+    """
+    from itertools import product
     grid = grid or {"regParam": [0.0, 0.01, 0.1], "elasticNetParam": [0.0, 0.5]}
-    lr = LogisticRegression(featuresCol="features", labelCol=label_col)
-    b = ParamGridBuilder()
-    for name, vals in grid.items():
-        b = b.addGrid(lr.getParam(name), list(vals))
-    maps = b.build()
-    tvs = TrainValidationSplit(estimator=lr, estimatorParamMaps=maps,
-                               evaluator=BinaryClassificationEvaluator(labelCol=label_col),
-                               trainRatio=train_ratio, parallelism=parallelism, seed=seed)
-    x = vector_features(train, vec_col).withColumn(label_col, F.col(label_col).cast("double"))
-    model = tvs.fit(x)
-    rows = []
-    for i, (pm, metric) in enumerate(zip(maps, model.validationMetrics), start=1):
-        rows.append((i, *[float(pm[lr.getParam(n)]) for n in grid], float(metric)))
-    spark = train.sparkSession
+    x = vector_features(attach_class_weights(train, label_col, "_w"), vec_col)
+    x = x.withColumn(label_col, F.col(label_col).cast("double")).cache()
+    rows, best = [], (-1.0, None, None)
+    y = F.col(label_col)
+    for values in product(*grid.values()):
+        lr = LogisticRegression(featuresCol="features", labelCol=label_col, weightCol="_w", probabilityCol="_prob",
+                                **dict(zip(grid, values)))
+        model = Pipeline(stages=[lr]).fit(x)
+        scored = batch_score(model, val, vec_col)
+        found = scored.agg(*[e for i, t in enumerate(thresholds) for e in (
+            F.count_if((F.col("prob") > t) & (y == 1)).alias(f"tp{i}"), F.count_if((F.col("prob") > t) & (y == 0)).alias(f"fp{i}"),
+            F.count_if(~(F.col("prob") > t) & (y == 1)).alias(f"fn{i}"))]).first()
+        for i, t in enumerate(thresholds):
+            tp, wrong = found[f"tp{i}"], found[f"fp{i}"] + found[f"fn{i}"]
+            f1 = 2 * tp / (2 * tp + wrong) if tp + wrong else 0.0
+            rows.append((len(rows) + 1, *[float(v) for v in values], float(t), f1))
+            if f1 > best[0]:
+                best = (f1, model, t)
+    x.unpersist()
     cols = ", ".join(f"{n} double" for n in grid)
-    trials = spark.createDataFrame(rows, f"trial int, {cols}, auc double")
-    return trials, model.bestModel
+    trials = train.sparkSession.createDataFrame(rows, f"trial int, {cols}, threshold double, eval_f1 double")
+    return trials, best[1], best[2]

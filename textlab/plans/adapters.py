@@ -94,8 +94,7 @@ def predictions(spark, sf_dir) -> DataFrame:
     models = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(w).alias("w"))
                        for m, w in MODEL_WEIGHTS])
     x = lab.select("doc_id", F.col("quality").alias("label"), F.explode(models).alias("m"))
-    prob = F.round((1 - F.col("m.w")) * hfrac(F.col("m.model"), F.col("doc_id"))
-                   + F.col("m.w") * F.col("label"), 6)
+    prob = (1 - F.col("m.w")) * hfrac(F.col("m.model"), F.col("doc_id")) + F.col("m.w") * F.col("label")
     return x.select(F.col("m.model").alias("model"), "doc_id", "label",
                     prob.alias("prob"), (prob > 0.5).cast("int").alias("prediction"))
 

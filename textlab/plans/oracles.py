@@ -54,7 +54,7 @@ models AS (SELECT * FROM (VALUES ('m1', 0.1), ('m2', 0.2), ('m3', 0.3), ('m4', 0
 predictions AS (
   SELECT model, doc_id, label, prob, CAST(prob > 0.5 AS INTEGER) AS prediction FROM (
     SELECT m.model, l.doc_id, l.quality AS label,
-           round((1 - m.w) * {hfrac('m.model', 'l.doc_id')} + m.w * l.quality, 6) AS prob
+           (1 - CAST(m.w AS DOUBLE)) * {hfrac('m.model', 'l.doc_id')} + CAST(m.w AS DOUBLE) * l.quality AS prob
     FROM labels l, models m))"""
 
 TRIAL_LOG_CTE = """

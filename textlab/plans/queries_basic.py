@@ -90,8 +90,7 @@ def prompt_budget(spark, d):
                     F.length(cut).cast("int").alias("cut_chars"))
 
 
-_EMOJI_NAMES = [":grinning_face:", ":heavy_black_heart:", ":face_with_tears_of_joy:",
-                ":thumbs_up_sign:", ":fire:"]
+_EMOJI_NAMES = [":grinning_face:", ":red_heart:", ":face_with_tears_of_joy:", ":thumbs_up:", ":fire:"]
 
 
 def _emoji_sql() -> str:
@@ -109,17 +108,20 @@ def emoji_to_text(spark, d):
 
 
 @register("cast_label_variants", """WITH r AS (
-  SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN CAST(quality AS VARCHAR) || '.0'
+  SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN CAST(quality AS VARCHAR) || '.0'
                                  WHEN 1 THEN CAST(quality AS VARCHAR)
                                  WHEN 2 THEN CAST(quality AS VARCHAR) || '.9'
+                                 WHEN 3 THEN '-' || CAST(quality AS VARCHAR) || '.5'
+                                 WHEN 4 THEN '-1.9'
                                  ELSE 'x' END AS raw FROM labels)
-SELECT doc_id, raw, CAST(floor(TRY_CAST(raw AS DOUBLE)) AS INTEGER) AS label FROM r""")
+SELECT doc_id, raw, CAST(trunc(TRY_CAST(raw AS DOUBLE)) AS INTEGER) AS label FROM r""")
 def cast_label_variants(spark, d):
     lab = A.table(spark, d, "labels")
     q = F.col("quality").cast("string")
-    m = F.col("doc_id") % 4
+    m = F.col("doc_id") % 6
     raw = (F.when(m == 0, F.concat(q, F.lit(".0"))).when(m == 1, q)
-           .when(m == 2, F.concat(q, F.lit(".9"))).otherwise(F.lit("x")))
+           .when(m == 2, F.concat(q, F.lit(".9"))).when(m == 3, F.concat(F.lit("-"), q, F.lit(".5")))
+           .when(m == 4, F.lit("-1.9")).otherwise(F.lit("x")))
     return lab.select("doc_id", raw.alias("raw")).withColumn("label", T.cast_label("raw"))
 
 
@@ -136,7 +138,7 @@ def value_shares_lang(spark, d):
 
 
 @register("load_report", f"""WITH x AS (
-  SELECT d.source, d.text, CAST(floor(TRY_CAST(CAST(l.quality AS VARCHAR) AS DOUBLE)) AS INTEGER) AS lab
+  SELECT d.source, d.text, CAST(trunc(TRY_CAST(CAST(l.quality AS VARCHAR) AS DOUBLE)) AS INTEGER) AS lab
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
 y AS (SELECT *, (text IS NOT NULL AND {S("text")} <> '' AND lab IS NOT NULL) AS kept FROM x)
 SELECT source, count(*) AS loaded, count(*) FILTER (WHERE kept) AS kept,

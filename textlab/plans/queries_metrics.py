@@ -62,27 +62,28 @@ s AS (SELECT p.model, t.i,
   count(*) FILTER (WHERE NOT (p.prob > t.th) AND p.label = 1) AS fn
   FROM predictions p, t GROUP BY p.model, t.i),
 f AS (SELECT model, round(i / 20.0, 2) AS threshold, tp, fp, fn,
-             round({_div('2 * tp', '2 * tp + fp + fn')}, 6) AS f1 FROM s)"""
+             {_div('2 * tp', '2 * tp + fp + fn')} AS f1 FROM s)"""
 
 
-@register("threshold_sweep", SWEEP_SQL + "\nSELECT * FROM f")
+@register("threshold_sweep", SWEEP_SQL + "\nSELECT * REPLACE (round(f1, 6) AS f1) FROM f")
 def threshold_sweep(spark, d):
     return M.threshold_sweep(A.predictions(spark, d), ["model"])
 
 
 @register("best_threshold", SWEEP_SQL + """,
 b AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY f1 DESC, threshold ASC) AS rn FROM f)
-SELECT model, CASE WHEN f1 > 0 THEN threshold ELSE 0.5 END AS best_threshold, f1 AS best_f1
+SELECT model, CASE WHEN f1 > 0 THEN threshold ELSE 0.5 END AS best_threshold, round(f1, 6) AS best_f1
 FROM b WHERE rn = 1""")
 def best_threshold(spark, d):
     return M.best_threshold(A.predictions(spark, d), ["model"])
 
 
 @register("leaderboard", COUNTS_SQL + f""",
-m AS (SELECT model, round({_div('tp + tn', 'tp + fp + fn + tn')}, 6) AS accuracy,
-  round({_div('tp', 'tp + fp')}, 6) AS precision, round({_div('tp', 'tp + fn')}, 6) AS recall,
-  round({_div('2 * tp', '2 * tp + fp + fn')}, 6) AS f1 FROM c)
-SELECT *, CAST(row_number() OVER (ORDER BY f1 DESC, model) AS INTEGER) AS rank,
+m AS (SELECT model, {_div('tp + tn', 'tp + fp + fn + tn')} AS accuracy,
+  {_div('tp', 'tp + fp')} AS precision, {_div('tp', 'tp + fn')} AS recall,
+  {_div('2 * tp', '2 * tp + fp + fn')} AS f1 FROM c)
+SELECT model, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall,
+       round(f1, 6) AS f1, CAST(row_number() OVER (ORDER BY f1 DESC, model) AS INTEGER) AS rank,
        row_number() OVER (ORDER BY f1 DESC, model) = 1 AS is_best FROM m""")
 def leaderboard(spark, d):
     return M.leaderboard(A.predictions(spark, d))
@@ -92,7 +93,7 @@ def leaderboard(spark, d):
 SELECT label, n_c, round(sqrt(sum(n_c) OVER () / (count(*) OVER () * n_c)), 6) AS weight FROM c""")
 def class_weights(spark, d):
     lab = A.table(spark, d, "labels").select(F.col("quality").alias("label"))
-    return M.class_weights(lab, "label")
+    return M.class_weights(lab, "label").withColumn("weight", F.round("weight", 6))
 
 
 @register("fixed_class_weights", """SELECT doc_id, quality AS label,
@@ -118,7 +119,7 @@ def score_models_q(spark, d):
 
     def scorer(name, w):
         def fn(df):
-            p = F.round((1 - w) * hfrac(F.lit(name), F.col("doc_id")) + w * F.col("label"), 6)
+            p = (1 - w) * hfrac(F.lit(name), F.col("doc_id")) + w * F.col("label")
             return df.withColumn("prediction", V.threshold_predict(p, 0.5))
         return fn
 

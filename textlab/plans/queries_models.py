@@ -37,7 +37,7 @@ def pca_projection(spark, d):
 @register("prototype_clusters")
 def prototype_clusters_q(spark, d):
     v = A.two_class_vectors(spark, d)
-    return prototype_clusters(v, "embedding", 4, 16).select("id", "label", "cluster")
+    return prototype_clusters(v, "embedding", 4).select("id", "label", "cluster")
 
 
 def _labelled_vectors(spark, d):
@@ -58,8 +58,8 @@ def domain_shift_auc_q(spark, d):
 @register("sweep_best_trial")
 def sweep_best_trial(spark, d):
     s = _labelled_vectors(spark, d)
-    trials, _model = sweep(s.where("split = 'train'"), "label", "embedding", parallelism=2)
-    return best_trial(trials.withColumnRenamed("auc", "eval_f1"), "trial", "eval_f1")
+    trials, _model, _threshold = sweep(s.where("split = 'train'"), s.where("split = 'val'"))
+    return best_trial(trials, "trial", "eval_f1")
 
 
 @register("weighted_text_classifier")

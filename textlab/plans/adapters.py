@@ -99,17 +99,29 @@ def predictions(spark, sf_dir) -> DataFrame:
                     prob.alias("prob"), (prob > 0.5).cast("int").alias("prediction"))
 
 
-def _first_words(n: int = 40):
-    return F.regexp_replace(F.substring(F.substring_index("text", "\n", 1), 1, n), r"[\"\\0-9]", "")
+# Conversation turns follow the documents in the reply jobs' ids.
+TURN_IDS = 10_000_000_000
+
+
+def reply_texts(spark, sf_dir) -> DataFrame:
+    """(doc_id, text): whole documents and whole conversation turns, what the reply jobs read."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    c = table(spark, sf_dir, "conversations")
+    return d.unionByName(c.select((F.lit(TURN_IDS) + F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text"))
+
+
+def _is_positive() -> F.Column:
+    from textlab.functions.lexicon import has_keyword
+    return F.coalesce(has_keyword("text", TEST_LEXICON), F.lit(False))
 
 
 def replies(spark, sf_dir) -> DataFrame:
-    """Model-style replies in five shapes (clean, digit in a sentence, no digit,
-    empty, label line with spaces) by ``doc_id % 5``."""
-    d = table(spark, sf_dir, "documents")
-    lab = (hfrac("reply", F.col("doc_id")) < 0.5).cast("int").cast("string")
-    w = _first_words()
-    k = F.col("doc_id") % 5
+    """Replies as the lexicon model gives them: the label is the lexicon rule on the message, and the shape
+    (clean, digit in a sentence, no digit, empty, label line with spaces) follows its length."""
+    d = reply_texts(spark, sf_dir)
+    lab = _is_positive().cast("int").cast("string")
+    w = F.coalesce("text", F.lit(""))
+    k = F.length(w) % 5
     reply = (F.when(k == 0, F.concat(F.lit("Reads as: "), w, F.lit("\n"), lab))
              .when(k == 1, F.concat(F.lit("Label "), lab, F.lit(" because "), w))
              .when(k == 2, F.concat(F.lit("Unsure: "), w))
@@ -119,17 +131,19 @@ def replies(spark, sf_dir) -> DataFrame:
 
 
 def json_replies(spark, sf_dir) -> DataFrame:
-    """JSON replies: plain, fenced, fenced after a newline, missing key, broken."""
+    """JSON replies over the whole message, escaped by the JSON writer: plain, fenced, fenced after a
+    newline, missing key, broken off."""
     d = table(spark, sf_dir, "documents")
-    w = _first_words(30)
-    sent = F.when(hfrac("sent", F.col("doc_id")) < 0.5, "positive").otherwise("negative")
-    body = F.concat(F.lit('{"DM": "'), w, F.lit('", "Sentiment": "'), sent, F.lit('"}'))
-    k = F.col("doc_id") % 5
+    sent = F.when(_is_positive(), "positive").otherwise("negative")
+    w = F.coalesce("text", F.lit(""))
+    body = F.to_json(F.struct(w.alias("DM"), sent.alias("Sentiment")))
+    short = F.to_json(F.struct(w.alias("DM")))
+    k = F.length(w) % 5
     reply = (F.when(k == 0, body)
              .when(k == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
              .when(k == 2, F.concat(F.lit("\n```json\n"), body, F.lit("\n```")))
-             .when(k == 3, F.concat(F.lit('{"DM": "'), w, F.lit('"}')))
-             .otherwise(F.concat(F.lit('{"DM": "'), w, F.lit('", "Sentiment": '))))
+             .when(k == 3, short)
+             .otherwise(F.concat(F.substr(short, F.lit(1), F.length(short) - 1), F.lit(', "Sentiment": '))))
     return d.select(F.col("doc_id").alias("post_id"), reply.alias("reply"))
 
 

@@ -1,50 +1,42 @@
 """Deterministic stand-ins for the hosted / local models, as pandas functions.
 
-They produce the same reply shapes as the ``replies`` / ``json_replies``
-adapters (so SQL can check the parsing jobs), but run inside
-``mapInPandas`` like a real model client would.
+They apply the lexicon rule to the whole message and answer in the same shapes as the ``replies`` /
+``json_replies`` adapters (so SQL can check the parsing jobs), but run inside ``mapInPandas`` like a
+real model client would. Nothing but the message is read.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
+import json
 
 import pandas as pd
 
-_STRIP_CHARS = re.compile(r'["\\0-9]')
+from textlab.plans.adapters import TEST_LEXICON
 
 
-def _hfrac(salt: str, key) -> float:
-    h = hashlib.md5(f"{salt}:{key}".encode()).hexdigest()
-    return int(h[:8], 16) / 4294967296.0
-
-
-def _first_words(text: str, n: int) -> str:
-    first = (text or "").split("\n", 1)[0]
-    return _STRIP_CHARS.sub("", first[:n])
+def _positive(text: str) -> bool:
+    low = text.lower()
+    return any(w in low for w in TEST_LEXICON)
 
 
 def two_line_reply_model(pdf: pd.DataFrame) -> pd.Series:
-    """Replies in five shapes by ``doc_id % 5``."""
+    """Replies in five shapes by the message's length."""
     out = []
-    for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-        lab = "1" if _hfrac("reply", int(doc_id)) < 0.5 else "0"
-        w = _first_words(text, 40)
-        k = int(doc_id) % 5
+    for text in pdf["text"]:
+        w = text or ""
+        lab = str(int(_positive(w)))
         out.append(["Reads as: " + w + "\n" + lab, "Label " + lab + " because " + w,
-                    "Unsure: " + w, "", w + "\n   " + lab + "  "][k])
+                    "Unsure: " + w, "", w + "\n   " + lab + "  "][len(w) % 5])
     return pd.Series(out, index=pdf.index, dtype=object)
 
 
 def json_reply_model(pdf: pd.DataFrame) -> pd.Series:
-    """JSON replies: plain, fenced, fenced after a newline, missing key, broken."""
+    """JSON replies: plain, fenced, fenced after a newline, missing key, broken off."""
     out = []
-    for pid, text in zip(pdf["post_id"], pdf["text"]):
-        w = _first_words(text, 30)
-        sent = "positive" if _hfrac("sent", int(pid)) < 0.5 else "negative"
-        body = '{"DM": "' + w + '", "Sentiment": "' + sent + '"}'
-        k = int(pid) % 5
+    for text in pdf["text"]:
+        w = text or ""
+        body = json.dumps({"DM": w, "Sentiment": "positive" if _positive(w) else "negative"}, ensure_ascii=False)
+        short = json.dumps({"DM": w}, ensure_ascii=False)
         out.append([body, "```json\n" + body + "\n```", "\n```json\n" + body + "\n```",
-                    '{"DM": "' + w + '"}', '{"DM": "' + w + '", "Sentiment": '][k])
+                    short, short[:-1] + ', "Sentiment": '][len(w) % 5])
     return pd.Series(out, index=pdf.index, dtype=object)

@@ -22,25 +22,26 @@ from textlab.plans.registry import register
 S = O.strip
 
 
-def _w(n: int) -> str:
-    return f"regexp_replace(substr(split_part(text, chr(10), 1), 1, {n}), '[\"\\\\0-9]', '', 'g')"
-
+_TEST_HIT = ("len(list_filter([" + ", ".join(f"'{w}'" for w in A.TEST_LEXICON)
+             + "], lambda k: contains(lower(coalesce(text, '')), k))) > 0")
 
 REPLIES_CTE = f"""replies AS (
-  SELECT doc_id, text, CASE doc_id % 5
-    WHEN 0 THEN 'Reads as: ' || {_w(40)} || chr(10) || lab
-    WHEN 1 THEN 'Label ' || lab || ' because ' || {_w(40)}
-    WHEN 2 THEN 'Unsure: ' || {_w(40)}
+  SELECT doc_id, text, CASE length(w) % 5
+    WHEN 0 THEN 'Reads as: ' || w || chr(10) || lab
+    WHEN 1 THEN 'Label ' || lab || ' because ' || w
+    WHEN 2 THEN 'Unsure: ' || w
     WHEN 3 THEN ''
-    ELSE {_w(40)} || chr(10) || '   ' || lab || '  ' END AS reply
-  FROM (SELECT *, CAST(CAST({O.hfrac("'reply'", 'doc_id')} < 0.5 AS INTEGER) AS VARCHAR) AS lab FROM documents))"""
+    ELSE w || chr(10) || '   ' || lab || '  ' END AS reply
+  FROM (SELECT *, coalesce(text, '') AS w, CAST(CAST({_TEST_HIT} AS INTEGER) AS VARCHAR) AS lab
+        FROM (SELECT doc_id, text FROM documents
+              UNION ALL SELECT 10000000000 + conv_id * 1000 + turn, text FROM conversations)))"""
 
 _LB = "'\\r\\n|[\\n\\x0B\\x0C\\r\\x{85}\\x{2028}\\x{2029}]'"
 
 PARSED_CTE = REPLIES_CTE + f""",
 p0 AS (SELECT doc_id, {S("coalesce(reply, '')")} AS r FROM replies),
 p1 AS (SELECT doc_id, r, list_filter(list_transform(string_split_regex(r, {_LB}), lambda x: {S('x')}), lambda x: x <> '') AS lines,
-              regexp_extract(r, '\\b([01])\\b', 1) AS digit FROM p0),
+              regexp_extract(r, '(?:^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])([01])(?:$|[^\\p{{L}}\\p{{M}}\\p{{N}}_])', 1) AS digit FROM p0),
 p2 AS (SELECT doc_id, r, lines, digit, len(lines) AS n,
               CASE WHEN len(lines) > 0 THEN lines[len(lines)] END AS last,
               {S("array_to_string(lines[1:len(lines) - 1], ' ')")} AS earlier FROM p1),
@@ -60,20 +61,20 @@ def parse_two_line(spark, d):
 
 @register("label_with_reply_model", f"WITH {PARSED_CTE}\nSELECT doc_id, label, explanation FROM parsed")
 def label_with_reply_model_q(spark, d):
-    docs = A.table(spark, d, "documents").select("doc_id", "text")
-    return label_with_reply_model(docs, FM.two_line_reply_model).select("doc_id", "label", "explanation")
+    return label_with_reply_model(A.reply_texts(spark, d), FM.two_line_reply_model).select("doc_id", "label", "explanation")
 
 
 def _json_replies_sql() -> str:
-    sent = f"CASE WHEN {O.hfrac(chr(39) + 'sent' + chr(39), 'doc_id')} < 0.5 THEN 'positive' ELSE 'negative' END"
-    body = f"'{{\"DM\": \"' || {_w(30)} || '\", \"Sentiment\": \"' || {sent} || '\"}}'"
+    sent = f"CASE WHEN {_TEST_HIT} THEN 'positive' ELSE 'negative' END"
+    body = f"CAST(json_object('DM', coalesce(text, ''), 'Sentiment', {sent}) AS VARCHAR)"
+    short = "CAST(json_object('DM', coalesce(text, '')) AS VARCHAR)"
     return f"""json_replies AS (
-  SELECT doc_id AS post_id, CASE doc_id % 5
+  SELECT doc_id AS post_id, CASE length(coalesce(text, '')) % 5
     WHEN 0 THEN {body}
     WHEN 1 THEN '```json' || chr(10) || {body} || chr(10) || '```'
     WHEN 2 THEN chr(10) || '```json' || chr(10) || {body} || chr(10) || '```'
-    WHEN 3 THEN '{{"DM": "' || {_w(30)} || '"}}'
-    ELSE '{{"DM": "' || {_w(30)} || '", "Sentiment": ' END AS reply FROM documents),
+    WHEN 3 THEN {short}
+    ELSE left({short}, -1) || ', "Sentiment": ' END AS reply FROM documents),
 j0 AS (SELECT post_id, {S(f"regexp_replace(regexp_replace({S('reply')}, '^```(json)?', ''), '```$', '')")} AS body
        FROM json_replies),
 jp AS (SELECT post_id, (json_valid(body) AND starts_with(body, '{{')) AS ok, body FROM j0),

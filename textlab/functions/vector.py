@@ -84,9 +84,3 @@ def sigmoid(x) -> Column:
 def threshold_predict(p, t: float = 0.5) -> Column:
     """Strict ``p > t`` as 0/1."""
     return (_col(p) > F.lit(t)).cast("int")
-
-
-def nearest_centroid(vec, centroids: Sequence[Sequence[float]]) -> tuple[Column, Column]:
-    """(cluster id, squared distance) of the nearest literal centroid; lowest id on ties."""
-    dists = F.array(*[sq_euclidean(vec, lit_vector(c)) for c in centroids])
-    return argmin(dists), F.array_min(dists)

@@ -24,10 +24,6 @@ def group_mean_vector(df: DataFrame, group_col: str, vec_col: str = "embedding",
             .select(group_col, F.transform("_pv", lambda s: s["v"]).alias(out_col)))
 
 
-def group_sizes(df: DataFrame, group_col: str) -> DataFrame:
-    return df.groupBy(group_col).agg(F.count(F.lit(1)).alias("n"))
-
-
 def attach_centroid(df: DataFrame, centroids: DataFrame, group_col: str,
                     vec_col: str = "embedding", centroid_col: str = "centroid",
                     out_col: str = "dist") -> DataFrame:

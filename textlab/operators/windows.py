@@ -18,14 +18,14 @@ def running_best(df: DataFrame, group_col: str, order_col: str, metric_col: str,
     """``is_best = metric >= max(previous metrics of the group)``.
 
     A group may hold a third of all rows, so it is cut into blocks of
-    ``block`` consecutive order values. (1) max per (group, block): n / block
+    ``block`` consecutive rows (by position, whatever the order values are). (1) max per (group, block): n / block
     rows; (2) prefix max of earlier blocks with a window over that small
     table; (3) within-block running max with a window partitioned by
     (group, block). No task ever sees more than one block of a group.
     The first non-null value is a best; a null metric is never a best.
     """
-    b = F.floor(F.col(order_col) / F.lit(block)).cast("bigint")
-    x = df.withColumn("_blk", b)
+    x = group_row_number(df, [group_col], [order_col], "_rn")
+    x = x.withColumn("_blk", F.floor((F.col("_rn") - 1) / F.lit(block)).cast("bigint"))
     bm = x.groupBy(group_col, "_blk").agg(F.max(metric_col).alias("_bmax"))
     prior = bm.withColumn(
         "_prior", F.max("_bmax").over(Window.partitionBy(group_col).orderBy("_blk")
@@ -40,60 +40,24 @@ def running_best(df: DataFrame, group_col: str, order_col: str, metric_col: str,
     m = F.col(metric_col)
     return (y.withColumn("prev_best", prev)
             .withColumn(out_col, m.isNotNull() & (prev.isNull() | (m >= prev)))
-            .drop("_blk", "_within", "_prior"))
+            .drop("_blk", "_within", "_prior", "_rn"))
 
 
-def _same_key(a: tuple, b: tuple) -> bool:
-    import pandas as pd
-    return all((x == y) or (pd.isna(x) and pd.isna(y)) for x, y in zip(a, b))
+def _range_slices(df: DataFrame, n: int | None, group_cols: Sequence[str], order_cols: Sequence[str]) -> DataFrame:
+    """Range-partition by (group, order), sort inside each slice and number the rows of the slice
+    (``_pid`` the slice, ``_at`` the 0-based place in it), then stage the result in the shared folder.
 
-
-def _range_slices(df: DataFrame, n: int, group_cols: Sequence[str], order_cols: Sequence[str]) -> DataFrame:
-    """Range-partition by (group, order), sort inside each slice and number
-    the rows of each group within the slice (``_local``, 1-based) in one
-    pass, then write the result with its slice id (``_pid``) to the shared
-    checkpoint folder.
-
-    Staging fixes the slicing: Spark's range partitioner samples with a seed
-    tied to the RDD id, so two reads of an unmaterialised range exchange may
-    disagree on slice ids. Numbering inside the same stage as the range
-    exchange avoids a second full shuffle for a window.
+    ``monotonically_increasing_id`` carries both numbers, so rows never leave the JVM. Staging fixes the
+    slicing: Spark's range partitioner samples with a seed tied to the RDD id, so two reads of an
+    unmaterialised range exchange may disagree. Without ``n`` the slices follow the measured bytes
+    (AQE joins small ones up to its advisory size).
     """
-    import numpy as np
-    from pyspark.sql.types import LongType, StructType
-
     from textlab.session import stage
-    keys = list(group_cols)
-    r = (df.repartitionByRange(n, *keys, *order_cols).sortWithinPartitions(*keys, *order_cols)
-         .withColumn("_pid", F.spark_partition_id()))
-    schema = StructType(list(r.schema.fields)).add("_local", LongType())
-
-    def run(it):
-        prev_key, prev_cnt = None, 0
-        for pdf in it:
-            if not len(pdf):
-                continue
-            m = len(pdf)
-            if keys:
-                kv = pdf[keys]
-                prev = kv.shift()
-                same = (kv == prev) | (kv.isna() & prev.isna())  # null keys form one group
-                new = (~same).any(axis=1).to_numpy().copy()
-                first_key, last_key = tuple(kv.iloc[0]), tuple(kv.iloc[-1])
-            else:
-                new = np.zeros(m, dtype=bool)
-                first_key = last_key = ()
-            new[0] = True
-            run_id = np.cumsum(new)
-            starts = np.nonzero(new)[0]
-            local = np.arange(m) - starts[run_id - 1] + 1
-            if prev_key is not None and _same_key(first_key, prev_key):
-                local[run_id == 1] += prev_cnt
-            pdf["_local"] = local.astype(np.int64)
-            prev_key, prev_cnt = last_key, int(local[-1])
-            yield pdf
-
-    return stage(r.mapInPandas(run, schema), "slices")
+    keys = [*group_cols, *order_cols]
+    r = df.repartitionByRange(n, *keys) if n else df.repartitionByRange(*keys)
+    r = stage(r.sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id()), "slices")
+    return (r.withColumn("_pid", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND((1 << 33) - 1))
+            .drop("_id"))
 
 
 def row_index(df: DataFrame, order_cols: Sequence[str], out_col: str = "idx",
@@ -105,21 +69,14 @@ def row_index(df: DataFrame, order_cols: Sequence[str], out_col: str = "idx",
     tiny table), prefix-sum those counts and add them (broadcast). One
     shuffle, no single-partition window.
     """
-    n_parts = n_parts or df.sparkSession.sparkContext.defaultParallelism
     r = _range_slices(df, n_parts, [], order_cols)
     counts = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offs = counts.withColumn("_off", F.coalesce(
         F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0))).select("_pid", "_off")
     return (r.join(F.broadcast(offs), "_pid")  # one row per slice
-            .withColumn(out_col, (F.col("_off") + F.col("_local") - 1).cast("bigint"))
-            .drop("_pid", "_off", "_local"))
-
-
-def _n_parts(df: DataFrame, n_parts: int | None) -> int:
-    if n_parts:
-        return n_parts
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+            .withColumn(out_col, (F.col("_off") + F.col("_at")).cast("bigint"))
+            .drop("_pid", "_off", "_at"))
 
 
 def group_row_number(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
@@ -133,17 +90,17 @@ def group_row_number(df: DataFrame, group_cols: Sequence[str], order_cols: Seque
     rows), prefix-summed per group and added back with a join on
     (group, slice), which AQE broadcasts when that table is small.
     """
-    n = _n_parts(df, n_parts)
-    r = _range_slices(df, n, group_cols, order_cols)
-    counts = r.groupBy(*group_cols, "_pid").agg(F.count(F.lit(1)).alias("_n"))
+    r = _range_slices(df, n_parts, group_cols, order_cols)
+    # a group's rows are together in a slice: its first place there makes the numbers start at 1
+    counts = r.groupBy(*group_cols, "_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(
         Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0))).drop("_n")
-    o = offs.select(*[F.col(g).alias(f"_o_{g}") for g in group_cols], F.col("_pid").alias("_o_pid"), "_off")
+    o = offs.select(*[F.col(g).alias(f"_o_{g}") for g in group_cols], F.col("_pid").alias("_o_pid"), "_off", "_first")
     cond = [r[g].eqNullSafe(o[f"_o_{g}"]) for g in group_cols] + [r["_pid"] == o["_o_pid"]]  # null keys too
     return (r.join(o, cond)
-            .withColumn(out_col, (F.col("_off") + F.col("_local")).cast("bigint"))
-            .drop("_pid", "_off", "_local", "_o_pid", *[f"_o_{g}" for g in group_cols]))
+            .withColumn(out_col, (F.col("_off") + F.col("_at") - F.col("_first") + 1).cast("bigint"))
+            .drop("_pid", "_off", "_at", "_first", "_o_pid", *[f"_o_{g}" for g in group_cols]))
 
 
 def cumulative_sum(df: DataFrame, order_cols: Sequence[str], value_cols: Sequence[str],
@@ -151,8 +108,7 @@ def cumulative_sum(df: DataFrame, order_cols: Sequence[str], value_cols: Sequenc
     """Running totals over the whole table in ``order_cols`` order without a
     single-partition window: per range partition totals (one row each) are
     prefix-summed and broadcast, then each partition sums its own rows."""
-    n = _n_parts(df, n_parts)
-    r = _range_slices(df, n, [], order_cols)
+    r = _range_slices(df, n_parts, [], order_cols)
     tot = r.groupBy("_pid").agg(*[F.sum(c).alias(f"_t_{c}") for c in value_cols])
     wp = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offs = tot.select("_pid", *[F.coalesce(F.sum(f"_t_{c}").over(wp), F.lit(0)).alias(f"_o_{c}")
@@ -161,7 +117,7 @@ def cumulative_sum(df: DataFrame, order_cols: Sequence[str], value_cols: Sequenc
     out = r.join(F.broadcast(offs), "_pid")
     for c in value_cols:
         out = out.withColumn(prefix + c, (F.col(f"_o_{c}") + F.sum(c).over(w)).cast("bigint"))
-    return out.drop("_pid", *[f"_o_{c}" for c in value_cols])
+    return out.drop("_pid", "_at", *[f"_o_{c}" for c in value_cols])
 
 
 def batch_examples(df: DataFrame, idx_col: str, label_col: str = "label", batch_size: int = 100,

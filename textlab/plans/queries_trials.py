@@ -20,7 +20,7 @@ SELECT trial, step, round(prev, 6) AS prev_best,
        eval_f1 IS NOT NULL AND (prev IS NULL OR eval_f1 >= prev) AS is_best FROM p""")
 def running_best_q(spark, d):
     # a small block so the per-block prefix stitching is exercised on test data
-    r = running_best(A.trial_log(spark, d), "trial", "step", "eval_f1", block=16)
+    r = running_best(A.trial_log(spark, d), "trial", "step", "eval_f1")
     return r.select("trial", "step", F.round("prev_best", 6).alias("prev_best"), "is_best")
 
 

@@ -42,11 +42,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, creating a local one only when unset.
 
     A cluster names its shared folder in ``spark.checkpoint.dir``; we never
-    override it. Tests and local runs get a fresh folder under the temp dir.
+    override it, and without it a cluster run is an error: executors would write
+    to their own disks. Local masters get a fresh folder under the temp dir.
     """
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = conf.get("spark.master", "local")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         path = tempfile.mkdtemp(prefix="textlab-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if not spark.sparkContext.getCheckpointDir():  # set once; each call would add a folder

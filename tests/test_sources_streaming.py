@@ -131,12 +131,86 @@ def test_streaming_progress_and_dedup(spark, tmpdir_fresh):
     R.streaming_progress(spark, src + "/*", st, out, os.path.join(tmpdir_fresh, "ck2"))
     tot = R.running_totals(spark, out).orderBy("batch_id").collect()
     assert tot[-1]["cum_total"] == 30 and tot[-1]["cum_nulls"] == 10
-    # Dedup on a stream of events with repeated keys
-    ev = os.path.join(tmpdir_fresh, "ev")
-    spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:00:05"), (2, "2024-01-01 00:01:00")],
-                          "key long, ts string").withColumn("ts", F.to_timestamp("ts")).write.parquet(ev)
-    stream = spark.readStream.schema("key long, ts timestamp").parquet(ev)
-    q = (R.streaming_dedup(stream, "key", "ts", "10 minutes").writeStream.format("memory")
-         .queryName("dedup_out").trigger(availableNow=True).start())
-    q.awaitTermination()
-    assert spark.sql("SELECT * FROM dedup_out").count() == 2
+
+
+@pytest.mark.parametrize("newest_first", [False, True])
+def test_streaming_dedup_does_not_depend_on_batches(spark, tmpdir_fresh, newest_first):
+    rows = [(k, t, f"v{t}") for t, k in enumerate([1, 2, 1, 3, None, 2, 4, 1, None, 3, 5, 5])]
+    src = os.path.join(tmpdir_fresh, "ev")
+    parts = [rows[i:i + 2] for i in range(0, 12, 2)]
+    for i, part in enumerate(parts[::-1] if newest_first else parts):
+        spark.createDataFrame(part, "key long, at long, v string").coalesce(1).write.parquet(f"{src}/f{i}")
+    stream = R.table_stream(spark, src + "/*", max_files=1)
+    out = R.streaming_dedup(stream, "key", "at", tmpdir_fresh + "/out", tmpdir_fresh + "/ck")
+    assert sorted(((r.key or 0), r.at, r.v) for r in out.collect()) == [
+        (0, 4, "v4"), (1, 0, "v0"), (2, 1, "v1"), (3, 3, "v3"), (4, 6, "v6"), (5, 10, "v10")]
+
+
+def test_score_new_files_reports_what_it_skips(spark, tmpdir_fresh):
+    src, out = os.path.join(tmpdir_fresh, "src"), os.path.join(tmpdir_fresh, "out")
+    _write_msgs(spark, src + "/f1", 0, 10)
+    spark.createDataFrame([(1,)], "other long").coalesce(1).write.parquet(src + "/f2")
+    _damaged(spark, src + "/f3")
+    st = spark.read.parquet(src + "/f1").schema
+    R.score_new_files(spark, src + "/*", st, out, tmpdir_fresh + "/ck", lambda df: df.withColumn("p", F.lit(1)),
+                      column="Message")
+    assert spark.read.parquet(out).count() == 10
+    assert sorted(r.reason for r in spark.read.parquet(out + "-report").collect()) == ["damaged", "no column Message"]
+
+
+def _damaged(spark, path):
+    """A parquet file whose footer is good and whose body is not."""
+    (spark.range(200_000).select(F.col("id").alias("message_id"), F.sha2(F.col("id").cast("string"), 256).alias("Message"))
+     .coalesce(1).write.parquet(path))
+    f = next(os.path.join(path, n) for n in os.listdir(path) if n.endswith(".parquet"))
+    crc = os.path.join(path, f".{os.path.basename(f)}.crc")
+    if os.path.exists(crc):
+        os.remove(crc)
+    with open(f, "r+b") as h:
+        size = os.path.getsize(f)
+        h.seek(size // 4)
+        h.write(os.urandom(size // 2))
+
+
+def test_read_messages_dir_reports_damaged_bodies(spark, tmpdir_fresh):
+    d = os.path.join(tmpdir_fresh, "msgs")
+    spark.createDataFrame([("a",), ("b",)], "Message string").coalesce(1).write.parquet(d + "/one")
+    _damaged(spark, d + "/two")
+    df, report = S.read_messages_dir(spark, d)
+    assert sorted(r["sentence"] for r in df.collect()) == ["a", "b"]
+    assert [r.reason for r in report.collect()] == ["damaged"]
+
+
+def test_read_posts_folder_with_mixed_headers(spark, tmpdir_fresh):
+    d = os.path.join(tmpdir_fresh, "posts")
+    os.makedirs(d)
+    for name, text in (("a.csv", 'title,selftext_or_url_reference,retrieved_on\nA,b,1\n'),
+                       ("b.csv", 'retrieved_on,extra,title,selftext_or_url_reference\n2,x,B,"c\nd"\n')):
+        with open(os.path.join(d, name), "w") as f:
+            f.write(text)
+    rows = S.read_posts(spark, d).orderBy("retrieved_on").collect()
+    assert [tuple(r) for r in rows] == [("A", "b", "1"), ("B", "c\nd", "2")]
+
+
+def test_stage_follows_its_inputs(spark, tmpdir_fresh):
+    src = os.path.join(tmpdir_fresh, "in")
+    spark.range(3).write.parquet(src)
+    build = lambda: spark.read.parquet(src)
+    get = lambda: S.materialize_stage(spark, tmpdir_fresh, "s", {}, build, [src]).count()
+    assert get() == 3
+    spark.range(2).write.mode("append").parquet(src)
+    assert get() == 5
+
+
+def test_cluster_needs_a_shared_folder(monkeypatch):
+    from textlab import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return "spark://host:7077" if key == "spark.master" else default
+
+    class Fake:
+        conf = Conf()
+        sparkContext = type("C", (), {"getConf": staticmethod(lambda: Conf())})()
+    with pytest.raises(ValueError):
+        session.ensure_checkpoint_dir(Fake())

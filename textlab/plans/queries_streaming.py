@@ -33,38 +33,34 @@ def stream_score_files(spark, d):
         return df.select("event_id", "user_id",
                          (hfrac("score", F.col("event_id")) > 0.5).cast("int").alias("prediction"))
 
-    score_new_files(spark, d, src.schema, root + "/out", root + "/ck", score, glob="events.parquet")
+    score_new_files(spark, f"{d}/events.parquet", src.schema, root + "/out", root + "/ck", score)
     return spark.read.parquet(root + "/out").select("event_id", "user_id", "prediction")
 
 
-@register("stream_dedup_events", "SELECT DISTINCT user_id, event_type FROM events")
+@register("stream_dedup_events", """SELECT user_id, event_type, arg_min(event_id, {'ts': ts, 'event_id': event_id}) AS event_id
+FROM events GROUP BY user_id, event_type""")
 def stream_dedup_events(spark, d):
-    """Watermark-bounded dedup of arriving events on (user, event type);
-    returns the kept keys."""
-    src = spark.read.parquet(f"{d}/events.parquet")
+    """Dedup of arriving events on (user, event type): the first event of each by (ts, event_id)."""
+    from textlab.streaming.jobs import table_stream
     root = _scratch(spark, "dedup")
-    stream = (spark.readStream.schema(src.schema).option("pathGlobFilter", "events.parquet").parquet(d)
-              .withColumn("ts", F.col("ts").cast("timestamp"))
-              .withColumn("key", F.concat_ws("|", F.col("user_id").cast("string"), "event_type")))
-    deduped = streaming_dedup(stream, "key", "ts", "1 hour").select("user_id", "event_type")
-    q = (deduped.writeStream.format("parquet").option("path", root + "/out")
-         .option("checkpointLocation", root + "/ck").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(root + "/out")
+    stream = (table_stream(spark, f"{d}/events.parquet")
+              .withColumn("key", F.concat_ws("|", F.col("user_id").cast("string"), "event_type"))
+              .withColumn("at", F.struct("ts", "event_id")))
+    return streaming_dedup(stream, "key", "at", root + "/out", root + "/ck").select("user_id", "event_type", "event_id")
 
 
-@register("stream_progress_totals", """SELECT CAST(0 AS BIGINT) AS batch_id, count(*) AS cum_total,
+@register("stream_progress_totals", """SELECT count(*) AS cum_total,
   count(*) FILTER (WHERE quality = 1) AS cum_positives, count(*) FILTER (WHERE quality = 0) AS cum_negatives,
   count(*) FILTER (WHERE quality IS NULL) AS cum_nulls FROM labels""")
 def stream_progress_totals(spark, d):
     """Labelling progress per micro-batch (G5 counts + first examples per
-    label, keyed by batch id) over the labels table as a file source; running
-    totals come from the per-batch sink."""
+    label, keyed by batch id) over the labels table as a file source; the totals after the
+    last batch come from the per-batch sink."""
     src = spark.read.parquet(f"{d}/labels.parquet")
     root = _scratch(spark, "progress")
-    streaming_progress(spark, d, src.schema, root + "/out", root + "/ck", label_col="quality",
-                       glob="labels.parquet")
-    return running_totals(spark, root + "/out")
+    streaming_progress(spark, f"{d}/labels.parquet", src.schema, root + "/out", root + "/ck", label_col="quality")
+    totals = running_totals(spark, root + "/out")
+    return totals.orderBy(F.desc("batch_id")).limit(1).drop("batch_id")
 
 
 def _resume_sql() -> str:
@@ -95,7 +91,7 @@ def resume_generation_slices(spark, d):
         dm, se, st = parse_json_reply("reply")
         return r.select("post_id", dm.alias("DM"), se.alias("Sentiment"), st.alias("parse"))
 
-    resume_generation(todo, out, "post_id", generate, slice_rows=250)
+    resume_generation(todo, out, "post_id", generate, slice_rows=4096)
     return spark.read.parquet(out).select("post_id", "DM", "Sentiment", "parse")
 
 

@@ -23,22 +23,20 @@ POSTS_SCHEMA = StructType([StructField("title", StringType()),
 
 def read_posts(spark: SparkSession, path, schema: StructType = POSTS_SCHEMA,
                map_null_tokens: bool = True) -> DataFrame:
-    """CSV with a header, quoted fields that hold newlines and quotes,
-    no type inference. Spark maps a CSV schema by position, so the full
-    schema is built from the header (wanted columns typed from ``schema``,
-    the rest strings) and the wanted columns are then selected by name,
-    which prunes the others. Pandas' null markers ('', 'NA', 'NaN', 'null',
-    ...) become null."""
-    header = (spark.read.option("header", True).option("inferSchema", False)
-              .option("multiLine", True).option("escape", '"').csv(path).columns)
+    """CSV with a header, quoted fields that hold newlines and quotes, no type inference, from a file,
+    a folder or a list of paths. Files may order their columns differently: each header's files are read
+    with its own layout and joined by name. Pandas' null markers ('', 'NA', 'NaN', 'null', ...) become null."""
+    paths = [path] if isinstance(path, str) else list(path)
+    files = [f for p in paths for f in _list_files(spark, p, ".csv")]
+    if not files:
+        raise ValueError(f"no CSV file under {paths}")
     wanted = {f.name: f for f in schema.fields}
-    missing = [n for n in wanted if n not in header]
-    if missing:
-        raise ValueError(f"{path} lacks columns {missing}")
-    full = StructType([wanted.get(h, StructField(h, StringType())) for h in header])
-    df = (spark.read.option("header", True).option("multiLine", True)
-          .option("escape", '"').option("quote", '"')
-          .schema(full).csv(path).select(*wanted))
+    headers = csv_headers(spark, files)
+    for f, names in headers.items():
+        missing = [n for n in wanted if n not in (names or [])]
+        if missing:
+            raise ValueError(f"{f} lacks columns {missing}")
+    df = _by_layout(spark, headers, list(wanted), schema)
     if map_null_tokens:
         for f in schema.fields:
             if isinstance(f.dataType, StringType):
@@ -46,6 +44,73 @@ def read_posts(spark: SparkSession, path, schema: StructType = POSTS_SCHEMA,
     return df
 
 
+def _by_layout(spark: SparkSession, headers: Mapping[str, list[str]], columns: Sequence[str],
+               schema: StructType | None = None, source_file: bool = False) -> DataFrame:
+    """One scan per header layout (Spark maps a CSV schema by position), united by name."""
+    layouts: dict[tuple, list[str]] = {}
+    for f, names in headers.items():
+        layouts.setdefault(tuple(names), []).append(f)
+    typed = {f.name: f for f in schema.fields} if schema else {}
+    keep = [*columns, *([F.col("_metadata.file_path").alias("source_file")] if source_file else [])]
+    parts = [spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("quote", '"')
+             .schema(StructType([typed.get(n, StructField(n, StringType())) for n in names])).csv(fs).select(*keep)
+             for names, fs in layouts.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _each(fn, items: Sequence) -> list:
+    """Apply ``fn`` to all items, some at a time: file heads wait for the store, not for the driver."""
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(16) as pool:
+        return list(pool.map(fn, items))
+
+
+def csv_headers(spark: SparkSession, paths: Sequence[str], head_bytes: int = 1 << 16) -> dict[str, list[str] | None]:
+    """The column names of each CSV file (None if unreadable), from its first bytes; no Spark job runs."""
+    import csv
+    import io
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def head(path: str):
+        try:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            stream = p.getFileSystem(conf).open(p)
+            try:
+                data = bytes(stream.readNBytes(head_bytes))
+            finally:
+                stream.close()
+            return next(csv.reader(io.StringIO(data.decode("utf-8-sig", "replace"), newline="")), None)
+        except Exception as e:  # noqa: BLE001 - reported by the caller
+            log.warning("unreadable file %s: %s", path, e)
+            return None
+
+    return dict(zip(paths, _each(head, paths)))
+
+
+def intact(spark: SparkSession, paths: Sequence[str], column: str, fmt: str = "parquet") -> tuple[list[str], list[str]]:
+    """(files whose ``column`` can be read to the end, files whose cannot).
+
+    One job reads them all; only if it fails are the paths halved, so b damaged files cost about
+    b log n further jobs. A file with a good footer and a damaged body is found here, not lost later.
+    """
+    if not paths:
+        return [], []
+    try:
+        spark.read.format(fmt).option("ignoreCorruptFiles", False).load(list(paths)).agg(F.max(F.xxhash64(column))).collect()
+        return list(paths), []
+    except Exception as e:  # noqa: BLE001 - the file is named in the report
+        if len(paths) == 1:
+            log.warning("damaged file %s: %s", paths[0], str(e)[:200])
+            return [], list(paths)
+    half = len(paths) // 2
+    good, bad = intact(spark, paths[:half], column, fmt)
+    more, worse = intact(spark, paths[half:], column, fmt)
+    return good + more, bad + worse
+
+
 def _list_files(spark: SparkSession, path: str, suffix: str) -> list[str]:
     """List data files under ``path`` through Hadoop's FileSystem (any store)."""
     jvm = spark.sparkContext._jvm
@@ -78,75 +143,65 @@ def file_schema(spark: SparkSession, path: str, fmt: str = "parquet") -> StructT
         return None
 
 
+def _columns(spark: SparkSession, paths: Sequence[str], fmt: str) -> dict[str, list[str] | None]:
+    """Column names by file, None if its head or footer cannot be read."""
+    if fmt == "csv":
+        return csv_headers(spark, paths)
+    schemas = _each(lambda p: file_schema(spark, p, fmt), paths)
+    return {p: s.fieldNames() if s is not None else None for p, s in zip(paths, schemas)}
+
+
 def require_column(spark: SparkSession, paths: Sequence[str], column: str, fmt: str = "parquet"):
     """Keep the files whose schema has ``column``.
 
     Returns (valid paths, report rows (path, reason) for the skipped ones).
-    Only footers / headers are read here; the data is read by one scan later.
+    Only footers / headers are read here, several at a time; the data is read by one scan later.
     """
-    valid, skipped = [], []
-    for p in paths:
-        s = file_schema(spark, p, fmt)
-        if s is None:
-            skipped.append((p, "unreadable"))
-        elif column not in s.fieldNames():
-            skipped.append((p, f"no column {column}"))
-        else:
-            valid.append(p)
+    found = _columns(spark, paths, fmt)
+    valid = [p for p in paths if found[p] is not None and column in found[p]]
+    skipped = [(p, "unreadable" if found[p] is None else f"no column {column}") for p in paths if p not in set(valid)]
     return valid, skipped
 
 
 def tolerant_union(spark: SparkSession, paths: Sequence[str], columns: Sequence[str],
                    fmt: str = "csv", schema: StructType | None = None):
     """Skip unreadable files or files missing a needed column, scan the
-    rest in **one** multi-path read, and return (DataFrame with ``source_file``,
-    report DataFrame of skipped paths). Errors only when no file is valid."""
+    rest in **one** multi-path read (per header layout for CSV), and return (DataFrame with
+    ``source_file``, report DataFrame of skipped paths). Errors only when no file is valid."""
+    found = _columns(spark, paths, fmt)
     valid, skipped = [], []
     for p in paths:
-        s = file_schema(spark, p, fmt)
-        if s is None:
+        missing = None if found[p] is None else [c for c in columns if c not in found[p]]
+        if missing is None:
             skipped.append((p, "unreadable"))
-            continue
-        missing = [c for c in columns if c not in s.fieldNames()]
-        if missing:
+        elif missing:
             skipped.append((p, "missing " + ",".join(missing)))
         else:
             valid.append(p)
+    if fmt != "csv":
+        valid, bad = intact(spark, valid, columns[0], fmt)
+        skipped += [(p, "damaged") for p in bad]
     if not valid:
         raise ValueError("No valid files among %d paths" % len(paths))
-    r = spark.read
-    if fmt == "csv":
-        # files may order their columns differently: read each header's layout
-        # as strings and align by name in one union of per-layout scans
-        layouts: dict[tuple, list[str]] = {}
-        for p in valid:
-            layouts.setdefault(tuple(file_schema(spark, p, "csv").fieldNames()), []).append(p)
-        parts = []
-        for names, ps in layouts.items():
-            sch = StructType([StructField(n, StringType()) for n in names])
-            parts.append(r.option("header", True).option("multiLine", True).option("escape", '"')
-                         .schema(sch).csv(ps)
-                         .select(*columns, F.col("_metadata.file_path").alias("source_file")))
-        df = parts[0]
-        for p in parts[1:]:
-            df = df.unionByName(p)
-        report = spark.createDataFrame(skipped, "path string, reason string")
-        return df, report
-    df = r.format(fmt).load(valid)
-    df = df.select(*columns, F.col("_metadata.file_path").alias("source_file"))
     report = spark.createDataFrame(skipped, "path string, reason string")
-    return df, report
+    if fmt == "csv":
+        return _by_layout(spark, {p: found[p] for p in valid}, columns, schema, source_file=True), report
+    df = spark.read.format(fmt).option("ignoreCorruptFiles", False).load(valid)
+    return df.select(*columns, F.col("_metadata.file_path").alias("source_file")), report
 
 
 def read_messages_dir(spark: SparkSession, path: str, column: str = "Message",
                       out_col: str = "sentence"):
     """S2 + S5: every parquet file under ``path`` that has ``column``; null
-    rows dropped; renamed to ``out_col``. Returns (DataFrame, skipped report)."""
+    rows dropped; renamed to ``out_col``. Returns (DataFrame, skipped report); a file
+    with a damaged body is in the report too, none of its rows in the DataFrame."""
     files = _list_files(spark, path, ".parquet")
     valid, skipped = require_column(spark, files, column)
+    valid, bad = intact(spark, valid, column)
+    skipped += [(p, "damaged") for p in bad]
     if not valid:
         raise ValueError(f"No parquet file under {path} has column {column}")
-    df = (spark.read.option("ignoreCorruptFiles", True).parquet(*valid)
+    df = (spark.read.option("ignoreCorruptFiles", False).parquet(*valid)
           .select(F.col(column).alias(out_col), F.col("_metadata.file_path").alias("source_file"))
           .where(F.col(out_col).isNotNull()))
     return df, spark.createDataFrame(skipped, "path string, reason string")
@@ -178,17 +233,30 @@ def write_predictions(df: DataFrame, path: str) -> None:
     write_labelled(out, path, ("model",))
 
 
-def stage_path(root: str, name: str, params: Mapping) -> str:
-    key = hashlib.sha1(json.dumps(params, sort_keys=True, default=str).encode()).hexdigest()[:16]
+def stage_path(root: str, name: str, params: Mapping, inputs: Sequence = ()) -> str:
+    key = hashlib.sha1(json.dumps([params, list(inputs)], sort_keys=True, default=str).encode()).hexdigest()[:16]
     return f"{root.rstrip('/')}/{name}-{key}"
 
 
+def input_state(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, int, int]]:
+    """(path, length, modification time) of every file under the paths: what a stage was built from."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        it = p.getFileSystem(conf).listFiles(p, True)
+        while it.hasNext():
+            f = it.next()
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(out)
+
+
 def materialize_stage(spark: SparkSession, root: str, name: str, params: Mapping,
-                      build: Callable[[], DataFrame]) -> DataFrame:
-    """Reuse a prepared dataset keyed by (name, params) if it was written
-    completely (``_SUCCESS``), else build, write once and re-read it (which
+                      build: Callable[[], DataFrame], inputs: Sequence[str] = ()) -> DataFrame:
+    """Reuse a prepared dataset keyed by (name, params, state of the input files) if it was
+    written completely (``_SUCCESS``), else build, write once and re-read it (which
     also cuts the lineage)."""
-    path = stage_path(root, name, params)
+    path = stage_path(root, name, params, input_state(spark, inputs))
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")

@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 
 from textlab.operators.aggregate import progress_summary
 from textlab.operators.joins import pending_rows
+from textlab.session import stage
 
 
 def _batch_sink(out_dir: str, partition_cols=("batch_id",)):
@@ -27,48 +28,90 @@ def _batch_sink(out_dir: str, partition_cols=("batch_id",)):
     return write
 
 
-def score_new_files(spark: SparkSession, src_dir: str, schema: StructType, out_dir: str,
+def source_of(spark: SparkSession, path: str) -> tuple[str, str | None]:
+    """(folder, file name filter) of a table that is a folder of parts (or a pattern), or one file."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(conf)
+    if fs.exists(p) and fs.getFileStatus(p).isFile():
+        return p.getParent().toString(), p.getName()
+    return path, None
+
+
+def _stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", max_files: int | None = None) -> DataFrame:
+    folder, name = source_of(spark, path)
+    r = spark.readStream.schema(schema).format(fmt).option("ignoreCorruptFiles", False)
+    if name:
+        r = r.option("pathGlobFilter", name)
+    if max_files:
+        r = r.option("maxFilesPerTrigger", max_files)
+    return r.load(folder)
+
+
+def table_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """A given table as a file stream, whether it is one file or a folder of parts."""
+    return _stream(spark, path, spark.read.parquet(path).schema, max_files=max_files)
+
+
+def score_new_files(spark: SparkSession, src: str, schema: StructType, out_dir: str,
                     checkpoint: str, score: Callable[[DataFrame], DataFrame],
-                    max_files_per_trigger: int | None = None, glob: str | None = None):
-    """Score each arriving parquet file once. A rerun with the same
-    checkpoint processes only new files; a bad file does not stop the rest
-    (``ignoreCorruptFiles``). ``glob`` keeps only matching file names."""
-    r = spark.readStream.schema(schema).option("ignoreCorruptFiles", True)
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    src = r.parquet(src_dir).withColumn("source_file", F.col("_metadata.file_path"))
-    q = (score(src).writeStream.foreachBatch(_batch_sink(out_dir))
+                    max_files_per_trigger: int = 1000, column: str | None = None):
+    """Score each arriving parquet file once; a rerun with the same checkpoint takes new files only.
+
+    The stream carries file names (at most ``max_files_per_trigger`` a batch). A file without ``column`` (the
+    schema's first by default), or one that cannot be read to its end, is skipped and reported in
+    ``out_dir + "-report"`` (path, reason, batch_id); it does not stop the others, and none of its rows is kept.
+    """
+    from textlab.sources.files import intact, require_column
+    column = column or schema.fieldNames()[0]
+    files = _stream(spark, src, "path string, modificationTime timestamp, length long, content binary", "binaryFile",
+                    max_files_per_trigger).select("path")
+    sink, report = _batch_sink(out_dir), _batch_sink(out_dir + "-report")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        paths = sorted(r["path"] for r in batch.collect())
+        valid, skipped = require_column(spark, paths, column)
+        valid, bad = intact(spark, valid, column)
+        skipped += [(p, "damaged") for p in bad]
+        if valid:
+            rows = spark.read.schema(schema).parquet(*valid).withColumn("source_file", F.col("_metadata.file_path"))
+            sink(score(rows), batch_id)
+        report(spark.createDataFrame(skipped, "path string, reason string"), batch_id)
+
+    q = (files.writeStream.foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return q
 
 
 def resume_generation(todo: DataFrame, out_dir: str, key: str,
-                      generate: Callable[[DataFrame], DataFrame], slice_rows: int = 25) -> int:
-    """R2 (batch form): generate only rows whose key is not yet in
-    ``out_dir``, appended in hash slices of about ``slice_rows`` rows, so an
-    interruption loses at most one slice. Returns slices written."""
+                      generate: Callable[[DataFrame], DataFrame], slice_rows: int = 25,
+                      max_slices: int = 64) -> int:
+    """R2 (batch form): generate only rows whose key is not yet in ``out_dir``, appended in hash slices of about
+    ``slice_rows`` rows, at most ``max_slices`` (larger ones then), so an interruption loses at most one
+    slice. Returns slices written."""
     spark = todo.sparkSession
+    from pyspark.errors import AnalysisException
     try:
         done = spark.read.parquet(out_dir).select(key)
-    except Exception:  # noqa: BLE001 - nothing written yet
-        done = None
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        done = None  # nothing written yet
     pending = todo if done is None else pending_rows(todo, done, key)
-    n = pending.count()
-    if n == 0:
+    n_slices = min(max_slices, -(-pending.count() // slice_rows))
+    if not n_slices:
         return 0
-    n_slices = max(1, -(-n // slice_rows))
-    sliced = pending.withColumn("_slice", F.pmod(F.xxhash64(F.col(key)), F.lit(n_slices)))
+    # the pending rows are written once, split by slice; each slice then reads its own files
+    sliced = pending.withColumn("_slice", F.pmod(F.xxhash64(F.col(key)), F.lit(n_slices)).cast("int"))
+    sliced = stage(sliced, "resume-slices", ["_slice"])
     for s in range(n_slices):
         generate(sliced.where(F.col("_slice") == s).drop("_slice")).write.mode("append").parquet(out_dir)
     return n_slices
 
 
 def streaming_progress(spark: SparkSession, src_dir: str, schema: StructType, out_dir: str,
-                       checkpoint: str, label_col: str = "label", per_label: int = 3,
-                       glob: str | None = None):
+                       checkpoint: str, label_col: str = "label", per_label: int = 3):
     """Per micro-batch, the G5 counts and the first examples of each
     label, written keyed by batch id. Running totals are a cumulative sum
     over the (small) per-batch table, see ``running_totals``."""
@@ -86,10 +129,7 @@ def streaming_progress(spark: SparkSession, src_dir: str, schema: StructType, ou
             .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id") \
             .parquet(out_dir + "/examples")
 
-    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    src = r.parquet(src_dir).withColumn("source_file", F.col("_metadata.file_path"))
+    src = _stream(spark, src_dir, schema, max_files=1).withColumn("source_file", F.col("_metadata.file_path"))
     q = (src.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
@@ -106,7 +146,41 @@ def running_totals(spark: SparkSession, out_dir: str) -> DataFrame:
                                   for c in ("total", "positives", "negatives", "nulls")])
 
 
-def streaming_dedup(stream: DataFrame, key: str, ts_col: str, delay: str = "1 hour") -> DataFrame:
-    """D1 on arriving rows; state is bounded by the watermark delay
-    (without a watermark it would grow for ever)."""
-    return stream.withWatermark(ts_col, delay).dropDuplicatesWithinWatermark([key])
+def streaming_dedup(stream: DataFrame, key: str, order_col: str, out_dir: str, checkpoint: str) -> DataFrame:
+    """D1 on arriving rows: of the rows with one key, the one that is first by ``order_col``.
+
+    Each batch writes its first row of every key, unless an earlier one is kept already; the kept rows are the
+    state, so there is no time limit, and the answer does not depend on how files arrive or are batched. Returns
+    the kept rows; ties in ``order_col`` go to the smallest row.
+    """
+    spark = stream.sparkSession
+    cols = stream.columns
+    sink = _batch_sink(out_dir)
+    rest = F.struct(*cols)
+
+    def first(df: DataFrame) -> DataFrame:
+        return df.groupBy(key).agg(F.min(F.struct(F.col(order_col).alias("_o"), rest.alias("_r"))).alias("_m"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        new = first(batch).select("_m._r.*")
+        seen = kept(spark, out_dir, batch_id)
+        if seen is not None:
+            best = seen.groupBy(F.col(key).alias("_k")).agg(F.min(order_col).alias("_b"))
+            new = new.join(best, new[key].eqNullSafe(best["_k"]), "left").where(
+                F.col("_b").isNull() | (F.col(order_col) < F.col("_b"))).select(*cols)
+        sink(stage(new, "dedup-batch"), batch_id)
+
+    def kept(spark, path, before=None):
+        from pyspark.errors import AnalysisException
+        try:
+            df = spark.read.parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return None
+        return df if before is None else df.where(F.col("batch_id") < before)
+
+    q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return first(kept(spark, out_dir).select(*cols)).select("_m._r.*")

@@ -143,15 +143,41 @@ def test_knn_block_split_equals_single_block(spark):
     from textlab.operators.knn import knn
     v = A.two_class_vectors(spark, SF01).select("id", "embedding")
     one = knn(v, v, 5)
-    many = knn(v, v, 5, max_block_bytes=20_000)  # forces ~12 broadcast blocks
+    many = knn(v, v, 5, tile_rows=40)  # forces 13 cells and several target parts
     assert _vals(one, "target_id", "neighbor_id", "rank") == _vals(many, "target_id", "neighbor_id", "rank")
 
 
+@pytest.mark.parametrize("tile_rows", [30, 4096])
+def test_knn_matches_brute_force(spark, tile_rows):
+    """Clustered vectors (so cells are skipped), duplicates, a zero vector and a pool smaller than k."""
+    import numpy as np
+    from textlab.operators.knn import knn
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(6, 8)) * 5
+    x = np.concatenate([centre[rng.integers(0, 6, 300)] + rng.normal(size=(300, 8)) * 0.1, np.zeros((1, 8))])
+    x[10] = x[20] = x[30]
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "id long, embedding array<double>")
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    u = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    got = {}
+    for r in knn(df, df, 7, tile_rows=tile_rows).collect():
+        got.setdefault(r["target_id"], []).append((r["rank"], round(r["sim"], 9)))
+    for i in range(len(x)):
+        want = sorted(np.round(s[i], 9).tolist(), reverse=True)[:7]
+        assert [v for _, v in sorted(got[i])] == pytest.approx(want, abs=1e-8)
+    assert knn(df, df.limit(3), 7).groupBy("target_id").count().where("count > 3").count() == 0
+    assert knn(df, df.limit(0), 7).count() == 0 and knn(df.limit(0), df, 7).count() == 0
+
+
 def test_silhouette_block_split(spark):
     from textlab.operators.knn import silhouette
     v = A.two_class_vectors(spark, SF01).select("id", "embedding", F.col("original_label").alias("cluster"))
     a = silhouette(v).first()["silhouette"]
-    b = silhouette(v, max_block_bytes=30_000).first()["silhouette"]
+    b = silhouette(v, tile_rows=60).first()["silhouette"]
+    none = silhouette(v.limit(0)).first()
+    assert (none["silhouette"], none["n_points"], none["n_clusters"]) == (None, 0, 0)
     assert a == pytest.approx(b, abs=1e-6) and -1.0 <= a <= 1.0
 
 

@@ -1,14 +1,13 @@
-"""Exact all-pairs vector work without a pair table: kNN (E3) and the exact
-silhouette (H5).
-
-The pool is cut into blocks whose size is checked (``max_block_bytes``); each
-block is broadcast in turn and every target batch does one matmul against it
-inside ``mapInPandas`` (Arrow batches, NumPy BLAS), keeping only a local
-top-k (kNN) or per-cluster distance sums (silhouette). So the shuffle carries
-at most k rows per (target, block) and nothing grows with targets x pool.
-With several blocks each pass is written out before the next block is
-fetched, so the driver holds one block at a time. The final merge is a
-window over (target) whose groups hold <= k x blocks rows.
+"""Exact all-pairs vector work in tiles: kNN (E3) and the exact silhouette (H5).
+
+Vectors are dealt to tiles of at most about ``TILE_ROWS`` rows, and a task compares one tile of targets with
+one tile of the pool (a co-group, one matmul), keeping only a local top-k (kNN) or per-cluster distance
+sums (silhouette). Tiles are staged and read by executors; the driver sees counts and a bounded number of
+cell centres, never the pool.
+
+kNN prunes exactly: the pool is split into cells around sampled centres, each with its radius. A target first
+looks in its own cell; the k-th similarity found there decides which other cells can still hold a
+better row (``t.c + |t| r`` bounds the similarity to every member), and only those are visited.
 """
 
 from __future__ import annotations
@@ -20,206 +19,205 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import (DoubleType, IntegerType, LongType, StructField, StructType)
+from pyspark.sql.types import (ArrayType, DoubleType, IntegerType, LongType, StructField, StructType)
 
-DEFAULT_BLOCK_BYTES = 64 << 20
+from textlab.session import stage
 
+TILE_ROWS = 4096
+#: Targets in one task, in tiles.
+TARGET_TILES = 8
+#: Cell centres: at most so many vectors reach the driver.
+MAX_CELLS = 256
+# Largest targets x tile matrix one task builds at a time (float64 bytes).
+MATMUL_BYTES = 64 << 20
 
-def _pool_blocks(pool: DataFrame, id_col: str, vec_col: str, extra: list[str],
-                 max_block_bytes: int):
-    """Yield pandas blocks of the pool, each at most ~``max_block_bytes``.
 
-    Block membership is a hash of the id, so blocks are balanced whatever the
-    key distribution; with several blocks the pool is staged once split by
-    block, so each fetch is a partition-pruned read of that block only.
-    """
-    stats = pool.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d")).first()
-    n, d = int(stats["n"]), int(stats["d"] or 0)
-    if n == 0:
-        return
-    row_bytes = 8 * d + 16 + 8 * len(extra)
-    n_blocks = max(1, math.ceil(n * row_bytes / max_block_bytes))
-    cols = [id_col, vec_col, *extra]
-    blk = F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_blocks))
-    tagged = pool.select(*cols).withColumn("_blk", blk)
-    if n_blocks > 1:
-        # one pass writes the pool split by block; each block read below is a
-        # partition-pruned scan of its own files, not a rescan of the pool
-        from textlab.session import stage
-        tagged = stage(tagged, "pool-blocks", ["_blk"])
-    for b in range(n_blocks):
-        pdf = tagged.where(F.col("_blk") == b).drop("_blk").toPandas()
-        if len(pdf) * row_bytes > 2 * max_block_bytes:
-            raise ValueError(f"pool block {b} holds {len(pdf)} rows, over the broadcast bound")
-        if len(pdf):
-            yield pdf
-
-
-def _run_blocks(spark, blocks, make_part, schema: StructType, name: str) -> DataFrame | None:
-    """Run one pass per pool block. With a single block the pass stays lazy.
-    With several, each pass is written to the shared checkpoint folder before
-    the next block is fetched and its broadcast destroyed, so the driver
-    holds one block at a time, never the pool."""
-    import os
-    import uuid
-
-    from textlab.session import ensure_checkpoint_dir
-    first, path, n = None, None, 0
-    for block in blocks:
-        part, bc = make_part(block)
-        n += 1
-        if n == 1:
-            first, first_bc = part, bc
-            continue
-        if path is None:
-            path = os.path.join(ensure_checkpoint_dir(spark), "stages", f"{name}-{uuid.uuid4().hex}")
-            first.write.mode("append").parquet(path)
-            first_bc.destroy()
-        part.write.mode("append").parquet(path)
-        bc.destroy()
-    if path is None:
-        return first
-    return spark.read.schema(schema).parquet(path)
+def _matrix(vs) -> np.ndarray:
+    return np.asarray(np.stack([np.asarray(v, dtype=np.float64) for v in vs]), dtype=np.float64)
 
 
-# Largest targets x block matrix one task builds at a time (float64 bytes).
-MATMUL_BYTES = 64 << 20
+def _unit(vs) -> np.ndarray:
+    m = _matrix(vs)
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def _row_chunks(it: Iterator[pd.DataFrame], pool_rows: int) -> Iterator[pd.DataFrame]:
-    """Split Arrow batches so a (rows x pool_rows) float64 matrix stays within
-    ``MATMUL_BYTES`` whatever the batch size."""
-    step = max(1, MATMUL_BYTES // (8 * max(pool_rows, 1)))
-    for pdf in it:
-        for i in range(0, len(pdf), step):
-            yield pdf.iloc[i:i + step].reset_index(drop=True)
+def _row_chunks(n: int, width: int) -> Iterator[slice]:
+    step = max(1, MATMUL_BYTES // (8 * max(width, 1)))
+    return (slice(i, i + step) for i in range(0, n, step))
 
 
-def _matrix(vs) -> np.ndarray:
-    return np.asarray(np.stack([np.asarray(v, dtype=np.float64) for v in vs]), dtype=np.float64)
+def _array_of(values) -> F.Column:
+    """A constant int array, indexed by cell."""
+    return F.array(*[F.lit(int(v)) for v in values])
+
+
+def _top_k(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k largest finite values of each row; ties go to the lower column."""
+    kk = min(k, s.shape[1])
+    kth = -np.partition(-s, kk - 1, axis=1)[:, kk - 1]
+    valid = np.isfinite(s)
+    above = (s > kth[:, None]) & valid
+    tied = (s == kth[:, None]) & valid
+    keep = above | (tied & (np.cumsum(tied, axis=1) <= (kk - above.sum(axis=1))[:, None]))
+    return np.nonzero(keep)
+
+
+def _match(targets: DataFrame, pool: DataFrame, k: int, schema: StructType, extra: list[str],
+           exclude_self: bool, target_parts: int) -> DataFrame:
+    """The k best pool rows of each target within every (cell, tile) it is sent to."""
+    keys = ["_cell", "_tile", "_part"]
+    left = targets.withColumn("_part", F.pmod(F.xxhash64("_tid"), F.lit(target_parts)))
+    right = pool.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(target_parts - 1)).cast("array<long>")))
+
+    def run(t: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        if not len(t) or not len(p):
+            return pd.DataFrame({f.name: [] for f in schema.fields})
+        p = p.sort_values("_pid", kind="stable").reset_index(drop=True)  # column order = id order
+        pids, pu = p["_pid"].to_numpy(dtype=np.int64), _matrix(p["_pu"])
+        tids, tu = t["_tid"].to_numpy(dtype=np.int64), _matrix(t["_tu"])
+        out = []
+        for rows in _row_chunks(len(t), len(p)):
+            s = tu[rows] @ pu.T
+            if exclude_self:
+                s = np.where(tids[rows][:, None] == pids[None, :], -np.inf, s)
+            r, c = _top_k(s, k)
+            part = {"target_id": tids[rows][r], "neighbor_id": pids[c], "sim": s[r, c]}
+            for col in extra:
+                part[col] = p[col].to_numpy()[c]
+            out.append(pd.DataFrame(part))
+        return pd.concat(out, ignore_index=True)
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
 
 
 def knn(targets: DataFrame, pool: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding",
         pool_extra: list[str] | None = None, exclude_self: bool = True,
-        max_block_bytes: int = DEFAULT_BLOCK_BYTES) -> DataFrame:
+        tile_rows: int = TILE_ROWS) -> DataFrame:
     """For each target, the ``k`` most cosine-similar pool rows.
 
     Output ``(target_id, neighbor_id, sim, rank, *pool_extra)``; rank 1 is the
     most similar; ties are broken by the smaller neighbour id. With
-    ``exclude_self`` a target never lists its own id.
+    ``exclude_self`` a target never lists its own id. An empty pool or no targets give no rows.
     """
-    spark = targets.sparkSession
     extra = list(pool_extra or [])
-    pool_schema = {f.name: f.dataType for f in pool.schema.fields}
-    out_fields = [StructField("target_id", LongType()), StructField("neighbor_id", LongType()),
-                  StructField("sim", DoubleType())] + [StructField(c, pool_schema[c]) for c in extra]
-    schema = StructType(out_fields)
-    t = targets.select(F.col(id_col).cast("long").alias("_tid"), F.col(vec_col).alias("_tv"))
-
-    def make_part(block):
-        block = block.sort_values(id_col, kind="stable").reset_index(drop=True)  # column order = id order
-        ids = block[id_col].to_numpy(dtype=np.int64)
-        mat = _matrix(block[vec_col])
-        norms = np.linalg.norm(mat, axis=1)
-        extras = {c: block[c].to_numpy() for c in extra}
-        bc = spark.sparkContext.broadcast((ids, mat, norms, extras))
-
-        def run(it: Iterator[pd.DataFrame], bc=bc) -> Iterator[pd.DataFrame]:
-            pids, pm, pn, pex = bc.value
-            for pdf in _row_chunks(it, len(pids)):
-                tm = _matrix(pdf["_tv"])
-                tn = np.linalg.norm(tm, axis=1)
-                den = np.outer(tn, pn)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    s = np.where(den == 0, 0.0, (tm @ pm.T) / den)
-                tids = pdf["_tid"].to_numpy(dtype=np.int64)
-                if exclude_self:
-                    s = np.where(tids[:, None] == pids[None, :], -np.inf, s)
-                kk = min(k, s.shape[1])
-                # exact top-k per row, vectorised: everything above the k-th
-                # value, then the lowest-id ties at the k-th value
-                kth = -np.partition(-s, kk - 1, axis=1)[:, kk - 1]
-                valid = np.isfinite(s)
-                gt = (s > kth[:, None]) & valid
-                eq = (s == kth[:, None]) & valid
-                need = kk - gt.sum(axis=1)
-                sel = gt | (eq & (np.cumsum(eq, axis=1) <= need[:, None]))
-                r, c = np.nonzero(sel)
-                if not len(r):
-                    continue
-                order = np.lexsort((c, -s[r, c], r))
-                r, c = r[order], c[order]
-                out = {"target_id": tids[r], "neighbor_id": pids[c], "sim": s[r, c]}
-                for col in extra:
-                    out[col] = pex[col][c]
-                yield pd.DataFrame(out)
-
-        return t.mapInPandas(run, schema), bc
-
-    allp = _run_blocks(spark, _pool_blocks(pool, id_col, vec_col, extra, max_block_bytes),
-                       make_part, schema, "knn-partial")
-    if allp is None:
+    spark = targets.sparkSession
+    types = {f.name: f.dataType for f in pool.schema.fields}
+    schema = StructType([StructField("target_id", LongType()), StructField("neighbor_id", LongType()),
+                         StructField("sim", DoubleType())] + [StructField(c, types[c]) for c in extra])
+    unit = ArrayType(DoubleType())
+    p = stage(pool.select(F.col(id_col).cast("long").alias("_pid"), F.col(vec_col).alias("_v"), *extra), "knn-pool")
+    n = p.count()
+    if not n:
         return spark.createDataFrame([], StructType(list(schema.fields)).add("rank", IntegerType()))
+    n_cells = min(MAX_CELLS, math.ceil(n / tile_rows))
+    picked = p.orderBy(F.xxhash64("_pid"), "_pid").select("_v").limit(n_cells).collect()
+    centres = _unit([r["_v"] for r in picked])
+
+    def cells(it):
+        for pdf in it:
+            if len(pdf):
+                u = _unit(pdf["_v"])
+                d = np.sqrt(np.maximum(((u ** 2).sum(axis=1)[:, None] + (centres ** 2).sum(axis=1)[None]
+                                        - 2 * u @ centres.T), 0))
+                pdf["_cell"] = d.argmin(axis=1).astype(np.int64)
+                pdf["_far"] = d.min(axis=1)
+                pdf["_pu"] = list(u)
+                yield pdf.drop(columns="_v")
+
+    fields = [f for f in p.schema.fields if f.name != "_v"]
+    p = stage(p.mapInPandas(cells, StructType(fields + [StructField("_cell", LongType()), StructField("_far", DoubleType()),
+                                                        StructField("_pu", unit)])), "knn-cells")
+    size, radius = np.zeros(len(centres), np.int64), np.zeros(len(centres))
+    for r in p.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_far").alias("r")).collect():  # one row a cell
+        size[r["_cell"]], radius[r["_cell"]] = r["n"], r["r"]
+    tiles = np.maximum(1, -(-size // tile_rows))
+    in_cell = F.element_at(_array_of(tiles), (F.col("_cell") + 1).cast("int"))
+    p = p.withColumn("_tile", F.pmod(F.xxhash64("_pid"), in_cell)).drop("_far")
+
+    def own_cell(it):
+        for pdf in it:
+            if len(pdf):
+                u = _unit(pdf["_tv"])
+                yield pd.DataFrame({"_tid": pdf["_tid"], "_tu": list(u), "_cell": (
+                    2 * u @ centres.T - (centres ** 2).sum(axis=1)[None]).argmax(axis=1).astype(np.int64)})
+
+    t = targets.select(F.col(id_col).cast("long").alias("_tid"), F.col(vec_col).alias("_tv"))
+    t = stage(t.mapInPandas(own_cell, StructType([StructField("_tid", LongType()), StructField("_tu", unit),
+                                                  StructField("_cell", LongType())])), "knn-targets")
+    parts = max(1, math.ceil(t.count() / (TARGET_TILES * tile_rows)))
+    spread = lambda df: df.withColumn("_tile", F.explode(F.sequence(F.lit(0), in_cell - 1).cast("array<long>")))
     w = Window.partitionBy("target_id").orderBy(F.desc("sim"), F.asc("neighbor_id"))
-    return allp.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
+    best = lambda df: df.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
+    first = best(_match(spread(t), p, k, schema, extra, exclude_self, parts))
+    if len(centres) == 1:
+        return first
+    first = stage(first, "knn-own")
+    kth = first.where(F.col("rank") == k).select(F.col("target_id").alias("_tid"), F.col("sim").alias("_kth"))
+
+    def others(it):
+        for pdf in it:
+            if len(pdf):
+                u = _matrix(pdf["_tu"])
+                bound = u @ centres.T + np.linalg.norm(u, axis=1)[:, None] * radius[None] + 1e-9
+                visit = bound >= np.nan_to_num(pdf["_kth"].to_numpy(dtype=np.float64), nan=-2.0)[:, None]
+                visit[np.arange(len(pdf)), pdf["_cell"].to_numpy()] = False
+                r, c = np.nonzero(visit & (size > 0)[None])
+                yield pd.DataFrame({"_tid": pdf["_tid"].to_numpy()[r], "_tu": [pdf["_tu"].iloc[i] for i in r],
+                                    "_cell": c.astype(np.int64)})
+
+    more = t.join(kth, "_tid", "left").mapInPandas(others, t.schema)
+    rest = _match(spread(more), p, k, schema, extra, exclude_self, parts)
+    return best(first.drop("rank").unionByName(rest))
 
 
 def silhouette(df: DataFrame, cluster_col: str = "cluster", id_col: str = "id",
-               vec_col: str = "embedding", max_block_bytes: int = DEFAULT_BLOCK_BYTES) -> DataFrame:
+               vec_col: str = "embedding", tile_rows: int = TILE_ROWS) -> DataFrame:
     """H5 (exact): mean silhouette with Euclidean distances over all pairs.
 
     Every point gets, per cluster, the sum of its distances to that
-    cluster's points, accumulated block by block (points x k partial sums,
+    cluster's points, tile by tile (points x k x tiles partial sums,
     never points x points rows). ``a`` = own-cluster mean over n - 1 others,
     ``b`` = smallest mean to another cluster, ``s = (b - a) / max(a, b)``;
     a point alone in its cluster scores 0. Returns one row
-    ``(silhouette, n_points, n_clusters)``.
+    ``(silhouette, n_points, n_clusters)``; no points give (null, 0, 0).
     """
-    spark = df.sparkSession
     schema = StructType([StructField("_id", LongType()), StructField("_own", LongType()),
                          StructField("_c", LongType()), StructField("_sum", DoubleType())])
-    t = df.select(F.col(id_col).cast("long").alias("_id"), F.col(cluster_col).cast("long").alias("_own"),
-                  F.col(vec_col).alias("_tv"))
-    pool = df.select(F.col(id_col).cast("long").alias(id_col), F.col(vec_col),
-                     F.col(cluster_col).cast("long").alias("_pc"))
-
-    def make_part(block):
-        mat = _matrix(block[vec_col])
-        sq = (mat * mat).sum(axis=1)
-        cl = block["_pc"].to_numpy(dtype=np.int64)
-        uniq = np.unique(cl)
-        bc = spark.sparkContext.broadcast((mat, sq, cl, uniq))
-
-        def run(it, bc=bc):
-            pm, psq, pcl, pu = bc.value
-            for pdf in _row_chunks(it, len(pcl)):
-                tm = _matrix(pdf["_tv"])
-                tsq = (tm * tm).sum(axis=1)
-                d2 = tsq[:, None] + psq[None, :] - 2.0 * (tm @ pm.T)
-                dist = np.sqrt(np.maximum(d2, 0.0))
-                ids = pdf["_id"].to_numpy(dtype=np.int64)
-                own = pdf["_own"].to_numpy(dtype=np.int64)
-                frames = []
-                for c in pu:
-                    frames.append(pd.DataFrame({"_id": ids, "_own": own, "_c": np.full(len(ids), c),
-                                                "_sum": dist[:, pcl == c].sum(axis=1)}))
-                yield pd.concat(frames, ignore_index=True)
-
-        return t.mapInPandas(run, schema), bc
-
-    sums = _run_blocks(spark, _pool_blocks(pool, id_col, vec_col, ["_pc"], max_block_bytes),
-                       make_part, schema, "silhouette-partial")
+    x = stage(df.select(F.col(id_col).cast("long").alias("_id"), F.col(cluster_col).cast("long").alias("_own"),
+                        F.col(vec_col).alias("_v")), "silhouette")
+    tiles = max(1, math.ceil(x.count() / tile_rows))
+    every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)).cast("array<long>"))
+    mine = F.pmod(F.xxhash64("_id"), F.lit(tiles))
+    left = x.withColumn("_i", mine).withColumn("_j", every)
+    right = x.withColumn("_j", mine).withColumn("_i", every)
+
+    def run(t: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        if not len(t) or not len(p):
+            return pd.DataFrame({f.name: [] for f in schema.fields})
+        tm, pm, pc = _matrix(t["_v"]), _matrix(p["_v"]), p["_own"].to_numpy(dtype=np.int64)
+        psq, clusters = (pm * pm).sum(axis=1), np.unique(pc)
+        sums = np.empty((len(t), len(clusters)))
+        for rows in _row_chunks(len(t), len(p)):
+            d2 = (tm[rows] ** 2).sum(axis=1)[:, None] + psq[None, :] - 2.0 * (tm[rows] @ pm.T)
+            dist = np.sqrt(np.maximum(d2, 0.0))
+            for j, c in enumerate(clusters):
+                sums[rows, j] = dist[:, pc == c].sum(axis=1)
+        k = len(clusters)
+        return pd.DataFrame({"_id": np.repeat(t["_id"].to_numpy(), k), "_own": np.repeat(t["_own"].to_numpy(), k),
+                             "_c": np.tile(clusters, len(t)), "_sum": sums.ravel()})
+
+    sums = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInPandas(run, schema)
     sums = sums.groupBy("_id", "_own", "_c").agg(F.sum("_sum").alias("_sum"))
-    sizes = df.groupBy(F.col(cluster_col).cast("long").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
-    x = sums.join(F.broadcast(sizes), "_c")  # one row per cluster
-    per = x.groupBy("_id", "_own").agg(
+    sizes = x.groupBy(F.col("_own").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    per = sums.join(sizes, "_c").groupBy("_id", "_own").agg(
         F.max(F.when(F.col("_c") == F.col("_own"), F.col("_n"))).alias("n_own"),
         F.max(F.when(F.col("_c") == F.col("_own"), F.col("_sum"))).alias("s_own"),
         F.min(F.when(F.col("_c") != F.col("_own"), F.col("_sum") / F.col("_n"))).alias("b"))
-    a = F.col("s_own") / (F.col("n_own") - 1)
+    a = F.col("s_own") / F.nullif(F.col("n_own") - 1, F.lit(0))
     s = (F.when((F.col("n_own") <= 1) | F.col("b").isNull(), F.lit(0.0))
+         .when(F.greatest(a, F.col("b")) == 0, F.lit(0.0))
          .otherwise((F.col("b") - a) / F.greatest(a, F.col("b"))))
-    s = F.when(F.greatest(a, F.col("b")) == 0, F.lit(0.0)).otherwise(s)
     return per.agg(F.round(F.avg(s), 6).alias("silhouette"),
                    F.count(F.lit(1)).alias("n_points"),
                    F.countDistinct("_own").alias("n_clusters"))

@@ -187,3 +187,26 @@ def test_two_line_reply_unicode_line_breaks(spark):
     lab, expl = parse_two_line_reply("reply")
     got = _rows(df.select("id", lab.alias("label"), expl.alias("expl")), "label", "expl")
     assert got == [(1, "Because of tone"), (0, "Short note"), (1, "a b")]
+
+
+def test_few_shot_prompt_options(spark):
+    """A target never sees itself; without reasoning there is no worked example; sections keep their order."""
+    from textlab.functions import prompts as P
+    rows = [(1, "so lonely and sad", 1, 1), (2, "nice day", 0, 2), (3, "all alone, I wish", 1, 3), (4, "a lonely song", 0, 4)]
+    df = spark.createDataFrame(rows, "id long, text string, label int, g int")
+    rates = F.struct(F.lit(0.79).alias("p_pos_given_kw"), F.lit(0.21).alias("p_neg_given_kw"),
+                     F.lit(0.8).alias("p_neg_given_nokw"), F.lit(0.2).alias("p_pos_given_nokw"))
+    one = P.example("id", "id", "text", "label", F.col("g"), P.quadrant_reasoning("text", F.col("g"), rates),
+                    P.quadrant_lead("text", F.col("g"), rates))
+    arr = df.agg(F.array_sort(F.collect_list(one)).alias("ex"))
+    t = df.crossJoin(arr)
+    make = lambda **kw: {r["id"]: r["p"] for r in t.select(
+        "id", P.few_shot_prompt("text", F.col("ex"), F.lit("R"), P.SECTIONS, **kw).alias("p")).collect()}
+    full = make(target_id="id")
+    assert '### Worked example\nMessage: "all alone, I wish"' in full[1] and 'Message: "so lonely' not in full[1].split("### Target")[0]
+    assert '### Worked example\nMessage: "so lonely and sad"\nReasoning: cue words present: lonely; tone: negative; follows the pattern (79%)' in full[2]
+    heads = [full[2].find(h) for _, h in P.SECTIONS]
+    assert heads[1] == -1 and 0 < heads[0] < heads[2] < heads[3]
+    assert "reason: referencing media/art" in full[2] and "indicators: social isolation, desire for connection" in full[2]
+    plain = make(chain_of_thought=False)
+    assert "Reasoning" not in plain[1] and "Worked" not in plain[1] and 'Message: "so lonely' in plain[1].split("### Target")[0]

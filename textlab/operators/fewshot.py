@@ -101,8 +101,7 @@ def retrieve_and_classify(targets: DataFrame, pool: DataFrame, k: int, id_col: s
     usable examples gets (0, 0.0, 0.5, 0 examples, status 'no examples').
 
     With ``text_col`` each target's few-shot prompt (T8: rules, its examples
-    in similarity order, the target) is rendered and its length reported as
-    ``prompt_chars``; ids are chosen first and the texts joined last, and a
+    in similarity order, the target) is rendered as ``prompt``; ids are chosen first and the texts joined last, and a
     target's example list is bounded by ``k``.
     """
     from textlab.functions import prompts as P
@@ -140,7 +139,7 @@ def retrieve_and_classify(targets: DataFrame, pool: DataFrame, k: int, id_col: s
     prompt = F.concat(F.lit(P.system_rules() + "\n\n### Examples"), F.coalesce("_ex", F.lit("")),
                       P.target_block("_tt"))
     return (out.join(blk, "target_id", "left")
-            .select(*base, F.length(prompt).cast("int").alias("prompt_chars")))
+            .select(*base, prompt.alias("prompt")))
 
 
 def augment(df: DataFrame, factor: int, text_col: str = "text", id_col: str = "id",

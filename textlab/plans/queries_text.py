@@ -211,31 +211,41 @@ def fallback_prompt(spark, d):
     return b.select("item_id", P.fallback_prompt("text").alias("prompt"))
 
 
+# The prompts' fixed texts, spelled out for SQL.
+RULES_SQL = ("'Decide whether a message belongs to the positive class.' || chr(10) || "
+             "'Answer with a single digit: 1 for yes, 0 for no.' || chr(10)")
+TARGET_SQL = ("chr(10) || chr(10) || '### Target' || chr(10) || 'Message: \"' || coalesce({text}, '') || '\"' || chr(10) "
+              "|| 'Answer:'")
+
+
+def hits_sql(words, x: str = "lower(text)") -> str:
+    return f"array_to_string(list_filter({_list(words)}, lambda k: contains({x}, k)), ', ')"
+
+
 @register("few_shot_prompt", f"""WITH ex AS (
   SELECT d.doc_id, d.text, l.quality, {O.horder('d.doc_id', 42, 'shuffle')} AS order_key,
          row_number() OVER (PARTITION BY l.quality ORDER BY {O.horder('d.doc_id', 42, 'fewshot')}, d.doc_id) AS rn
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
-blk AS (SELECT string_agg(chr(10) || 'Message: "' || text || '"' || chr(10) || 'Answer: '
-               || CAST(quality AS VARCHAR), '' ORDER BY order_key) AS examples FROM ex WHERE rn <= 2),
-pr AS (SELECT b.item_id, {_sql_lit(P.system_rules())} || chr(10) || chr(10) || '### Examples' || blk.examples
-          || chr(10) || chr(10) || '### Target' || chr(10) || 'Message: "' || coalesce(b.text, '') || '"' || chr(10)
-          || 'Answer:' AS prompt FROM benchmark b, blk)
-SELECT item_id, md5(prompt) AS prompt_md5, CAST(length(prompt) AS INTEGER) AS prompt_chars FROM pr""")
+few AS (SELECT *, chr(10) || 'Message: "' || text || '"' AS msg, chr(10) || 'Answer: ' || CAST(quality AS VARCHAR) AS ans
+        FROM ex WHERE rn <= 2),
+blk AS (SELECT string_agg(msg || ans, '' ORDER BY order_key) AS examples,
+               coalesce(chr(10) || chr(10) || '### Worked example' || first(msg || chr(10)
+                 || 'Reasoning: cue words present: ' || coalesce(nullif({hits_sql(A.TEST_LEXICON)}, ''), 'none')
+                 || '; tone: ' || CASE WHEN {_any(L.TONE_MARKERS_BINARY)} THEN 'negative' ELSE 'neutral' END
+                 || '; indicators: ' || {_indicators_sql()} || '.' || ans ORDER BY order_key) FILTER (quality = 1), '') AS lead
+        FROM few)
+SELECT b.item_id, {RULES_SQL} || blk.lead || chr(10) || chr(10) || '### Examples' || blk.examples
+       || {TARGET_SQL.format(text='b.text')} AS prompt FROM benchmark b, blk""")
 def few_shot_prompt(spark, d):
-    """T8 (binary path): shared examples rendered once (one row, broadcast),
-    then joined to every target; the ids are joined first, the text last."""
+    """T8 (binary path): rules, a worked example with its reasoning, all examples in order, the target. The
+    examples are one bounded value, a scalar subquery computed once; ids are joined first, the text last."""
     docs = A.table(spark, d, "documents").select("doc_id", "text")
     lab = A.table(spark, d, "labels").select("doc_id", "quality")
     ex = binary_few_shot(docs.join(lab, "doc_id"), 2, "doc_id", "quality")
-    line = P.example_line(F.col("text"), F.col("quality"))
-    blk = ex.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order_key", line.alias("l")))),
-                                          lambda s: s["l"]), "").alias("examples"))
-    b = A.table(spark, d, "benchmark")
-    # the examples block is one value: a scalar subquery, computed once
-    prompt = F.concat(F.lit(P.system_rules() + "\n\n### Examples"), blk.scalar(), P.target_block("text"))
-    x = b.select("item_id", prompt.alias("prompt"))
-    return x.select("item_id", F.md5("prompt").alias("prompt_md5"),
-                    F.length("prompt").cast("int").alias("prompt_chars"))
+    one = P.example("order_key", "doc_id", "text", "quality", lead=P.binary_lead("text", "quality", A.TEST_LEXICON))
+    examples = ex.agg(F.array_sort(F.collect_list(one)).alias("examples")).scalar()
+    b = A.table(spark, d, "benchmark").withColumn("examples", examples)
+    return b.select("item_id", P.few_shot_prompt("text", F.col("examples"), F.lit(P.system_rules(with_keywords=False))).alias("prompt"))
 
 
 @register("progress_summary", f"""WITH {PARSED_CTE},

@@ -177,8 +177,9 @@ def semantic_balanced_q(spark, d):
 
 
 def _retrieve_sql() -> str:
-    from textlab.functions import prompts as P
-    from textlab.plans.queries_text import _sql_lit
+    from textlab.functions import lexicon as L
+    from textlab.plans.queries_text import RULES_SQL, TARGET_SQL
+    rules = RULES_SQL + " || chr(10) || 'Cue words: " + ", ".join(L.KEYWORDS) + "'"
     sem = SEM_SQL.replace(
         "WITH t AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, CAST(label < 5 AS INTEGER) AS label FROM embeddings)",
         "WITH t AS (SELECT e.vec_id AS id, CAST(e.embedding AS DOUBLE[]) AS e, CAST(e.label < 5 AS INTEGER) AS label, "
@@ -196,9 +197,7 @@ SELECT t.id AS target_id, coalesce(prediction, 0) AS prediction,
        coalesce(round(greatest(p1, 1 - p1), 6), 0.0) AS confidence,
        coalesce(round(p1, 6), 0.5) AS p_positive, coalesce(examples_used, 0) AS examples_used,
        CASE WHEN examples_used > 0 THEN 'ok' ELSE 'no examples' END AS status,
-       CAST(length({_sql_lit(P.system_rules())} || chr(10) || chr(10) || '### Examples' || coalesce(blk.ex, '') ||
-            chr(10) || chr(10) || '### Target' || chr(10) || 'Message: "' || coalesce(t.text, '') || '"' ||
-            chr(10) || 'Answer:') AS INTEGER) AS prompt_chars
+       {rules} || chr(10) || chr(10) || '### Examples' || coalesce(blk.ex, '') || {TARGET_SQL.format(text='t.text')} AS prompt
 FROM t LEFT JOIN res ON t.id = res.target_id LEFT JOIN blk ON t.id = blk.target_id"""
 
 
@@ -228,22 +227,23 @@ def silhouette_q(spark, d):
     return silhouette(clustered_vectors(spark, d, "domain"), "cluster", "id", "embedding")
 
 
-# Fixed order and answers of the four example groups in the cluster prompt.
-QUADRANT_GROUPS = [("0_1", 1, "pattern_pos", 1), ("1_0", 2, "pattern_neg", 0),
-                   ("0_0", 3, "exception_pos", 1), ("1_1", 4, "exception_neg", 0)]
+# Quadrant -> section of the cluster prompt and its answer.
+QUADRANT_GROUPS = [("0_1", 1, 1), ("1_0", 2, 0), ("0_0", 3, 1), ("1_1", 4, 0)]
 
 
 def _quadrant_prompt_sql() -> str:
     from textlab.functions import lexicon as L
-    from textlab.functions import prompts as P
-    from textlab.plans.queries_text import _any, _indicators_sql, _list, _reason_sql, _sql_lit
-    hits = f"array_to_string(list_filter({_list(L.KEYWORDS)}, lambda k: contains(lower(t), k)), ', ')"
+    from textlab.plans.queries_text import RULES_SQL, TARGET_SQL, _any, _indicators_sql, _reason_sql, hits_sql
+    low = lambda x: x.replace("lower(text)", "lower(t)")
+    hits = hits_sql(A.TEST_LEXICON, "lower(t)")
+    pct = lambda c: f"CAST(CAST(round(100 * {c}, 0) AS INTEGER) AS VARCHAR) || '%'"
     tone = f"CASE WHEN {_any(L.TONE_MARKERS, 'lower(t)')} THEN 'negative' ELSE 'neutral' END"
-    ind = _indicators_sql().replace("lower(text)", "lower(t)")
-    reason = _reason_sql().replace("lower(text)", "lower(t)")
-    groups = " ".join(f"WHEN '{q}' THEN {o}" for q, o, _, _ in QUADRANT_GROUPS)
-    names = " ".join(f"WHEN '{q}' THEN '{n}'" for q, _, n, _ in QUADRANT_GROUPS)
-    answers = " ".join(f"WHEN '{q}' THEN '{a}'" for q, _, _, a in QUADRANT_GROUPS)
+    groups = " ".join(f"WHEN '{q}' THEN {g}" for q, g, _ in QUADRANT_GROUPS)
+    answers = " ".join(f"WHEN '{q}' THEN '{a}'" for q, _, a in QUADRANT_GROUPS)
+    heads = ["### Pattern: cue words, positive", "### Pattern: no cue words, negative",
+             "### Exception: no cue words, positive", "### Exception: cue words, negative"]
+    sections = " || ".join(f"coalesce(chr(10) || chr(10) || '{h}' || string_agg(msg || chr(10) || 'Reasoning: ' || reasoning "
+                           f"|| ans, '' ORDER BY order_key, id) FILTER (g = {i}), '')" for i, h in enumerate(heads, 1))
     extra = f"""
 pcl AS (SELECT positive_cluster FROM pc),
 qq AS (SELECT * FROM (VALUES ('0_1', 3, 1), ('1_0', 3, 5), ('0_0', 1, 5), ('1_1', 1, 5)) t(quadrant, quota, oversample)),
@@ -255,49 +255,63 @@ qp AS (SELECT a.id, a.embedding, a.rc || '_' || CAST(a.original_label AS VARCHAR
 qx AS (SELECT id, unnest(range(1, len(embedding) + 1)) AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM qp),
 qc AS (SELECT p.quadrant, x.dim, avg(x.v) AS v FROM qp p JOIN qx x ON p.id = x.id GROUP BY ALL),
 sel AS ({QUAD_SQL}),
-ex AS (SELECT sel.quadrant, sel.order_key, d.text AS t,
-              CASE sel.quadrant {groups} END AS gorder, CASE sel.quadrant {names} END AS grp,
-              CASE sel.quadrant {answers} END AS answer
+kw AS (SELECT {_any(A.TEST_LEXICON, 'lower(d.text)')} AS k, l.quality AS y FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+n AS (SELECT count(*) FILTER (k) AS nk, count(*) FILTER (k AND y = 1) AS kp, count(*) FILTER (NOT k) AS nn,
+             count(*) FILTER (NOT k AND y = 0) AS nneg FROM kw),
+r AS (SELECT round(coalesce(kp / nullif(nk, 0), 0.0), 6) AS pk, round(CASE WHEN nk > 0 THEN 1 - kp / nk ELSE 0.0 END, 6) AS qk,
+             round(coalesce(nneg / nullif(nn, 0), 0.0), 6) AS pn, round(CASE WHEN nn > 0 THEN 1 - nneg / nn ELSE 0.0 END, 6) AS qn
+      FROM n),
+ex AS (SELECT sel.id, sel.order_key, d.text AS t, CASE sel.quadrant {groups} END AS g,
+              chr(10) || 'Message: "' || d.text || '"' AS msg, chr(10) || 'Answer: ' || CASE sel.quadrant {answers} END AS ans
        FROM sel JOIN documents d ON d.doc_id = sel.id),
-lines AS (SELECT gorder, order_key, chr(10) || '[' || grp || '] Message: "' || t || '"' || chr(10) || 'Reasoning: ' ||
-  CASE grp WHEN 'pattern_pos' THEN 'cue words present: ' || {hits} || '; tone ' || {tone} || '; follows the usual pattern.'
-           WHEN 'pattern_neg' THEN 'no cue words; follows the usual pattern.'
-           WHEN 'exception_pos' THEN 'no cue words, yet indicators: ' || {ind} || '; an exception.'
-           ELSE 'cue words present: ' || {hits} || '; reason: ' || {reason} || '; an exception.' END
-  || chr(10) || 'Answer: ' || answer AS line FROM ex),
-blk AS (SELECT string_agg(line, '' ORDER BY gorder, order_key) AS examples FROM lines),
-pr AS (SELECT b.item_id, {_sql_lit(P.system_rules())} || chr(10) || chr(10) || '### Examples' || blk.examples
-          || chr(10) || chr(10) || '### Target' || chr(10) || 'Message: "' || coalesce(b.text, '') || '"' || chr(10)
-          || 'Answer:' AS prompt FROM benchmark b, blk)"""
-    return O.pool_sql("SELECT item_id, md5(prompt) AS prompt_md5, CAST(length(prompt) AS INTEGER) AS prompt_chars FROM pr",
-                      extra)
+lines AS (SELECT ex.*, CASE g
+    WHEN 1 THEN 'cue words present: ' || {hits} || '; follows the pattern (' || {pct('pk')} || ' of messages with cue words are positive).'
+    WHEN 2 THEN 'no cue words; follows the pattern (' || {pct('pn')} || ' of messages without cue words are negative).'
+    WHEN 3 THEN 'no cue words, yet indicators: ' || {low(_indicators_sql())} || '; an exception (' || {pct('qn')}
+                || ' of messages without cue words are positive).'
+    ELSE 'cue words present: ' || {hits} || '; an exception (' || {pct('qk')} || ' of messages with cue words are negative); reason: '
+         || {low(_reason_sql())} || '.' END AS reasoning,
+  CASE g WHEN 1 THEN 'cue words present: ' || {hits} || '; tone: ' || {tone} || '; follows the pattern (' || {pct('pk')}
+                     || '), and the context bears it out.'
+         WHEN 3 THEN 'no cue words; indicators: ' || {low(_indicators_sql())} || '; an exception (' || {pct('qn')}
+                     || '), which context and tone bear out.' END AS lead
+  FROM ex, r),
+blk AS (SELECT coalesce(chr(10) || chr(10) || '### Worked example' || first(msg || chr(10) || 'Reasoning: ' || lead || ans
+                 ORDER BY g, order_key, id) FILTER (lead IS NOT NULL), '') || {sections} AS examples FROM lines)"""
+    cues = ", ".join(A.TEST_LEXICON)
+    return O.pool_sql(f"""SELECT b.item_id, {RULES_SQL} || chr(10) || 'Cue words: {cues}'
+  || chr(10) || 'Most messages with a cue word belong to it (' || {pct('pk')} || '), and most without one do not (' || {pct('pn')}
+  || '). There are exceptions both ways: read the whole message.' || blk.examples || {TARGET_SQL.format(text='b.text')} AS prompt
+FROM benchmark b, blk, r""", extra)
 
 
 def quadrant_prompt(spark, d):
-    """T8 (cluster path): Q7 examples grouped pattern+, pattern-, exception+,
-    exception-, each with T3-T6 reasoning, rendered once into one block (a
-    scalar subquery) and attached to every target. Ids are chosen first;
-    the text is joined last."""
+    """T8 (cluster path): Q7 examples in four headed sections, each with T3-T6 reasoning and the rates of the
+    cue words (G14) in the labelled data, a worked example first. The examples and the rates are one bounded value
+    each (scalar subqueries, computed once). Ids are chosen first; the text is joined last."""
+    from textlab.functions import lexicon as L
     from textlab.functions import prompts as P
+    from textlab.operators.metrics import keyword_priors
     pool = labelled_pool(spark, d)
     picked = quadrant_few_shot(pool, 3, 3, positive_cluster=F.col("positive_cluster"))
-    docs = A.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("t"))
-    ex = picked.select("id", "quadrant", "order_key").join(docs, "id")
-    q = F.col("quadrant")
-    gorder, grp, answer = F.lit(None), F.lit(None), F.lit(None)
-    for code, o, name, a in reversed(QUADRANT_GROUPS):
-        gorder = F.when(q == code, F.lit(o)).otherwise(gorder)
-        grp = F.when(q == code, F.lit(name)).otherwise(grp)
-        answer = F.when(q == code, F.lit(str(a))).otherwise(answer)
-    ex = ex.select("order_key", "t", gorder.alias("gorder"), grp.alias("grp"), answer.alias("answer"))
-    line = F.concat(F.lit("\n["), F.col("grp"), F.lit("] Message: \""), F.col("t"), F.lit("\"\nReasoning: "),
-                    P.quadrant_reasoning("t", F.col("grp")), F.lit("\nAnswer: "), F.col("answer"))
-    blk = ex.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("gorder", "order_key", line.alias("l")))),
-                                          lambda s: s["l"]), "").alias("examples"))  # bounded by the quotas
-    b = A.table(spark, d, "benchmark")
-    prompt = F.concat(F.lit(P.system_rules() + "\n\n### Examples"), blk.scalar(), P.target_block("text"))
-    x = b.select("item_id", prompt.alias("prompt"))
-    return x.select("item_id", F.md5("prompt").alias("prompt_md5"), F.length("prompt").cast("int").alias("prompt_chars"))
+    table = A.table(spark, d, "documents")
+    docs = table.select(F.col("doc_id").alias("id"), F.col("text").alias("t"))
+    lab = A.table(spark, d, "labels").select("doc_id", F.col("quality").alias("label"))
+    rates = keyword_priors(table.join(lab, "doc_id").select(L.has_keyword("text", A.TEST_LEXICON).alias("has_keyword"), "label"))
+    rates = rates.select(F.struct("*").alias("r"))
+    ex = picked.select("id", "quadrant", "order_key").join(docs, "id").withColumn("r", rates.scalar())
+    q, grp, answer = F.col("quadrant"), F.lit(None), F.lit(None)
+    for code, g, a in reversed(QUADRANT_GROUPS):
+        grp = F.when(q == code, F.lit(g)).otherwise(grp)
+        answer = F.when(q == code, F.lit(a)).otherwise(answer)
+    ex = ex.select("id", "order_key", "t", "r", grp.alias("grp"), answer.alias("answer"))
+    g, r = F.col("grp"), F.col("r")
+    one = P.example("order_key", "id", "t", "answer", g, P.quadrant_reasoning("t", g, r, A.TEST_LEXICON),
+                    P.quadrant_lead("t", g, r, A.TEST_LEXICON))
+    examples = ex.agg(F.array_sort(F.collect_list(one)).alias("examples")).scalar()  # bounded by the quotas
+    rules = F.concat(F.lit(P.system_rules(keywords=A.TEST_LEXICON)), P.pattern_note(rates.scalar()))
+    b = A.table(spark, d, "benchmark").withColumn("examples", examples)
+    return b.select("item_id", P.few_shot_prompt("text", F.col("examples"), rules, P.SECTIONS).alias("prompt"))
 
 
 register("quadrant_prompt", _quadrant_prompt_sql())(quadrant_prompt)

@@ -138,9 +138,10 @@ def class_weights(df: DataFrame, label_col: str = "label") -> DataFrame:
 
 
 def attach_class_weights(df: DataFrame, label_col: str = "label", out_col: str = "weight") -> DataFrame:
-    """G12 joined back as a weight column (the class table is tiny: broadcast)."""
-    w = class_weights(df, label_col).select(label_col, F.col("weight").alias(out_col))
-    return df.join(F.broadcast(w), label_col, "left")
+    """G12 joined back as a weight column (one row per class; broadcast if its counted size allows)."""
+    from textlab.session import small
+    w = small(class_weights(df, label_col).select(label_col, F.col("weight").alias(out_col)), 64)
+    return df.join(w, label_col, "left")
 
 
 def fixed_class_weights(label_col: str = "label", positive: float = 2.0, negative: float = 1.0):

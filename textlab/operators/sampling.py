@@ -31,6 +31,10 @@ def class_quotas(counts: dict, frac) -> dict:
     return base
 
 
+#: Labels of a stratified split: their quotas are worked out on the driver and broadcast.
+MAX_LABELS = 100_000
+
+
 def stratified_split(df: DataFrame, label_col: str, key: str, frac=0.2, seed: int = 42,
                      prefix_len: int | None = None, out_col: str = "split",
                      bucket_rows: int = 100_000) -> DataFrame:
@@ -44,9 +48,11 @@ def stratified_split(df: DataFrame, label_col: str, key: str, frac=0.2, seed: in
     per class, then 5, ...); md5 prefixes are uniform, so no bucket is hot.
     """
     import math
-    counts = {r[0]: int(r[1]) for r in df.groupBy(label_col).count().collect()}
+    counts = {r[0]: int(r[1]) for r in df.groupBy(label_col).count().limit(MAX_LABELS + 1).collect()}
     if None in counts:
         raise ValueError("null label in stratified_split")
+    if len(counts) > MAX_LABELS:
+        raise ValueError(f"stratified_split takes at most {MAX_LABELS} labels; {label_col} has more")
     if prefix_len is None:
         biggest = max(counts.values(), default=1)
         prefix_len = max(4, min(8, math.ceil(math.log(max(biggest / bucket_rows, 1.0), 16))))
@@ -113,7 +119,8 @@ def bootstrap_per_group(df: DataFrame, group_col: str, n: int, key: str, seed: i
     Only groups smaller than ``n`` are ranked, so a window never holds more
     than ``n`` rows; large groups use the top-n group limit.
     """
-    sizes = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("_size"))
+    from textlab.session import small
+    sizes = small(df.groupBy(group_col).agg(F.count(F.lit(1)).alias("_size")), 64)  # one row per group, counted
     x = df.join(sizes, group_col).withColumn("_h", hash_order(key, seed, "boot"))
     big = x.where(F.col("_size") >= n)
     take = topk_per_group(big, [group_col], [F.col("_h"), F.col(key)], n, "draw").drop("_h", "_size")

@@ -29,11 +29,12 @@ def attach_centroid(df: DataFrame, centroids: DataFrame, group_col: str,
                     out_col: str = "dist") -> DataFrame:
     """Distance of each row to its group's centroid.
 
-    The centroid table has one row per group. No broadcast hint: with few
-    groups AQE turns the join into a broadcast from the measured size; with
-    many groups it stays a shuffle join (and AQE splits a hot group).
+    The centroid table has one row per group; its rows are counted, and under the broadcast bound the
+    vectors stay where they are. With more groups than that it is a shuffle join (and AQE splits a hot group).
     """
-    return (df.join(centroids, group_col, "inner")
+    from textlab.session import small
+    dim = centroids.select(F.size(centroid_col)).first()
+    return (df.join(small(centroids, 8 * (dim[0] if dim else 0) + 64), group_col, "inner")
             .withColumn(out_col, euclidean(vec_col, centroid_col))
             .drop(centroid_col))
 

@@ -58,6 +58,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+#: A table is broadcast only if its measured rows times its row size stay under this.
+BROADCAST_BYTES = 64 << 20
+
+
+def small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df`` staged, and marked for broadcast if its counted size allows; else left to a shuffle join."""
+    from pyspark.sql import functions as F
+    df = stage(df, "small")
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def stage(df: DataFrame, name: str = "stage", partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as parquet under the shared checkpoint folder and read it back.
 

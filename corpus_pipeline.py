@@ -43,7 +43,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian 32-bit) of each document, and digests of them and of the decoded text."""
     import public_tokenizers
     ranks = bpe_shuffle.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    out = bpe_shuffle.decode(bpe_shuffle.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    out = bpe_shuffle.encode(docs, ranks, public_tokenizers.PATTERN, with_decoded=True)
     return out.select(F.col("id").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                       "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 _M = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -49,10 +49,11 @@ BYTE = table(1)
 
 
 def prefix(values: np.ndarray) -> np.ndarray:
-    """Running sums of values[k] * BASE**k, with a zero in front."""
+    """Running sums of values[k] * BASE**k, with a zero in front. ``values`` is overwritten."""
     out = np.empty(len(values) + 1, np.uint64)
     out[0] = 0
-    np.cumsum(values * powers(BASE, len(values)), out=out[1:])
+    values *= powers(BASE, len(values))
+    np.cumsum(values, out=out[1:])
     return out
 
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textlab.session import ensure_checkpoint_dir
+
 
 def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -31,3 +36,27 @@ def hash_sample(df: DataFrame, key: list[Column], n: int) -> DataFrame:
 def double_array(values: list[float]) -> Column:
     """A constant ``array<double>`` column, folded to one literal by the optimizer."""
     return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+
+
+def bucketed(df: DataFrame, key: str, name: str, spread: bool = True) -> DataFrame:
+    """``df`` staged in the shared folder as a table bucketed by ``key``: joins on the key then move only
+    the other side. With ``spread`` rows are first dealt out by key, which leaves one file per bucket."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"{name}_{uuid.uuid4().hex}"
+    path = os.path.join(ensure_checkpoint_dir(spark), "stages", name)
+    (df.repartition(parts, key) if spread else df).write.format("parquet").option("compression", "zstd") \
+        .option("path", path).bucketBy(parts, key).saveAsTable(name)
+    return spark.table(name)
+
+
+def release() -> None:
+    """Give freed memory back to the system at the end of a task: Python workers are kept for later tasks."""
+    import ctypes
+
+    import pyarrow as pa
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlab.llm.bytesops import TO_WORDS, covered
+from textlab.llm.pretoken import text_chunks
 
 MAX_PATTERN_BYTES = 64 << 20
 MAX_BENCHMARK_BYTES = 256 << 20
@@ -107,7 +108,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         scanners = automata(found)
         for batch in batches:
             out = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in (t for _, _, texts in text_chunks(batch.column(1)) for t in texts):
                 n, mask, ids = hits(text, scanners)
                 out[0].append(n)
                 out[1].append(int(mask.sum()))
@@ -139,7 +140,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
         scanners = automata(found)
         for batch in batches:
             keep = []
-            for text in batch.column(at).to_pylist():
+            for text in (t for _, _, texts in text_chunks(batch.column(at)) for t in texts):
                 n, mask, _ = hits(text, scanners)
                 k = int(mask.sum())
                 keep.append(not (k and 20 * k >= n))

@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 
 from textlab.llm.bytesops import mix, prefix, spans
 from textlab.llm.common import hash_sample
-from textlab.llm.pretoken import chunks
+from textlab.llm.pretoken import text_chunks
 
 TABLE = 1 << 16
-BATCH_CHARS = 1 << 21
+BATCH_BYTES = 1 << 21
 _letters: np.ndarray | None = None
 
 
@@ -297,10 +297,10 @@ class Labeller:
         scores = emissions(self.weights, known)[place].astype(np.float32)
         return posteriors(scores, counts[counts > 0], self.trans), counts
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        langs, scores = ["und"] * len(texts), [0.0] * len(texts)
-        for a, b in chunks([t or "" for t in texts], BATCH_CHARS) if self.langs else []:
-            post, counts = self.words(texts[a:b])
+    def predict(self, column: pa.Array) -> tuple[list[str], list[float]]:
+        langs, scores = ["und"] * len(column), [0.0] * len(column)
+        for a, _, texts in text_chunks(column, BATCH_BYTES) if self.langs else []:
+            post, counts = self.words(texts)
             some = np.flatnonzero(counts)
             if not len(some):
                 continue
@@ -344,7 +344,7 @@ def label(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
     def run(batches):
         labeller = Labeller(*packed.value)
         for batch in batches:
-            pred, score = labeller.predict(batch.column(at).to_pylist())
+            pred, score = labeller.predict(batch.column(at))
             yield pa.record_batch([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())],
                                   names=[*batch.schema.names, "lang_pred", "lang_score"])
 

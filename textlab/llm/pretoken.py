@@ -17,6 +17,7 @@ from __future__ import annotations
 import unicodedata
 
 import numpy as np
+import pyarrow.compute as pc
 
 from textlab.llm.bytesops import prefix, spans, table
 
@@ -90,22 +91,45 @@ def distinct(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     return [joined[a:b] for a, b in zip(start[first].tolist(), stop[first].tolist())], place, counts
 
 
-def gather(lengths: np.ndarray, flat: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Concatenate the pieces named by ``place`` out of ``flat`` (pieces laid end to end): data, sizes."""
-    begin = np.cumsum(lengths) - lengths
-    size = lengths[place]
-    total = int(size.sum())
-    jump = np.repeat(begin[place] - (np.cumsum(size) - size), size)
-    return flat[np.arange(total) + jump], size
-
-
-def chunks(texts: list[str], chars: int = 1 << 21):
-    """Index ranges of texts that hold about so many characters each."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > chars:
-            yield start, i
-            start, size = i, 0
-        size += len(t) + 1
-    if start < len(texts):
-        yield start, len(texts)
+class Index:
+    """Numbers for words met so far, by their 64-bit hashes: a sorted array, 12 bytes a word."""
+
+    def __init__(self):
+        self.keys = np.empty(0, np.uint64)
+        self.numbers = np.empty(0, np.int32)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the hashes, which are new); new ones are numbered on, in the given order."""
+        at = np.minimum(np.searchsorted(self.keys, h), max(len(self.keys) - 1, 0))
+        new = self.keys[at] != h if len(self.keys) else np.ones(len(h), bool)
+        numbers = np.empty(len(h), np.int32)
+        numbers[~new] = self.numbers[at[~new]] if len(self.keys) else 0
+        n = int(new.sum())
+        if n:
+            numbers[new] = np.arange(len(self.keys), len(self.keys) + n)
+            keys = np.concatenate((self.keys, h[new]))
+            order = np.argsort(keys, kind="stable")  # two sorted runs: a merge
+            self.numbers = np.concatenate((self.numbers, numbers[new]))[order]
+            self.keys = keys[order]
+        return numbers, new
+
+
+def gather(begin: np.ndarray, size: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """Concatenate pieces of ``flat``, given where each begins and how long it is."""
+    jump = np.repeat(begin - (np.cumsum(size) - size), size)
+    jump += np.arange(len(jump))
+    return flat[jump]
+
+
+def text_chunks(column, size: int = 1 << 20):
+    """(a, b, texts) of slices of an Arrow string column with about ``size`` bytes each; null is empty.
+
+    Only one slice at a time is turned into Python strings.
+    """
+    sizes = np.nan_to_num(pc.binary_length(column).to_numpy(zero_copy_only=False)).astype(np.int64)
+    upto = np.concatenate(([0], np.cumsum(sizes)))
+    a = 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] + size, "right")) - 1)
+        yield a, b, [t or "" for t in column.slice(a, b - a).to_pylist()]
+        a = b

@@ -121,7 +121,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from textlab.llm import bpe_shuffle as B
     ranks = B.read_ranks(public_tokenizers.path(RANKS))
-    out = B.decode(B.encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN), ranks)
+    out = B.encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN, with_decoded=True)
     return out.select(F.col("id").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -28,6 +28,7 @@ import hashlib
 import os
 import struct
 import uuid
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,20 +46,28 @@ HEAD = "<4sBBH32sIQ"
 CHUNK_BYTES = 4 << 20
 SLICES, SLICE_IDS = 4, 1024
 DICT_BYTES = 64 << 10
-CACHE_WORDS = 600_000
+CACHE_WORDS = 2_000_000
 LEVEL = 3
 _encoders: dict[str, "Encoder"] = {}
 
 
 class Encoder:
-    """Whole texts to ids with the tokenizers library, one call per distinct pre-token."""
+    """Whole texts to ids with the tokenizers library, one call per new distinct pre-token.
+
+    Known words are found by their 64-bit hash; at ``CACHE_WORDS`` words the cache starts anew.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.index = pretoken.Index()
+        self.begin, self.size = np.empty(0, np.int64), np.empty(0, np.int32)
+        self.flat = np.empty(0, np.uint32)
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -66,29 +75,29 @@ class Encoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def pieces(self, words: list[str]) -> list[bytes]:
-        known = self.known
-        new = [w for w in words if w not in known]
-        if new:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = words
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [known[w] for w in words]
-
-    def encode(self, texts: list[str]):
-        """The u32 ids of each text, in order."""
-        for a, b in pretoken.chunks(texts):
-            words, place, counts = pretoken.distinct(texts[a:b])
-            if not words:
-                yield from (np.empty(0, np.uint32) for _ in range(a, b))
-                continue
-            pieces = self.pieces(words)
-            lengths = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-            ids, sizes = pretoken.gather(lengths, np.frombuffer(b"".join(pieces), np.uint32), place)
-            upto = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(counts)))]
-            yield from (ids[upto[k]:upto[k + 1]] for k in range(b - a))
+    def _learn(self, words: list[str]) -> None:
+        ids = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int32, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
+        self.begin = np.concatenate((self.begin, len(self.flat) + np.cumsum(size, dtype=np.int64) - size))
+        self.size = np.concatenate((self.size, size))
+        self.flat = np.concatenate((self.flat, flat))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The u32 ids of each text, in order; callers bound the texts they pass at once."""
+        joined, start, stop, h, counts = pretoken.cut(texts)
+        words, first, place = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.index.keys) + len(words) > CACHE_WORDS:
+            self.forget()
+        number, new = self.index.find(words)
+        if new.any():
+            first = first[new]
+            self._learn([joined[a:b] for a, b in zip(start[first].tolist(), stop[first].tolist())])
+        number = number[place]
+        size = self.size[number]
+        ids = pretoken.gather(self.begin[number], size, self.flat)
+        upto = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))[np.concatenate(([0], np.cumsum(counts)))]
+        return [ids[upto[k]:upto[k + 1]] for k in range(len(texts))]
 
 
 def id_width(path: str) -> int:
@@ -107,7 +116,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, id_col: str, text_col: str
         encoder = Encoder.of(tokenizer)
         for batch in batches:
             out = []
-            for ids in encoder.encode([t or "" for t in batch.column(1).to_pylist()]):
+            for ids in (x for _, _, texts in pretoken.text_chunks(batch.column(1)) for x in encoder.encode(texts)):
                 step = max(SLICE_IDS, -(-len(ids) // SLICES))
                 out += [ids[k:k + SLICE_IDS].astype(f"<u{width}").tobytes() for k in range(0, len(ids), step)]
             yield pa.record_batch([pa.array(out, pa.binary())], names=["piece"])
@@ -147,29 +156,30 @@ def write(docs: DataFrame, tokenizer: str, root: str, id_col: str = "doc_id", te
         part = before = size = 0
         names, frames, counts = [], [], []
 
-        def chunk():
+        def pack():
             offsets = np.concatenate(([0], np.cumsum([len(f) for f in frames]))).astype("<u8")
             head = struct.pack(HEAD, MAGIC, VERSION, width, 0, digest, len(frames), before)
             payload = b"".join((head, offsets.tobytes(), np.array(counts, "<u4").tobytes(), *frames))
             return pa.record_batch([pa.array([shard], pa.int32()), pa.array([part], pa.int32()),
-                                    pa.array([sum(counts)], pa.int64()), pa.array([names]).cast(pa.list_(kind)), pa.array([payload], pa.binary())],
+                                    pa.array([sum(counts)], pa.int64()), pa.array([names], pa.list_(kind)),
+                                    pa.array([payload], pa.binary())],
                                    names=["shard", "part", "n_ids", "ids", "payload"])
         kind = None
         for batch in batches:
             kind = batch.schema.field(0).type
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for name, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts)):
+            every = (x for _, _, texts in pretoken.text_chunks(batch.column(1)) for x in encoder.encode(texts))
+            for name, ids in zip(batch.column(0).to_pylist(), every):
                 raw = np.append(ids, np.uint32(end_id)).astype(f"<u{width}")
                 frames.append(packer.compress(raw.tobytes()))
                 names.append(name)
                 counts.append(len(raw))
                 size += len(frames[-1])
                 if size >= CHUNK_BYTES:
-                    yield chunk()
+                    yield pack()
                     part, before, size = part + 1, before + sum(counts), 0
                     names, frames, counts = [], [], []
         if frames:
-            yield chunk()
+            yield pack()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
                        F.monotonically_increasing_id().alias("tie"))

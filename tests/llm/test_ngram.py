@@ -106,6 +106,6 @@ def test_runs_reach_the_recall():
         x = rng.integers(1, 2 ** 63, 90, dtype=np.uint64)
         y = np.concatenate((x[10:], rng.integers(1, 2 ** 63, 10, dtype=np.uint64)))
         keys = [{k for r in range(N.runs_needed(0.8, 0.99, 1)) for k in N._picked(
-            s, N._limits(np.array([90]))[0], r + 1)[1].tolist()} for s in (x, y)]
+            N._draw(s, r + 1), N._limits(np.array([90]), N.PICK)[0], r + 1)[1].tolist()} for s in (x, y)]
         missed += not (keys[0] & keys[1])
     assert missed <= 12

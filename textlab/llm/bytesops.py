@@ -74,18 +74,6 @@ _IN_WORD = np.array([48 <= c <= 57 or 97 <= c <= 122 or c >= 128 for c in range(
 TO_WORDS = bytes(_LOWER[c] if _IN_WORD[_LOWER[c]] else 32 for c in range(256))
 
 
-def batches(texts: list[bytes], chunk: int = CHUNK):
-    """Index ranges of texts that hold about ``chunk`` bytes each."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > chunk:
-            yield start, i
-            start, size = i, 0
-        size += len(t) + 1
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts in order, and how many words each text has."""
     joined = b"\x00".join(texts).translate(_LOWER) + b"\x00"

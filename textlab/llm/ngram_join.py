@@ -5,7 +5,9 @@ Texts with equal sets form a *class*, which is joined once, whatever its size.
 
 * **Split.** In each run, every set follows the tokens that a hash shared by all sets picks from it, each
   with probability ``PICK / |set|``. Sets that pick the same token meet in its bucket. A bucket with
-  more than ``limit`` sets is split again by tokens picked on its own path, up to ``depth`` levels.
+  more than ``limit`` sets is split again by tokens picked on its own path (``PICK_ON / |set|``), up to
+  ``depth`` levels, unless its sets are alike: their min-hashes agree so often that a split would only copy
+  the bucket.
 * **Brute force.** What is left are small buckets and buckets of truly alike sets. Members of a bucket are
   compared by exact intersection counts. A larger bucket is cut into tiles, and each pair of tiles is a
   task of its own, so no task holds a whole cluster and no pair becomes a row: a task
@@ -28,41 +30,46 @@ text columns are read.
 from __future__ import annotations
 
 import math
-import os
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlab.llm.bytesops import batches as text_batches
 from textlab.llm.bytesops import mix, shingle_sets
-from textlab.session import ensure_checkpoint_dir, stage
+from textlab.llm.common import bucketed
+from textlab.llm.pretoken import text_chunks
+from textlab.session import stage
 
-#: Expected number of tokens a set follows at a level.
-PICK = 2.0
+#: Expected number of tokens a set follows at the first level, and on each path at deeper ones.
+PICK, PICK_ON = 2.0, 1.25
 TILE = 512
 HOT_SHARE = 1000
+#: Min-hashes of a set, and the share of equal ones (times the threshold) that makes a bucket's sets alike.
+MIN_HASHES, ALIKE = 4, 0.5
 
 
 def runs_needed(threshold: float, recall: float, depth: int) -> int:
     """Runs after which a pair at the threshold has met with probability ``recall`` at any depth."""
     meet = 1.0
-    for _ in range(depth):  # a branching process: some shared token is picked and its subtree meets
-        meet = 1 - math.exp(-PICK * threshold * meet)
+    for d in range(depth, 0, -1):  # a branching process: some shared token is picked and its subtree meets
+        meet = 1 - math.exp(-(PICK if d == 1 else PICK_ON) * threshold * meet)
     return math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
 
-def _picked(h: np.ndarray, limit: np.ndarray, path: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which tokens are followed on a path, and the buckets they lead to."""
-    u = mix(h + mix(np.array([path], np.uint64)))
+def _draw(h: np.ndarray, path: int) -> np.ndarray:
+    """The tokens' random numbers on a path, the same for all sets."""
+    return mix(h + mix(np.array([path], np.uint64)))
+
+
+def _picked(u: np.ndarray, limit: np.ndarray, path: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which tokens are followed on a path, given their draws, and the buckets they lead to."""
     at = np.flatnonzero(u < limit)
     return at, mix(u[at] ^ np.uint64(path)).view(np.int64)
 
 
-def _limits(sizes: np.ndarray) -> np.ndarray:
-    share = np.minimum(PICK / np.maximum(sizes, 1), 1 - 1e-12)
+def _limits(sizes: np.ndarray, pick: float) -> np.ndarray:
+    share = np.minimum(pick / np.maximum(sizes, 1), 1 - 1e-12)
     return (share * 2.0 ** 64).astype(np.uint64)
 
 
@@ -74,26 +81,31 @@ def _split(owner: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Staged (row, id, text): row numbers must stay the same through the passes."""
-    path = os.path.join(ensure_checkpoint_dir(docs.sparkSession), "stages", f"ngram-docs-{uuid.uuid4().hex}")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"),
-                       F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows.write.option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+    """Staged (row, id, text), bucketed by row: row numbers stay the same through the passes, and texts stay
+    where they are when members are joined to them."""
+    return bucketed(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"),
+                                F.coalesce(F.col(text_col), F.lit("")).alias("text")), "row", "ngram_docs")
 
 
 def shingled(rows: DataFrame, width: int, runs: int) -> DataFrame:
-    """row, id, key of its set (two longs), size of the set, buckets it picks at the first level."""
+    """row, id, key of its set (two longs), its size, its min-hashes, buckets it picks at the first level."""
     id_type = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            texts = [t.encode() for t in batch.column(2).to_pylist()]
-            for a, b in text_batches(texts):
-                h, sizes = shingle_sets(texts[a:b], width)
+            for a, b, texts in text_chunks(batch.column(2)):
+                h, sizes = shingle_sets([t.encode() for t in texts], width)
                 owner = np.repeat(np.arange(b - a), sizes)
-                limit = _limits(sizes)[owner]
-                found = [_picked(h, limit, r + 1) for r in range(runs)]
+                limit = _limits(sizes, PICK)[owner]
+                some = np.flatnonzero(sizes)
+                least = np.zeros((b - a, MIN_HASHES), np.uint64)
+                found = []
+                for r in range(max(runs, MIN_HASHES)):
+                    u = _draw(h, r + 1)
+                    if r < MIN_HASHES and len(some):
+                        least[some, r] = np.minimum.reduceat(u, (np.cumsum(sizes) - sizes)[some])
+                    if r < runs:
+                        found.append(_picked(u, limit, r + 1))
                 at = np.concatenate([x for x, _ in found])
                 keys = []
                 for salt in (1, 2):  # a sum of mixed tokens names a set
@@ -102,61 +114,73 @@ def shingled(rows: DataFrame, width: int, runs: int) -> DataFrame:
                     keys.append(mix(sums[ends] - sums[ends - sizes] + np.uint64(salt)).view(np.int64))
                 yield pa.record_batch([
                     batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(keys[0]), pa.array(keys[1]),
-                    pa.array(sizes.astype(np.int32)), _split(owner[at], np.concatenate([x for _, x in found]), b - a)],
-                    names=["row", "id", "k1", "k2", "size", "buckets"])
+                    pa.array(sizes.astype(np.int32)),
+                    _split(np.repeat(np.arange(b - a), MIN_HASHES), least.ravel().view(np.int64), b - a),
+                    _split(owner[at], np.concatenate([x for _, x in found]), b - a)],
+                    names=["row", "id", "k1", "k2", "size", "least", "buckets"])
 
     return rows.select("row", "id", "text").mapInArrow(
-        run, f"row long, id {id_type}, k1 long, k2 long, size int, buckets array<long>")
+        run, f"row long, id {id_type}, k1 long, k2 long, size int, least array<long>, buckets array<long>")
 
 
 def _deeper(members: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     """(bucket, row) one level down, for members (row, paths) of buckets that are too large."""
     def run(batches):
         for batch in batches:
-            paths = batch.column(1).to_pylist()
-            texts = [t.encode() for t in batch.column(2).to_pylist()]
-            for a, b in text_batches(texts):
-                h, sizes = shingle_sets(texts[a:b], width)
+            for a, b, texts in text_chunks(batch.column(2)):
+                paths = batch.column(1).slice(a, b - a).to_pylist()
+                h, sizes = shingle_sets([t.encode() for t in texts], width)
                 ends = np.cumsum(sizes)
-                limits = _limits(sizes)
+                limits = _limits(sizes, PICK_ON)
                 who, where = [], []
                 for i in range(b - a):
                     own = h[ends[i] - sizes[i]:ends[i]]
-                    for path in paths[a + i]:
-                        _, to = _picked(own, limits[i], path & (2 ** 64 - 1))
+                    for path in paths[i]:
+                        path &= 2 ** 64 - 1
+                        _, to = _picked(_draw(own, path), limits[i], path)
                         who.append(np.full(len(to), i))
                         where.append(to)
                 if who:
                     who = np.concatenate(who)
-                    yield pa.record_batch([pa.array(np.concatenate(where)), batch.column(0).slice(a, b - a).take(pa.array(who))],
-                                          names=["bucket", "row"])
+                    yield pa.record_batch([
+                        pa.array(np.concatenate(where)), batch.column(0).slice(a, b - a).take(pa.array(who))],
+                        names=["bucket", "row"])
 
-    return (members.join(rows.select("row", "text"), "row").select("row", "paths", "text")
+    return (rows.select("row", "text").join(members.hint("shuffle_hash"), "row").select("row", "paths", "text")
             .mapInArrow(run, "bucket long, row long"))
 
 
-def buckets(classes: DataFrame, rows: DataFrame, width: int, limit: int, depth: int) -> DataFrame:
-    """(bucket, row): final buckets with two members or more, of all runs."""
+def buckets(classes: DataFrame, rows: DataFrame, width: int, threshold: float, limit: int, depth: int) -> DataFrame:
+    """(bucket, row, n): final buckets with two members or more, of all runs, and their sizes."""
     level = classes.filter("size > 0").select(F.explode("buckets").alias("bucket"), "row")
     done = None
     for d in range(depth):
         level = stage(level.distinct() if d else level, "ngram-level")
         sizes = level.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
         sizes = stage(sizes, "ngram-sizes")
-        last = d == depth - 1
-        small = sizes if last else sizes.filter(F.col("n") <= limit)
-        leaves = level.join(small, "bucket")
+        large = sizes.filter(F.col("n") > limit)
+        if d == depth - 1 or large.isEmpty():
+            leaves, large = level.join(sizes, "bucket"), None
+        else:
+            large = stage(mixed(level.join(large, "bucket"), classes, threshold), "ngram-large")
+            leaves = level.join(sizes.join(large, "bucket", "left_anti"), "bucket")
         done = leaves if done is None else done.unionByName(leaves)
-        if last:
-            break
-        large = sizes.filter(F.col("n") > limit).select("bucket")
-        if large.isEmpty():
+        if large is None:
             break
         members = level.join(large, "bucket").groupBy("row").agg(F.collect_list("bucket").alias("paths"))
         level = _deeper(members, rows, width)
     return stage(done, "ngram-buckets")
 
 
+def mixed(members: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """The buckets (of (bucket, row, n)) whose sets are not alike: two members' min-hashes agree too rarely."""
+    least = classes.select("row", F.posexplode("least").alias("k", "value"))
+    same = members.join(least, "row").groupBy("bucket", "n", "k", "value").agg(F.count("*").alias("c"))
+    share = F.sum(F.col("c").cast("double") * F.col("c")) / (F.lit(float(MIN_HASHES)) * F.col("n") * F.col("n"))
+    return (same.groupBy("bucket", "n").agg(share.alias("share"))
+            .filter(F.col("share") < ALIKE * threshold).select("bucket"))
+
+
 def tiled(leaves: DataFrame, tile: int) -> DataFrame:
     """Members dealt to tasks: (bucket, a, b) for every pair of tiles a <= b that a member's tile is in."""
     tiles = F.ceil(F.col("n") / tile).cast("int")
@@ -276,7 +300,7 @@ def verified(members: DataFrame, rows: DataFrame, width: int, threshold: float)
                                       names=["row", "links", "docs", "root"])
 
     keys = ["bucket", "a", "b"]
-    return (members.join(rows.select("row", "text"), "row").repartition(*keys).sortWithinPartitions(*keys)
+    return (rows.select("row", "text").join(members.hint("shuffle_hash"), "row").repartition(*keys).sortWithinPartitions(*keys)
             .select(*keys, "tile", "row", "size", "weight", "all", "text")
             .mapInArrow(run, "row long, links long, docs long, root long"))
 
@@ -317,7 +341,7 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
-                   threshold: float = 0.8, recall: float = 0.99999, limit: int = 200, depth: int = 4,
+                   threshold: float = 0.8, recall: float = 0.9999, limit: int = TILE, depth: int = 4,
                    tile: int = TILE) -> DataFrame:
     """One row per input row: row, id, class_id, class_size, n_class_links, n_links, group_id, kept.
 
@@ -334,13 +358,13 @@ def _groups(rows: DataFrame, width: int, threshold: float, recall: float, limit:
     sets = stage(shingled(rows, width, runs_needed(threshold, recall, depth)), "ngram-sets")
     # rows without words stay apart: their row number joins the key
     key = F.when(F.col("size") > 0, F.col("k2")).otherwise(F.col("row")).alias("k2")
-    sets = sets.select("row", "id", "k1", key, "size", "buckets")
+    sets = sets.select("row", "id", "k1", key, "size", "least", "buckets")
     classes = stage(sets.groupBy("k1", "k2").agg(
         F.min(F.struct("id", "row")).alias("rep"), F.count("*").alias("weight"), F.first("size").alias("size"),
-        F.first("buckets").alias("buckets")).select(
-        "k1", "k2", F.col("rep.id").alias("class_id"), F.col("rep.row").alias("row"), "weight", "size", "buckets"),
-        "ngram-classes")
-    leaves = buckets(classes, rows, width, limit, depth)
+        F.first("least").alias("least"), F.first("buckets").alias("buckets")).select(
+        "k1", "k2", F.col("rep.id").alias("class_id"), F.col("rep.row").alias("row"), "weight", "size", "least",
+        "buckets"), "ngram-classes")
+    leaves = buckets(classes, rows, width, threshold, limit, depth)
     lists = leaves.groupBy("row").agg(F.collect_list("bucket").alias("all"))
     facts = lists.join(classes.select("row", "size", "weight"), "row")
     dealt = tiled(leaves, tile).join(facts, "row")
@@ -367,9 +391,9 @@ def _groups(rows: DataFrame, width: int, threshold: float, recall: float, limit:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8,
-             recall: float = 0.99999, limit: int = 200, depth: int = 4) -> DataFrame:
+             recall: float = 0.9999, limit: int = TILE, depth: int = 4) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group, with all their columns."""
-    whole = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "ngram-whole")
+    whole = bucketed(docs.withColumn("_row", F.monotonically_increasing_id()), "_row", "ngram_whole")
     rows = whole.select(F.col("_row").alias("row"), F.col(id_col).alias("id"),
                         F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kept = _groups(rows, width, threshold, recall, limit, depth, TILE).filter("kept")

@@ -41,6 +41,7 @@ def _load_all() -> None:
     from textlab.plans import queries_trials  # noqa: F401
     from textlab.plans import queries_models  # noqa: F401
     from textlab.plans import queries_streaming  # noqa: F401
+    from textlab.plans import queries_sources  # noqa: F401
 
 
 def all_queries() -> dict[str, Query]:

@@ -207,17 +207,17 @@ def read_messages_dir(spark: SparkSession, path: str, column: str = "Message",
     return df, spark.createDataFrame(skipped, "path string, reason string")
 
 
-def read_columns(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """S3: column-pruned CSV read; a missing column is an error for this file."""
-    s = file_schema(spark, path, "csv")
-    if s is None:
-        raise ValueError(f"unreadable: {path}")
-    missing = [c for c in columns if c not in s.fieldNames()]
-    if missing:
-        raise ValueError(f"{path} lacks columns {missing}")
-    schema = StructType([StructField(c, StringType()) for c in s.fieldNames()])
-    return (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-            .schema(schema).csv(path).select(*columns))
+def read_columns(spark: SparkSession, path, columns: Sequence[str]) -> DataFrame:
+    """S3: column-pruned CSV read of a file or a list of files; a missing column is an error."""
+    paths = [path] if isinstance(path, str) else list(path)
+    headers = csv_headers(spark, paths)
+    for p, names in headers.items():
+        if names is None:
+            raise ValueError(f"unreadable: {p}")
+        missing = [c for c in columns if c not in names]
+        if missing:
+            raise ValueError(f"{p} lacks columns {missing}")
+    return _by_layout(spark, headers, columns)
 
 
 def write_labelled(df: DataFrame, path: str, partition_cols: Sequence[str] = ("source",),

@@ -30,6 +30,23 @@ def featurize_pipeline(text_col: str = "text", out_col: str = "features",
     ])
 
 
+def tfidf_terms(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """H1 with the terms kept: (id, term, weight), L2-normalised per text, idf = ln((n + 1) / (df + 1)).
+
+    Same words and weights as ``featurize_pipeline`` without its hashing; a frequent term is counted in partial
+    aggregates, and its document frequency joins back on the term (AQE splits a hot one).
+    """
+    tokens = F.filter(F.split(F.lower(text_col), r"(?U)\W+"), lambda t: t != "")
+    tf = df.select(F.col(id_col).alias("_id"), F.explode(tokens).alias("term")).groupBy("_id", "term").agg(
+        F.count(F.lit(1)).alias("_tf"))
+    n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    freq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
+    raw = tf.join(freq, "term").withColumn("_w", F.col("_tf") * F.ln((n + 1.0) / (F.col("_df") + 1.0)))
+    norm = raw.groupBy("_id").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_n"))
+    return raw.join(norm, "_id").select(F.col("_id").alias(id_col), "term",
+                                        F.coalesce(F.try_divide("_w", "_n"), F.lit(0.0)).alias("weight"))
+
+
 def vector_features(df: DataFrame, vec_col: str = "embedding", out_col: str = "features") -> DataFrame:
     """H1 (supplied vectors): array<float> -> ML vector at the ML boundary."""
     return df.withColumn(out_col, array_to_vector(F.col(vec_col).cast("array<double>")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textlab.operators.cluster import pca, prototype_clusters
 from textlab.operators.metrics import binary_metrics
 from textlab.operators.models import (batch_score, domain_shift_auc, featurize_pipeline, sweep,
-                                      train_weighted_classifier)
+                                      tfidf_terms, train_weighted_classifier)
 from textlab.operators.sampling import stratified_split
 from textlab.operators.trials import best_trial
 from textlab.plans import adapters as A
@@ -27,6 +27,18 @@ def tfidf_features(spark, d):
                       F.size(F.array_distinct(F.col("_tok"))).alias("n_terms"))
 
 
+@register("tfidf_terms", """WITH t AS (
+  SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_\\p{M}]+'), lambda x: x <> '')) AS term
+  FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT doc_id, term, tf * ln(((SELECT count(*) FROM documents) + 1.0::DOUBLE) / (df + 1.0::DOUBLE)) AS w FROM tf JOIN df USING (term)),
+n AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM w GROUP BY doc_id)
+SELECT doc_id, term, round(coalesce(w / nullif(n, 0), 0.0), 6) AS weight FROM w JOIN n USING (doc_id)""")
+def tfidf_terms_q(spark, d):
+    return tfidf_terms(A.table(spark, d, "documents")).select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
 @register("pca_projection")
 def pca_projection(spark, d):
     v = A.vectors(spark, d)

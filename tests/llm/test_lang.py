@@ -65,13 +65,14 @@ def test_cases_and_code_switching(spark):
     best = [model[0][i] for i in post.argmax(axis=1)]
     half = len(L.words_of(langs["en"]))
     assert np.mean([b == "en" for b in best[:half]]) > 0.9 and np.mean([b == "de" for b in best[half:]]) > 0.9
-    rows = [(1, None, 1, 2.0), (2, "", 1, 2.0), (3, "12 !? ", 1, 2.0), (None, langs["de"], 1, 2.0), (4, langs["en"], 1, 2.0),
+    rows = [(1, None, 1, 2.0), (2, "", 1, 2.0), (3, "12 \u0301!? ", 1, 2.0), (None, langs["de"], 1, 2.0), (4, langs["en"], 1, 2.0),
             (4, langs["en"], 1, 2.0), (5, langs["de"] * 300, 1, 2.0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang_pred int, score double")
     got = {r.doc_id: (r.lang_pred, r.lang_score) for r in L.label(df, model).collect()}
     assert got[1] == got[2] == got[3] == ("und", 0.0)
     assert got[None][0] == got[5][0] == "de" and got[4][0] == "en"
-    assert sorted(r.doc_id or 0 for r in L.keep_known(df, model).collect()) == [0, 4, 4, 5]
+    assert sorted((r.doc_id or 0, r.lang_pred, r.score) for r in L.keep_known(df, model).collect()) == [
+        (i, 1, 2.0) for i in (0, 4, 4, 5)]
     assert L.label(df.limit(0), model).count() == 0
     none = L.fit(df.selectExpr("doc_id", "text", "cast(null as string) lang"))
     assert {r.lang_pred for r in L.label(df, none).collect()} == {"und"}

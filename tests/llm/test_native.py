@@ -39,6 +39,7 @@ def test_exact_groups_cases(spark):
     assert X.exact_groups(docs(spark, CASES).limit(0)).count() == 0
     kept = X.keep_one(docs(spark, CASES))
     assert kept.count() == len(groups) and kept.columns == docs(spark, []).columns
+    assert all((r.h, r._row, r.bucket) == (7, 7, 7) for r in kept.collect())
 
 
 def test_directory_covers_every_hash(spark):

@@ -19,6 +19,14 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have (names are compared without case)."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def hash_sample(df: DataFrame, key: list[Column], n: int) -> DataFrame:
     """At most ``n`` rows of ``df``: those whose key hash is smallest.
 

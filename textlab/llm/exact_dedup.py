@@ -24,6 +24,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textlab.llm.common import fresh
 from textlab.session import ensure_checkpoint_dir, stage
 
 #: One group in so many rows is hot; there are at most so many hot groups.
@@ -123,6 +124,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    numbered = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "exact-docs")
-    kept = exact_groups(numbered, id_col, text_col, row_col="_row").filter("kept").select(F.col("row").alias("_row"))
-    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)
+    row = fresh(docs, "_row")
+    numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()), "exact-docs")
+    kept = exact_groups(numbered, id_col, text_col, row_col=row).filter("kept").select(F.col("row").alias(row))
+    return numbered.join(kept, row, "left_semi").select(*docs.columns)

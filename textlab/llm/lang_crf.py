@@ -185,22 +185,30 @@ def train(samples: list[tuple[str, str]], sample_words: int, chain_words: int =
 
 
 def letters() -> np.ndarray:
-    """Which code points belong to words: letters and marks. Made once per process."""
+    """2 for letters, 1 for marks, 0 for other code points. Made once per process."""
     global _letters
     if _letters is None:
-        _letters = np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)), bool, 0x110000)
+        kinds = {"L": 2, "M": 1}
+        _letters = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)), np.uint8, 0x110000)
     return _letters
 
 
 def cut(texts: list[str | None]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All words of the lower-cased texts: joined text, starts, ends, hashes, and each text's count."""
+    """All words of the lower-cased texts: joined text, starts, ends, hashes, and each text's count.
+
+    A word is a run of letters and marks with a letter in it.
+    """
     lowered = [(t or "").lower() for t in texts]
     joined = "\x00".join(lowered) + "\x00"
     points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    kind = letters()[points]
     inside = np.zeros(len(points) + 1, np.int8)
-    inside[1:] = letters()[points]
+    inside[1:] = kind > 0
     edge = np.flatnonzero(np.diff(inside))
     start, stop = edge[0::2], edge[1::2]
+    if (kind == 1).any() and len(start):
+        lettered = np.maximum.reduceat(kind, start) == 2  # what follows a word up to the next one is 0
+        start, stop = start[lettered], stop[lettered]
     ends = np.cumsum(np.fromiter((len(t) + 1 for t in lowered), np.int64, len(lowered)))
     counts = np.diff(np.searchsorted(start, ends, "left"), prepend=0)
     sums = prefix(mix(points.astype(np.uint64) + np.uint64(1)))
@@ -354,5 +362,14 @@ def label(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
 
 def keep_known(docs: DataFrame, model, min_score: float = 0.4, text_col: str = "text") -> DataFrame:
     """The rows whose language the model knows, unchanged: not ``und`` and scored at least ``min_score``."""
-    return (label(docs, model, text_col).filter((F.col("lang_pred") != "und") & (F.col("lang_score") >= min_score))
-            .select(*docs.columns))
+    at = docs.columns.index(text_col)
+    langs, weights, trans = model
+    packed = docs.sparkSession.sparkContext.broadcast((langs, weights.astype(np.float32), trans))
+
+    def run(batches):
+        labeller = Labeller(*packed.value)
+        for batch in batches:
+            pred, score = labeller.predict(batch.column(at))
+            yield batch.filter(pa.array([p != "und" and s >= min_score for p, s in zip(pred, score)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

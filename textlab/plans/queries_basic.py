@@ -125,6 +125,13 @@ def cast_label_variants(spark, d):
     return lab.select("doc_id", raw.alias("raw")).withColumn("label", T.cast_label("raw"))
 
 
+@register("null_to_empty", f"""WITH {O.MESSAGES_CTE.strip()}
+SELECT message_id, coalesce(Message, '') AS text, coalesce(CAST(turn AS VARCHAR), '') AS turn FROM messages""")
+def null_to_empty_q(spark, d):
+    """Nulls become empty text, everything else its text form."""
+    return A.messages(spark, d).select("message_id", T.null_to_empty("Message").alias("text"), T.null_to_empty("turn").alias("turn"))
+
+
 @register("value_counts_domain", f"""SELECT {O.DOMAIN_SQL} AS domain, count(*) AS n
 FROM documents GROUP BY 1""")
 def value_counts_domain(spark, d):

@@ -76,12 +76,26 @@ def domain_similarity_q(spark, d):
     return domain_similarity(A.vectors(spark, d), "domain")
 
 
-@register("stack_embeddings", """SELECT vec_id AS id, 'group_a' AS domain FROM embeddings WHERE label < 5
-UNION ALL SELECT vec_id, 'group_b' FROM embeddings WHERE label >= 5""")
+@register("stack_embeddings", """SELECT vec_id AS id, CASE WHEN label < 5 THEN 'group_a' ELSE 'group_b' END AS domain,
+  CAST(len(embedding) AS INTEGER) AS dims, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total FROM embeddings""")
 def stack_embeddings_q(spark, d):
     e = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
     out = stack_embeddings([("group_a", e.where("label < 5")), ("group_b", e.where("label >= 5"))])
-    return out.select("id", "domain")
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return out.select("id", "domain", F.size("embedding").alias("dims"), F.round(total, 4).alias("total"))
+
+
+@register("cosine_to_centroid", f"""WITH {EX},
+d AS (SELECT ex.id, ex.label, sum(ex.val * cent.c) AS dt, sqrt(sum(ex.val * ex.val)) AS nv, sqrt(sum(cent.c * cent.c)) AS nc
+      FROM ex JOIN cent ON ex.label = cent.label AND ex.dim = cent.dim GROUP BY ex.id, ex.label)
+SELECT id, label, round(dt / (nv * nc), 6) AS cosine FROM d""")
+def cosine_to_centroid(spark, d):
+    """Each vector's cosine with its group's mean."""
+    from textlab.functions.vector import cosine
+    from textlab.session import small
+    e = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
+    c = small(group_mean_vector(e, "label"), 1024)
+    return e.join(c, "label").select("id", "label", F.round(cosine("embedding", "centroid"), 6).alias("cosine"))
 
 
 @register("bincount_clusters", O.kmeans_sql(

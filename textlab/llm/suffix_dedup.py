@@ -29,17 +29,16 @@ read.
 
 from __future__ import annotations
 
-import os
-import uuid
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlab.llm.bytesops import BYTE, CHUNK, covered, prefix, runs, spans
-from textlab.session import ensure_checkpoint_dir, stage
+from textlab.llm.common import bucketed, release
+from textlab.session import stage
 
 BLOCK = 4 << 20
 #: Names a bucket holds on average; it is sorted in the memory of one task.
@@ -116,12 +115,14 @@ class Cover:
             sums = prefix(BYTE[raw])
             p, of = places(sizes, self.least, self.chunk + beyond)
             begin = np.cumsum(sizes) - sizes
-            p, of = (x[self.inside[(p - begin[of] + at[of]) % self.v]] for x in (p, of))
-            yield sums, sizes, text, at, p, of, spans(sums, p, p + self.least)
+            # residues of positions in the text, looked up in the cover laid out again and again
+            laid = np.tile(self.inside, int(sizes.max()) // self.v + 2)
+            p = p[laid[p - (begin - at % self.v)[of]]]
+            yield sums, sizes, text, at, p, spans(sums, p, p + self.least)
 
     def ties(self, texts: list[bytes], repeated: np.ndarray):
         """Text numbers, positions and whole-width names of suffixes near a repeated sample name."""
-        for sums, sizes, text, at, p, of, names in self.samples(texts, self.v - 1):
+        for sums, sizes, text, at, p, names in self.samples(texts, self.v - 1):
             hit = p[among(names, repeated)]
             if not len(hit):
                 continue
@@ -153,7 +154,7 @@ def distinct(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def lists(block: int, names: np.ndarray, twice: np.ndarray, n_buckets: int):
     """Rows (bucket, block, names, twice) of a block: a bucket is a range of names."""
-    bucket = (names // np.uint64(((1 << 64) - 1) // n_buckets + 1 if n_buckets > 1 else (1 << 64) - 1)).astype(np.int64)
+    bucket = (((names >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)).astype(np.int64)
     cut = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist() + [len(names)]
     some, cut = bucket[cut[:-1]], list(zip(cut[:-1], cut[1:]))
     return pa.record_batch([
@@ -182,7 +183,8 @@ def sort_bucket(group: pa.Table) -> pa.Table:
     out = twice
     out[order] |= repeat
     cut = np.cumsum(sizes) - sizes
-    return pa.table({"block": group["block"], "bucket": group["bucket"],
+    release()
+    return pa.table({"block": group["block"], "bucket": group["bucket"], "n": pa.array(sizes, pa.int32()),
                      "repeated": pa.array([np.packbits(out[a:a + n]).tobytes() for a, n in zip(cut, sizes)], pa.binary())})
 
 
@@ -196,44 +198,33 @@ def marked(names: np.ndarray, answers) -> np.ndarray:
 
 def answered(sent: DataFrame, name: str) -> DataFrame:
     """(block, answers): the buckets' answers, gathered by block in bucket order."""
-    sent = sent.withColumn("n", (F.octet_length("names") / 8).cast("int"))
-    sizes = sent.select("bucket", "block", "n")
-    got = sent.drop("n").groupBy("bucket").applyInArrow(sort_bucket, "block long, bucket int, repeated binary")
-    return stage(got.join(sizes, ["bucket", "block"]).groupBy("block").agg(
+    got = sent.groupBy("bucket").applyInArrow(sort_bucket, "block long, bucket int, n int, repeated binary")
+    return stage(got.groupBy("block").agg(
         F.sort_array(F.collect_list(F.struct("bucket", "n", "repeated"))).alias(name)), "suffix-answers")
 
 
 def block_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Texts packed into blocks, staged once and bucketed by block: block, ids, texts, bytes."""
-    spark = docs.sparkSession
     id_type = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches):
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            size = start = 0
-            for i in range(len(texts) + 1):
-                if i == len(texts) or (size and size + len(texts[i]) > BLOCK):
-                    if i > start:
-                        yield pa.record_batch([
-                            pa.array([block], pa.int64()),
-                            pa.array([batch.column(0).slice(start, i - start).to_pylist()], pa.list_(batch.schema.field(0).type)),
-                            pa.array([texts[start:i]], pa.list_(pa.binary())), pa.array([size], pa.int64())],
-                            names=["block", "ids", "texts", "bytes"])
-                        block += 1
-                    start, size = i, 0
-                if i < len(texts):
-                    size += len(texts[i])
+            ids, texts = batch.column(0), batch.column(1)
+            upto = np.concatenate(([0], np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)))
+            a = 0
+            while a < len(texts):
+                b = max(a + 1, int(np.searchsorted(upto, upto[a] + BLOCK, "right")) - 1)
+                whole = pa.array([0, b - a], pa.int32())
+                yield pa.record_batch([
+                    pa.array([block], pa.int64()), pa.ListArray.from_arrays(whole, ids.slice(a, b - a)),
+                    pa.ListArray.from_arrays(whole, texts.slice(a, b - a)), pa.array([int(upto[b] - upto[a])], pa.int64())],
+                    names=["block", "ids", "texts", "bytes"])
+                a, block = b, block + 1
 
     packed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")) \
         .mapInArrow(run, f"block long, ids array<{id_type}>, texts array<binary>, bytes long")
-    name = f"suffix_blocks_{uuid.uuid4().hex}"
-    path = os.path.join(ensure_checkpoint_dir(spark), "stages", name)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed.write.format("parquet").option("compression", "zstd").option("path", path) \
-        .bucketBy(parts, "block").saveAsTable(name)
-    return spark.table(name)
+    return bucketed(packed, "block", "suffix_blocks", spread=False)
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 400,
@@ -271,6 +262,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 found = block_ties(batch, k, texts_of(batch, k))
                 if found:
                     yield lists(batch.column("block")[k].as_py(), *distinct([x[2] for x in found]), n_ties)
+        release()
 
     with_first = blocks.join(first.hint("shuffle_hash"), "block", "left").select("block", "texts", "first")
     second = answered(with_first.mapInArrow(send_ties, LISTS), "second")
@@ -288,6 +280,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         for i in np.unique(text[yes]):
                             starts.setdefault(int(i), []).append(at[yes & (text == i)])
                 yield from _cut(batch.column("ids")[k].values, texts, starts, width)
+        release()
 
     both = (blocks.join(first.hint("shuffle_hash"), "block", "left").join(second.hint("shuffle_hash"), "block", "left")
             .select("block", "ids", "texts", "first", "second"))

@@ -360,7 +360,7 @@ def label(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(run, fields + ", lang_pred string, lang_score double")
 
 
-def keep_known(docs: DataFrame, model, min_score: float = 0.4, text_col: str = "text") -> DataFrame:
+def keep_known(docs: DataFrame, model, min_score: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows whose language the model knows, unchanged: not ``und`` and scored at least ``min_score``."""
     at = docs.columns.index(text_col)
     langs, weights, trans = model

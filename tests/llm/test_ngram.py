@@ -12,7 +12,7 @@ from textlab.llm import ngram_join as N
 from textlab.llm.bytesops import shingle_sets
 from tests.conftest import SF01
 
-DOC = "doc_id long, text string, row long, bucket long, weight int, label long"
+DOC = "doc_id long, text string, row long, bucket long, weight int, _row long"
 
 
 def docs(spark, texts, ids=None):
@@ -96,6 +96,7 @@ def test_cases(spark):
     assert got == [(0, 2, 3, True), (3, 2, 3, False), (5, 0, 1, True), (5, 2, 3, False)]
     kept = N.keep_one(d)
     assert kept.columns == d.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 5]
+    assert all((r.row, r._row) == (7, 7) for r in kept.collect())
 
 
 def test_runs_reach_the_recall():

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlab.llm.bytesops import mix, shingle_sets
-from textlab.llm.common import bucketed
+from textlab.llm.common import bucketed, fresh
 from textlab.llm.pretoken import text_chunks
 from textlab.session import stage
 
@@ -272,7 +272,7 @@ def with_pairs(dealt: DataFrame, threshold: float) -> DataFrame:
 
 
 def verified(members: DataFrame, rows: DataFrame, width: int, threshold: float) -> DataFrame:
-    """Per member and task: row, links (classes), docs (rows of these), root (of its local component)."""
+    """Per member and task: row, links (classes), docs (rows of these), hub (its local component there)."""
     def run(batches):
         for t, edges in complete_groups(batches, 3):
             lists, offsets = _lists(t["all"])
@@ -293,16 +293,18 @@ def verified(members: DataFrame, rows: DataFrame, width: int, threshold: float)
                 link = ok & (common >= threshold * union - 1e-6)
                 have = link.any(axis=1)
                 if have.any():
-                    root = components(link)
-                    out.append((row[x:y][have], link.sum(axis=1)[have], (link @ weight[x:y])[have], row[x:y][root][have]))
+                    # a hub of its own for each task and component: no hub has more members than a task
+                    task = mix(np.array([bucket[x], a[x], b[x]], np.int64).view(np.uint64)) * np.array([1, 3, 5], np.uint64)
+                    hub = mix(row[x:y][components(link)].view(np.uint64) + task.sum(keepdims=True))
+                    out.append((row[x:y][have], link.sum(axis=1)[have], (link @ weight[x:y])[have], hub.view(np.int64)[have]))
             if out:
                 yield pa.record_batch([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)],
-                                      names=["row", "links", "docs", "root"])
+                                      names=["row", "links", "docs", "hub"])
 
     keys = ["bucket", "a", "b"]
     return (rows.select("row", "text").join(members.hint("shuffle_hash"), "row").repartition(*keys).sortWithinPartitions(*keys)
             .select(*keys, "tile", "row", "size", "weight", "all", "text")
-            .mapInArrow(run, "row long, links long, docs long, root long"))
+            .mapInArrow(run, "row long, links long, docs long, hub long"))
 
 
 def components(link: np.ndarray) -> np.ndarray:
@@ -319,19 +321,18 @@ def components(link: np.ndarray) -> np.ndarray:
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(row, label) of the connected components of (row, root) edges; label is the smallest row.
+    """(row, label) of the connected components of (row, hub) edges; label is the smallest row.
 
-    A node takes the smallest label among its hubs, a hub among its nodes, and labels follow their own
-    labels; each round is one staged table, and rounds end when no label changes.
+    A hub takes the smallest label among its members, a row the smallest among its hubs, and labels follow
+    their own labels; each round is one staged table, and rounds end when no label changes. A hub has at most
+    the members of one task, a row at most as many hubs as buckets.
     """
-    edges = stage(edges.select("row", "root").distinct(), "ngram-edges")
-    nodes = edges.select("row").union(edges.select("root")).distinct()
-    labels = stage(nodes.select("row", F.col("row").alias("label")), "ngram-labels")
+    edges = stage(edges.select("row", "hub"), "ngram-edges")
+    labels = stage(edges.select("row").distinct().select("row", F.col("row").alias("label")), "ngram-labels")
     while True:
-        hubs = (edges.join(labels, "row").groupBy("root").agg(F.min("label").alias("label")))
-        down = edges.join(hubs, "root").select("row", "label")
-        near = (down.union(hubs).union(labels).groupBy("row").agg(F.min("label").alias("label")))
-        near = stage(near, "ngram-near")
+        hubs = edges.join(labels, "row").groupBy("hub").agg(F.min("label").alias("label"))
+        down = edges.join(hubs, "hub").groupBy("row").agg(F.min("label").alias("label"))
+        near = stage(down, "ngram-near")
         jump = near.select(F.col("row").alias("label"), F.col("label").alias("far"))
         new = stage(near.join(jump, "label").select("row", F.col("far").alias("label")), "ngram-labels")
         moved = new.join(labels.select("row", F.col("label").alias("was")), "row").filter("label != was")
@@ -393,8 +394,9 @@ def _groups(rows: DataFrame, width: int, threshold: float, recall: float, limit:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8,
              recall: float = 0.9999, limit: int = TILE, depth: int = 4) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group, with all their columns."""
-    whole = bucketed(docs.withColumn("_row", F.monotonically_increasing_id()), "_row", "ngram_whole")
-    rows = whole.select(F.col("_row").alias("row"), F.col(id_col).alias("id"),
+    number = fresh(docs, "_row")
+    whole = bucketed(docs.withColumn(number, F.monotonically_increasing_id()), number, "ngram_whole")
+    rows = whole.select(F.col(number).alias("row"), F.col(id_col).alias("id"),
                         F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kept = _groups(rows, width, threshold, recall, limit, depth, TILE).filter("kept")
-    return whole.join(kept.select(F.col("row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    return whole.join(kept.select(F.col("row").alias(number)), number, "left_semi").select(*docs.columns)

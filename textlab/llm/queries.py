@@ -91,7 +91,21 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 N_SHARDS = 8
 
 
-@register("op9_shard")
+@register("op9_shard", r"""
+WITH RECURSIVE t AS (SELECT i, 0 AS k, i::BIGINT AS c FROM range(256) r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM t WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS tab FROM t WHERE k = 8),
+d AS (SELECT doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) + 1 AS size FROM documents),
+h AS MATERIALIZED (SELECT *, hex(encode(text)) AS h FROM d),
+b AS (SELECT *, list_transform(range(1, size::BIGINT), lambda i: ('0x' || substr(h, 2 * i - 1, 2))::BIGINT) AS bytes FROM h),
+c AS (SELECT doc_id, size, xor(list_reduce(list_concat([4294967295::BIGINT], bytes),
+        lambda a, x: xor(a >> 8, tab[xor(a & 255, x) + 1])), 4294967295) AS text_crc32 FROM b, tab),
+s AS (SELECT doc_id, shard, -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '\N') || ':' || shard), 1, 13))::BIGINT + 0.5::DOUBLE)
+        / 4503599627370496.0::DOUBLE) AS score FROM d, range(9) r(shard)),
+best AS (SELECT doc_id, arg_min(shard, score) FILTER (shard < 8) AS shard, arg_min(shard, score) AS grown FROM s GROUP BY doc_id)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, grown::INTEGER AS grown_shard
+FROM c JOIN best USING (doc_id)""")
 def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textlab.llm.sharding import shard_documents
     return shard_documents(documents(spark, sf_dir), [1.0] * N_SHARDS).select(
@@ -171,7 +185,25 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- 4: n-gram Jaccard join ---------------------------------------------------------------------
 
-@register("op4_ngram_join")
+@register("op4_ngram_join", r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1),
+        lambda k: array_to_string(w[k:k + 4], ' ')))) AS s FROM d WHERE len(w) > 0),
+keyed AS (SELECT d.doc_id, coalesce(md5(array_to_string(g.s, '|')), 'none ' || d.doc_id) AS k, g.s FROM d LEFT JOIN g USING (doc_id)),
+class AS (SELECT k, min(doc_id) AS class_id, count(*) AS n, any_value(s) AS s FROM keyed GROUP BY k),
+sh AS (SELECT class_id, len(s) AS size, unnest(s) AS x FROM class WHERE s IS NOT NULL),
+common AS (SELECT a.class_id AS a, b.class_id AS b, any_value(a.size) AS na, any_value(b.size) AS nb, count(*) AS c
+           FROM sh a JOIN sh b ON a.x = b.x AND a.class_id < b.class_id GROUP BY 1, 2),
+pair AS (SELECT a, b FROM common WHERE 10 * c >= 8 * (na + nb - c)),
+both_ways AS (SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair),
+links AS (SELECT a AS class_id, count(*) AS links, sum(n) AS docs FROM both_ways JOIN class ON class.class_id = b GROUP BY a),
+reach AS (SELECT a, b FROM both_ways UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
+comp AS (SELECT a AS class_id, min(b) AS low FROM reach GROUP BY a)
+SELECT keyed.doc_id, class.class_id, class.n AS class_size, coalesce(links.links, 0) AS n_class_links,
+       (coalesce(links.docs, 0) + class.n - 1)::BIGINT AS n_links, least(class.class_id, coalesce(comp.low, class.class_id)) AS group_id,
+       keyed.doc_id = least(class.class_id, coalesce(comp.low, class.class_id)) AS kept
+FROM keyed JOIN class USING (k) LEFT JOIN links USING (class_id) LEFT JOIN comp USING (class_id)""")
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textlab.llm.ngram_join import similar_groups
     return similar_groups(documents(spark, sf_dir)).select(
@@ -180,7 +212,21 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- 1: suffix-array dedup ----------------------------------------------------------------------
 
-@register("op1_suffix_dedup")
+@register("op1_suffix_dedup", """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, i, md5(array_slice(t, i + 1, i + 400)) AS k
+      FROM (SELECT doc_id, encode(coalesce(text, '')) AS t, unnest(range(0, strlen(coalesce(text, '')) - 399)) AS i FROM documents)),
+rep AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT doc_id, i FROM w SEMI JOIN rep USING (k)),
+isle AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (
+           SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM hit)),
+span AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM isle GROUP BY doc_id, run),
+gap AS (SELECT doc_id, coalesce(lag(b) OVER o, 0) AS a, a AS b FROM span WINDOW o AS (PARTITION BY doc_id ORDER BY a)
+        UNION ALL SELECT d.doc_id, coalesce(max(span.b), 0), any_value(d.n) FROM d LEFT JOIN span USING (doc_id) GROUP BY d.doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS h FROM gap JOIN d USING (doc_id) GROUP BY doc_id),
+cut AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN cut USING (doc_id)""")
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textlab.llm.suffix_dedup import repeated_spans
     return repeated_spans(documents(spark, sf_dir)).select(

@@ -37,3 +37,19 @@ def test_scan_prunes_columns(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string,source:string>" in plan
     assert "n_chars" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+@pytest.mark.parametrize("name", ["row_index", "running_best"])
+def test_numbering_stays_in_the_jvm(spark, name):
+    assert "MapInPandas" not in _plan(spark, name)
+
+
+def test_centroid_join_does_not_move_the_vectors(spark):
+    plan = _plan(spark, "attach_centroid")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_totals_read_the_rows_once(spark):
+    for name in ("value_shares_lang", "error_breakdown"):
+        plan = _plan(spark, name)
+        assert plan.split("== Initial Plan ==")[0].count("FileScan") <= 1 or plan.count("FileScan") <= 2

@@ -65,3 +65,22 @@ def domain_similarity(df: DataFrame, group_col: str = "domain",
     nb = nrm.select(F.col("g").alias("group_b"), F.col("nrm").alias("nb"))
     return (dots.join(na, "group_a").join(nb, "group_b")
             .select("group_a", "group_b", F.round(F.col("dot") / (F.col("na") * F.col("nb")), 6).alias("cosine")))
+
+
+def domain_nn_distance(df: DataFrame, group_col: str = "domain", id_col: str = "id",
+                       vec_col: str = "embedding", max_groups: int = 64) -> DataFrame:
+    """H8: for each ordered pair of groups, the mean cosine distance from a row of the first to its nearest row
+    (itself aside) of the second. One exact kNN pass (E3) per second group; over ``max_groups`` groups is an error.
+    """
+    from textlab.operators.knn import knn
+    groups = [r[0] for r in df.select(group_col).distinct().orderBy(group_col).limit(max_groups + 1).collect()]
+    if len(groups) > max_groups:
+        raise ValueError(f"more than {max_groups} groups in {group_col}")
+    own = df.select(F.col(id_col).cast("long").alias("target_id"), F.col(group_col).alias("group_a"))
+    out = None
+    for g in groups:
+        near = knn(df, df.where(F.col(group_col).eqNullSafe(F.lit(g))), 1, id_col, vec_col)
+        part = (near.join(own, "target_id").groupBy("group_a").agg(F.avg(1 - F.col("sim")).alias("distance"))
+                .withColumn("group_b", F.lit(g)))
+        out = part if out is None else out.unionByName(part)
+    return out.select("group_a", "group_b", F.round("distance", 6).alias("distance"))

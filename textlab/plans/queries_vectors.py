@@ -13,7 +13,8 @@ from textlab.operators.fewshot import (near_centroid_sample, quadrant_few_shot,
                                        semantic_balanced)
 from textlab.operators.joins import attach_cluster_label
 from textlab.operators.knn import knn, silhouette
-from textlab.operators.vectors import attach_centroid, domain_similarity, group_mean_vector, median_flag
+from textlab.operators.vectors import (attach_centroid, domain_nn_distance, domain_similarity, group_mean_vector,
+                                       median_flag)
 from textlab.plans import adapters as A
 from textlab.plans import oracles as O
 from textlab.plans.audit import clustered_vectors, labelled_pool
@@ -76,6 +77,17 @@ def domain_similarity_q(spark, d):
     return domain_similarity(A.vectors(spark, d), "domain")
 
 
+@register("domain_nn_distance", f"""WITH t AS (
+  SELECT e.vec_id AS id, {O.DOMAIN_SQL} AS domain, CAST(e.embedding AS DOUBLE[]) AS v
+  FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id),
+p AS (SELECT a.id, a.domain AS group_a, b.domain AS group_b,
+        min(1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))) AS m
+      FROM t a JOIN t b ON a.id <> b.id GROUP BY ALL)
+SELECT group_a, group_b, round(avg(m), 6) AS distance FROM p GROUP BY ALL""")
+def domain_nn_distance_q(spark, d):
+    return domain_nn_distance(A.vectors(spark, d).select("id", "domain", "embedding"))
+
+
 @register("stack_embeddings", """SELECT vec_id AS id, CASE WHEN label < 5 THEN 'group_a' ELSE 'group_b' END AS domain,
   CAST(len(embedding) AS INTEGER) AS dims, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total FROM embeddings""")
 def stack_embeddings_q(spark, d):

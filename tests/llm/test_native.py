@@ -132,8 +132,12 @@ def test_markov_adds_random_strings_only(spark):
     rows = [(i, f"{plain} token={t}") for i, t in enumerate(tokens)]
     rows += [(100 + i, f"{plain} {names[i]} {names[i - 1]}") for i in range(40)]
     odd = "".join(rnd.choice(S.ALPHABET[:62]) for _ in range(40))
-    rows += [(500, f"look {odd} here"), (501, None), (502, "")]
-    got = {r.id: r for r in S.scan(docs(spark, rows)).collect()}
+    rows += [(500, f"look {odd} here"), (501, None), (502, ""), (503, "plain words " * 30_000 + "password=abcdefgh1"),
+             (504, "token=abcdefgh"), (504, "token=abcdefgh"), (None, "AKIA" + "Z" * 16)]
+    every = S.scan(docs(spark, rows)).collect()
+    got = {r.id: r for r in every}
+    assert [(s.start, s.end) for s in got[503].base] == [(360_000, 360_018)] and len(got[None].base) == 1
+    assert sum(r.id == 504 and len(r.base) == 1 for r in every) == 2
     assert [(s.start, s.end) for s in got[500].added] == [(5, 45)]
     assert not got[501].base and not got[502].added
     assert not any(got[100 + i].added for i in range(40))

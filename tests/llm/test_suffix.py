@@ -62,6 +62,7 @@ def test_cases(spark, width, chunk):
     a, b = say(3 * width), say(width - 1)
     texts = [a, say(width) + a[3:] + say(9), b, "x" + b + "y", "z" * (3 * width), None, "", a[:width], say(50), a, a]
     texts += [say(rnd.randint(0, 4 * width)) + a[rnd.randint(0, width):rnd.randint(width, 3 * width)] for _ in range(20)]
+    texts += [long := say(30_000), long[1_000:1_000 + 2 * width]]
     ids = [None, 3, 3, *range(10, 10 + len(texts) - 3)]
     got = S.repeated_spans(docs(spark, texts, ids), width=width, chunk=chunk).collect()
     key = lambda x: (x[0] is not None, x[0] or 0, x[1])

@@ -7,7 +7,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textlab.operators import aggregate as G
-from textlab.operators.cluster import cluster_labels
 from textlab.operators.dedup import stack_embeddings
 from textlab.operators.fewshot import (near_centroid_sample, quadrant_few_shot, retrieve_and_classify,
                                        semantic_balanced)

@@ -72,9 +72,12 @@ def _lloyd_step(base: DataFrame, vec_col: str, dim: int, cents: np.ndarray | Non
                                 "s": [acc[j].tolist() for j in keep]})
 
     part = base.select(vec_col, *([label_col] if cents is None else [])).mapInPandas(run, schema)
-    rows = part.groupBy("c").agg(F.sum("n").alias("n"), F.sum("moved").alias("moved"),
-                                 F.array(*[F.sum(F.col("s")[i]) for i in range(dim)]).alias("s")).collect()
-    return ({int(r["c"]): [v / r["n"] for v in r["s"]] for r in rows}, sum(int(r["moved"]) for r in rows))
+    rows = (part.select("c", "n", "moved", F.posexplode("s").alias("pos", "v")).groupBy("c", "pos")
+            .agg(F.sum("v").alias("v"), F.sum("n").alias("n"), F.sum("moved").alias("moved")).collect())
+    means: dict[int, list[float]] = {}
+    for r in sorted(rows, key=lambda r: (r["c"], r["pos"])):
+        means.setdefault(int(r["c"]), []).append(r["v"] / r["n"])
+    return means, sum(int(r["moved"]) for r in rows if r["pos"] == 0)
 
 
 def assign_clusters(df: DataFrame, vec_col: str, centroids: list[list[float]]) -> DataFrame:

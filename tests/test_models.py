@@ -31,6 +31,20 @@ def test_pca_orthogonal_and_sorted(spark):
     assert abs(c[0, 1]) < 1e-6 and abs(c[0, 2]) < 1e-6  # uncorrelated components
 
 
+def test_prototype_clusters_reach_the_fixed_point(spark):
+    """One more Lloyd step in NumPy changes no label (a run of 20 steps stops too early at this size)."""
+    import numpy as np
+    from textlab.operators.cluster import fit_pca, prototype_clusters
+    v = A.two_class_vectors(spark, "/root/testdata/sf0.1")
+    proj = {r["id"]: r["p"] for r in fit_pca(v, "embedding", 50).project(v, "p").select("id", "p").collect()}
+    got = prototype_clusters(v, "embedding", 4).select("id", "cluster").collect()
+    assert len(got) == len(proj) == v.count()
+    x = np.array([proj[r["id"]] for r in got])
+    lab = np.array([r["cluster"] for r in got])
+    cents = np.array([x[lab == j].mean(axis=0) for j in range(4)])
+    assert (((x[:, None, :] - cents[None]) ** 2).sum(axis=2).argmin(axis=1) == lab).all()
+
+
 def test_param_grid_216(spark):
     from textlab.operators.joins import param_grid
     grid = {"a": [1, 2, 3], "b": [10, 20, 30], "c": [0, 1], "d": ["x", "y", "z"], "e": [0.5], "f": [7, 8], "g": [0.1, 0.2]}

@@ -207,8 +207,9 @@ def pca(df: DataFrame, vec_col: str = "embedding", k: int = 2, out_col: str = "p
 def prototype_clusters(df: DataFrame, vec_col: str | None = "embedding", k: int = 4,
                        dims: int = 50, seed: int = 42, len_col: str = "n_chars",
                        label_col: str = "label", id_col: str = "id") -> DataFrame:
-    """H7: centred PCA to <= ``dims`` then k-means; without vectors fall back to
-    ``2 * (len > median) + label``; without either, a hash bucket."""
+    """H7: centred PCA to <= ``dims`` then k-means, from Spark ML's k-means|| centres until no row changes
+    its cluster (``seeded_kmeans``); without vectors fall back to ``2 * (len > median) + label``; without
+    either, a hash bucket."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -217,9 +218,10 @@ def prototype_clusters(df: DataFrame, vec_col: str | None = "embedding", k: int
         if first is None:
             return df.withColumn("cluster", F.lit(0))
         p = fit_pca(df, vec_col, min(dims, first[0])).project(df, "_proj")
-        p = p.withColumn("_proj", array_to_vector("_proj"))
-        km = KMeans(k=k, seed=seed, featuresCol="_proj", predictionCol="cluster").fit(p)
-        return km.transform(p).drop("_proj").withColumn("cluster", F.col("cluster").cast("int"))
+        start = KMeans(k=k, seed=seed, maxIter=0, featuresCol="_v").fit(
+            p.select(array_to_vector("_proj").alias("_v")))  # the initial centres only
+        centres = [c.tolist() for c in start.clusterCenters()]
+        return seeded_kmeans(p, "_proj", init_centroids=centres).assignments.drop("_proj", "sqdist")
     if len_col in df.columns and label_col in df.columns:
         from textlab.operators.vectors import median_flag
         return (median_flag(df, len_col, "_long")

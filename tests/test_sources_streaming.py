@@ -146,6 +146,17 @@ def test_streaming_dedup_does_not_depend_on_batches(spark, tmpdir_fresh, newest_
         (0, 4, "v4"), (1, 0, "v0"), (2, 1, "v1"), (3, 3, "v3"), (4, 6, "v6"), (5, 10, "v10")]
 
 
+@pytest.mark.parametrize("newest_first", [False, True])
+def test_streaming_dedup_ties_and_nulls_in_later_batches(spark, tmpdir_fresh, newest_first):
+    parts = [[(1, 5, "b"), (2, 5, "x"), (3, None, "d")], [(1, 5, "a"), (2, None, "y"), (3, None, "c")]]
+    src = os.path.join(tmpdir_fresh, "ev")
+    for i, part in enumerate(parts[::-1] if newest_first else parts):
+        spark.createDataFrame(part, "key long, at long, v string").coalesce(1).write.parquet(f"{src}/f{i}")
+    stream = R.table_stream(spark, src + "/*", max_files=1)
+    out = R.streaming_dedup(stream, "key", "at", tmpdir_fresh + "/out", tmpdir_fresh + "/ck")
+    assert sorted((r.key, r.at, r.v) for r in out.collect()) == [(1, 5, "a"), (2, None, "y"), (3, None, "c")]
+
+
 def test_score_new_files_reports_what_it_skips(spark, tmpdir_fresh):
     src, out = os.path.join(tmpdir_fresh, "src"), os.path.join(tmpdir_fresh, "out")
     _write_msgs(spark, src + "/f1", 0, 10)

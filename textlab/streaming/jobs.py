@@ -156,18 +156,18 @@ def streaming_dedup(stream: DataFrame, key: str, order_col: str, out_dir: str, c
     spark = stream.sparkSession
     cols = stream.columns
     sink = _batch_sink(out_dir)
-    rest = F.struct(*cols)
+    place = F.struct(F.col(order_col).alias("_o"), F.struct(*cols).alias("_r"))  # nulls come first, as in min
 
     def first(df: DataFrame) -> DataFrame:
-        return df.groupBy(key).agg(F.min(F.struct(F.col(order_col).alias("_o"), rest.alias("_r"))).alias("_m"))
+        return df.groupBy(key).agg(F.min(place).alias("_m"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         new = first(batch).select("_m._r.*")
         seen = kept(spark, out_dir, batch_id)
         if seen is not None:
-            best = seen.groupBy(F.col(key).alias("_k")).agg(F.min(order_col).alias("_b"))
+            best = seen.groupBy(F.col(key).alias("_k")).agg(F.min(place).alias("_b"))
             new = new.join(best, new[key].eqNullSafe(best["_k"]), "left").where(
-                F.col("_b").isNull() | (F.col(order_col) < F.col("_b"))).select(*cols)
+                F.col("_b").isNull() | (place < F.col("_b"))).select(*cols)
         sink(stage(new, "dedup-batch"), batch_id)
 
     def kept(spark, path, before=None):

@@ -192,6 +192,21 @@ def test_read_messages_dir_reports_damaged_bodies(spark, tmpdir_fresh):
     assert [r.reason for r in report.collect()] == ["damaged"]
 
 
+def test_damage_in_the_second_column_is_reported(spark, tmpdir_fresh):
+    """_damaged leaves message_id, the first column, whole."""
+    src, out = tmpdir_fresh + "/src", tmpdir_fresh + "/out"
+    good = spark.createDataFrame([(1, "a"), (2, "b")], "message_id long, Message string")
+    good.coalesce(1).write.parquet(src + "/one")
+    _damaged(spark, src + "/two")
+    assert spark.read.parquet(src + "/two").agg(F.max(F.xxhash64("message_id"))).first()[0] is not None
+    df, report = S.tolerant_union(spark, S._list_files(spark, src, ".parquet"), ["message_id", "Message"], "parquet")
+    assert sorted(r["Message"] for r in df.collect()) == ["a", "b"]
+    assert [r["reason"] for r in report.collect()] == ["damaged"]
+    R.score_new_files(spark, src + "/*", good.schema, out, tmpdir_fresh + "/ck", lambda df: df.drop("source_file"))
+    assert sorted(r["Message"] for r in spark.read.parquet(out).collect()) == ["a", "b"]
+    assert [r["reason"] for r in spark.read.parquet(out + "-report").collect()] == ["damaged"]
+
+
 def test_read_posts_folder_with_mixed_headers(spark, tmpdir_fresh):
     d = os.path.join(tmpdir_fresh, "posts")
     os.makedirs(d)

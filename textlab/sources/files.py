@@ -90,24 +90,27 @@ def csv_headers(spark: SparkSession, paths: Sequence[str], head_bytes: int = 1 <
     return dict(zip(paths, _each(head, paths)))
 
 
-def intact(spark: SparkSession, paths: Sequence[str], column: str, fmt: str = "parquet") -> tuple[list[str], list[str]]:
-    """(files whose ``column`` can be read to the end, files whose cannot).
+def intact(spark: SparkSession, paths: Sequence[str], columns: Sequence[str], fmt: str = "parquet",
+           schema: StructType | None = None) -> tuple[list[str], list[str]]:
+    """(files whose ``columns``, all that will be read, can be read to the end, files whose cannot).
 
     One job reads them all; only if it fails are the paths halved, so b damaged files cost about
     b log n further jobs. A file with a good footer and a damaged body is found here, not lost later.
+    With ``schema`` the files are read by it, as the caller will (columns a file lacks are null).
     """
     if not paths:
         return [], []
     try:
-        spark.read.format(fmt).option("ignoreCorruptFiles", False).load(list(paths)).agg(F.max(F.xxhash64(column))).collect()
+        r = spark.read.format(fmt).option("ignoreCorruptFiles", False)
+        (r.schema(schema) if schema else r).load(list(paths)).select(*columns).write.format("noop").mode("overwrite").save()
         return list(paths), []
     except Exception as e:  # noqa: BLE001 - the file is named in the report
         if len(paths) == 1:
             log.warning("damaged file %s: %s", paths[0], str(e)[:200])
             return [], list(paths)
     half = len(paths) // 2
-    good, bad = intact(spark, paths[:half], column, fmt)
-    more, worse = intact(spark, paths[half:], column, fmt)
+    good, bad = intact(spark, paths[:half], columns, fmt, schema)
+    more, worse = intact(spark, paths[half:], columns, fmt, schema)
     return good + more, bad + worse
 
 
@@ -179,7 +182,7 @@ def tolerant_union(spark: SparkSession, paths: Sequence[str], columns: Sequence[
         else:
             valid.append(p)
     if fmt != "csv":
-        valid, bad = intact(spark, valid, columns[0], fmt)
+        valid, bad = intact(spark, valid, columns, fmt)
         skipped += [(p, "damaged") for p in bad]
     if not valid:
         raise ValueError("No valid files among %d paths" % len(paths))
@@ -197,7 +200,7 @@ def read_messages_dir(spark: SparkSession, path: str, column: str = "Message",
     with a damaged body is in the report too, none of its rows in the DataFrame."""
     files = _list_files(spark, path, ".parquet")
     valid, skipped = require_column(spark, files, column)
-    valid, bad = intact(spark, valid, column)
+    valid, bad = intact(spark, valid, [column])
     skipped += [(p, "damaged") for p in bad]
     if not valid:
         raise ValueError(f"No parquet file under {path} has column {column}")

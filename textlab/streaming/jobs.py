@@ -71,7 +71,7 @@ def score_new_files(spark: SparkSession, src: str, schema: StructType, out_dir:
     def write(batch: DataFrame, batch_id: int) -> None:
         paths = sorted(r["path"] for r in batch.collect())
         valid, skipped = require_column(spark, paths, column)
-        valid, bad = intact(spark, valid, column)
+        valid, bad = intact(spark, valid, ["*"], schema=schema)  # all columns of the schema
         skipped += [(p, "damaged") for p in bad]
         if valid:
             rows = spark.read.schema(schema).parquet(*valid).withColumn("source_file", F.col("_metadata.file_path"))

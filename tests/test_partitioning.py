@@ -44,3 +44,17 @@ def test_shuffle_partitions_same_answer(spark, name, parts):
         spark.conf.set("spark.sql.shuffle.partitions", old)
     dk = duck(SF01).execute(E.oracle_sql()[name]).df()
     assert rows_of(sp) == rows_of(dk)
+
+
+@pytest.mark.parametrize("name", ["load_report_files", "source_tolerant_union", "source_read_messages_dir"])
+def test_source_folders_keep_their_partitions(spark, small_splits, tmpdir_fresh, monkeypatch, name):
+    """Tables in four parts are written as several files a folder, and each skipped folder is reported once."""
+    from pathlib import Path
+    from textlab.plans import queries_sources as Q
+    for t in ("documents", "labels", "conversations"):
+        spark.read.parquet(f"{SF01}/{t}.parquet").repartition(4).write.parquet(f"{tmpdir_fresh}/sf/{t}.parquet")
+    monkeypatch.setattr(Q, "_scratch", lambda spark, name: f"{tmpdir_fresh}/out")
+    sp = E.queries()[name](spark, f"{tmpdir_fresh}/sf").toPandas()
+    assert rows_of(sp) == rows_of(duck(SF01).execute(E.oracle_sql()[name]).df())
+    files = [len(list(p.glob("*.parquet"))) for p in Path(tmpdir_fresh, "out").iterdir() if p.is_dir()]
+    assert len(files) == 3 and min(files) > 1

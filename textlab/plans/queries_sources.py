@@ -37,6 +37,11 @@ def _junk(spark, path: str) -> None:
     out.close()
 
 
+def _by_folder(report):
+    """(folder, reason) of the skipped files, each once: a folder has as many files as its write had tasks."""
+    return report.select(F.regexp_extract("path", r"([^/]*)/[^/]*$", 1).alias("folder"), "reason").distinct()
+
+
 _NULLS = "(" + ", ".join(f"'{t}'" for t in PANDAS_NULL_TOKENS) + ")"
 
 
@@ -61,11 +66,11 @@ def source_read_messages_dir(spark, d):
     m = A.messages(spark, d).select("conv_id", "Message")
     m.where("conv_id % 3 = 0").write.parquet(root + "/a")
     m.where("conv_id % 3 = 1").write.parquet(root + "/b")
-    m.where("conv_id % 3 = 2").withColumnRenamed("Message", "other").coalesce(1).write.parquet(root + "/c")
+    m.where("conv_id % 3 = 2").withColumnRenamed("Message", "other").write.parquet(root + "/c")
     _junk(spark, root + "/broken.parquet")
     rows, report = S.read_messages_dir(spark, root)
     return (rows.select(F.lit("row").alias("kind"), F.col("sentence").alias("value"))
-            .unionByName(report.select(F.lit("skipped").alias("kind"), F.col("reason").alias("value"))))
+            .unionByName(_by_folder(report).select(F.lit("skipped").alias("kind"), F.col("reason").alias("value"))))
 
 
 @register("source_read_columns", """SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(quality AS VARCHAR) AS quality FROM labels""")
@@ -86,12 +91,12 @@ def source_tolerant_union(spark, d):
     parts = {"a": m.where("message_id % 3 = 0"), "b": m.where("message_id % 3 = 1").select("role", "Message", "message_id"),
              "c": m.where("message_id % 3 = 2").select("message_id", "role")}
     for name, df in parts.items():
-        df.coalesce(1).write.parquet(f"{root}/{name}")
+        df.write.parquet(f"{root}/{name}")
     _junk(spark, root + "/broken.parquet")
     rows, report = S.tolerant_union(spark, S._list_files(spark, root, ".parquet"), ["message_id", "Message"], "parquet")
     return (rows.select(F.lit("row").alias("kind"), F.col("message_id").cast("string").alias("a"), F.col("Message").alias("b"))
-            .unionByName(report.select(F.lit("skipped").alias("kind"), F.col("reason").alias("a"),
-                                       F.lit(None).cast("string").alias("b"))))
+            .unionByName(_by_folder(report).select(F.lit("skipped").alias("kind"), F.col("reason").alias("a"),
+                                                   F.lit(None).cast("string").alias("b"))))
 
 
 @register("source_write_labelled", f"""SELECT doc_id, source, CAST({O.DOMAIN_SQL} = 'positive' AS INTEGER) AS label FROM documents
@@ -155,11 +160,11 @@ def load_report_files(spark, d):
     root = _scratch(spark, "report")
     lab = A.table(spark, d, "labels").select("doc_id", "quality")
     x = A.table(spark, d, "documents").select("doc_id", "text").join(lab, "doc_id", "left")
-    x.where("doc_id % 3 = 0").coalesce(1).write.parquet(root + "/a")
-    x.where("doc_id % 3 <> 0").coalesce(1).write.parquet(root + "/b")
-    x.drop("text").coalesce(1).write.parquet(root + "/c")
+    x.where("doc_id % 3 = 0").write.parquet(root + "/a")
+    x.where("doc_id % 3 <> 0").write.parquet(root + "/b")
+    x.drop("text").write.parquet(root + "/c")
     rows, skipped = S.tolerant_union(spark, S._list_files(spark, root, ".parquet"), ["text", "quality"], "parquet")
     name = lambda c: F.regexp_extract(c, r"/([abc])/[^/]*$", 1)
     report = G.load_report(rows.withColumn("file", name("source_file")), "file", "text", "quality")
     return report.withColumn("reason", F.lit(None).cast("string")).unionByName(
-        skipped.select(name("path").alias("file"), "reason"), allowMissingColumns=True)
+        _by_folder(skipped).withColumnRenamed("folder", "file"), allowMissingColumns=True)

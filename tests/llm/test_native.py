@@ -50,6 +50,15 @@ def test_directory_covers_every_hash(spark):
     assert max(r["count"] for r in n) <= 100 and sum(r["count"] for r in n) == 5000
 
 
+def test_directory_depth_follows_the_entries(spark):
+    """2^14 buckets would hold 12 entries each on average."""
+    entries = spark.range(200_000).select(__import__("pyspark").sql.functions.xxhash64("id").alias("h"))
+    d = X.build_directory(entries, 10)
+    n = entries.groupBy(X.owner(d).alias("b")).count().collect()
+    assert max(r["count"] for r in n) <= 10 and sum(r["count"] for r in n) == 200_000
+    assert X.depth_for(1000, 50_000) == 14 and 2 ** X.depth_for(10 ** 10, 50_000) * 50_000 > 10 ** 10
+
+
 def shard_of(key, weights):
     def score(s, w):
         u = (int(hashlib.md5(f"{key}:{s}".encode()).hexdigest()[:13], 16) + 0.5) / 2 ** 52

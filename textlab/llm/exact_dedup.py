@@ -1,13 +1,15 @@
 """Exact dedup by an extendible-hash index on shared files (native).
 
 1. Rows are grouped by (64-bit hash, whole text): Spark compares the bytes of texts that share a
-   hash, so different texts under one hash become separate links of a chain. The grouping has a
-   map-side combine, so a text held by a third of all rows crosses the shuffle once per task.
+   hash, so different texts under one hash become separate entries. The grouping has a map-side
+   combine, so a text held by a third of all rows crosses the shuffle once per task. It decides the
+   group sizes; a second one by (hash, digest) decides the row to keep.
 2. The *directory* starts with one bucket and doubles until no bucket holds more than
    ``capacity`` entries. An entry is a distinct text, so a hot text never overfills a bucket, and
-   doubling always ends: at ``max_depth`` a bucket keeps what it has (its chain grows).
-3. The entries are written to shared files, one folder per directory bucket. Owner tasks each take
-   a key range and answer their documents' lookups by (bucket, hash, digest, chain link).
+   doubling always ends: at a depth that grows with the number of entries (``depth_for``) a bucket
+   keeps what it has, which only entries of (nearly) equal hash can overfill.
+3. The entries are written to shared files, one folder per directory bucket. Documents look their
+   entry up by (bucket, hash, digest). The index stores finished answers and decides none.
 4. Entries of groups with more than 1/1000 of all rows (at most 1000 of them, by counting) are
    broadcast; all others meet their documents in a shuffle join.
 
@@ -37,12 +39,19 @@ def bucket_of(depth: int):
     return F.shiftrightunsigned(F.col("h"), 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def build_directory(entries: DataFrame, capacity: int, max_depth: int) -> list[tuple[int, int]]:
+def depth_for(n: int, capacity: int) -> int:
+    """Where doubling ends for ``n`` entries: 16 times as many slots as full buckets, 2^14 at least."""
+    return max(14, (-(-n // capacity)).bit_length() + 4)
+
+
+def build_directory(entries: DataFrame, capacity: int, max_depth: int | None = None) -> list[tuple[int, int]]:
     """(prefix, local depth) of every bucket: double until none is overfull.
 
     Each doubling looks at the overfull buckets' children only. The driver sees bucket counts, never
     keys; there are at most ``2 * entries / capacity`` open buckets at a time.
     """
+    if max_depth is None:
+        max_depth = depth_for(entries.count(), capacity)
     done: list[tuple[int, int]] = []
     # counts at the full directory size, aggregated once; doublings then refine this small table
     counts = entries.groupBy(bucket_of(max_depth).alias("slot")).agg(F.count("*").alias("n"))
@@ -81,7 +90,7 @@ def owner(directory: list[tuple[int, int]]):
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 capacity: int = 50_000, max_depth: int = 14, row_col: str | None = None) -> DataFrame:
+                 capacity: int = 50_000, max_depth: int | None = None, row_col: str | None = None) -> DataFrame:
     """One row per input row: id, row, keep_id, group_size, kept, text_sha256.
 
     ``row_col`` names a unique row number of ``docs``; without it the rows are numbered here.
@@ -94,7 +103,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         (F.col(row_col) if row_col else F.monotonically_increasing_id()).cast("long").alias("row"))
     # the rows' digests, staged: they carry a row through the lookups instead of its text
     rows = stage(keyed.select("id", "row", "h", F.sha2("text", 256).alias("sha")), "exact-rows")
-    # chains: one link per distinct text under a hash; the grouping compares the bytes
+    # one row per distinct text under a hash; the grouping compares the bytes
     chains = (keyed.groupBy("h", "text").agg(F.count("*").alias("group_size"))
               .select("h", F.sha2("text", 256).alias("sha"), "group_size"))
     last = rows.groupBy(*_KEY).agg(F.max(F.struct("id", "row")).alias("keep"))

@@ -46,11 +46,12 @@ def double_array(values: list[float]) -> Column:
     return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
 
 
-def bucketed(df: DataFrame, key: str, name: str, spread: bool = True) -> DataFrame:
+def bucketed(df: DataFrame, key: str, name: str, spread: bool = True, parts: int | None = None) -> DataFrame:
     """``df`` staged in the shared folder as a table bucketed by ``key``: joins on the key then move only
-    the other side. With ``spread`` rows are first dealt out by key, which leaves one file per bucket."""
+    the other side. With ``spread`` rows are first dealt out by key, which leaves one file per bucket. ``parts``
+    is the number of buckets (by default that of shuffle partitions)."""
     spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"{name}_{uuid.uuid4().hex}"
     path = os.path.join(ensure_checkpoint_dir(spark), "stages", name)
     (df.repartition(parts, key) if spread else df).write.format("parquet").option("compression", "zstd") \

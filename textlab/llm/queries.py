@@ -241,3 +241,30 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textlab.llm.simhash_anchors import near_groups
     return near_groups(documents(spark, sf_dir)).select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# ---- 12: phrase collocation mining --------------------------------------------------------------
+
+@register("op12_phrases", r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t),
+words AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, unnest(list_transform(range(1, (len(w) - k + 2)::BIGINT), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS p
+      FROM w, range(1, 5) r(k) WHERE len(w) >= k),
+c AS MATERIALIZED (SELECT lang, k, p, count(*) AS a FROM g GROUP BY lang, k, p HAVING count(*) >= 30),
+cand AS (SELECT *, string_split(p, ' ') AS v FROM c WHERE k > 1),
+cut AS (SELECT lang, k, p, a, j, array_to_string(v[1:j], ' ') AS x, array_to_string(v[j + 1:], ' ') AS y
+        FROM cand, range(1, 4) r(j) WHERE j < k),
+scored AS (SELECT cut.lang, cut.k, cut.p, cut.a, j, lc.a AS l, rc.a AS r, ((2000000::HUGEINT * cut.a) // (lc.a + rc.a))::BIGINT AS score
+           FROM cut JOIN c lc ON lc.lang = cut.lang AND lc.p = x JOIN c rc ON rc.lang = cut.lang AND rc.p = y),
+low AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1),
+part AS (SELECT lang, a AS longer, unnest(list_concat([array_to_string(v[1:k - 1], ' '), array_to_string(v[2:k], ' ')],
+           CASE WHEN k = 4 THEN [array_to_string(v[1:2], ' '), array_to_string(v[2:3], ' '), array_to_string(v[3:4], ' ')] ELSE [] END)) AS p
+         FROM cand WHERE k > 2),
+gone AS (SELECT DISTINCT cand.lang, cand.p FROM part JOIN cand USING (lang, p) WHERE 100 * longer >= 80 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank, p AS phrase, a, l, r, n, score
+FROM low ANTI JOIN gone USING (lang, p) JOIN words USING (lang) QUALIFY rank <= 2000""")
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textlab.llm.phrases import top_phrases
+    return top_phrases(documents(spark, sf_dir))

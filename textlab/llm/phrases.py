@@ -131,8 +131,8 @@ class Packer:
         return row
 
 
-def block_table(docs: DataFrame, lang_col: str, text_col: str, block_words: int, slice_bytes: int) -> DataFrame:
-    """Blocks, staged and bucketed by number: block, lang, words, ids, lead, n (words that count)."""
+def block_table(docs: DataFrame, lang_col: str, text_col: str, block_words: int, slice_bytes: int) -> tuple[DataFrame, int]:
+    """Blocks, staged and bucketed by number: block, lang, words, ids, lead, n (words that count); number of buckets."""
 
     def run(batches):
         block, held = TaskContext.get().partitionId() << 32, {}
@@ -164,7 +164,8 @@ def block_table(docs: DataFrame, lang_col: str, text_col: str, block_words: int,
                         F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     packed = texts.mapInArrow(run, "block long, lang string, words array<binary>, ids binary, lead int, n long")
-    return bucketed(packed, "block", "phrase_blocks", spread=False, parts=max(1, size // (3 * 6 * block_words)))
+    parts = max(1, size // (3 * 6 * block_words))  # about three blocks each
+    return bucketed(packed, "block", "phrase_blocks", spread=False, parts=parts), parts
 
 
 # ---- buckets -------------------------------------------------------------------------------------
@@ -213,12 +214,14 @@ def summed(n_buckets: int, least: int, by_word: bool):
     return run
 
 
-def answered(sent: DataFrame, name: str, n_buckets: int, least: int, by_word: bool = False) -> DataFrame:
-    """(block, answers): one task for each bucket; answers gathered by block in bucket order."""
+def answered(sent: DataFrame, name: str, n_buckets: int, least: int, parts: int, by_word: bool = False) -> DataFrame:
+    """(block, answers): one task for each bucket; answers gathered by block in bucket order, in a table bucketed like
+    the blocks, so that they meet their block again and again without a shuffle."""
     got = sent.repartitionById(n_buckets, F.col("bucket")).mapInArrow(
         summed(n_buckets, least, by_word), "block long, bucket int, number binary, total binary, own binary")
-    return stage(got.groupBy("block").agg(
-        F.sort_array(F.collect_list(F.struct("bucket", "number", "total", "own"))).alias(name)), "phrase-answers")
+    lists = got.repartition(parts, "block").groupBy("block").agg(
+        F.sort_array(F.collect_list(F.struct("bucket", "number", "total", "own"))).alias(name))
+    return bucketed(lists, "block", "phrase_answers", spread=False, parts=parts)
 
 
 def buckets_of(keys: np.ndarray, n_buckets: int) -> np.ndarray:
@@ -442,7 +445,7 @@ def each(function):
 def top_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = 30, top: int = 2000,
                 block_words: int = BLOCK_WORDS, bucket_keys: int = BUCKET_KEYS, slice_bytes: int = SLICE) -> DataFrame:
     """lang, rank, phrase, a, l, r, n (words of the language), score: the best phrases of each language."""
-    blocks = block_table(docs, lang_col, text_col, block_words, slice_bytes)
+    blocks, parts = block_table(docs, lang_col, text_col, block_words, slice_bytes)
     total, distinct = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
     n_words, n_keys = 1 + distinct // bucket_keys, 1 + total // (2 * bucket_keys)
     sizes = stage(blocks.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-sizes")
@@ -460,16 +463,16 @@ def top_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
             names=["bucket", "block", "lang", "words", "counts"])
 
     a1 = answered(blocks.mapInArrow(each(send_words), "bucket int, block long, lang string, words array<binary>, counts binary"),
-                  "a1", n_words, least, by_word=True)
-    joined = blocks.join(a1.hint("shuffle_hash"), "block")
+                  "a1", n_words, least, parts, by_word=True)
+    joined = blocks.join(a1, "block")
 
     def send_pairs(row):
         block = Block(row, n_keys).with_words()
         part = block.pairs()
         yield sent_lists(block.block, part.keys, part.counts, n_keys)
 
-    a2 = answered(joined.drop("words").mapInArrow(each(send_pairs), LISTS), "a2", n_keys, least)
-    joined = joined.join(a2.hint("shuffle_hash"), "block")
+    a2 = answered(joined.drop("words").mapInArrow(each(send_pairs), LISTS), "a2", n_keys, least, parts)
+    joined = joined.join(a2, "block")
 
     def pair_rows(row):
         block = Block(row, n_keys).with_words().with_pairs()
@@ -486,7 +489,7 @@ def top_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
         ranked = (pairs.filter(F.col("lang").isin(langs)).withColumn("k", F.row_number().over(by_score)).filter(F.col("k") <= rank)
                   .groupBy("lang").agg(F.min("score").alias("score"), F.count("*").alias("pairs")).collect())
         bound = dict.fromkeys(langs, 0) | {r.lang: r.score for r in ranked if r.pairs >= rank}
-        found = stage(wave(joined, n_keys, least, bound), "phrase-wave")
+        found = stage(wave(joined, n_keys, least, parts, bound), "phrase-wave")
         limits = spark.createDataFrame(list(bound.items()), "lang string, bound long")
         candidates = (pairs.join(F.broadcast(limits), "lang").filter(F.col("score") >= F.col("bound")).drop("bound")
                       .unionByName(found.filter("score is not null")))
@@ -505,7 +508,7 @@ def top_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
             .filter(F.col("rank") <= top).join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score"))
 
 
-def wave(joined: DataFrame, n_keys: int, least: int, bound: dict[str, int]) -> DataFrame:
+def wave(joined: DataFrame, n_keys: int, least: int, parts: int, bound: dict[str, int]) -> DataFrame:
     """Count the phrases of three and four words that can matter above the bound of their language."""
 
     def opened(row):
@@ -527,8 +530,8 @@ def wave(joined: DataFrame, n_keys: int, least: int, bound: dict[str, int]) -> D
         yield from survivors_of(opened(row).with_triples().with_fours())
 
     joined = joined.filter(F.col("lang").isin(list(bound)))
-    a3 = answered(joined.drop("words").mapInArrow(each(send_triples), LISTS), "a3", n_keys, least)
-    joined = joined.join(a3.hint("shuffle_hash"), "block")
-    a4 = answered(joined.drop("words").mapInArrow(each(send_fours), LISTS), "a4", n_keys, least)
-    joined = joined.join(a4.hint("shuffle_hash"), "block", "left")
+    a3 = answered(joined.drop("words").mapInArrow(each(send_triples), LISTS), "a3", n_keys, least, parts)
+    joined = joined.join(a3, "block")
+    a4 = answered(joined.drop("words").mapInArrow(each(send_fours), LISTS), "a4", n_keys, least, parts)
+    joined = joined.join(a4, "block", "left")
     return joined.mapInArrow(each(found), FOUND)

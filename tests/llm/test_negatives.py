@@ -67,14 +67,16 @@ def test_cells_come_in_the_order_of_their_bounds():
 
 def test_bounds_hold_and_certified_windows_stop_early(spark, monkeypatch):
     """No row scores over its cell's bound; on clustered rows most cells are never visited."""
-    rows = clustered(6, n=400, dims=4)
+    rng = np.random.default_rng(6)  # 40 tight groups, labels by group
+    centres = rng.normal(size=(40, 4))
+    rows = [(i, (centres[i % 40] + rng.normal(size=4) / 50).tolist(), i % 40 % 4) for i in range(400)]
     table = H.vectors(spark.createDataFrame([(*r, "x", 7) for r in rows], ROW), "vec_id", "embedding", F.col("label"))
     index, coded, n = H.built(table, 4)
     got = coded.collect()
     x = np.array([r.vec for r in got], float)
     one, two = index.bounds(x)
     i, j = np.array([r.i for r in got]), np.array([r.j for r in got])
-    assert n == 400 and (x @ x.T <= one[:, i] + two[:, j]).all()
+    assert n == 400 and (np.bincount(i) > 0).all() and (x @ x.T <= one[:, i] + two[:, j]).all()
     goals = coded.filter("id % 10 = 0").select(F.col("row").alias("anchor"), F.lit(0).alias("slot"), F.lit(None).cast("long").alias("lo"),
                                                F.lit(None).cast("long").alias("hi"))
     seen = []
@@ -82,7 +84,7 @@ def test_bounds_hold_and_certified_windows_stop_early(spark, monkeypatch):
     monkeypatch.setattr(H, "stage", lambda df, name: seen.append((name, out := stage(df, name))) or out)
     H.look(index, coded, coded.filter("id % 10 = 0").select("row", "id", "label", "vec"), goals, 5, True, 4, 64)
     cells = set(zip(i.tolist(), j.tolist()))  # the heap passes empty cells, too
-    visited = [(r.row, c) for name, t in seen if name == "negatives-visits" for r in t.collect() for c in r.js if (r.i, c) in cells]
+    visited = [(r.row, r.i, c) for name, t in seen if name == "negatives-visits" for r in t.collect() for c in r.js if (r.i, c) in cells]
     assert len(visited) == len(set(visited)) and 0 < len(visited) < 40 * len(cells) / 2
 
 

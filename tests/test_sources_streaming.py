@@ -240,3 +240,79 @@ def test_cluster_needs_a_shared_folder(monkeypatch):
         sparkContext = type("C", (), {"getConf": staticmethod(lambda: Conf())})()
     with pytest.raises(ValueError):
         session.ensure_checkpoint_dir(Fake())
+
+
+def _jobs(spark, group, work):
+    """Spark jobs that ``work`` runs."""
+    sc = spark.sparkContext
+    sc.setJobGroup(group, group)
+    try:
+        work()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    return len(sc.statusTracker().getJobIdsForGroup(group))
+
+
+def test_jobs_do_not_grow_with_files(spark, tmpdir_fresh):
+    counts = []
+    for n in (2, 12):
+        root = f"{tmpdir_fresh}/n{n}"
+        for i in range(n):
+            _write_msgs(spark, f"{root}/f{i}", 10 * i, 3)
+        paths = S._list_files(spark, root, ".parquet")
+        counts.append([
+            _jobs(spark, f"s2-{n}", lambda: S.read_messages_dir(spark, root)),
+            _jobs(spark, f"s4-{n}", lambda: S.tolerant_union(spark, paths, ["message_id", "Message"], "parquet")),
+            _jobs(spark, f"s5-{n}", lambda: S.require_column(spark, paths, "Message"))])
+    assert counts[0] == counts[1] and all(0 < c < 12 for c in counts[0])
+
+
+def test_footers_by_both_ways(spark, tmpdir_fresh):
+    """In a job by Python's readers, and on the driver by Hadoop's: the same names, rows and gaps."""
+    spark.createDataFrame([(1, "a"), (2, None)], "a long, `b c` string").coalesce(1).write.parquet(tmpdir_fresh + "/x y")
+    spark.range(0).coalesce(1).write.parquet(tmpdir_fresh + "/none")
+    for name, data in (("short.parquet", b"PAR1"), ("junk.parquet", b"PAR1" + b"x" * 40)):
+        with open(os.path.join(tmpdir_fresh, name), "wb") as f:
+            f.write(data)
+    paths = S._list_files(spark, tmpdir_fresh, ".parquet") + [tmpdir_fresh + "/not-there.parquet"]
+    got = S.footers(spark, paths)
+    assert sorted(got.values(), key=str) == sorted([(["a", "b c"], 2), (["id"], 0), None, None, None], key=str)
+    by_driver = {p: (t := S._footer_bytes(spark, p)) and S._footer(t) for p in paths}
+    assert by_driver == got
+    whole, bad = S.read_whole(spark, {p: f[1] for p, f in got.items() if f and "a" in f[0]}, ["a"])
+    assert bad == [] and sorted(r.a for r in whole.collect()) == [1, 2]
+
+
+@pytest.mark.parametrize("max_files", [1, 2, 10])
+def test_progress_does_not_depend_on_batches(spark, tmpdir_fresh, max_files):
+    rows = [(i * 7 % 40, [None, 0, 1, 2][i % 4]) for i in range(40)]
+    src, out = tmpdir_fresh + "/src", tmpdir_fresh + "/out"
+    for i in range(5):
+        spark.createDataFrame(rows[8 * i:8 * i + 8], "message_id long, label int").coalesce(1).write.parquet(f"{src}/f{i}")
+    schema = spark.read.parquet(src + "/f0").schema
+    assert R.first_examples(spark, out) is None
+    R.streaming_progress(spark, src + "/*", schema, out, tmpdir_fresh + "/ck", order_by=("message_id",), max_files=max_files)
+    want = [(lab, k + 1, i) for lab in (0, 1, 2) for k, i in enumerate(sorted(i for i, x in rows if x == lab)[:3])]
+    assert sorted((r.label, r.pick, r.message_id) for r in R.first_examples(spark, out).collect()) == want
+    last = R.running_totals(spark, out).orderBy(F.desc("batch_id")).first()
+    assert (last.cum_total, last.cum_nulls) == (40, 10)
+    R.streaming_progress(spark, src + "/*", schema, out, tmpdir_fresh + "/ck", order_by=("message_id",))
+    assert R.first_examples(spark, out).count() == 9
+
+
+def test_dedup_state_is_keyed_and_resumes(spark, tmpdir_fresh):
+    """A later run takes up the state of the earlier one, and a batch writes rows of its own keys only."""
+    src, out, ck = (f"{tmpdir_fresh}/{x}" for x in ("ev", "out", "ck"))
+
+    def arrive(name, rows):
+        spark.createDataFrame(rows, "key long, at long, v string").coalesce(1).write.parquet(f"{src}/{name}")
+        stream = R.table_stream(spark, src + "/*", max_files=1)
+        return sorted((r.key, r.at, r.v) for r in R.streaming_dedup(stream, "key", "at", out, ck).collect())
+
+    assert arrive("f0", [(k, 5, "a") for k in range(50)]) == [(k, 5, "a") for k in range(50)]
+    assert arrive("f1", [(3, 9, "late"), (4, 1, "early"), (50, 2, "new")])[3:5] == [(3, 5, "a"), (4, 1, "early")]
+    second = spark.read.parquet(out).where("batch_id = 1")
+    assert sorted((r.key, r.at, r.v) for r in second.collect()) == [(3, 5, "a"), (4, 1, "early"), (50, 2, "new")]
+    state = spark.read.format("statestore").load(ck)
+    assert state.count() == 51
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from textlab.functions.hashing import hfrac
 from textlab.plans.registry import register
 from textlab.session import ensure_checkpoint_dir
-from textlab.streaming.jobs import running_totals, score_new_files, streaming_dedup, streaming_progress
+from textlab.streaming.jobs import first_examples, running_totals, score_new_files, streaming_dedup, streaming_progress
 
 
 def _scratch(spark, name: str) -> str:
@@ -53,9 +53,9 @@ def stream_dedup_events(spark, d):
   count(*) FILTER (WHERE quality = 1) AS cum_positives, count(*) FILTER (WHERE quality = 0) AS cum_negatives,
   count(*) FILTER (WHERE quality IS NULL) AS cum_nulls FROM labels""")
 def stream_progress_totals(spark, d):
-    """Labelling progress per micro-batch (G5 counts + first examples per
-    label, keyed by batch id) over the labels table as a file source; the totals after the
-    last batch come from the per-batch sink."""
+    """Labelling progress per micro-batch (G5 counts + first examples per label, keyed by batch id) over the labels
+    table as a file source; the totals after the last batch come from the per-batch sink (the examples:
+    ``stream_progress_examples``)."""
     src = spark.read.parquet(f"{d}/labels.parquet")
     root = _scratch(spark, "progress")
     streaming_progress(spark, f"{d}/labels.parquet", src.schema, root + "/out", root + "/ck", label_col="quality")
@@ -63,6 +63,17 @@ def stream_progress_totals(spark, d):
     return totals.orderBy(F.desc("batch_id")).limit(1).drop("batch_id")
 
 
+@register("stream_progress_examples", """SELECT quality, row_number() OVER (PARTITION BY quality ORDER BY doc_id, toxic NULLS FIRST)::INTEGER AS pick,
+  doc_id, toxic FROM labels WHERE quality IS NOT NULL QUALIFY pick <= 5""")
+def stream_progress_examples(spark, d):
+    """The first five rows of each label over all batches, from the state that batches merge."""
+    src = spark.read.parquet(f"{d}/labels.parquet")
+    root = _scratch(spark, "examples")
+    streaming_progress(spark, f"{d}/labels.parquet", src.schema, root + "/out", root + "/ck", label_col="quality",
+                       per_label=5, order_by=("doc_id", "toxic"))
+    return first_examples(spark, root + "/out").select("quality", "pick", "doc_id", "toxic")
+
+
 def _resume_sql() -> str:
     from textlab.plans.queries_text import _json_replies_sql
     return f"""WITH {_json_replies_sql()}

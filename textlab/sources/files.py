@@ -6,6 +6,7 @@ from __future__ import annotations
 import hashlib
 import json
 import logging
+import re
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from textlab.functions.text import null_tokens_to_null
+from textlab.session import stage
 
 log = logging.getLogger(__name__)
 
@@ -90,28 +92,121 @@ def csv_headers(spark: SparkSession, paths: Sequence[str], head_bytes: int = 1 <
     return dict(zip(paths, _each(head, paths)))
 
 
-def intact(spark: SparkSession, paths: Sequence[str], columns: Sequence[str], fmt: str = "parquet",
-           schema: StructType | None = None) -> tuple[list[str], list[str]]:
-    """(files whose ``columns``, all that will be read, can be read to the end, files whose cannot).
+def _footer(source) -> tuple[list[str], int] | None:
+    """(column names, rows) of a parquet file by its footer; None if it has none."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    try:
+        meta = pq.read_metadata(source)
+        return meta.schema.to_arrow_schema().names, meta.num_rows
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, EOFError):
+        return None
 
-    One job reads them all; only if it fails are the paths halved, so b damaged files cost about
-    b log n further jobs. A file with a good footer and a damaged body is found here, not lost later.
-    With ``schema`` the files are read by it, as the caller will (columns a file lacks are null).
-    """
+
+def _footers_here(batches):
+    """(path, columns, rows) of parquet files, read where the task runs; columns are null if a file has no footer or is not
+    there. A store that does not answer is an error of the task, not of the file."""
+    import pandas as pd
+    from pyarrow.fs import FileSystem
+    for batch in batches:
+        out = []
+        for path, uri in zip(batch["path"], batch["uri"]):
+            store, name = FileSystem.from_uri(uri)
+            try:
+                with store.open_input_file(name) as f:
+                    found = _footer(f)
+            except FileNotFoundError:
+                found = None
+            out.append((path, *(found or (None, None))))
+        yield pd.DataFrame(out, columns=["path", "columns", "rows"]).astype({"rows": "Int64"})
+
+
+def _footer_bytes(spark: SparkSession, path: str):
+    """The footer of a file as a small parquet file of its own, by Hadoop's FileSystem: for stores that only the JVM
+    can open. None if the file is not there or too short."""
+    import io
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(conf)
+    if not fs.exists(p):
+        return None
+    length = fs.getFileStatus(p).getLen()
+    stream = fs.open(p)
+    try:
+        def tail(n: int) -> bytes:
+            stream.seek(length - n)
+            return bytes(stream.readNBytes(n))
+        if length < 12:
+            return None
+        size = int.from_bytes(tail(8)[:4], "little") + 8
+        return io.BytesIO(b"PAR1" + tail(size)) if size <= length else None
+    finally:
+        stream.close()
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, encoded, ``file:/a`` written as ``file:///a``."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return _slashes(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toUri().toString())
+
+
+def _slashes(uri: str) -> str:
+    """Spark names files with one slash or three after the scheme, as they were listed."""
+    return re.sub(r"^(\w+):/(?!/)", r"\1:///", uri)
+
+
+#: Footers that one task reads.
+FOOTERS_A_TASK = 64
+
+
+def footers(spark: SparkSession, paths: Sequence[str]) -> dict[str, tuple[list[str], int] | None]:
+    """(column names, rows) of each parquet file by its footer, None if it has none: one Spark job, whatever the number of
+    files. Where only the JVM can open the store, the driver reads the last bytes of the files, several at a time."""
+    from pyarrow.fs import FileSystem
     if not paths:
-        return [], []
+        return {}
     try:
-        r = spark.read.format(fmt).option("ignoreCorruptFiles", False)
-        (r.schema(schema) if schema else r).load(list(paths)).select(*columns).write.format("noop").mode("overwrite").save()
-        return list(paths), []
-    except Exception as e:  # noqa: BLE001 - the file is named in the report
-        if len(paths) == 1:
-            log.warning("damaged file %s: %s", paths[0], str(e)[:200])
-            return [], list(paths)
-    half = len(paths) // 2
-    good, bad = intact(spark, paths[:half], columns, fmt, schema)
-    more, worse = intact(spark, paths[half:], columns, fmt, schema)
-    return good + more, bad + worse
+        FileSystem.from_uri(qualified(spark, paths[0]))
+    except Exception as e:  # noqa: BLE001 - a scheme or a library that Python lacks; the files are read below
+        log.info("footers are read by the driver: %s", e)
+        tails = _each(lambda p: _footer_bytes(spark, p), paths)
+        return {p: _footer(t) if t else None for p, t in zip(paths, tails)}
+    rows = spark.createDataFrame([(p, qualified(spark, p)) for p in paths], "path string, uri string")
+    got = rows.repartition(-(-len(paths) // FOOTERS_A_TASK)).mapInPandas(
+        _footers_here, "path string, columns array<string>, rows long").collect()
+    return {r["path"]: (list(r["columns"]), r["rows"]) if r["columns"] is not None else None for r in got}
+
+
+def read_whole(spark: SparkSession, rows_of: Mapping[str, int], columns: Sequence[str],
+               schema: StructType | None = None) -> tuple[DataFrame, list[str]]:
+    """(rows with ``source_file`` of the parquet files that are whole, the files that are not).
+
+    The files are read once, into a stage; a file whose rows in the stage are not as many as its footer says
+    (``rows_of``) is read a second time, so that a short outage of the store costs nothing, and is damaged if it comes
+    up short again: none of its rows is kept. Three jobs, three more if a file came up short, whatever the number of
+    files. With ``schema`` columns that a file lacks are null.
+    """
+    named = {qualified(spark, p): p for p in rows_of}
+
+    def attempt(paths: list[str]) -> tuple[DataFrame, dict[str, str | None]]:
+        """The rows, and the files that came up short with the name they have in ``source_file`` (None without rows)."""
+        r = spark.read.option("ignoreCorruptFiles", True)
+        r = r.schema(schema) if schema else r
+        df = stage(r.parquet(*paths).select(*columns, F.col("_metadata.file_path").alias("source_file")), "source-rows")
+        got = {named[_slashes(x["source_file"])]: x for x in df.groupBy("source_file").agg(F.count("*").alias("n")).collect()}
+        return df, {p: got[p]["source_file"] if p in got else None for p in paths if (got[p]["n"] if p in got else 0) != rows_of[p]}
+
+    def without(df: DataFrame, names) -> DataFrame:
+        some = [(n,) for n in names if n]
+        return df.join(spark.createDataFrame(some, "source_file string"), "source_file", "left_anti").select(*df.columns) if some else df
+
+    df, short = attempt(list(rows_of))
+    if not short:
+        return df, []
+    again, damaged = attempt(list(short))
+    for p in damaged:
+        log.warning("damaged file %s", p)
+    return without(df, short.values()).unionByName(without(again, damaged.values())), list(damaged)
 
 
 def _list_files(spark: SparkSession, path: str, suffix: str) -> list[str]:
@@ -150,6 +245,8 @@ def _columns(spark: SparkSession, paths: Sequence[str], fmt: str) -> dict[str, l
     """Column names by file, None if its head or footer cannot be read."""
     if fmt == "csv":
         return csv_headers(spark, paths)
+    if fmt == "parquet":
+        return {p: f and f[0] for p, f in footers(spark, paths).items()}
     schemas = _each(lambda p: file_schema(spark, p, fmt), paths)
     return {p: s.fieldNames() if s is not None else None for p, s in zip(paths, schemas)}
 
@@ -158,9 +255,12 @@ def require_column(spark: SparkSession, paths: Sequence[str], column: str, fmt:
     """Keep the files whose schema has ``column``.
 
     Returns (valid paths, report rows (path, reason) for the skipped ones).
-    Only footers / headers are read here, several at a time; the data is read by one scan later.
+    Only footers / headers are read here, in one job; the data is read by one scan later.
     """
-    found = _columns(spark, paths, fmt)
+    return _with_column(_columns(spark, paths, fmt), paths, column)
+
+
+def _with_column(found: Mapping[str, list[str] | None], paths: Sequence[str], column: str):
     valid = [p for p in paths if found[p] is not None and column in found[p]]
     skipped = [(p, "unreadable" if found[p] is None else f"no column {column}") for p in paths if p not in set(valid)]
     return valid, skipped
@@ -170,8 +270,10 @@ def tolerant_union(spark: SparkSession, paths: Sequence[str], columns: Sequence[
                    fmt: str = "csv", schema: StructType | None = None):
     """Skip unreadable files or files missing a needed column, scan the
     rest in **one** multi-path read (per header layout for CSV), and return (DataFrame with
-    ``source_file``, report DataFrame of skipped paths). Errors only when no file is valid."""
-    found = _columns(spark, paths, fmt)
+    ``source_file``, report DataFrame of skipped paths). Parquet data is read once, and files that hold fewer
+    rows than their footer says are in the report, too. Errors only when no file is valid."""
+    feet = footers(spark, paths) if fmt == "parquet" else {}
+    found = {p: f and f[0] for p, f in feet.items()} or _columns(spark, paths, fmt)
     valid, skipped = [], []
     for p in paths:
         missing = None if found[p] is None else [c for c in columns if c not in found[p]]
@@ -181,16 +283,17 @@ def tolerant_union(spark: SparkSession, paths: Sequence[str], columns: Sequence[
             skipped.append((p, "missing " + ",".join(missing)))
         else:
             valid.append(p)
-    if fmt != "csv":
-        valid, bad = intact(spark, valid, columns, fmt)
-        skipped += [(p, "damaged") for p in bad]
-    if not valid:
+    df, bad = read_whole(spark, {p: feet[p][1] for p in valid}, columns) if feet and valid else (None, [])
+    skipped += [(p, "damaged") for p in bad]
+    if len(valid) == len(bad):
         raise ValueError("No valid files among %d paths" % len(paths))
     report = spark.createDataFrame(skipped, "path string, reason string")
     if fmt == "csv":
         return _by_layout(spark, {p: found[p] for p in valid}, columns, schema, source_file=True), report
-    df = spark.read.format(fmt).option("ignoreCorruptFiles", False).load(valid)
-    return df.select(*columns, F.col("_metadata.file_path").alias("source_file")), report
+    if df is None:
+        df = spark.read.format(fmt).option("ignoreCorruptFiles", False).load(valid).select(
+            *columns, F.col("_metadata.file_path").alias("source_file"))
+    return df, report
 
 
 def read_messages_dir(spark: SparkSession, path: str, column: str = "Message",
@@ -199,14 +302,13 @@ def read_messages_dir(spark: SparkSession, path: str, column: str = "Message",
     rows dropped; renamed to ``out_col``. Returns (DataFrame, skipped report); a file
     with a damaged body is in the report too, none of its rows in the DataFrame."""
     files = _list_files(spark, path, ".parquet")
-    valid, skipped = require_column(spark, files, column)
-    valid, bad = intact(spark, valid, [column])
+    feet = footers(spark, files)
+    valid, skipped = _with_column({p: f and f[0] for p, f in feet.items()}, files, column)
+    df, bad = read_whole(spark, {p: feet[p][1] for p in valid}, [column]) if valid else (None, [])
     skipped += [(p, "damaged") for p in bad]
-    if not valid:
+    if len(valid) == len(bad):
         raise ValueError(f"No parquet file under {path} has column {column}")
-    df = (spark.read.option("ignoreCorruptFiles", False).parquet(*valid)
-          .select(F.col(column).alias(out_col), F.col("_metadata.file_path").alias("source_file"))
-          .where(F.col(out_col).isNotNull()))
+    df = df.select(F.col(column).alias(out_col), "source_file").where(F.col(out_col).isNotNull())
     return df, spark.createDataFrame(skipped, "path string, reason string")
 
 

@@ -58,11 +58,12 @@ def score_new_files(spark: SparkSession, src: str, schema: StructType, out_dir:
                     max_files_per_trigger: int = 1000, column: str | None = None):
     """Score each arriving parquet file once; a rerun with the same checkpoint takes new files only.
 
-    The stream carries file names (at most ``max_files_per_trigger`` a batch). A file without ``column`` (the
-    schema's first by default), or one that cannot be read to its end, is skipped and reported in
-    ``out_dir + "-report"`` (path, reason, batch_id); it does not stop the others, and none of its rows is kept.
+    The stream carries file names (at most ``max_files_per_trigger`` a batch). One job reads the footers of a batch, its
+    data is read once. A file without ``column`` (the schema's first by default), or one with fewer rows than its
+    footer says, is skipped and reported in ``out_dir + "-report"`` (path, reason, batch_id); it does not stop the
+    others, and none of its rows is kept.
     """
-    from textlab.sources.files import intact, require_column
+    from textlab.sources.files import footers, read_whole
     column = column or schema.fieldNames()[0]
     files = _stream(spark, src, "path string, modificationTime timestamp, length long, content binary", "binaryFile",
                     max_files_per_trigger).select("path")
@@ -70,11 +71,13 @@ def score_new_files(spark: SparkSession, src: str, schema: StructType, out_dir:
 
     def write(batch: DataFrame, batch_id: int) -> None:
         paths = sorted(r["path"] for r in batch.collect())
-        valid, skipped = require_column(spark, paths, column)
-        valid, bad = intact(spark, valid, ["*"], schema=schema)  # all columns of the schema
-        skipped += [(p, "damaged") for p in bad]
-        if valid:
-            rows = spark.read.schema(schema).parquet(*valid).withColumn("source_file", F.col("_metadata.file_path"))
+        found = footers(spark, paths)
+        skipped = [(p, "unreadable" if f is None else f"no column {column}") for p, f in found.items()
+                   if f is None or column not in f[0]]
+        whole = {p: f[1] for p, f in found.items() if f is not None and column in f[0]}
+        if whole:
+            rows, bad = read_whole(spark, whole, schema.fieldNames(), schema)
+            skipped += [(p, "damaged") for p in bad]
             sink(score(rows), batch_id)
         report(spark.createDataFrame(skipped, "path string, reason string"), batch_id)
 
@@ -91,14 +94,8 @@ def resume_generation(todo: DataFrame, out_dir: str, key: str,
     ``slice_rows`` rows, at most ``max_slices`` (larger ones then), so an interruption loses at most one
     slice. Returns slices written."""
     spark = todo.sparkSession
-    from pyspark.errors import AnalysisException
-    try:
-        done = spark.read.parquet(out_dir).select(key)
-    except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        done = None  # nothing written yet
-    pending = todo if done is None else pending_rows(todo, done, key)
+    done = _written(spark, out_dir)
+    pending = todo if done is None else pending_rows(todo, done.select(key), key)
     n_slices = min(max_slices, -(-pending.count() // slice_rows))
     if not n_slices:
         return 0
@@ -111,31 +108,56 @@ def resume_generation(todo: DataFrame, out_dir: str, key: str,
 
 
 def streaming_progress(spark: SparkSession, src_dir: str, schema: StructType, out_dir: str,
-                       checkpoint: str, label_col: str = "label", per_label: int = 3):
-    """Per micro-batch, the G5 counts and the first examples of each
-    label, written keyed by batch id. Running totals are a cumulative sum
-    over the (small) per-batch table, see ``running_totals``."""
+                       checkpoint: str, label_col: str = "label", per_label: int = 3,
+                       order_by: tuple[str, ...] | None = None, max_files: int = 1):
+    """The G5 counts of each micro-batch, and the first ``per_label`` rows of each label so far.
+
+    Both are written keyed by batch id. The examples are a state of at most ``per_label`` rows a label: a batch merges
+    its own first rows with those of the batch before, so a batch costs its rows and the state, and the last state is
+    the first rows of all batches by ``order_by`` (all columns by default), however files are batched. A replayed batch
+    overwrites its own counts and state. See ``running_totals`` and ``first_examples``."""
+    from pyspark.sql import Window
+    sink, states = _batch_sink(out_dir + "/summary"), _batch_sink(out_dir + "/examples")
+    w = Window.partitionBy(label_col).orderBy(*(order_by or schema.fieldNames()), *schema.fieldNames())
+
+    def first(df: DataFrame) -> DataFrame:
+        return df.where(F.col(label_col).isNotNull()).withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= per_label)
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        summary = progress_summary(batch, label_col).withColumn("kind", F.lit("summary"))
-        summary.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite") \
-            .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id") \
-            .parquet(out_dir + "/summary")
-        from pyspark.sql import Window
-        w = Window.partitionBy(label_col).orderBy("source_file", *[c for c in batch.columns
-                                                                  if c not in ("source_file",)][:1])
-        ex = (batch.where(F.col(label_col).isNotNull())
-              .withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= per_label))
-        ex.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite") \
-            .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id") \
-            .parquet(out_dir + "/examples")
-
-    src = _stream(spark, src_dir, schema, max_files=1).withColumn("source_file", F.col("_metadata.file_path"))
-    q = (src.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
+        sink(progress_summary(batch, label_col).withColumn("kind", F.lit("summary")), batch_id)
+        before = first_examples(spark, out_dir, batch_id)
+        rows = first(batch).drop("pick")
+        if before is not None:
+            rows = rows.unionByName(before.drop("pick"))
+        states(first(rows), batch_id)
+
+    q = (_stream(spark, src_dir, schema, max_files=max_files).writeStream.foreachBatch(write)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return q
 
 
+def first_examples(spark: SparkSession, out_dir: str, before: int | None = None) -> DataFrame | None:
+    """The first rows of each label (``pick`` from 1) over all batches, or over those before a batch id; None if there
+    is no such batch."""
+    states = _written(spark, out_dir + "/examples")
+    if states is not None and before is not None:
+        states = states.where(F.col("batch_id") < before)
+    last = None if states is None else states.agg(F.max("batch_id")).first()[0]
+    return None if last is None else states.where(F.col("batch_id") == last).drop("batch_id")
+
+
+def _written(spark: SparkSession, path: str) -> DataFrame | None:
+    """A sink's table, None if nothing is written yet."""
+    from pyspark.errors import AnalysisException
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 def running_totals(spark: SparkSession, out_dir: str) -> DataFrame:
     """Cumulative counts after each batch, from the per-batch summaries."""
     from pyspark.sql import Window
@@ -146,41 +168,33 @@ def running_totals(spark: SparkSession, out_dir: str) -> DataFrame:
                                   for c in ("total", "positives", "negatives", "nulls")])
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def streaming_dedup(stream: DataFrame, key: str, order_col: str, out_dir: str, checkpoint: str) -> DataFrame:
     """D1 on arriving rows: of the rows with one key, the one that is first by ``order_col``.
 
-    Each batch writes its first row of every key, unless an earlier one is kept already; the kept rows are the
-    state, so there is no time limit, and the answer does not depend on how files arrive or are batched. Returns
-    the kept rows; ties in ``order_col`` go to the smallest row.
+    The first row of each key is keyed state of a stateful aggregation, in a state store on disk that the checkpoint
+    folder backs; a batch reads and writes the state of its own keys only, and a lost executor's state is loaded again.
+    There is no time limit, so the answer does not depend on how files arrive or are batched. Each batch appends its
+    keys' first rows so far to ``out_dir``; the kept rows are the first of those. Nulls come first, ties in ``order_col`` go
+    to the smallest row; a null key is a key.
     """
     spark = stream.sparkSession
     cols = stream.columns
-    sink = _batch_sink(out_dir)
     place = F.struct(F.col(order_col).alias("_o"), F.struct(*cols).alias("_r"))  # nulls come first, as in min
 
     def first(df: DataFrame) -> DataFrame:
-        return df.groupBy(key).agg(F.min(place).alias("_m"))
+        return df.groupBy(key).agg(F.min(place).alias("_m")).select("_m._r.*")
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        new = first(batch).select("_m._r.*")
-        seen = kept(spark, out_dir, batch_id)
-        if seen is not None:
-            best = seen.groupBy(F.col(key).alias("_k")).agg(F.min(place).alias("_b"))
-            new = new.join(best, new[key].eqNullSafe(best["_k"]), "left").where(
-                F.col("_b").isNull() | (place < F.col("_b"))).select(*cols)
-        sink(stage(new, "dedup-batch"), batch_id)
-
-    def kept(spark, path, before=None):
-        from pyspark.errors import AnalysisException
-        try:
-            df = spark.read.parquet(path)
-        except AnalysisException as e:
-            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-            return None
-        return df if before is None else df.where(F.col("batch_id") < before)
-
-    q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
+    option = "spark.sql.streaming.stateStore.providerClass"
+    given = spark.conf.get(option)
+    if given.endswith(".HDFSBackedStateStoreProvider"):  # the default, which holds all state in memory
+        spark.conf.set(option, ROCKSDB)
+    try:
+        q = (first(stream).writeStream.outputMode("update").foreachBatch(_batch_sink(out_dir))
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    finally:
+        spark.conf.set(option, given)
     q.awaitTermination()
-    return first(kept(spark, out_dir).select(*cols)).select("_m._r.*")
+    return first(spark.read.parquet(out_dir).select(*cols))

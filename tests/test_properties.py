@@ -143,7 +143,7 @@ def test_knn_block_split_equals_single_block(spark):
     from textlab.operators.knn import knn
     v = A.two_class_vectors(spark, SF01).select("id", "embedding")
     one = knn(v, v, 5)
-    many = knn(v, v, 5, tile_rows=40)  # forces 13 cells and several target parts
+    many = knn(v, v, 5, tile_rows=10, cell_rows=20)  # forces many cells and tiles
     assert _vals(one, "target_id", "neighbor_id", "rank") == _vals(many, "target_id", "neighbor_id", "rank")
 
 
@@ -162,7 +162,7 @@ def test_knn_matches_brute_force(spark, tile_rows):
     s = u @ u.T
     np.fill_diagonal(s, -9)
     got = {}
-    for r in knn(df, df, 7, tile_rows=tile_rows).collect():
+    for r in knn(df, df, 7, tile_rows=tile_rows, cell_rows=tile_rows).collect():
         got.setdefault(r["target_id"], []).append((r["rank"], round(r["sim"], 9)))
     for i in range(len(x)):
         want = sorted(np.round(s[i], 9).tolist(), reverse=True)[:7]
@@ -241,3 +241,30 @@ def test_group_row_number_null_keys(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), (None, 3), (1, 1), (1, 2)], "g long, o long")
     got = {(r["g"], r["o"]): r["rn"] for r in group_row_number(df, ["g"], ["o"], "rn", n_parts=2).collect()}
     assert got == {(None, 1): 1, (None, 2): 2, (None, 3): 3, (1, 1): 1, (1, 2): 2}
+
+
+def test_knn_visits_a_falling_share_of_the_pairs(spark, monkeypatch):
+    """On clustered vectors the share of (target, pool row) pairs that are compared falls as the pool grows, and the
+    answer stays that of comparing all rows."""
+    import numpy as np
+    from textlab.operators import knn as K
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(30, 12))
+    x = centres[np.arange(6400) % 30] + rng.normal(size=(6400, 12)) / 40
+    stage, shares = K.stage, []
+    for n in (400, 1600, 6400):
+        seen = {}
+        monkeypatch.setattr(K, "stage", lambda df, name: seen.setdefault(name, []).append(out := stage(df, name)) or out)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:n])], "id long, embedding array<double>")
+        got = K.knn(df.where("id < 200"), df, 4, cell_rows=4).collect()
+        sizes = {r["_cell"]: r["count"] for r in seen["knn-tiles"][0].groupBy("_cell").count().collect()}
+        visits = [(r["_tid"], r["_cell"]) for v in seen["knn-visits"] for r in v.select("_tid", "_cell").collect()]
+        assert len(visits) == len(set(visits))
+        shares.append(sum(sizes[c] for _, c in visits) / (200 * n))
+        u = x[:n] / np.linalg.norm(x[:n], axis=1, keepdims=True)
+        s = u[:200] @ u.T
+        s[np.arange(200), np.arange(200)] = -9
+        for r in got:
+            assert abs(r.sim - np.sort(s[r.target_id])[-r["rank"]]) < 1e-9
+        assert len(got) == 800
+    assert shares[0] > shares[1] > shares[2] and shares[2] < 0.3, shares

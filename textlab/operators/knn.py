@@ -1,33 +1,37 @@
-"""Exact all-pairs vector work in tiles: kNN (E3) and the exact silhouette (H5).
+"""Exact vector search and all-pairs work: kNN by a two-level cell index (E3) and the exact silhouette (H5).
 
-Vectors are dealt to tiles of at most about ``TILE_ROWS`` rows, and a task compares one tile of targets with
-one tile of the pool (a co-group, one matmul), keeping only a local top-k (kNN) or per-cluster distance
-sums (silhouette). Tiles are staged and read by executors; the driver sees counts and a bounded number of
-cell centres, never the pool.
+**kNN.** The pool is split into about sqrt(n) cells around sampled centres (no fewer than ``CELL_ROWS`` rows each on average),
+and the centres again into groups, which makes a tree of two levels. Each cell and group has its exact radius: the largest
+distance of any member to its centre, so ``t.c + |t| r`` bounds the similarity of a target to every member. A target
+visits cells best bound first, groups before cells, in rounds: one cell, then four, sixteen and so on, and only while the
+bound can reach its k-th similarity so far. When no target has a cell left to visit, the result is that of comparing
+all rows. Cells are cut into tiles of about ``TILE_ROWS`` rows; a task holds one tile and lets targets pass by in batches, so
+the pool is never copied, and a target goes to the tiles of the cells it visits only.
 
-kNN prunes exactly: the pool is split into cells around sampled centres, each with its radius. A target first
-looks in its own cell; the k-th similarity found there decides which other cells can still hold a
-better row (``t.c + |t| r`` bounds the similarity to every member), and only those are visited.
+**Silhouette.** Vectors are dealt to tiles, and a task compares one tile with another, keeping only per-cluster sums.
+
+The driver holds the centres, at most ``session.BROADCAST_BYTES`` of them, and one number for each cell; never the pool.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, DoubleType, IntegerType, LongType, StructField, StructType)
 
-from textlab.session import stage
+from textlab.session import BROADCAST_BYTES, small, stage
 
 TILE_ROWS = 4096
-#: Targets in one task, in tiles.
-TARGET_TILES = 8
-#: Cell centres: at most so many vectors reach the driver.
-MAX_CELLS = 256
+#: Rows of an average cell, at least.
+CELL_ROWS = 1024
 # Largest targets x tile matrix one task builds at a time (float64 bytes).
 MATMUL_BYTES = 64 << 20
 
@@ -47,11 +51,6 @@ def _row_chunks(n: int, width: int) -> Iterator[slice]:
     return (slice(i, i + step) for i in range(0, n, step))
 
 
-def _array_of(values) -> F.Column:
-    """A constant int array, indexed by cell."""
-    return F.array(*[F.lit(int(v)) for v in values])
-
-
 def _top_k(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of the k largest finite values of each row; ties go to the lower column."""
     kk = min(k, s.shape[1])
@@ -63,37 +62,98 @@ def _top_k(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(keep)
 
 
-def _match(targets: DataFrame, pool: DataFrame, k: int, schema: StructType, extra: list[str],
-           exclude_self: bool, target_parts: int) -> DataFrame:
-    """The k best pool rows of each target within every (cell, tile) it is sent to."""
-    keys = ["_cell", "_tile", "_part"]
-    left = targets.withColumn("_part", F.pmod(F.xxhash64("_tid"), F.lit(target_parts)))
-    right = pool.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(target_parts - 1)).cast("array<long>")))
-
-    def run(t: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        if not len(t) or not len(p):
-            return pd.DataFrame({f.name: [] for f in schema.fields})
-        p = p.sort_values("_pid", kind="stable").reset_index(drop=True)  # column order = id order
-        pids, pu = p["_pid"].to_numpy(dtype=np.int64), _matrix(p["_pu"])
-        tids, tu = t["_tid"].to_numpy(dtype=np.int64), _matrix(t["_tu"])
-        out = []
-        for rows in _row_chunks(len(t), len(p)):
-            s = tu[rows] @ pu.T
+class Tree:
+    """Cells around ``centres`` and groups of cells around some of the centres."""
+
+    def __init__(self, centres: np.ndarray):
+        self.centres = centres
+        self.tops = centres[:: max(1, math.isqrt(len(centres)))]
+        self.parent = self._nearest(centres, self.tops)
+        self.children = [np.flatnonzero(self.parent == g) for g in range(len(self.tops))]
+
+    @staticmethod
+    def _nearest(u: np.ndarray, centres: np.ndarray) -> np.ndarray:
+        return (2 * u @ centres.T - (centres ** 2).sum(axis=1)[None]).argmax(axis=1)
+
+    def cells(self, u: np.ndarray) -> np.ndarray:
+        """A cell for each vector: the nearest of its nearest group (one of a group without cells is never nearest)."""
+        group = self._nearest(u, self.tops)
+        out = np.zeros(len(u), np.int64)
+        for g in np.unique(group):
+            mine, cells = group == g, self.children[g]
+            out[mine] = cells[self._nearest(u[mine], self.centres[cells])]
+        return out
+
+    def measured(self, size: np.ndarray, radius: np.ndarray) -> Tree:
+        """With the number of members and the radius of each cell."""
+        self.size, self.radius = size, radius
+        reach = np.linalg.norm(self.centres - self.tops[self.parent], axis=1) + radius
+        self.full = [c[size[c] > 0] for c in self.children]
+        self.top_radius = np.array([reach[c].max() if len(c) else -np.inf for c in self.full])
+        return self
+
+    def best_first(self, u: np.ndarray) -> Iterator[tuple[float, int]]:
+        """(bound, cell) of the cells with members, best bound first; a little is added for rounding."""
+        norm = float(np.linalg.norm(u))
+        heap = [(-float(b), g, -1) for g, b in enumerate(self.tops @ u + norm * np.where(np.isfinite(self.top_radius), self.top_radius, 0) + 1e-9)
+                if len(self.full[g])]
+        heapq.heapify(heap)
+        while heap:
+            bound, g, cell = heapq.heappop(heap)
+            if cell >= 0:
+                yield -bound, cell
+                continue
+            own = self.full[g]
+            for c, b in zip(own.tolist(), (self.centres[own] @ u + norm * self.radius[own] + 1e-9).tolist()):
+                heapq.heappush(heap, (-b, g, c))
+
+
+def _lists(column: pa.Array) -> np.ndarray:
+    """A list column of equally long vectors as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.empty((0, 0))
+
+
+def _match(visits: DataFrame, pool: DataFrame, k: int, schema: StructType, extra: list[str], exclude_self: bool) -> DataFrame:
+    """The k best pool rows of each target within every tile of the cells it visits."""
+    keys = ["_cell", "_tile"]
+    blank = lambda df, cols: [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in cols]
+    left = pool.select(*keys, F.lit(0).alias("_kind"), F.col("_pid").alias("_id"), F.col("_pu").alias("_u"), *extra)
+    right = visits.select(*keys, F.lit(1).alias("_kind"), F.col("_tid").alias("_id"), F.col("_tu").alias("_u"), *blank(pool, extra))
+
+    def run(batches):
+        at, parts, tile = None, [], None
+        for batch in batches:
+            cell, number, kind = (batch.column(c).to_numpy() for c in (*keys, "_kind"))
+            edge = np.ones(len(cell), bool)
+            edge[1:] = (cell[1:] != cell[:-1]) | (number[1:] != number[:-1]) | (kind[1:] != kind[:-1])
+            cut = [*np.flatnonzero(edge).tolist(), len(cell)]
+            for a, b in zip(cut, cut[1:]):
+                here, part = (cell[a], number[a]), batch.slice(a, b - a)
+                if kind[a] == 0:
+                    parts, at, tile = ([*parts, part] if here == at else [part]), here, None
+                elif here == at:
+                    if tile is None:  # columns in the order of the ids: ties go to the smaller one
+                        rows = pa.Table.from_batches(parts).combine_chunks()
+                        rows = rows.take(pc.sort_indices(rows["_id"]))
+                        tile = rows, rows["_id"].to_numpy(), _lists(rows["_u"].combine_chunks())
+                    yield from compare(*tile, part)
+
+    def compare(rows: pa.Table, ids: np.ndarray, u: np.ndarray, part: pa.RecordBatch):
+        tids, tu = part.column("_id").to_numpy(), _lists(part.column("_u"))
+        for some in _row_chunks(len(tids), len(ids)):
+            s = tu[some] @ u.T
             if exclude_self:
-                s = np.where(tids[rows][:, None] == pids[None, :], -np.inf, s)
+                s = np.where(tids[some][:, None] == ids[None, :], -np.inf, s)
             r, c = _top_k(s, k)
-            part = {"target_id": tids[rows][r], "neighbor_id": pids[c], "sim": s[r, c]}
-            for col in extra:
-                part[col] = p[col].to_numpy()[c]
-            out.append(pd.DataFrame(part))
-        return pd.concat(out, ignore_index=True)
+            yield pa.record_batch([pa.array(tids[some][r]), pa.array(ids[c]), pa.array(s[r, c]),
+                                   *[rows[x].combine_chunks().take(pa.array(c)) for x in extra]], names=schema.fieldNames())
 
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
+    return left.unionByName(right).repartition(*keys).sortWithinPartitions(*keys, "_kind").mapInArrow(run, schema)
 
 
 def knn(targets: DataFrame, pool: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding",
         pool_extra: list[str] | None = None, exclude_self: bool = True,
-        tile_rows: int = TILE_ROWS) -> DataFrame:
+        tile_rows: int = TILE_ROWS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """For each target, the ``k`` most cosine-similar pool rows.
 
     Output ``(target_id, neighbor_id, sim, rank, *pool_extra)``; rank 1 is the
@@ -107,68 +167,76 @@ def knn(targets: DataFrame, pool: DataFrame, k: int, id_col: str = "id", vec_col
                          StructField("sim", DoubleType())] + [StructField(c, types[c]) for c in extra])
     unit = ArrayType(DoubleType())
     p = stage(pool.select(F.col(id_col).cast("long").alias("_pid"), F.col(vec_col).alias("_v"), *extra), "knn-pool")
-    n = p.count()
+    n, dims = p.agg(F.count(F.lit(1)), F.max(F.size("_v"))).first()
     if not n:
         return spark.createDataFrame([], StructType(list(schema.fields)).add("rank", IntegerType()))
-    n_cells = min(MAX_CELLS, math.ceil(n / tile_rows))
+    n_cells = max(1, min(math.isqrt(n), n // cell_rows, BROADCAST_BYTES // (8 * max(dims, 1))))
     picked = p.orderBy(F.xxhash64("_pid"), "_pid").select("_v").limit(n_cells).collect()
-    centres = _unit([r["_v"] for r in picked])
+    tree = Tree(_unit([r["_v"] for r in picked]))
 
     def cells(it):
         for pdf in it:
             if len(pdf):
                 u = _unit(pdf["_v"])
-                d = np.sqrt(np.maximum(((u ** 2).sum(axis=1)[:, None] + (centres ** 2).sum(axis=1)[None]
-                                        - 2 * u @ centres.T), 0))
-                pdf["_cell"] = d.argmin(axis=1).astype(np.int64)
-                pdf["_far"] = d.min(axis=1)
+                pdf["_cell"] = tree.cells(u)
+                pdf["_far"] = np.linalg.norm(u - tree.centres[pdf["_cell"]], axis=1)
                 pdf["_pu"] = list(u)
                 yield pdf.drop(columns="_v")
 
     fields = [f for f in p.schema.fields if f.name != "_v"]
     p = stage(p.mapInPandas(cells, StructType(fields + [StructField("_cell", LongType()), StructField("_far", DoubleType()),
                                                         StructField("_pu", unit)])), "knn-cells")
-    size, radius = np.zeros(len(centres), np.int64), np.zeros(len(centres))
+    size, radius = np.zeros(n_cells, np.int64), np.zeros(n_cells)
     for r in p.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_far").alias("r")).collect():  # one row a cell
         size[r["_cell"]], radius[r["_cell"]] = r["n"], r["r"]
-    tiles = np.maximum(1, -(-size // tile_rows))
-    in_cell = F.element_at(_array_of(tiles), (F.col("_cell") + 1).cast("int"))
-    p = p.withColumn("_tile", F.pmod(F.xxhash64("_pid"), in_cell)).drop("_far")
+    shared = spark.sparkContext.broadcast(tree.measured(size, radius))
+    counts = small(p.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / tile_rows).alias("_tiles")), 16)
+    p = stage(p.drop("_far").join(counts, "_cell").withColumn("_tile", F.pmod(F.xxhash64("_pid"), F.col("_tiles"))).drop("_tiles"), "knn-tiles")
 
-    def own_cell(it):
+    def units(it):
         for pdf in it:
             if len(pdf):
-                u = _unit(pdf["_tv"])
-                yield pd.DataFrame({"_tid": pdf["_tid"], "_tu": list(u), "_cell": (
-                    2 * u @ centres.T - (centres ** 2).sum(axis=1)[None]).argmax(axis=1).astype(np.int64)})
+                yield pd.DataFrame({"_tid": pdf["_tid"], "_tu": list(_unit(pdf["_tv"]))})
 
     t = targets.select(F.col(id_col).cast("long").alias("_tid"), F.col(vec_col).alias("_tv"))
-    t = stage(t.mapInPandas(own_cell, StructType([StructField("_tid", LongType()), StructField("_tu", unit),
-                                                  StructField("_cell", LongType())])), "knn-targets")
-    parts = max(1, math.ceil(t.count() / (TARGET_TILES * tile_rows)))
-    spread = lambda df: df.withColumn("_tile", F.explode(F.sequence(F.lit(0), in_cell - 1).cast("array<long>")))
+    t = stage(t.mapInPandas(units, StructType([StructField("_tid", LongType()), StructField("_tu", unit)])), "knn-targets")
+
+    def next_cells(done: int, width: int):
+        def run(batches):
+            tree = shared.value
+            for batch in batches:
+                kth = batch.column("_kth").fill_null(-np.inf).to_numpy()
+                at, found = [], []
+                for i, u in enumerate(_lists(batch.column("_tu"))):
+                    for rank, (bound, cell) in enumerate(tree.best_first(u)):
+                        if rank >= done + width or bound < kth[i]:
+                            break
+                        if rank >= done:
+                            at.append(i)
+                            found.append(cell)
+                take = pa.array(at, pa.int64())
+                yield pa.record_batch([batch.column("_tid").take(take), batch.column("_tu").take(take), pa.array(found, pa.int64())],
+                                      names=["_tid", "_tu", "_cell"])
+        return run
+
     w = Window.partitionBy("target_id").orderBy(F.desc("sim"), F.asc("neighbor_id"))
-    best = lambda df: df.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
-    first = best(_match(spread(t), p, k, schema, extra, exclude_self, parts))
-    if len(centres) == 1:
-        return first
-    first = stage(first, "knn-own")
-    kth = first.where(F.col("rank") == k).select(F.col("target_id").alias("_tid"), F.col("sim").alias("_kth"))
-
-    def others(it):
-        for pdf in it:
-            if len(pdf):
-                u = _matrix(pdf["_tu"])
-                bound = u @ centres.T + np.linalg.norm(u, axis=1)[:, None] * radius[None] + 1e-9
-                visit = bound >= np.nan_to_num(pdf["_kth"].to_numpy(dtype=np.float64), nan=-2.0)[:, None]
-                visit[np.arange(len(pdf)), pdf["_cell"].to_numpy()] = False
-                r, c = np.nonzero(visit & (size > 0)[None])
-                yield pd.DataFrame({"_tid": pdf["_tid"].to_numpy()[r], "_tu": [pdf["_tu"].iloc[i] for i in r],
-                                    "_cell": c.astype(np.int64)})
-
-    more = t.join(kth, "_tid", "left").mapInPandas(others, t.schema)
-    rest = _match(spread(more), p, k, schema, extra, exclude_self, parts)
-    return best(first.drop("rank").unionByName(rest))
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
+    best, done, width = None, 0, 1
+    while done < n_cells:
+        kth = t.withColumn("_kth", F.lit(None).cast("double"))
+        if best is not None:
+            last = best.where(F.col("rank") == k).select(F.col("target_id").alias("_tid"), F.col("sim").alias("_kth"))
+            kth = t.join(last.groupBy("_tid").agg(F.min("_kth").alias("_kth")), "_tid", "left")
+        visits = stage(kth.mapInArrow(next_cells(done, width), StructType([*t.schema.fields, StructField("_cell", LongType())])), "knn-visits")
+        if best is not None and visits.isEmpty():
+            break
+        visits = visits.join(counts, "_cell").withColumn("_tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tiles") - 1)))
+        found = _match(visits, p, k, schema, extra, exclude_self)
+        if n_cells == 1:
+            return ranked(found)
+        best = stage(ranked(found if best is None else found.unionByName(best.drop("rank"))), "knn-best")
+        done, width = done + width, 4 * width
+    return best
 
 
 def silhouette(df: DataFrame, cluster_col: str = "cluster", id_col: str = "id",

@@ -210,3 +210,52 @@ def test_few_shot_prompt_options(spark):
     assert "reason: referencing media/art" in full[2] and "indicators: social isolation, desire for connection" in full[2]
     plain = make(chain_of_thought=False)
     assert "Reasoning" not in plain[1] and "Worked" not in plain[1] and 'Message: "so lonely' in plain[1].split("### Target")[0]
+
+
+def test_rank_auc_counts_pairs(spark):
+    import itertools
+    import random
+    from textlab.operators.metrics import rank_auc
+    rng = random.Random(1)
+    rows = [(g, rng.choice([0, 1]), rng.choice([0.1, 0.2, 0.5, 0.5, rng.random()])) for g in ("a", "b", None) for _ in range(60)]
+    rows += [("a", None, 0.3), ("a", 1, None), ("one", 1, 0.5), ("sep", 0, 0.1), ("sep", 1, 0.9), ("sep", 1, 0.8)]
+    got = {r["g"]: r for r in rank_auc(spark.createDataFrame(rows, "g string, label int, prob double"), ["g"]).collect()}
+    for g in ("a", "b", None, "sep"):
+        pos = [p for h, y, p in rows if h == g and y == 1 and p is not None]
+        neg = [p for h, y, p in rows if h == g and y == 0 and p is not None]
+        wins = sum(1.0 if p > q else 0.5 if p == q else 0.0 for p, q in itertools.product(pos, neg))
+        assert (got[g]["positives"], got[g]["negatives"]) == (len(pos), len(neg))
+        assert abs(got[g]["auc"] - wins / (len(pos) * len(neg))) < 1e-12
+    assert got["one"]["auc"] is None and got["sep"]["auc"] == 1.0
+
+
+def test_median_by_radix_selection(spark):
+    import math
+    import random
+    import statistics
+    from textlab.operators.vectors import exact_median, median_flag, order_statistic
+    rng = random.Random(2)
+    for values in ([3], [1, 2], [5] * 9 + [6], [rng.randrange(10 ** 6) for _ in range(501)], [rng.gauss(0, 1) * 10 ** rng.randrange(-9, 9) for _ in range(400)],
+                   [-1e308, 1e308, 0.0, 1.5], [float("-inf"), 1.0, 2.0, float("inf")], [2.0, 2.0000000000000004]):
+        kind = "long" if isinstance(values[0], int) else "double"
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], f"v {kind}")
+        assert exact_median(df, "v") == statistics.median(values)
+    assert exact_median(df.where("v > 9"), "v") is None
+    nan = spark.createDataFrame([(1.0,), (float("nan"),), (float("inf"),)], "v double")
+    assert order_statistic(nan, "v", 1) == float("inf") and math.isnan(order_statistic(nan, "v", 2))
+    assert [r.long_text for r in median_flag(df.where("v > 9"), "v").collect()] == []
+
+
+def test_silhouette_closed_form(spark):
+    import numpy as np
+    from textlab.operators.knn import silhouette_closed, silhouette_squared
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 5)) + 1000 + np.repeat(np.arange(3), 20)[:, None]
+    rows = [(int(i % 3 if i % 7 else i // 20), v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "cluster int, embedding array<double>")
+    want = silhouette_squared(df)
+    for at_once in (1 << 20, 150):
+        r = silhouette_closed(df, at_once=at_once).first()
+        assert abs(r["silhouette"] - want) < 1e-5 and (r["n_points"], r["n_clusters"]) == (60, 3)
+    alone = silhouette_closed(df.unionByName(spark.createDataFrame([(9, [0.0] * 5), (None, [0.0] * 5)], df.schema))).first()
+    assert (alone["n_points"], alone["n_clusters"]) == (61, 4)

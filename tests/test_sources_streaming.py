@@ -316,3 +316,48 @@ def test_dedup_state_is_keyed_and_resumes(spark, tmpdir_fresh):
     state = spark.read.format("statestore").load(ck)
     assert state.count() == 51
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
+def test_two_writers_of_a_stage_do_not_clash(spark, tmpdir_fresh):
+    """The second writer starts before the first has published; one folder stays, and both read it."""
+    root, calls = tmpdir_fresh + "/stages", []
+    late = lambda: calls.append("late") or spark.range(7)
+
+    def early():
+        calls.append("early")
+        assert S.materialize_stage(spark, root, "s", {"v": 1}, late).count() == 7  # publishes first
+        return spark.range(5)
+
+    assert S.materialize_stage(spark, root, "s", {"v": 1}, early).count() == 7
+    assert S.materialize_stage(spark, root, "s", {"v": 1}, early).count() == 7
+    assert calls == ["early", "late"]
+    assert len([n for n in os.listdir(root) if not n.startswith(".")]) == 2  # the manifest and one folder
+
+
+def test_stages_expire_and_leave_nothing_behind(spark, tmpdir_fresh):
+    root = tmpdir_fresh + "/stages"
+    get = lambda n, **more: S.materialize_stage(spark, root, "s", {"v": 1}, lambda: spark.range(n), **more)
+    old = get(3, owner="me", expires_after=-1)
+    assert get(4, owner="me").count() == 4 and old.count() == 3  # the expired one is still there for its readers
+    S.materialize_stage(spark, root, "other", {}, lambda: spark.range(2), owner="you")
+    assert len(S.drop_stages(spark, root)) == 1
+    assert get(9).count() == 4
+    assert len(S.drop_stages(spark, root, owner="me")) == 1 and len(S.drop_stages(spark, root, owner="you")) == 1
+    assert [n for n in os.listdir(root) if not n.endswith(".crc")] == []
+
+
+def test_scratch_clears_stages_and_tables(spark):
+    from textlab import session
+    where = os.path.join(session.ensure_checkpoint_dir(spark).removeprefix("file:"), "stages")
+    before = set(os.listdir(where)) if os.path.isdir(where) else set()
+    with session.scratch(spark):
+        with session.scratch(spark):
+            inner = session.stage(spark.range(3), "inner")
+            assert inner.count() == 3
+        outer = session.stage(spark.range(4), "outer")
+        spark.range(2).write.saveAsTable("scratch_table")
+        session.made("table", "scratch_table")
+        assert outer.count() == 4
+    assert (set(os.listdir(where)) if os.path.isdir(where) else set()) == before
+    assert not spark.catalog.tableExists("scratch_table")
+    assert session.stage(spark.range(5), "kept").count() == 5

@@ -173,3 +173,24 @@ def leaderboard(df: DataFrame, model_col: str = "model", label_col: str = "label
     return (m.withColumn("rank", F.row_number().over(w).cast("int"))
             .select(model_col, *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1")], "rank",
                     (F.col("rank") == 1).alias("is_best")))
+
+
+def rank_auc(df: DataFrame, group_cols, label_col: str = "label", score_col: str = "prob") -> DataFrame:
+    """H9: exact area under the ROC curve per group: the share of (positive, negative) pairs in which the positive scores
+    higher, equal scores counting half (mid-ranks). One row per group: positives, negatives, auc (null without both).
+
+    Rows of one score are counted together, and the negatives below each score come from range slices, so no task
+    sorts a group. Sums are exact decimals. Rows with a null score or label take no part; NaN scores rank highest.
+    """
+    from textlab.operators.windows import group_cumulative_sum
+    y = F.col(label_col).cast("double")
+    at = (df.where(F.col(score_col).isNotNull() & F.col(label_col).isNotNull())
+          .groupBy(*group_cols, F.col(score_col).alias("_score"))
+          .agg(F.count_if(y == 1).alias("_pos"), F.count_if(y != 1).alias("_neg")))
+    run = group_cumulative_sum(at, group_cols, ["_score"], ["_neg"])
+    whole = lambda c: c.cast("decimal(19,0)")
+    # negatives below, twice, plus those with the same score once
+    wins = whole(F.col("_pos")) * whole(2 * (F.col("cum__neg") - F.col("_neg")) + F.col("_neg"))
+    g = run.groupBy(*group_cols).agg(F.sum("_pos").alias("positives"), F.sum("_neg").alias("negatives"), F.sum(wins).alias("_wins"))
+    pairs = 2.0 * F.col("positives") * F.col("negatives")
+    return g.withColumn("auc", F.try_divide(F.col("_wins").cast("double"), F.nullif(pairs, F.lit(0.0)))).drop("_wins")

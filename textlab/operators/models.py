@@ -10,13 +10,12 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlab.operators.metrics import attach_class_weights, binary_metrics
+from textlab.operators.metrics import attach_class_weights, binary_metrics, rank_auc
 
 
 def featurize_pipeline(text_col: str = "text", out_col: str = "features",
@@ -78,14 +77,14 @@ def batch_score(model, df: DataFrame, vec_col: str | None = None, threshold: flo
 
 def domain_shift_auc(train: DataFrame, test: DataFrame, label_col: str = "label",
                      vec_col: str = "embedding") -> DataFrame:
-    """H9: can a simple classifier tell two domains apart? One row: AUC,
-    accuracy, F1 on the held-out split (accuracy near 0.5 = no shift)."""
+    """H9: can a simple classifier tell two domains apart? One row: exact AUC (``metrics.rank_auc``),
+    accuracy, F1 on the held-out split (AUC near 0.5 = no shift)."""
+    from textlab.session import stage
     m = train_weighted_classifier(train, label_col, None, vec_col)
-    scored = batch_score(m, test, vec_col)
-    ev = BinaryClassificationEvaluator(rawPredictionCol="prob", labelCol=label_col)
-    auc = ev.evaluate(scored.withColumn(label_col, F.col(label_col).cast("double")))
-    met = binary_metrics(scored.withColumn("_all", F.lit("all")), ["_all"], label_col, "prediction")
-    return met.select(F.lit(round(auc, 6)).alias("auc"), "accuracy", "f1", "tp", "fp", "fn", "tn")
+    scored = stage(batch_score(m, test, vec_col).select(F.lit("all").alias("_all"), label_col, "prob", "prediction"), "shift-scores")
+    auc = rank_auc(scored, ["_all"], label_col, "prob")
+    met = binary_metrics(scored, ["_all"], label_col, "prediction")
+    return met.join(auc, "_all").select(F.round("auc", 6).alias("auc"), "accuracy", "f1", "tp", "fp", "fn", "tn")
 
 
 def sweep(train: DataFrame, val: DataFrame, label_col: str = "label", vec_col: str = "embedding",

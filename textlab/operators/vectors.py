@@ -39,11 +39,68 @@ def attach_centroid(df: DataFrame, centroids: DataFrame, group_col: str,
             .drop(centroid_col))
 
 
+#: Parts that a pass of ``order_statistic`` cuts the remaining range of values into.
+PARTS = 1 << 12
+
+
+def order_statistic(df: DataFrame, col: str, rank: int):
+    """The value at 0-based ``rank`` of a numeric column in ascending order (nulls left out, NaN last), exactly.
+
+    Radix selection: a pass counts the values in ``PARTS`` equal parts of the range that still holds the rank, with each
+    part's least and greatest value, and goes on inside one part until that holds a single value. A pass is one
+    aggregation with partial sums and returns ``PARTS`` rows at most, so no task holds the values.
+    """
+    c = F.col(col)
+    x = df.select(c.alias("v")).where(c.isNotNull())
+    # infinities and NaN are parts of their own around the finite range
+    low, high = None, None
+    while True:
+        finite = x.where((F.abs("v") < float("inf")) & ~F.isnan(F.col("v").cast("double")))
+        if low is None:
+            low, high = finite.agg(F.min("v"), F.max("v")).first()
+        width = float(high) - float(low) if low is not None else 0.0
+        if width == float("inf"):  # the range itself passes the largest double
+            place = F.floor((F.col("v").cast("double") / 2 - float(low) / 2) / (float(high) / 2 - float(low) / 2) * PARTS)
+        else:
+            place = F.floor((F.col("v").cast("double") - float(low or 0)) / F.lit(width or 1.0) * PARTS)
+        v = F.col("v").cast("double")
+        part = (F.when(F.isnan(v), F.lit(PARTS + 2)).when(v == float("inf"), F.lit(PARTS + 1)).when(v == float("-inf"), F.lit(-1))
+                .otherwise(F.least(place, F.lit(PARTS - 1))).cast("int"))
+        counts = x.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+        for r in sorted(counts, key=lambda r: r["part"]):
+            if rank < r["n"]:
+                break
+            rank -= r["n"]
+        else:
+            raise IndexError("rank beyond the values")
+        if r["low"] == r["high"] or not 0 <= r["part"] < PARTS:
+            return r["low"]
+        low, high = r["low"], r["high"]
+        x = x.where(F.col("v").between(low, high))
+
+
+def exact_median(df: DataFrame, col: str) -> float | None:
+    """The median of a numeric column (the mean of the two middle values of an even number), None without values."""
+    n = df.agg(F.count(col)).first()[0]
+    if not n:
+        return None
+    low = order_statistic(df, col, (n - 1) // 2)
+    if n % 2:
+        return float(low)
+    # the next value is the same one again, or the least above it
+    c = F.col(col)
+    upto, above = df.agg(F.count_if(c <= F.lit(low)), F.min(F.when(c > F.lit(low), c))).first()
+    return (float(low) + float(low if upto > n // 2 else above)) / 2
+
+
 def median_flag(df: DataFrame, len_col: str, out_col: str = "long_text",
                 exact: bool = True) -> DataFrame:
-    """``len > median(len)``; the median is a scalar subquery."""
-    m = F.median(len_col) if exact else F.percentile_approx(len_col, 0.5, 10000)
-    med = df.agg(m.cast("double").alias("_median")).scalar()  # scalar subquery
+    """``len > median(len)``. The exact median is found by radix selection (``exact_median``), so no task holds the
+    values or their counts; the approximate one is a scalar subquery."""
+    if exact:
+        med = F.lit(exact_median(df, len_col)).cast("double")
+    else:
+        med = df.agg(F.percentile_approx(len_col, 0.5, 10000).cast("double").alias("_median")).scalar()
     return df.withColumn(out_col, (F.col(len_col) > med).cast("int"))
 
 

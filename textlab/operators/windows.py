@@ -120,6 +120,23 @@ def cumulative_sum(df: DataFrame, order_cols: Sequence[str], value_cols: Sequenc
     return out.drop("_pid", "_at", *[f"_o_{c}" for c in value_cols])
 
 
+def group_cumulative_sum(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
+                         value_cols: Sequence[str], prefix: str = "cum_", n_parts: int | None = None) -> DataFrame:
+    """Running totals inside each group in ``order_cols`` order (unique within the group), without putting a whole
+    group in one task: totals of (group, slice) are prefix-summed per group and added to the sums inside the slice."""
+    r = _range_slices(df, n_parts, group_cols, order_cols)
+    tot = r.groupBy(*group_cols, "_pid").agg(*[F.sum(c).alias(f"_t_{c}") for c in value_cols])
+    wp = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(*[F.col(g).alias(f"_o_{g}") for g in group_cols], F.col("_pid").alias("_o_pid"),
+                      *[F.coalesce(F.sum(f"_t_{c}").over(wp), F.lit(0)).alias(f"_c_{c}") for c in value_cols])
+    w = Window.partitionBy(*group_cols, "_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    cond = [r[g].eqNullSafe(offs[f"_o_{g}"]) for g in group_cols] + [r["_pid"] == offs["_o_pid"]]
+    out = r.join(offs, cond)
+    for c in value_cols:
+        out = out.withColumn(prefix + c, (F.col(f"_c_{c}") + F.sum(c).over(w)).cast("bigint"))
+    return out.drop("_pid", "_at", "_o_pid", *[f"_o_{g}" for g in group_cols], *[f"_c_{c}" for c in value_cols])
+
+
 def batch_examples(df: DataFrame, idx_col: str, label_col: str = "label", batch_size: int = 100,
                    per_label: int = 3) -> DataFrame:
     """In each *full* batch of ``batch_size`` rows, the first ``per_label``

@@ -6,12 +6,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textlab.operators.cluster import pca, prototype_clusters
-from textlab.operators.metrics import binary_metrics
+from textlab.operators.metrics import binary_metrics, rank_auc
 from textlab.operators.models import (batch_score, domain_shift_auc, featurize_pipeline, sweep,
                                       tfidf_terms, train_weighted_classifier)
 from textlab.operators.sampling import stratified_split
 from textlab.operators.trials import best_trial
 from textlab.plans import adapters as A
+from textlab.plans import oracles as O
 from textlab.plans.registry import register
 
 
@@ -67,6 +68,16 @@ def domain_shift_auc_q(spark, d):
     return domain_shift_auc(s.where("split = 'train'"), s.where("split = 'val'"), "label", "embedding")
 
 
+@register("rank_auc", f"""WITH {O.PREDICTIONS_CTE.strip()},
+r AS (SELECT model, label, rank() OVER (PARTITION BY model ORDER BY prob) + (count(*) OVER (PARTITION BY model, prob) - 1) / 2.0::DOUBLE AS mid
+      FROM predictions WHERE prob IS NOT NULL AND label IS NOT NULL),
+s AS (SELECT model, count(*) FILTER (label = 1) AS p, count(*) FILTER (label <> 1) AS n, sum(mid) FILTER (label = 1) AS ranks FROM r GROUP BY model)
+SELECT model, p AS positives, n AS negatives, round((ranks - p * (p + 1) / 2.0::DOUBLE) / (p::DOUBLE * n), 9) AS auc FROM s""")
+def rank_auc_q(spark, d):
+    """H9's measure on the scored table: exact AUC per model."""
+    return rank_auc(A.predictions(spark, d), ["model"]).select("model", "positives", "negatives", F.round("auc", 9).alias("auc"))
+
+
 @register("sweep_best_trial")
 def sweep_best_trial(spark, d):
     s = _labelled_vectors(spark, d)

@@ -11,7 +11,7 @@ from textlab.operators.dedup import stack_embeddings
 from textlab.operators.fewshot import (near_centroid_sample, quadrant_few_shot, retrieve_and_classify,
                                        semantic_balanced)
 from textlab.operators.joins import attach_cluster_label
-from textlab.operators.knn import knn, silhouette
+from textlab.operators.knn import knn, silhouette, silhouette_closed
 from textlab.operators.vectors import (attach_centroid, domain_nn_distance, domain_similarity, group_mean_vector,
                                        median_flag)
 from textlab.plans import adapters as A
@@ -234,24 +234,34 @@ def retrieve_and_classify_q(spark, d):
 register("retrieve_and_classify", _retrieve_sql())(retrieve_and_classify_q)
 
 
-@register("silhouette", O.kmeans_sql(
-    "CASE WHEN domain = 'positive' THEN 0 ELSE 1 END", """
+def _silhouette_sql(distance: str) -> str:
+    return O.kmeans_sql(
+        "CASE WHEN domain = 'positive' THEN 0 ELSE 1 END", """
 SELECT round(avg(CASE WHEN n_own <= 1 OR b IS NULL THEN 0.0 WHEN greatest(a, b) = 0 THEN 0.0
                       ELSE (b - a) / greatest(a, b) END), 6) AS silhouette,
        count(*) AS n_points, count(DISTINCT own) AS n_clusters FROM sc""", """
 pts AS (SELECT id, cluster, CAST(embedding AS DOUBLE[]) AS e FROM assigned),
 sz AS (SELECT cluster, count(*) AS n FROM pts GROUP BY cluster),
-ps AS (SELECT a.id, a.cluster AS own, b.cluster AS c, sum(list_distance(a.e, b.e)) AS s
+ps AS (SELECT a.id, a.cluster AS own, b.cluster AS c, sum(DISTANCE) AS s
        FROM pts a JOIN pts b ON true GROUP BY a.id, a.cluster, b.cluster),
 per AS (SELECT ps.id, ps.own,
           max(CASE WHEN c = own THEN sz.n END) AS n_own, max(CASE WHEN c = own THEN s END) AS s_own,
           min(CASE WHEN c <> own THEN s / sz.n END) AS b
         FROM ps JOIN sz ON ps.c = sz.cluster GROUP BY ps.id, ps.own),
-sc AS (SELECT *, s_own / (n_own - 1) AS a FROM per)"""))
+sc AS (SELECT *, s_own / (n_own - 1) AS a FROM per)""".replace("DISTANCE", distance))
+
+
+@register("silhouette", _silhouette_sql("list_distance(a.e, b.e)"))
 def silhouette_q(spark, d):
     return silhouette(clustered_vectors(spark, d, "domain"), "cluster", "id", "embedding")
 
 
+@register("silhouette_squared", _silhouette_sql("list_distance(a.e, b.e) * list_distance(a.e, b.e)"))
+def silhouette_squared_q(spark, d):
+    """H5 in linear time: the closed form with squared distances."""
+    return silhouette_closed(clustered_vectors(spark, d, "domain"), "cluster", "embedding")
+
+
 # Quadrant -> section of the cluster prompt and its answer.
 QUADRANT_GROUPS = [("0_1", 1, 1), ("1_0", 2, 0), ("0_0", 3, 1), ("1_1", 4, 0)]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -69,6 +70,38 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+#: What stages and tables are made inside each open ``scratch``: (kind, name) lists, innermost last.
+_open: list[list[tuple[str, str]]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Delete the staged tables that are made inside, files and catalogue entries, when the block ends.
+
+    Results made inside read them until then, so write or collect results before the block ends. Without an open
+    block stages stay until the checkpoint folder is cleared. Blocks nest; a stage belongs to the innermost one.
+    """
+    made: list[tuple[str, str]] = []
+    _open.append(made)
+    try:
+        yield made
+    finally:
+        _open.remove(made)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for kind, name in reversed(made):
+            if kind == "table":
+                spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+            else:
+                p = jvm.org.apache.hadoop.fs.Path(name)
+                p.getFileSystem(conf).delete(p, True)
+
+
+def made(kind: str, name: str) -> None:
+    """Note a staged ``path`` or ``table`` for the innermost open ``scratch`` block."""
+    if _open:
+        _open[-1].append((kind, name))
+
+
 def stage(df: DataFrame, name: str = "stage", partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as parquet under the shared checkpoint folder and read it back.
 
@@ -79,6 +112,7 @@ def stage(df: DataFrame, name: str = "stage", partition_by: list[str] | None = N
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark)
     path = os.path.join(root, "stages", f"{name}-{uuid.uuid4().hex}")
+    made("path", path)
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)

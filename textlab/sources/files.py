@@ -7,6 +7,8 @@ import hashlib
 import json
 import logging
 import re
+import time
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -356,18 +358,87 @@ def input_state(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, in
     return sorted(out)
 
 
-def materialize_stage(spark: SparkSession, root: str, name: str, params: Mapping,
-                      build: Callable[[], DataFrame], inputs: Sequence[str] = ()) -> DataFrame:
-    """Reuse a prepared dataset keyed by (name, params, state of the input files) if it was
-    written completely (``_SUCCESS``), else build, write once and re-read it (which
-    also cuts the lineage)."""
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict | None:
+    """The manifest of a stage (``data``, ``owner``, ``expires``), None if the stage is not published."""
+    p, fs = _file_system(spark, path + ".manifest")
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return json.loads(bytes(stream.readAllBytes()))
+    finally:
+        stream.close()
+
+
+def _publish(spark: SparkSession, path: str, manifest: Mapping) -> bool:
+    """Publish a stage by a rename, which is one step: readers see no manifest or a whole one. False if it is published."""
+    part, fs = _file_system(spark, f"{path}.manifest-{uuid.uuid4().hex}")
+    out = fs.create(part, False)
+    out.write(bytearray(json.dumps(manifest).encode()))
+    out.close()
+    try:
+        won = fs.rename(part, _file_system(spark, path + ".manifest")[0])
+    except spark.sparkContext._jvm.java.io.IOException:
+        won = False
+    if not won or read_manifest(spark, path) != manifest:  # stores whose rename replaces: the last one counts for all
+        fs.delete(part, False)
+        return False
+    return True
+
+
+def materialize_stage(spark: SparkSession, root: str, name: str, params: Mapping, build: Callable[[], DataFrame],
+                      inputs: Sequence[str] = (), owner: str = "", expires_after: float | None = None) -> DataFrame:
+    """Reuse a prepared dataset keyed by (name, params, state of the input files) if it is published, else build it,
+    write it once and re-read it (which also cuts the lineage).
+
+    Each writer writes a folder of its own and publishes it by a manifest (data folder, ``owner``, time of expiry);
+    of two writers the first to publish wins, the other one drops its folder and reads the winner's. A stage past its
+    expiry is built anew, under a new folder: readers of the old one are not disturbed until ``drop_stages``.
+    """
     path = stage_path(root, name, params, input_state(spark, inputs))
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    if not p.getFileSystem(conf).exists(p):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    found = read_manifest(spark, path)
+    if found is not None and found["expires"] is not None and found["expires"] <= time.time():
+        p, fs = _file_system(spark, path + ".manifest")
+        fs.rename(p, _file_system(spark, f"{path}.expired-{uuid.uuid4().hex}")[0])
+        found = None
+    if found is None:
+        data = f"{path}-{uuid.uuid4().hex}"
+        build().write.parquet(data)
+        found = {"data": data, "owner": owner, "expires": None if expires_after is None else time.time() + expires_after}
+        if not _publish(spark, path, found):
+            p, fs = _file_system(spark, data)
+            fs.delete(p, True)
+            found = read_manifest(spark, path)
+    return spark.read.parquet(found["data"])
+
+
+def drop_stages(spark: SparkSession, root: str, owner: str | None = None, now: float | None = None) -> list[str]:
+    """Delete the stages under ``root`` that have expired, and all stages of ``owner`` if given; returns their folders.
+    The manifest goes first, so nobody starts to read what is being deleted."""
+    now = time.time() if now is None else now
+    p, fs = _file_system(spark, root)
+    dropped = []
+    for status in fs.listStatus(p) if fs.exists(p) else []:
+        m = re.fullmatch(r"(.*)\.(manifest|expired-\w+)", status.getPath().getName())
+        if not m:
+            continue
+        stream = fs.open(status.getPath())
+        try:
+            manifest = json.loads(bytes(stream.readAllBytes()))
+        finally:
+            stream.close()
+        past = manifest["expires"] is not None and manifest["expires"] <= now
+        if past or owner is not None and manifest["owner"] == owner:
+            fs.delete(status.getPath(), False)
+            data, store = _file_system(spark, manifest["data"])
+            store.delete(data, True)
+            dropped.append(manifest["data"])
+    return dropped
 
 
 def append_trial_log(df: DataFrame, path: str) -> None:

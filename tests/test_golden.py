@@ -259,3 +259,31 @@ def test_silhouette_closed_form(spark):
         assert abs(r["silhouette"] - want) < 1e-5 and (r["n_points"], r["n_clusters"]) == (60, 3)
     alone = silhouette_closed(df.unionByName(spark.createDataFrame([(9, [0.0] * 5), (None, [0.0] * 5)], df.schema))).first()
     assert (alone["n_points"], alone["n_clusters"]) == (61, 4)
+
+
+def test_submission_with_missing_columns(spark):
+    from textlab.functions.text import submission_of
+    df = spark.createDataFrame([("a", None), (None, "b")], "title string, content string")
+    got = lambda x: [r[0] for r in x.select(submission_of(x)).collect()]
+    assert got(df) == ["Title: a\nContent: No content", "Title: No title\nContent: b"]
+    assert got(df.drop("title")) == ["Title: No title\nContent: No content", "Title: No title\nContent: b"]
+    assert got(df.select("title")) == ["Title: a\nContent: No content", "Title: No title\nContent: No content"]
+
+
+def test_random_sample_without_balance(spark):
+    from textlab.operators.sampling import random_balanced
+    df = spark.range(100).selectExpr("id", "cast(id < 95 as int) AS label")
+    plain = {r.id for r in random_balanced(df, 20, "id", balanced=False).collect()}
+    assert len(plain) == 20 and plain == {r.id for r in random_balanced(df.repartition(7), 20, "id", balanced=False).collect()}
+    assert df.where("label = 0").join(random_balanced(df, 20, "id"), "id").count() == 5
+
+
+def test_hashed_vectors_hold_the_terms(spark):
+    """H1's vector has, at each term's hashed place, the weights of the terms (no two of these collide)."""
+    from pyspark.ml.feature import HashingTF
+    from textlab.operators.models import hashed_features, tfidf_terms
+    df = spark.createDataFrame([(1, "a b b c"), (2, "b d"), (3, ""), (4, "A e! e")], "doc_id long, text string")
+    place = HashingTF(numFeatures=1 << 18)
+    want = {(r.doc_id, place.indexOf(r.term)): round(r.weight, 9) for r in tfidf_terms(df).collect()}
+    got = {(r.doc_id, r["index"]): round(r.weight, 9) for r in hashed_features(df).collect()}
+    assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v} and len(want) == 7

@@ -53,3 +53,12 @@ def test_totals_read_the_rows_once(spark):
     for name in ("value_shares_lang", "error_breakdown"):
         plan = _plan(spark, name)
         assert plan.split("== Initial Plan ==")[0].count("FileScan") <= 1 or plan.count("FileScan") <= 2
+
+
+@pytest.mark.parametrize("name,word", [("two_line_reply", "split("), ("json_reply", "parse_json(")])
+def test_a_reply_is_parsed_once(spark, name, word):
+    """The struct is not copied into each of its fields."""
+    from textlab.functions import parse
+    df = spark.range(9).selectExpr("cast(id as string) AS reply").select(getattr(parse, name)("reply").alias("p")).select("p.*")
+    plan = df._jdf.queryExecution().optimizedPlan().toString().lower().replace("parsejson", "parse_json")
+    assert plan.count(word) == 1

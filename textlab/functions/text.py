@@ -47,6 +47,14 @@ def format_submission(title, content, default_title: str = "No title",
                     F.lit("\nContent: "), F.coalesce(_col(content), F.lit(default_content)))
 
 
+def submission_of(df, title: str = "title", content: str = "content", default_title: str = "No title",
+                  default_content: str = "No content") -> Column:
+    """P3 for a table: a title or content column that ``df`` does not have counts as missing in every row."""
+    have = set(df.columns)
+    part = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
+    return format_submission(part(title), part(content), default_title, default_content)
+
+
 def is_blank(c) -> Column:
     """True when null or only whitespace (P5 keeps the complement)."""
     return _col(c).isNull() | (ustrip(c) == F.lit(""))

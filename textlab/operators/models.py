@@ -29,6 +29,15 @@ def featurize_pipeline(text_col: str = "text", out_col: str = "features",
     ])
 
 
+def hashed_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", num_features: int = 1 << 18) -> DataFrame:
+    """H1's vectors as rows: (id, index, weight) of every entry of ``featurize_pipeline``'s L2-normalised vector."""
+    docs = df.select(id_col, text_col)
+    out = featurize_pipeline(text_col, "_vec", num_features).fit(docs).transform(docs)
+    entries = F.unwrap_udt("_vec")  # a sparse vector: its non-zero places and their values
+    return out.select(id_col, F.explode(F.arrays_zip(entries["indices"].alias("index"), entries["values"].alias("weight"))).alias("e")).select(
+        id_col, "e.index", "e.weight")
+
+
 def tfidf_terms(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """H1 with the terms kept: (id, term, weight), L2-normalised per text, idf = ln((n + 1) / (df + 1)).
 

@@ -146,10 +146,13 @@ def binary_few_shot(df: DataFrame, k: int, key: str, label_col: str = "label", s
     return picked.withColumn("order_key", hash_order(key, seed, "shuffle")).drop("_h")
 
 
-def random_balanced(df: DataFrame, k: int, key: str, label_col: str = "label", seed: int = 42) -> DataFrame:
+def random_balanced(df: DataFrame, k: int, key: str, label_col: str = "label", seed: int = 42,
+                    balanced: bool = True) -> DataFrame:
     """Q8: ``k // 2`` per class, then fill up to ``k`` from rows not chosen
-    (hash order), then shuffle."""
+    (hash order), then shuffle. Not ``balanced``: a plain sample, the first ``k`` rows in hash order, shuffled."""
     x = df.withColumn("_h", hash_order(key, seed, "rb"))
+    if not balanced:
+        return x.orderBy("_h", key).limit(k).withColumn("order_key", hash_order(key, seed, "shuffle")).drop("_h")
     first = topk_per_group(x, [label_col], [F.col("_h"), F.col(key)], k // 2, "_r").drop("_r")
     rest = exclude_selected(x, first, key)
     n_first = first.agg(F.count(F.lit(1)).alias("_m"))

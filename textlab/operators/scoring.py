@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from textlab.functions.parse import parse_json_reply, parse_two_line_reply
+from textlab.functions.parse import json_reply, two_line_reply
 from textlab.operators.joins import pending_rows
 
 ReplyFn = Callable[[pd.DataFrame], pd.Series]
@@ -58,8 +58,8 @@ def label_with_reply_model(df: DataFrame, reply_fn: ReplyFn, text_col: str = "te
     """Classify every row with a reply model, parse its two-line reply
     (T1) into ``label`` (null on failure) and ``explanation``."""
     r = apply_reply_fn(df, reply_fn)
-    label, expl = parse_two_line_reply("reply")
-    return r.withColumn("label", label).withColumn("explanation", expl)
+    parsed = r.withColumn("_p", two_line_reply("reply"))
+    return parsed.withColumn("label", F.col("_p.label")).withColumn("explanation", F.col("_p.explanation")).drop("_p")
 
 
 def generate_pairs(todo: DataFrame, done: DataFrame | None, reply_fn: ReplyFn, key: str,
@@ -74,8 +74,8 @@ def generate_pairs(todo: DataFrame, done: DataFrame | None, reply_fn: ReplyFn, k
     else:
         keep, pending = None, todo
     r = apply_reply_fn(pending, reply_fn)
-    dm, se, st = parse_json_reply("reply")
-    new = r.withColumn("DM", dm).withColumn("Sentiment", se).withColumn("parse", st)
+    p = r.withColumn("_p", json_reply("reply"))
+    new = p.withColumn("DM", F.col("_p.dm")).withColumn("Sentiment", F.col("_p.sentiment")).withColumn("parse", F.col("_p.status")).drop("_p")
     return new if keep is None else keep.unionByName(new, allowMissingColumns=True)
 
 

@@ -18,14 +18,19 @@ from textlab.plans.registry import register
 
 @register("tfidf_features", """WITH t AS (
   SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_\\p{M}]+'), lambda x: x <> '') AS toks
-  FROM documents)
-SELECT doc_id, CAST(len(toks) AS INTEGER) AS n_tokens, CAST(len(list_distinct(toks)) AS INTEGER) AS n_terms FROM t""")
+  FROM documents),
+u AS (SELECT doc_id, unnest(list_distinct(toks)) AS term FROM t),
+rare AS (SELECT term FROM u GROUP BY term HAVING count(*) < (SELECT count(*) FROM documents))
+SELECT doc_id, CAST(len(toks) AS INTEGER) AS n_tokens, CAST(len(list_distinct(toks)) AS INTEGER) AS n_terms,
+  CASE WHEN doc_id IN (SELECT doc_id FROM u JOIN rare USING (term)) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM t""")
 def tfidf_features(spark, d):
     docs = A.table(spark, d, "documents").select("doc_id", "text")
     m = featurize_pipeline("text").fit(docs)
     out = m.transform(docs)
+    weights = F.unwrap_udt("features")["values"]
+    norm = F.sqrt(F.aggregate(weights, F.lit(0.0), lambda acc, w: acc + w * w))
     return out.select("doc_id", F.size(F.col("_tok")).alias("n_tokens"),
-                      F.size(F.array_distinct(F.col("_tok"))).alias("n_terms"))
+                      F.size(F.array_distinct(F.col("_tok"))).alias("n_terms"), F.round(norm, 6).alias("norm"))
 
 
 @register("tfidf_terms", """WITH t AS (

@@ -86,7 +86,7 @@ def resume_generation_slices(spark, d):
     """R2: resumable generation. Rows already in the output folder (the
     ``done_rows`` fixture) are skipped; the rest are generated with the reply
     function and appended in hash slices, so an interruption loses one slice."""
-    from textlab.functions.parse import parse_json_reply
+    from textlab.functions.parse import json_reply
     from textlab.operators.scoring import apply_reply_fn
     from textlab.plans import fixture_models as FM
     from textlab.streaming.jobs import resume_generation
@@ -98,9 +98,8 @@ def resume_generation_slices(spark, d):
      .write.mode("overwrite").parquet(out))
 
     def generate(df):
-        r = apply_reply_fn(df, FM.json_reply_model)
-        dm, se, st = parse_json_reply("reply")
-        return r.select("post_id", dm.alias("DM"), se.alias("Sentiment"), st.alias("parse"))
+        r = apply_reply_fn(df, FM.json_reply_model).select("post_id", json_reply("reply").alias("p"))
+        return r.select("post_id", F.col("p.dm").alias("DM"), F.col("p.sentiment").alias("Sentiment"), F.col("p.status").alias("parse"))
 
     resume_generation(todo, out, "post_id", generate, slice_rows=4096)
     return spark.read.parquet(out).select("post_id", "DM", "Sentiment", "parse")

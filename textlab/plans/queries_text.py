@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textlab.functions import lexicon as L
 from textlab.functions import prompts as P
-from textlab.functions.parse import parse_json_reply, parse_two_line_reply
+from textlab.functions.parse import json_reply, two_line_reply
 from textlab.operators import aggregate as G
 from textlab.operators.fewshot import augment
 from textlab.operators.metrics import keyword_priors
@@ -55,8 +55,7 @@ parsed AS (SELECT doc_id,
 @register("parse_two_line_reply", f"WITH {PARSED_CTE}\nSELECT doc_id, label, explanation FROM parsed")
 def parse_two_line(spark, d):
     r = A.replies(spark, d)
-    label, expl = parse_two_line_reply("reply")
-    return r.select("doc_id", label.alias("label"), expl.alias("explanation"))
+    return r.select("doc_id", two_line_reply("reply").alias("p")).select("doc_id", "p.label", "p.explanation")
 
 
 @register("label_with_reply_model", f"WITH {PARSED_CTE}\nSELECT doc_id, label, explanation FROM parsed")
@@ -87,8 +86,8 @@ jparsed AS (SELECT post_id,
 @register("parse_json_reply", f"WITH {_json_replies_sql()}\nSELECT post_id, DM, Sentiment, parse FROM jparsed")
 def parse_json(spark, d):
     r = A.json_replies(spark, d)
-    dm, se, st = parse_json_reply("reply")
-    return r.select("post_id", dm.alias("DM"), se.alias("Sentiment"), st.alias("parse"))
+    return r.select("post_id", json_reply("reply").alias("p")).select(
+        "post_id", F.col("p.dm").alias("DM"), F.col("p.sentiment").alias("Sentiment"), F.col("p.status").alias("parse"))
 
 
 @register("generate_pairs_resume", f"""WITH {_json_replies_sql()}

@@ -88,20 +88,19 @@ def score_new_files(spark: SparkSession, src: str, schema: StructType, out_dir:
 
 
 def resume_generation(todo: DataFrame, out_dir: str, key: str,
-                      generate: Callable[[DataFrame], DataFrame], slice_rows: int = 25,
-                      max_slices: int = 64) -> int:
+                      generate: Callable[[DataFrame], DataFrame], slice_rows: int = 25) -> int:
     """R2 (batch form): generate only rows whose key is not yet in ``out_dir``, appended in hash slices of about
-    ``slice_rows`` rows, at most ``max_slices`` (larger ones then), so an interruption loses at most one
-    slice. Returns slices written."""
+    ``slice_rows`` rows, so an interruption loses one slice of that size at most, however many rows there are.
+    A slice is a job: choose ``slice_rows`` by the work that may be lost. Returns slices written."""
     spark = todo.sparkSession
     done = _written(spark, out_dir)
     pending = todo if done is None else pending_rows(todo, done.select(key), key)
-    n_slices = min(max_slices, -(-pending.count() // slice_rows))
+    n_slices = -(-pending.count() // slice_rows)
     if not n_slices:
         return 0
     # the pending rows are written once, split by slice; each slice then reads its own files
     sliced = pending.withColumn("_slice", F.pmod(F.xxhash64(F.col(key)), F.lit(n_slices)).cast("int"))
-    sliced = stage(sliced, "resume-slices", ["_slice"])
+    sliced = stage(sliced.repartition("_slice"), "resume-slices", ["_slice"])
     for s in range(n_slices):
         generate(sliced.where(F.col("_slice") == s).drop("_slice")).write.mode("append").parquet(out_dir)
     return n_slices

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlab.session import ensure_checkpoint_dir
+from textlab.session import ensure_checkpoint_dir, made
 
 
 def documents(spark, sf_dir: str) -> DataFrame:
@@ -54,6 +54,8 @@ def bucketed(df: DataFrame, key: str, name: str, spread: bool = True, parts: int
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"{name}_{uuid.uuid4().hex}"
     path = os.path.join(ensure_checkpoint_dir(spark), "stages", name)
+    made("path", path)
+    made("table", name)
     (df.repartition(parts, key) if spread else df).write.format("parquet").option("compression", "zstd") \
         .option("path", path).bucketBy(parts, key).saveAsTable(name)
     return spark.table(name)

@@ -38,9 +38,10 @@ from pyspark.sql import functions as F
 
 from textlab.llm.bytesops import BYTE, CHUNK, covered, prefix, runs, spans
 from textlab.llm.common import bucketed, release
-from textlab.session import stage
 
 BLOCK = 4 << 20
+#: Bytes of the blocks that a task reads on average.
+PART = 4 * BLOCK
 #: Names a bucket holds on average; it is sorted in the memory of one task.
 BUCKET_NAMES = 2_000_000
 
@@ -196,15 +197,25 @@ def marked(names: np.ndarray, answers) -> np.ndarray:
     return names[mask]
 
 
-def answered(sent: DataFrame, name: str) -> DataFrame:
-    """(block, answers): the buckets' answers, gathered by block in bucket order."""
-    got = sent.groupBy("bucket").applyInArrow(sort_bucket, "block long, bucket int, n int, repeated binary")
-    return stage(got.groupBy("block").agg(
-        F.sort_array(F.collect_list(F.struct("bucket", "n", "repeated"))).alias(name)), "suffix-answers")
+def one_bucket(batches):
+    """The work of a task: all rows of one bucket."""
+    rows = [b for b in batches if b.num_rows]
+    if rows:
+        yield from sort_bucket(pa.Table.from_batches(rows)).to_batches()
 
 
-def block_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Texts packed into blocks, staged once and bucketed by block: block, ids, texts, bytes."""
+def answered(sent: DataFrame, name: str, n_buckets: int, parts: int) -> DataFrame:
+    """(block, answers): one task for each bucket; answers gathered by block in bucket order, in a table bucketed like
+    the blocks, so that they meet their block without a shuffle."""
+    got = sent.repartitionById(n_buckets, F.col("bucket")).mapInArrow(one_bucket, "block long, bucket int, n int, repeated binary")
+    lists = got.repartition(parts, "block").groupBy("block").agg(
+        F.sort_array(F.collect_list(F.struct("bucket", "n", "repeated"))).alias(name))
+    return bucketed(lists, "block", "suffix_answers", spread=False, parts=parts)
+
+
+def block_table(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """Texts packed into blocks, staged once and bucketed by block: block, ids, texts, bytes; number of parts, which
+    follows the bytes."""
     id_type = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches):
@@ -224,13 +235,15 @@ def block_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     packed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")) \
         .mapInArrow(run, f"block long, ids array<{id_type}>, texts array<binary>, bytes long")
-    return bucketed(packed, "block", "suffix_blocks", spread=False)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    parts = max(1, -(-size // PART))
+    return bucketed(packed, "block", "suffix_blocks", spread=False, parts=parts), parts
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 400,
                    chunk: int = CHUNK) -> DataFrame:
     """One row per input row: id, text (bytes), kept (the bytes left), spans (maximal removed runs)."""
-    blocks = block_table(docs, id_col, text_col)
+    blocks, parts = block_table(docs, id_col, text_col)
     total = blocks.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     cover = Cover(width, chunk)
     share = cover.inside.sum() / cover.v
@@ -249,7 +262,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for k in range(batch.num_rows):
                 yield lists(batch.column("block")[k].as_py(), *sample_names(texts_of(batch, k)), n_samples)
 
-    first = answered(blocks.select("block", "texts").mapInArrow(send_samples, LISTS), "first")
+    first = answered(blocks.select("block", "texts").mapInArrow(send_samples, LISTS), "first", n_samples, parts)
 
     def block_ties(batch, k, texts):
         got = batch.column("first")[k].values
@@ -265,7 +278,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         release()
 
     with_first = blocks.join(first.hint("shuffle_hash"), "block", "left").select("block", "texts", "first")
-    second = answered(with_first.mapInArrow(send_ties, LISTS), "second")
+    second = answered(with_first.mapInArrow(send_ties, LISTS), "second", n_ties, parts)
 
     def remove(batches):
         for batch in batches:

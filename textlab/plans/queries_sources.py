@@ -16,7 +16,7 @@ from textlab.operators import aggregate as G
 from textlab.plans import adapters as A
 from textlab.plans import oracles as O
 from textlab.plans.registry import register
-from textlab.session import ensure_checkpoint_dir
+from textlab.session import ensure_checkpoint_dir, small
 from textlab.sources import files as S
 
 
@@ -158,7 +158,7 @@ UNION ALL SELECT 'c', NULL, NULL, NULL, NULL, NULL, 'missing text'""")
 def load_report_files(spark, d):
     """G4 by the file each row came from; a skipped file is a row with its reason."""
     root = _scratch(spark, "report")
-    lab = A.table(spark, d, "labels").select("doc_id", "quality")
+    lab = small(A.table(spark, d, "labels").select("doc_id", "quality"), 24)  # the texts stay where they are if it is
     x = A.table(spark, d, "documents").select("doc_id", "text").join(lab, "doc_id", "left")
     x.where("doc_id % 3 = 0").write.parquet(root + "/a")
     x.where("doc_id % 3 <> 0").write.parquet(root + "/b")

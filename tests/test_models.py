@@ -116,3 +116,15 @@ def test_pca_fit_once_project_many(spark):
     b = {r["id"]: r["pca"] for r in pca(v, "embedding", 2)[0].where("label < 5").collect()}
     assert a.keys() == b.keys()
     assert all(abs(x - y) < 1e-9 for k in a for x, y in zip(a[k], b[k]))
+
+
+def test_domain_shift_finds_separable_domains(spark):
+    """H9: near 1 where the domains differ, near 0.5 where they do not."""
+    import numpy as np
+    from textlab.operators.models import domain_shift_auc
+    rng = np.random.default_rng(9)
+    rows = [(int(i % 2), (rng.normal(size=4) + 2 * (i % 2)).tolist(), rng.normal(size=4).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "label int, far array<double>, same array<double>")
+    for col, low, high in (("far", 0.95, 1.0), ("same", 0.35, 0.65)):
+        r = domain_shift_auc(df.limit(200), df.offset(200), "label", col).first()
+        assert low <= r["auc"] <= high

@@ -31,8 +31,9 @@ from textlab.functions.vector import as_double_array
 from textlab.session import BROADCAST_BYTES, small, stage
 
 TILE_ROWS = 4096
-#: Rows of an average cell, at least.
-CELL_ROWS = 1024
+#: Rows of an average cell, at least: a cell fills a tile, so a target that must visit every cell is copied to no more
+#: tiles than there are.
+CELL_ROWS = 4096
 # Largest targets x tile matrix one task builds at a time (float64 bytes).
 MATMUL_BYTES = 64 << 20
 

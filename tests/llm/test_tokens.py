@@ -140,3 +140,35 @@ def test_decontaminate_cases(spark):
     assert kept == {i for i, r in got.items() if not (r.n_hit and 20 * r.n_hit >= r.n_words)}
     assert D.scan(docs(spark, []).limit(0), bench).count() == 0
     assert D.scan(docs(spark, texts), bench.limit(0)).filter("n_hit > 0").count() == 0
+
+
+def test_decontaminate_parts_and_passes(spark, monkeypatch):
+    """Parts of 300 bytes, two a pass: many automata, several staged passes and cut items give the brute-force rows."""
+    monkeypatch.setattr(D, "PART_BYTES", 300)
+    monkeypatch.setattr(D, "PASS_PARTS", 2)
+    rnd = random.Random(5)
+    say = lambda n, k: " ".join(f"v{rnd.randrange(k)}" for _ in range(n))
+    items = [(f"i{i}", say(rnd.choice([2, 7, 12, 13, 14, 40, 300]), rnd.choice([3, 50]))) for i in range(30)]
+    texts = [say(rnd.randint(0, 80), rnd.choice([3, 50])) for _ in range(30)]
+    texts += [say(5, 50) + " " + t[k:k + 200] + " " + say(5, 50) for _, t in items for k in (0, 30)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    frame = docs(spark, texts)
+    assert len(list(D.passes(bench, "item_id", "text", 13))) > 3
+    got = {r.id: (r.n_words, r.n_hit, r.items) for r in D.scan(frame, bench).collect()}
+    assert got == {i: brute_hits(t, items) for i, t in enumerate(texts)}
+    kept = {r.doc_id for r in D.keep_clean(frame, bench).collect()}
+    assert kept == {i for i, (n, k, _) in got.items() if not (k and 20 * k >= n)}
+
+
+def test_decontaminate_memory():
+    """An automaton takes under 60 bytes for each byte of a benchmark of random words."""
+    import psutil
+    rnd = random.Random(6)
+    vocab = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(3, 9))) for _ in range(20_000)]
+    items = [(str(i), [w.encode() for w in rnd.choices(vocab, k=200)]) for i in range(1600)]
+    size = sum(len(w) + 1 for _, ws in items for w in ws)
+    before = psutil.Process().memory_info().rss
+    matcher = D.Matcher(items, 13)
+    assert psutil.Process().memory_info().rss - before < 60 * size
+    start, stop, who = matcher.hits([b"q", *items[7][1][20:50], b"q"])
+    assert (start.min(), stop.max(), who) == (1, 31, {"7"})

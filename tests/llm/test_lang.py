@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import random
 import zlib
 
 import numpy as np
@@ -76,3 +77,34 @@ def test_cases_and_code_switching(spark):
     assert L.label(df.limit(0), model).count() == 0
     none = L.fit(df.selectExpr("doc_id", "text", "cast(null as string) lang"))
     assert {r.lang_pred for r in L.label(df, none).collect()} == {"und"}
+
+
+def test_unknown_languages_go_and_mixed_texts_stay(spark):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    model = L.fit(docs)
+    rnd = random.Random(1)
+    say = lambda a, b, n: " ".join("".join(chr(rnd.randrange(a, b)) for _ in range(rnd.randint(2, 9))) for _ in range(n))
+    scripts = [(97, 123), (0x430, 0x450), (0x4E00, 0x9FA5)]
+    noise = [say(a, b, n) for a, b in scripts for n in (10, 30, 2000)]
+    noise.append("Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.")
+    by = {k: [r.text[:200] for r in docs.filter(f"lang = '{k}' and n_chars > 400").orderBy("doc_id").limit(20).collect()]
+          for k in model[0]}
+    mixed = [" ".join(by[k][i] for k in model[0]) for i in range(20)]
+    df = spark.createDataFrame(list(enumerate(noise + mixed)), "doc_id long, text string")
+    assert {r.doc_id for r in L.keep_known(df, model).collect()} == set(range(len(noise), len(noise) + len(mixed)))
+    scores = {r.doc_id: r.lang_score for r in L.label(df, model).collect()}
+    assert max(scores[i] for i in range(len(noise))) < 0.1
+    rest = L.fit(docs.filter("lang <> 'es'"))
+    assert L.keep_known(docs.filter("lang = 'es'"), rest).count() < 0.1 * docs.filter("lang = 'es'").count()
+    assert L.keep_known(docs.filter("lang <> 'es'"), rest).count() == docs.filter("lang <> 'es'").count()
+
+
+def test_sample_is_the_smallest_hashes(spark):
+    rows = [(i, f"w{i} x", "a" if i % 3 else "b") for i in range(3000)] + [(7, "same", "c")] * 500 + [(8, None, "d"), (9, "y", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = L.labelled_sample(df, "doc_id", "text", "lang", 20, 120)
+    hashed = {(r.text, r.lang): r.h for r in df.selectExpr("text", "lang", "xxhash64(doc_id) h").collect()}
+    for lang in ("a", "b"):
+        want = sorted((t for t, g in hashed if g == lang), key=lambda t: hashed[t, lang])[:20]
+        assert [t for t, g in got if g == lang] == sorted(want)
+    assert [t for t, g in got if g == "c"] == ["same"] * 20 and {g for _, g in got} == {"a", "b", "c"}

@@ -4,17 +4,26 @@ Every word of a text gets a language by the chain's posterior marginals (forward
 code-switched text can change language at any word. A word's features are its affixes (prefixes and
 suffixes of 1 to 3 characters), its character 3-grams and its whole form (the lexicon), hashed into
 one weight table; transitions between languages are learned with them. A document's language is the
-one with the largest mean marginal over its words; ``score`` is that mean.
+one with the largest mean marginal over its words.
 
-Training runs on a bounded sample: at most ``sample_docs`` labelled documents per language, in hash
-order, and at most ``sample_words`` consecutive words from the middle of each. Words take their
+The marginals of a closed set of languages say nothing of texts in none of them, so a background model goes with
+the chain (``Background``): the share of a word's character 4-grams (its ends included) that the training sample
+holds in any language. Trained on one half of the sample and applied to the other, it gives for each language
+the mean share of its own texts, and, as background, the larger of two: the mean share of its words with shuffled letters, and
+of its words when the sample of the language itself is left out (what another real language would look like).
+Between the two lies a logistic curve, P(known). ``score`` is the mean marginal times P(known).
+
+Training runs on a bounded sample: at most ``sample_docs`` labelled documents per language, those of smallest
+id hash, found in one pass over all languages, and at most ``sample_words`` consecutive words from the middle of each. Words take their
 document's label; each training chain joins pieces of several documents, of one language or more, so the
 transitions see switches. The sample is the only thing that reaches the driver. Prediction reads
 nothing but the text and covers every word of every document, one Arrow batch at a time; a word's
 emissions are computed once per batch and distinct word.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text if
-no labelled text exists; equal posteriors go to the language that sorts first; repeated rows each
+no labelled text exists; a language with fewer than two documents in the sample has no background (P(known) is 1); more
+than ``max_langs`` languages are an error (the weights would not fit); very long texts cost memory in proportion to their words;
+ equal posteriors go to the language that sorts first; repeated rows each
 get the same result; an empty table gives an empty result.
 """
 
@@ -26,12 +35,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from textlab.llm.bytesops import mix, prefix, spans
 from textlab.llm.common import hash_sample
 from textlab.llm.pretoken import text_chunks
 
 TABLE = 1 << 16
+GRAM = 4
+#: A text's share counts as if so many further words were like those of its language: short texts stay.
+PRIOR_WORDS = 3
 BATCH_BYTES = 1 << 21
 _letters: np.ndarray | None = None
 
@@ -70,6 +83,72 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (h[order] % np.uint64(TABLE)).astype(np.int64), np.bincount(owner, minlength=len(words))
 
 
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the character 4-grams of all words, ends marked, end to end, and how many each word has."""
+    joined = "".join([f"\x01{w}\x02" for w in words])
+    points = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    n = np.maximum(size - GRAM + 1, 0)
+    first = np.repeat(np.cumsum(size) - size - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    h = np.full(len(first), 7, np.uint64)
+    for k in range(GRAM):
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + points[first + k])
+    return h, n
+
+
+def seen_shares(words: list[str], known: np.ndarray) -> np.ndarray:
+    """The share of each word's 4-grams among ``known`` (sorted hashes); NaN for words without one."""
+    h, n = grams(words)
+    if len(known):
+        inside = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+    else:
+        inside = np.zeros(len(h), bool)
+    upto = np.concatenate(([0], np.cumsum(inside)))
+    end = np.cumsum(n)
+    with np.errstate(invalid="ignore"):
+        return np.where(n > 0, (upto[end] - upto[end - n]) / np.where(n > 0, n, 1), np.nan)
+
+
+def _mean_share(words: list[str], known: np.ndarray) -> float:
+    share = seen_shares(words, known)
+    share = share[~np.isnan(share)]
+    return float(share.mean()) if len(share) else float("nan")
+
+
+class Background:
+    """P(known) of a text from the mean share of seen 4-grams over its words, by the language it is given."""
+
+    def __init__(self, known: np.ndarray, own: np.ndarray, bound: np.ndarray, slope: np.ndarray):
+        self.known, self.own, self.bound, self.slope = known, own, bound, slope
+
+    @classmethod
+    def train(cls, samples: list[tuple[list[str], int]], k: int, seed: int = 0) -> "Background":
+        """From (words, language number) of every sample document."""
+        rng = np.random.default_rng(seed)
+        halves: list[list[list[str]]] = [[[], []] for _ in range(k)]
+        seen_docs = [0] * k
+        for words, lang in samples:
+            halves[lang][seen_docs[lang] % 2] += words
+            seen_docs[lang] += 1
+        first = [np.unique(grams(h[0])[0]) for h in halves]
+        every, holders = np.unique(np.concatenate([*first, np.empty(0, np.uint64)]), return_counts=True)
+        own, bound, slope = np.ones(k), np.full(k, -1.0), np.zeros(k)
+        for lang, (_, rest) in enumerate(halves):
+            mine = _mean_share(rest, every)
+            shuffled = ["".join(rng.permutation(list(w))) for w in rest]
+            left_out = every[(holders > 1) | ~np.isin(every, first[lang], assume_unique=True)]
+            back = np.fmax(_mean_share(shuffled, every), _mean_share(rest, left_out))
+            if mine - back > 0.01:
+                own[lang], bound[lang], slope[lang] = mine, back + 0.4 * (mine - back), 10 / (mine - back)
+        known = np.unique(np.concatenate([grams(w)[0] for w, _ in samples] or [np.empty(0, np.uint64)]))
+        return cls(known, own, bound, slope)
+
+    def chance(self, share_sum: np.ndarray, n: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """P(known) of texts with ``n`` words of the given share sums, each under its language."""
+        share = (share_sum + PRIOR_WORDS * self.own[lang]) / (n + PRIOR_WORDS)
+        return np.where(self.slope[lang] > 0, 1 / (1 + np.exp(-self.slope[lang] * (share - self.bound[lang]))), 1.0)
+
+
 def emissions(weights: np.ndarray, words: list[str]) -> np.ndarray:
     """Scores of every language for each word (rows), means over its features."""
     if not words:
@@ -124,15 +203,16 @@ def marginals(scores: np.ndarray, sizes: np.ndarray, trans: np.ndarray):
 
 
 def train(samples: list[tuple[str, str]], sample_words: int, chain_words: int = 60, steps: int = 60,
-          seed: int = 0) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, feature weights, transitions) from (text, language) pairs, by full-batch Adam."""
+          seed: int = 0) -> tuple[list[str], np.ndarray, np.ndarray, Background]:
+    """(languages, feature weights, transitions, background) from (text, language) pairs, by full-batch Adam."""
     langs = sorted({lang for _, lang in samples})
     rng = np.random.default_rng(seed)
-    pieces = []
+    pieces, own_words = [], []
     for text, lang in samples:
         words = words_of(text)
         cut = max(0, (len(words) - sample_words) // 2)
         words = words[cut:cut + sample_words]
+        own_words.append((words, langs.index(lang)))
         pieces += [(words[a:a + 20], langs.index(lang)) for a in range(0, len(words), 20)]
     rng.shuffle(pieces)
     chains, labels = [], []
@@ -151,8 +231,9 @@ def train(samples: list[tuple[str, str]], sample_words: int, chain_words: int =
         chains.append(chain)
         labels += label
     flat = [w for c in chains for w in c]
+    background = Background.train(own_words, len(langs), seed)
     if not flat:
-        return [], np.zeros((TABLE, 1)), np.zeros((1, 1))
+        return [], np.zeros((TABLE, 1)), np.zeros((1, 1)), background
     sizes = np.array([len(c) for c in chains])
     vocab = {w: i for i, w in enumerate(dict.fromkeys(flat))}
     word = np.fromiter((vocab[w] for w in flat), np.int64, len(flat))
@@ -181,7 +262,7 @@ def train(samples: list[tuple[str, str]], sample_words: int, chain_words: int =
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad * grad
         params = params + 0.2 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-9)
-    return langs, params[:TABLE * k].reshape(TABLE, k), params[TABLE * k:].reshape(k, k)
+    return langs, params[:TABLE * k].reshape(TABLE, k), params[TABLE * k:].reshape(k, k), background
 
 
 def letters() -> np.ndarray:
@@ -294,46 +375,76 @@ def posteriors(scores: np.ndarray, sizes: np.ndarray, trans: np.ndarray, segment
 class Labeller:
     """Applies a trained model to batches of texts."""
 
-    def __init__(self, langs: list[str], weights: np.ndarray, trans: np.ndarray):
-        self.langs, self.weights, self.trans = langs, weights, trans
+    def __init__(self, langs: list[str], weights: np.ndarray, trans: np.ndarray, background: Background):
+        self.langs, self.weights, self.trans, self.background = langs, weights, trans, background
 
     def words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The posterior of every language at every word, and each text's number of words."""
+        return self._words(texts)[:2]
+
+    def _words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         joined, start, stop, h, counts = cut(texts)
         _, first, place = np.unique(h, return_index=True, return_inverse=True)
         known = [joined[a:b] for a, b in zip(start[first].tolist(), stop[first].tolist())]
         scores = emissions(self.weights, known)[place].astype(np.float32)
-        return posteriors(scores, counts[counts > 0], self.trans), counts
+        return posteriors(scores, counts[counts > 0], self.trans), counts, seen_shares(known, self.background.known)[place]
 
-    def predict(self, column: pa.Array) -> tuple[list[str], list[float]]:
-        langs, scores = ["und"] * len(column), [0.0] * len(column)
+    def judge(self, column: pa.Array) -> tuple[list[str], list[float], list[float]]:
+        """Language, mean marginal and P(known) of every text."""
+        langs, means, known = ["und"] * len(column), [0.0] * len(column), [0.0] * len(column)
         for a, _, texts in text_chunks(column, BATCH_BYTES) if self.langs else []:
-            post, counts = self.words(texts)
+            post, counts, share = self._words(texts)
             some = np.flatnonzero(counts)
             if not len(some):
                 continue
             n = counts[some]
-            mean = np.add.reduceat(post.astype(np.float64), np.cumsum(n) - n, axis=0) / n[:, None]
-            for i, best, score in zip(some.tolist(), mean.argmax(axis=1).tolist(), mean.max(axis=1).tolist()):
-                langs[a + i], scores[a + i] = self.langs[best], min(1.0, score)
-        return langs, scores
+            begin = np.cumsum(n) - n
+            mean = np.add.reduceat(post.astype(np.float64), begin, axis=0) / n[:, None]
+            best = mean.argmax(axis=1)
+            chance = self.background.chance(np.add.reduceat(np.nan_to_num(share), begin),
+                                            np.add.reduceat((~np.isnan(share)).astype(np.int64), begin), best)
+            for i, lang, m, p in zip(some.tolist(), best.tolist(), mean.max(axis=1).tolist(), chance.tolist()):
+                langs[a + i], means[a + i], known[a + i] = self.langs[lang], min(1.0, m), p
+        return langs, means, known
+
+    def predict(self, column: pa.Array) -> tuple[list[str], list[float]]:
+        langs, means, known = self.judge(column)
+        return langs, [m * p for m, p in zip(means, known)]
 
 
 def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int,
                     sample_words: int, max_langs: int = 200) -> list[tuple[str, str]]:
-    """(text, language) of at most ``sample_docs`` documents per language; texts are cut to their middle
-    (about ``sample_words`` words) before they leave the tasks. Over ``max_langs`` languages is an error."""
-    found = docs.select(F.col(lang_col).alias("lang")).filter("lang is not null").groupBy("lang").count()
-    langs = [r[0] for r in found.orderBy("lang").limit(max_langs + 1).collect()]
-    if len(langs) > max_langs:
+    """(text, language) of the ``sample_docs`` documents of each language with the smallest id hash; texts are cut
+    to their middle (about ``sample_words`` words) before they leave the tasks. Over ``max_langs`` languages is an error.
+
+    One pass counts the languages, one keeps the hashes under a bound that about twice as many documents as needed
+    pass in each language, and ranks those. A language that comes out short (its rows share few ids) is drawn alone.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")) \
+        .filter("lang is not null and text is not null")
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy("lang").limit(max_langs + 1).collect()}
+    if len(counts) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
-    out = []
+    if not counts:
+        return []
     width = 12 * sample_words
     middle = F.greatest(F.lit(1), F.floor((F.length("text") - width) / 2)).cast("int")
-    for lang in langs:
-        own = docs.filter(F.col(lang_col) == lang).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        rows = hash_sample(own.filter("text is not null"), [F.col("id")], sample_docs)
-        out += sorted((r[0], lang) for r in rows.select(F.substr("text", middle, F.lit(width))).collect())
+    share = {lang: min(1.0, (2 * sample_docs + 50) / n) for lang, n in counts.items()}
+    bound = F.get(F.array(*[F.lit(int(-2 ** 63 + v * (2 ** 64 - 1)) if v < 1 else 2 ** 63 - 1) for v in share.values()]),
+                  F.array_position(F.array(*[F.lit(k) for k in share]), F.col("lang")).cast("int") - 1)
+    h = F.xxhash64("id")
+    place = F.row_number().over(W.partitionBy("lang").orderBy("h", "piece"))
+    found: dict[str, list[str]] = {lang: [] for lang in counts}
+    for r in (rows.filter(h <= bound).select("lang", h.alias("h"), F.substr("text", middle, F.lit(width)).alias("piece"))
+              .withColumn("place", place).filter(F.col("place") <= sample_docs).select("lang", "piece").collect()):
+        found[r[0]].append(r[1])
+    out = []
+    for lang, n in counts.items():
+        pieces = found[lang]
+        if len(pieces) < min(n, sample_docs):
+            own = hash_sample(rows.filter(F.col("lang") == lang), [F.col("id")], sample_docs)
+            pieces = [r[0] for r in own.select(F.substr("text", middle, F.lit(width))).collect()]
+        out += [(piece, lang) for piece in sorted(pieces)]
     return out
 
 
@@ -346,8 +457,8 @@ def label(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
     """``docs`` with two further columns, ``lang_pred`` and ``lang_score`` (replaced if there)."""
     docs = docs.drop("lang_pred", "lang_score")
     at = docs.columns.index(text_col)
-    langs, weights, trans = model
-    packed = docs.sparkSession.sparkContext.broadcast((langs, weights.astype(np.float32), trans))
+    langs, weights, trans, background = model
+    packed = docs.sparkSession.sparkContext.broadcast((langs, weights.astype(np.float32), trans, background))
 
     def run(batches):
         labeller = Labeller(*packed.value)
@@ -360,16 +471,19 @@ def label(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(run, fields + ", lang_pred string, lang_score double")
 
 
-def keep_known(docs: DataFrame, model, min_score: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows whose language the model knows, unchanged: not ``und`` and scored at least ``min_score``."""
+def keep_known(docs: DataFrame, model, min_known: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows whose language the model knows, unchanged: not ``und`` and P(known) at least ``min_known``.
+
+    The marginals take no part, so texts that mix several known languages stay.
+    """
     at = docs.columns.index(text_col)
-    langs, weights, trans = model
-    packed = docs.sparkSession.sparkContext.broadcast((langs, weights.astype(np.float32), trans))
+    langs, weights, trans, background = model
+    packed = docs.sparkSession.sparkContext.broadcast((langs, weights.astype(np.float32), trans, background))
 
     def run(batches):
         labeller = Labeller(*packed.value)
         for batch in batches:
-            pred, score = labeller.predict(batch.column(at))
-            yield batch.filter(pa.array([p != "und" and s >= min_score for p, s in zip(pred, score)], pa.bool_()))
+            pred, _, known = labeller.judge(batch.column(at))
+            yield batch.filter(pa.array([p != "und" and k >= min_known for p, k in zip(pred, known)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

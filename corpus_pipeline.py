@@ -20,8 +20,8 @@ from textlab.session import ensure_checkpoint_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language the model knows: not ``und``, mean marginal 0.3 or more."""
-    return lang_crf.keep_known(docs, lang_crf.fit(docs), min_score=0.3)
+    """Documents in languages the model knows: not ``und``, P(known) of one half or more; mixtures of them stay."""
+    return lang_crf.keep_known(docs, lang_crf.fit(docs), min_known=0.5)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ import re
 import zlib
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from textlab.llm import chat_format as C
 from textlab.llm import exact_dedup as X
 from textlab.llm import secrets as S
@@ -42,23 +44,46 @@ def test_exact_groups_cases(spark):
     assert all((r.h, r._row, r.bucket) == (7, 7, 7) for r in kept.collect())
 
 
+def directory_of(spark, n, capacity, depth):
+    entries = spark.range(n).select(F.xxhash64("id").alias("h"))
+    return entries.withColumn("slot", X.bucket_of(depth)), X.build_directory(entries, capacity, depth)
+
+
 def test_directory_covers_every_hash(spark):
-    entries = spark.range(5000).select(__import__("pyspark").sql.functions.xxhash64("id").alias("h"))
-    d = X.build_directory(entries, 100, 10)
-    assert abs(sum(2.0 ** -depth for _, depth in d) - 1) < 1e-9 and len(d) > 32
-    n = entries.groupBy(X.owner(d).alias("b")).count().collect()
-    assert max(r["count"] for r in n) <= 100 and sum(r["count"] for r in n) == 5000
+    """Buckets are whole prefixes, hold 100 hashes at most, and their parents would hold more."""
+    entries, d = directory_of(spark, 5000, 100, 10)
+    n = {(r.bucket, r.local): r.n for r in
+         entries.join(d, "slot").groupBy("bucket", "local").agg(F.count("*").alias("n")).collect()}
+    assert sum(n.values()) == 5000 and max(n.values()) <= 100 and len(n) > 32
+    assert len({b for b, _ in n}) == len(n) and all(b.bit_length() - 1 == local for b, local in n)
+    hashes = [r.h & (2 ** 64 - 1) for r in entries.collect()]
+    for b, local in n:
+        prefix = b - (1 << local)
+        assert sum(h >> (64 - local) == prefix for h in hashes) == n[b, local]
+        assert sum(h >> (65 - local) == prefix >> 1 for h in hashes) > 100
 
 
 def test_directory_depth_follows_the_entries(spark):
     """2^14 buckets would hold 12 entries each on average."""
-    entries = spark.range(200_000).select(__import__("pyspark").sql.functions.xxhash64("id").alias("h"))
-    d = X.build_directory(entries, 10)
-    n = entries.groupBy(X.owner(d).alias("b")).count().collect()
+    entries, d = directory_of(spark, 200_000, 10, X.depth_for(200_000, 10))
+    n = entries.join(d, "slot").groupBy("bucket").count().collect()
     assert max(r["count"] for r in n) <= 10 and sum(r["count"] for r in n) == 200_000
     assert X.depth_for(1000, 50_000) == 14 and 2 ** X.depth_for(10 ** 10, 50_000) * 50_000 > 10 ** 10
 
 
+def test_equal_hashes_are_chained_by_bytes(spark):
+    """Three hashes for all texts, one of them hot, and one hash for all: groups are those of the texts."""
+    rows = [(i, f"t{i % 40}") for i in range(400)] + [(1000 + i, "tt") for i in range(900)]
+    want = defaultdict(list)
+    for i, t in rows:
+        want[hashlib.sha256(t.encode()).hexdigest()].append(i)
+    for weak in (lambda c: F.length(c), lambda c: F.length(c) * 0):
+        got = X.exact_groups(docs(spark, rows), capacity=1, max_depth=6, hash_of=weak).collect()
+        assert len(got) == len(rows)
+        assert all((r.group_size, r.keep_id) == (len(want[r.text_sha256]), max(want[r.text_sha256])) for r in got)
+        assert sorted(r.id for r in got if r.kept) == sorted(max(v) for v in want.values())
+
+
 def shard_of(key, weights):
     def score(s, w):
         u = (int(hashlib.md5(f"{key}:{s}".encode()).hexdigest()[:13], 16) + 0.5) / 2 ** 52

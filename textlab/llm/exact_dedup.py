@@ -1,40 +1,39 @@
 """Exact dedup by an extendible-hash index on shared files (native).
 
-1. Rows are grouped by (64-bit hash, whole text): Spark compares the bytes of texts that share a
-   hash, so different texts under one hash become separate entries. The grouping has a map-side
-   combine, so a text held by a third of all rows crosses the shuffle once per task. It decides the
-   group sizes; a second one by (hash, digest) decides the row to keep.
-2. The *directory* starts with one bucket and doubles until no bucket holds more than
-   ``capacity`` entries. An entry is a distinct text, so a hot text never overfills a bucket, and
-   doubling always ends: at a depth that grows with the number of entries (``depth_for``) a bucket
-   keeps what it has, which only entries of (nearly) equal hash can overfill.
-3. The entries are written to shared files, one folder per directory bucket. Documents look their
-   entry up by (bucket, hash, digest). The index stores finished answers and decides none.
-4. Entries of groups with more than 1/1000 of all rows (at most 1000 of them, by counting) are
-   broadcast; all others meet their documents in a shuffle join.
+1. Rows get a 64-bit hash of their text. Their digests are staged; they carry a row to its answer instead of its text.
+2. The *directory* says which bucket owns a hash: a bucket is a key range, all hashes with one prefix. Doubling
+   starts from one bucket of everything and splits overfull ones, so a bucket's local depth is the smallest at which
+   it holds at most ``capacity`` entries (distinct hashes). Entry counts at every depth are added up in Spark, and the directory stays
+   a table; no key, count or bucket comes to the driver. At the greatest depth (``depth_for``) a bucket keeps what it has.
+3. Rows are dealt to the owner tasks of their buckets. An owner chains the different texts that share a hash,
+   comparing their bytes (the texts themselves are the grouping key, hashes only say where), counts each text
+   and picks the row to keep. Rows of a hash with more than 1/1000 of all rows (at most 1000 hashes, by counting) are not
+   dealt: their copies are added up where they are, and the sums are chained.
+4. Owners write their entries, (bucket, hash, place in the chain, digest, size, row to keep), to shared files bucketed by owner; rows look
+   their answer up there by (bucket, hash, digest). Entries of large groups are broadcast (at most 1000, by counting).
 
 Defined results: null text equals the empty text; of equal texts the row with the largest id stays
 (null ids are smallest); of repeated rows with that same id exactly one is kept; an empty table
-gives an empty result. Only the id and text columns are read, so other columns cannot clash.
+gives an empty result; texts of any length are compared whole. Only the id and text columns are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
-import os
-import uuid
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from textlab.llm.common import fresh
-from textlab.session import ensure_checkpoint_dir, stage
+from textlab.llm.common import bucketed, fresh
+from textlab.session import small, stage
 
-#: One group in so many rows is hot; there are at most so many hot groups.
+#: One hash, or group, in so many rows is hot; there are at most so many hot ones.
 HOT_SHARE = 1000
-_KEY = ["h", "sha"]
+#: Bytes of text, and rows of the index, that a task is dealt.
+OWNER_BYTES = 64 << 20
+INDEX_ROWS = 1 << 20
 
 
-def bucket_of(depth: int):
+def bucket_of(depth: int) -> Column:
     """The directory slot of a hash at a global depth: its leading bits, as a number."""
     return F.shiftrightunsigned(F.col("h"), 64 - depth) if depth else F.lit(0).cast("long")
 
@@ -44,88 +43,66 @@ def depth_for(n: int, capacity: int) -> int:
     return max(14, (-(-n // capacity)).bit_length() + 4)
 
 
-def build_directory(entries: DataFrame, capacity: int, max_depth: int | None = None) -> list[tuple[int, int]]:
-    """(prefix, local depth) of every bucket: double until none is overfull.
+def build_directory(hashes: DataFrame, capacity: int, depth: int) -> DataFrame:
+    """(slot, bucket, local) of every slot in use at the global ``depth``; ``hashes`` has the distinct hashes ``h``.
 
-    Each doubling looks at the overfull buckets' children only. The driver sees bucket counts, never
-    keys; there are at most ``2 * entries / capacity`` open buckets at a time.
+    ``bucket`` numbers the prefix of ``local`` bits that the slot's bucket covers, unlike any other bucket's.
     """
-    if max_depth is None:
-        max_depth = depth_for(entries.count(), capacity)
-    done: list[tuple[int, int]] = []
-    # counts at the full directory size, aggregated once; doublings then refine this small table
-    counts = entries.groupBy(bucket_of(max_depth).alias("slot")).agg(F.count("*").alias("n"))
-    for depth in range(max_depth + 1):
-        at = counts.groupBy(F.shiftright("slot", max_depth - depth).alias("p")).agg(F.sum("n").alias("n"))
-        inside = at if not done else at.join(
-            F.broadcast(_closed(at.sparkSession, done, depth)), "p", "left_anti")
-        full = [(r["p"], r["n"]) for r in inside.collect()]
-        over = {p for p, n in full if n > capacity and depth < max_depth}
-        done += [(p, depth) for p, _ in full if p not in over]
-        if not over:
-            break
-    return sorted(done or [(0, 0)], key=lambda x: (x[1], x[0]))
-
-
-def _closed(spark, done: list[tuple[int, int]], depth: int) -> DataFrame:
-    """The prefixes at ``depth`` that lie under a bucket closed at a smaller depth."""
-    rows = spark.range(len(done)).select(
-        F.element_at(F.split(F.lit(",".join(str(p) for p, _ in done)), ","), F.col("id").cast("int") + 1)
-        .cast("long").alias("q"),
-        F.element_at(F.split(F.lit(",".join(str(d) for _, d in done)), ","), F.col("id").cast("int") + 1)
-        .cast("int").alias("d"))
-    return rows.select(F.explode(F.sequence(
-        F.expr(f"shiftleft(q, {depth} - d)"), F.expr(f"shiftleft(q + 1, {depth} - d) - 1"))).alias("p"))
-
-
-def owner(directory: list[tuple[int, int]]):
-    """The directory entry (an int) of a row's hash: its place in the directory array."""
-    depth = max(d for _, d in directory)
-    slots = [0] * (1 << depth)
-    for k, (p, d) in enumerate(directory):
-        for s in range(p << (depth - d), (p + 1) << (depth - d)):
-            slots[s] = k
-    table = F.split(F.lit(",".join(map(str, slots))), ",").cast("array<int>")
-    return F.element_at(table, (bucket_of(depth) + 1).cast("int"))
+    counts = stage(hashes.groupBy(bucket_of(depth).alias("slot")).agg(F.count("*").alias("n")), "exact-slots")
+    at = counts.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("local"))
+    at = at.withColumn("prefix", F.expr(f"shiftright(slot, {depth} - local)"))
+    fits = (at.groupBy("local", "prefix").agg(F.sum("n").alias("n"))
+            .filter((F.col("n") <= capacity) | (F.col("local") == depth)).select("local", "prefix"))
+    first = at.join(fits, ["local", "prefix"]).groupBy("slot").agg(F.min("local").alias("local"))
+    return first.select("slot", F.expr(f"shiftleft(1L, local) + shiftright(slot, {depth} - local)").alias("bucket"), "local")
+
+
+def chained(rows: DataFrame) -> DataFrame:
+    """The chains of all hashes: one entry per different text, in byte order, with its copies and the row to keep.
+
+    Rows that are dealt by bucket stay in their owner task; the sort by (bucket, hash, text) serves both steps.
+    """
+    entries = rows.groupBy("bucket", "h", "text").agg(
+        F.count("*").alias("group_size"), F.max(F.struct("id", "row")).alias("keep"))
+    place = F.row_number().over(W.partitionBy("bucket", "h").orderBy("text"))
+    return entries.withColumn("place", place).withColumn("sha", F.sha2("text", 256))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 capacity: int = 50_000, max_depth: int | None = None, row_col: str | None = None) -> DataFrame:
+                 capacity: int = 10_000, max_depth: int | None = None, row_col: str | None = None,
+                 hash_of=F.xxhash64) -> DataFrame:
     """One row per input row: id, row, keep_id, group_size, kept, text_sha256.
 
-    ``row_col`` names a unique row number of ``docs``; without it the rows are numbered here.
+    ``row_col`` names a unique row number of ``docs``, which is staged then; without it the texts are staged here with one.
     """
-    body = F.coalesce(F.col(text_col), F.lit(""))
     spark = docs.sparkSession
-    id_type = docs.select(id_col).schema[0].dataType.simpleString()
+    body = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(
-        F.col(id_col).alias("id"), body.alias("text"), F.xxhash64(body).alias("h"),
+        F.col(id_col).alias("id"), body.alias("text"), hash_of(body).cast("long").alias("h"),
         (F.col(row_col) if row_col else F.monotonically_increasing_id()).cast("long").alias("row"))
-    # the rows' digests, staged: they carry a row through the lookups instead of its text
-    rows = stage(keyed.select("id", "row", "h", F.sha2("text", 256).alias("sha")), "exact-rows")
-    # one row per distinct text under a hash; the grouping compares the bytes
-    chains = (keyed.groupBy("h", "text").agg(F.count("*").alias("group_size"))
-              .select("h", F.sha2("text", 256).alias("sha"), "group_size"))
-    last = rows.groupBy(*_KEY).agg(F.max(F.struct("id", "row")).alias("keep"))
-    entries = stage(chains.join(last, _KEY).select(
-        *_KEY, "group_size", F.col("keep.id").alias("keep_id"), F.col("keep.row").alias("keep_row")),
-        "exact-entries")
-    directory = build_directory(entries, capacity, max_depth)
-    place = owner(directory)
-    root = os.path.join(ensure_checkpoint_dir(spark), "stages", f"exact-index-{uuid.uuid4().hex}")
-    (entries.withColumn("bucket", place).repartition("bucket").sortWithinPartitions("bucket", "h")
-     .write.partitionBy("bucket").parquet(root))
-    index = spark.read.schema(
-        f"h long, sha string, group_size long, keep_id {id_type}, keep_row long, bucket int").parquet(root)
-    total = entries.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
-    hot_at = max(1, total // HOT_SHARE)
-    on = ["bucket", *_KEY]
-    rows = rows.withColumn("bucket", place)
-    hot = F.broadcast(index.filter(F.col("group_size") > hot_at))
-    looked = rows.join(hot, on, "left")
+    if not row_col:
+        keyed = stage(keyed, "exact-texts")
+    rows = stage(keyed.select("id", "row", "h", F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("bytes")),
+                 "exact-rows")
+    n_rows, n_bytes = rows.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hashes = stage(rows.groupBy("h").agg(F.count("*").alias("n")), "exact-hashes")
+    depth = max_depth if max_depth is not None else depth_for(hashes.count(), capacity)
+    directory = small(build_directory(hashes, capacity, depth), 24)
+    share = max(1, n_rows // HOT_SHARE)
+    hot_hashes = F.broadcast(hashes.filter(F.col("n") > share).select("h"))
+    placed = keyed.withColumn("slot", bucket_of(depth)).join(directory, "slot")
+    # every row to the owner of its bucket; copies under a hot hash are added up before they move
+    dealt = placed.join(hot_hashes, "h", "left_anti").repartition(max(least, -(-n_bytes // OWNER_BYTES)), "bucket")
+    entries = chained(dealt).unionByName(chained(placed.join(hot_hashes, "h", "left_semi"))).select(
+        "bucket", "h", "place", "sha", "group_size", F.col("keep.id").alias("keep_id"), F.col("keep.row").alias("keep_row"))
+    index = bucketed(entries, "bucket", "exact_index", parts=max(least, -(-n_rows // INDEX_ROWS)))
+    on = ["bucket", "h", "sha"]
+    asked = rows.withColumn("slot", bucket_of(depth)).join(directory, "slot").select(*on, "id", "row")
+    looked = asked.join(F.broadcast(index.filter(F.col("group_size") > share)), on, "left")
     known = looked.filter(F.col("group_size").isNotNull())
     rest = (looked.filter(F.col("group_size").isNull()).select(*on, "id", "row")
-            .join(index.filter(F.col("group_size") <= hot_at), on))
+            .join(index.filter(F.col("group_size") <= share), on))
     return known.unionByName(rest).select(
         "id", "row", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"),
         F.col("sha").alias("text_sha256"))

@@ -88,7 +88,6 @@ def test_token_files_query(spark):
 
 def test_token_files_cases(spark, monkeypatch):
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     ids = [5, 5, 5, None, None, *range(100, 100 + len(ODD) - 5)]
     root = tempfile.mkdtemp(prefix="token-files-") + "/x"
     T.write(docs(spark, ODD, ids), P.path("byte_bpe_50k.json"), root)
@@ -109,6 +108,17 @@ def test_token_files_cases(spark, monkeypatch):
     assert T.read(spark, root + "0").count() == 0
 
 
+def test_token_files_special_strings(spark):
+    """A text with strings of added tokens gets the ids of the plain library call."""
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y", "<|endoftext", "plain", None]
+    root = tempfile.mkdtemp(prefix="token-files-") + "/x"
+    T.write(docs(spark, texts), P.path("byte_bpe_50k.json"), root)
+    got = {r.id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in T.read(spark, root).collect()}
+    assert got == {i: [*tok.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    assert 50256 in got[0]
+
+
 def brute_hits(text, items):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     doc, hit, ids = words(text), set(), set()

@@ -18,8 +18,10 @@ texts. Distinct pre-tokens are encoded by the tokenizers library, once per worke
 fit its cache: byte-level BPE merges never cross pre-tokens.
 
 Defined results: null text counts as empty, so it has the end id alone; null ids come first; repeated
-rows are written once each; an empty table gives empty files. Strings of special tokens inside a
-text are ordinary text.
+rows are written once each; an empty table gives empty files. Ids are those of the plain library call with
+``add_special_tokens=False``: a string of an added token inside a text is that token, and a text that holds one is encoded
+whole by the library. Memory follows the longest text. Only the id and text columns are read, so other columns cannot clash.
+The tokenizer's file is read by the driver and sent to the tasks.
 """
 
 from __future__ import annotations
@@ -57,11 +59,11 @@ class Encoder:
     Known words are found by their 64-bit hash; at ``CACHE_WORDS`` words the cache starts anew.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, spec: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer = Tokenizer.from_str(spec)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.forget()
 
     def forget(self) -> None:
@@ -70,10 +72,12 @@ class Encoder:
         self.flat = np.empty(0, np.uint32)
 
     @classmethod
-    def of(cls, path: str) -> "Encoder":
-        if path not in _encoders:
-            _encoders[path] = cls(path)
-        return _encoders[path]
+    def of(cls, spec: str) -> "Encoder":
+        """The worker's encoder of a tokenizer file's content."""
+        key = hashlib.sha256(spec.encode()).hexdigest()
+        if key not in _encoders:
+            _encoders[key] = cls(spec)
+        return _encoders[key]
 
     def _learn(self, words: list[str]) -> None:
         ids = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
@@ -85,6 +89,15 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The u32 ids of each text, in order; callers bound the texts they pass at once."""
+        special = {k: t for k, t in enumerate(texts) if any(a in t for a in self.added)}
+        if special:
+            plain = self._plain(["" if k in special else t for k, t in enumerate(texts)])
+            for k, t in special.items():
+                plain[k] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
+            return plain
+        return self._plain(texts)
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
         joined, start, stop, h, counts = pretoken.cut(texts)
         words, first, place = np.unique(h, return_index=True, return_inverse=True)
         if len(self.index.keys) + len(words) > CACHE_WORDS:
@@ -100,20 +113,23 @@ class Encoder:
         return [ids[upto[k]:upto[k + 1]] for k in range(len(texts))]
 
 
-def id_width(path: str) -> int:
+def id_width(spec: str) -> int:
     """Bytes per id on disk: 2 if every id of the vocabulary fits."""
-    return 2 if max(Encoder.of(path).tokenizer.get_vocab().values()) < 1 << 16 else 4
+    return 2 if max(Encoder.of(spec).tokenizer.get_vocab().values()) < 1 << 16 else 4
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, sample_docs: int,
+def train_dictionary(docs: DataFrame, spec, id_col: str, text_col: str, sample_docs: int,
                      width: int) -> bytes:
-    """A dictionary from slices of a bounded sample's id arrays (at most 8 KiB x width of a document)."""
+    """A dictionary from slices of a bounded sample's id arrays (at most ``SLICES`` x ``SLICE_IDS`` x width bytes of a document).
+
+    ``spec`` is the broadcast content of the tokenizer's file.
+    """
     import zstandard
     some = hash_sample(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")),
                        [F.col("id")], sample_docs)
 
     def run(batches):
-        encoder = Encoder.of(tokenizer)
+        encoder = Encoder.of(spec.value)
         for batch in batches:
             out = []
             for ids in (x for _, _, texts in pretoken.text_chunks(batch.column(1)) for x in encoder.encode(texts)):
@@ -135,10 +151,12 @@ def dictionary(data: bytes):
 
 def write(docs: DataFrame, tokenizer: str, root: str, id_col: str = "doc_id", text_col: str = "text",
           end_id: int = 0, sample_docs: int = 1000) -> None:
-    """Write ``root/chunks`` and ``root/dictionary``."""
+    """Write ``root/chunks`` and ``root/dictionary``; ``tokenizer`` is the path of a tokenizer file at the driver."""
     spark = docs.sparkSession
-    width = id_width(tokenizer)
-    trained = train_dictionary(docs, tokenizer, id_col, text_col, sample_docs, width)
+    with open(tokenizer, encoding="utf-8") as f:
+        spec = spark.sparkContext.broadcast(f.read())
+    width = id_width(spec.value)
+    trained = train_dictionary(docs, spec, id_col, text_col, sample_docs, width)
     digest = hashlib.sha256(trained).digest()
     spark.range(1).select(F.lit(bytearray(trained)).alias("data"), F.lit(digest.hex()).alias("sha256")) \
         .write.parquet(f"{root}/dictionary")
@@ -147,7 +165,7 @@ def write(docs: DataFrame, tokenizer: str, root: str, id_col: str = "doc_id", te
 
     def run(batches):
         import zstandard
-        encoder = Encoder.of(tokenizer)
+        encoder = Encoder.of(spec.value)
         known = dictionary(trained)
         if known:
             known.precompute_compress(level=LEVEL)

@@ -104,6 +104,9 @@ def test_sharding_cases(spark):
     sizes = sorted((r.size, r.text_crc32) for r in got)
     assert sizes == sorted((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for _, t in rows)
     assert H.shard_documents(docs(spark, []), [1.0, 2.0]).count() == 0
+    clash = docs(spark, rows).withColumnRenamed("doc_id", "shard").withColumnRenamed("n_chars", "slot")
+    other = H.shard_documents(clash, [1.0] * 8, key="shard").collect()
+    assert sorted((r.shard_key or 0, r.size, r.shard) for r in other) == sorted((r.doc_id or 0, r.size, r.shard) for r in got)
 
 
 def test_sharding_follows_weights(spark):

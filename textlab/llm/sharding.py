@@ -6,8 +6,9 @@ further shard takes rows only into itself, and a shard's share follows its weigh
 
 Defined results: a null key counts as the text ``\\N`` (all such rows share a shard, as the law
 demands: the key alone decides); null text has size 1 and crc32 0; repeated rows each get their
-own slot; an empty table gives an empty result. Extra columns pass through untouched; a column
-of the input named like an output column is replaced.
+own slot; rows of equal key, size and text crc get theirs in no set order; an empty table gives an empty result; texts of any
+length are read whole. Only the key and text columns are read, so extra columns are not returned and cannot clash; a
+key column named like an output column comes back with ``_key`` behind its name.
 """
 
 from __future__ import annotations
@@ -66,10 +67,12 @@ def shard_documents(docs: DataFrame, weights: list[float], key: str = "doc_id",
     """Shard, size and slot of every row, with the shard it would have after one more shard."""
     body = F.coalesce(F.col(text), F.lit(""))
     small = docs.select(
-        F.col(key).alias(key),
+        F.col(key).alias("_key"),
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(body.cast("binary")).cast("long").alias("text_crc32"),
         F.lit("key").alias("law"),
         rendezvous(F.col(key), weights).alias("shard"),
         rendezvous(F.col(key), [*weights, grown_weight or weights[-1]]).alias("grown_shard"))
-    return number_slots(small, "shard", [key, "text_crc32", "size"])
+    out = number_slots(small, "shard", ["_key", "text_crc32", "size"])
+    taken = {c.lower() for c in out.columns}
+    return out.withColumnRenamed("_key", key if key.lower() not in taken else f"{key}_key")

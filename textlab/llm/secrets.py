@@ -7,10 +7,11 @@ characters whose log-likelihood ratio (random over ordinary, in nats) reaches ``
 as a ``markov`` span unless it overlaps a base span. Base spans are never changed.
 
 The models are fitted on bounded samples (``sample_docs`` documents, ``sample_tokens`` tokens a
-class); every document's whole text is scanned. Only column functions run; there is no shuffle of
+class, in hash order); every document's whole text is scanned. Only column functions run; there is no shuffle of
 texts. Positions are code points, end exclusive.
 
-Defined results: null text counts as empty (no spans); repeated rows each get their result; an empty
+Defined results: null text counts as empty (no spans); repeated rows each get their result; spans that begin at one place
+are listed by kind; texts of any length are scanned whole (the work grows with the square of the matches in one text); an empty
 table gives an empty result and untrained (uniform) models. Only the id and text columns are read.
 """
 
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlab.llm.common import double_array, hash_sample
+from textlab.session import stage
 
 # The three base patterns, the least length of what they must hold, and their order.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -79,14 +81,14 @@ def labelled_tokens(docs: DataFrame, id_col: str, text_col: str, sample_docs: in
     """(random, token): values the patterns found, and identifiers that several clean documents use."""
     body = F.coalesce(F.col(text_col), F.lit(""))
     some = hash_sample(docs.select(F.col(id_col).alias("id"), body.alias("text")), [F.col("id")], sample_docs)
-    some = some.select("text", base_spans(F.col("text")).alias("found"))
+    some = stage(some.select("text", base_spans(F.col("text")).alias("found")), "secret-sample")
     yes = some.select(F.lit(True).alias("random"), F.explode("found.value").alias("token"))
     no = (some.filter(F.size("found") == 0)
           .select(F.lit(False).alias("random"),
                   F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0)))).alias("token")))
     # an identifier is a name that several texts use; a random string that no pattern found is in one
     no = no.groupBy("random", "token").count().filter("count > 1").select("random", "token")
-    return yes.limit(sample_tokens).unionByName(no.orderBy(F.xxhash64("token")).limit(sample_tokens))
+    return yes.orderBy(F.xxhash64("token"), "token").limit(sample_tokens).unionByName(no.orderBy(F.xxhash64("token")).limit(sample_tokens))
 
 
 def log_ratios(tokens: DataFrame, backoff: float = 8.0) -> list[float]:
@@ -124,7 +126,7 @@ def log_ratio(token: Column, model: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 4000,
          sample_tokens: int = 20_000, min_ratio: float = 8.0) -> DataFrame:
     """One row per input row: id, base (spans), added (markov spans)."""
-    ratios = log_ratios(labelled_tokens(docs, id_col, text_col, sample_docs, sample_tokens))
+    ratios = log_ratios(stage(labelled_tokens(docs, id_col, text_col, sample_docs, sample_tokens), "secret-tokens"))
     model = double_array(ratios)
     body = F.coalesce(F.col(text_col), F.lit(""))
     found = docs.select(F.col(id_col).alias("id"), base_spans(body).alias("base"),

@@ -70,6 +70,27 @@ def test_cases(spark, width, chunk):
         sorted(((i, k, s) for i, (k, s) in zip(ids, brute(texts, width))), key=key)
 
 
+@pytest.mark.parametrize("bits", [0, 4, 12])
+def test_weak_names_are_told_apart_by_their_checks(spark, bits):
+    """With 2^bits names most different strings share one; no clean byte may go for that."""
+    rnd = random.Random(bits)
+    say = lambda n: "".join(rnd.choice("abcdé") for _ in range(n))
+    a = say(200)
+    texts = [say(300) for _ in range(30)] + [say(20) + a + say(7), a[10:] + say(3), a, a] + [say(2_000)]
+    got = S.repeated_spans(docs(spark, texts).repartition(3), width=40, name_bits=bits).collect()
+    want = brute(texts, 40)
+    assert sum(bool(s) for _, s in want) == 4
+    assert [(bytes(r.kept), [tuple(s) for s in r.spans]) for r in sorted(got, key=lambda r: r.id)] == want
+
+
+def test_lookup_by_name_and_check():
+    u = lambda *x: np.array(x, np.uint64)
+    known, checks = u(3, 3, 3, 9), u(1, 4, 7, 2)
+    names, asked = u(3, 3, 3, 3, 9, 9, 1, 12), u(1, 7, 5, 8, 2, 3, 1, 1)
+    assert S.both_among(names, asked, known, checks).tolist() == [True, True, False, False, True, False, False, False]
+    assert not S.both_among(names, asked, u(), u()).any()
+
+
 def test_empty(spark):
     assert S.repeated_spans(docs(spark, ["a"]).limit(0)).count() == 0
     assert [r.n_bytes for r in S.repeated_spans(docs(spark, [""])).collect()] == [0]

@@ -11,11 +11,13 @@ suffixes that matter are those that share their first ``width`` bytes with anoth
   memory for sorting is a bucket, not the text. It answers which names occur more than once.
 * **Ties.** A suffix with no repeated sample name within ``v`` bytes is unique, and most suffixes end here. The
   rest (long ties) are resolved by names of their whole ``width`` bytes, composed from running sums, and sorted
-  by bucket in the same way. Suffixes that share a name there are repeats.
+  by bucket in the same way. Suffixes that share a name and its check there are repeats.
 
 Only equality of the first ``width`` bytes matters here, so buckets and ties are ordered by name (64 mixed bits
 of a polynomial hash with random byte values) instead of by the bytes themselves; texts need not follow their
-suffixes into a bucket. Two different strings share a name with probability 2^-64.
+suffixes into a bucket. Before bytes go, the suffixes of one name are told apart by a check, a second 64-bit name
+under other random byte values: two different strings share both with probability 2^-128. A false pair of sample
+names only makes one more suffix a tie.
 
 Texts are packed into *blocks* of about ``BLOCK`` bytes, staged once in a table bucketed by block, so that
 answers are joined to their block without moving texts again. A block sends a bucket its distinct names
@@ -36,9 +38,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlab.llm.bytesops import BYTE, CHUNK, covered, prefix, runs, spans
+from textlab.llm.bytesops import BYTE, CHUNK, covered, prefix, runs, spans, table
 from textlab.llm.common import bucketed, release
 
+#: Byte values of the checks.
+CHECK = table(2)
 BLOCK = 4 << 20
 #: Bytes of the blocks that a task reads on average.
 PART = 4 * BLOCK
@@ -99,15 +103,19 @@ def places(sizes: np.ndarray, length: int, most: int) -> tuple[np.ndarray, np.nd
 class Cover:
     """Sample names and long ties of a block's texts."""
 
-    def __init__(self, width: int, chunk: int = CHUNK):
+    def __init__(self, width: int, chunk: int = CHUNK, name_bits: int = 64):
         self.width, self.chunk = width, chunk
+        self.rest = np.uint64(64 - name_bits)
         self.v, cover = cover_for(width)
         self.least = width - self.v + 1
         self.inside = np.zeros(self.v, bool)
         self.inside[cover % self.v] = True
 
+    def named(self, sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return spans(sums, start, stop) >> self.rest << self.rest
+
     def samples(self, texts: list[bytes], beyond: int = 0):
-        """For each part of the block: its bytes' sums, pieces, sample places and their names.
+        """For each part of the block: its bytes, their sums, pieces, sample places and their names.
 
         The bytes after the first ``chunk`` of a piece are the next piece's too; samples among ``beyond`` of them
         are only wanted for the suffixes before them.
@@ -119,11 +127,11 @@ class Cover:
             # residues of positions in the text, looked up in the cover laid out again and again
             laid = np.tile(self.inside, int(sizes.max()) // self.v + 2)
             p = p[laid[p - (begin - at % self.v)[of]]]
-            yield sums, sizes, text, at, p, spans(sums, p, p + self.least)
+            yield raw, sums, sizes, text, at, p, self.named(sums, p, p + self.least)
 
     def ties(self, texts: list[bytes], repeated: np.ndarray):
-        """Text numbers, positions and whole-width names of suffixes near a repeated sample name."""
-        for sums, sizes, text, at, p, names in self.samples(texts, self.v - 1):
+        """Text numbers, positions, whole-width names and checks of suffixes near a repeated sample name."""
+        for raw, sums, sizes, text, at, p, names in self.samples(texts, self.v - 1):
             hit = p[among(names, repeated)]
             if not len(hit):
                 continue
@@ -134,7 +142,9 @@ class Cover:
             near = (np.cumsum(near) > 0)[q]
             q, qof = q[near], qof[near]
             begin = np.cumsum(sizes) - sizes
-            yield text[qof], q - begin[qof] + at[qof], spans(sums, q, q + self.width)
+            if len(q):
+                yield (text[qof], q - begin[qof] + at[qof], self.named(sums, q, q + self.width),
+                       spans(prefix(CHECK[raw]), q, q + self.width))
 
 
 def among(names: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -145,6 +155,21 @@ def among(names: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(at, len(known) - 1)] == names
 
 
+def both_among(names: np.ndarray, check: np.ndarray, known: np.ndarray, known_check: np.ndarray) -> np.ndarray:
+    """Which (name, check) are in arrays sorted by name, then check."""
+    out = np.zeros(len(names), bool)
+    at = np.searchsorted(known, names)
+    left = np.flatnonzero(at < len(known))
+    while len(left):  # a second turn only where one name has several checks
+        left = left[known[at[left]] == names[left]]
+        same = known_check[at[left]] == check[left]
+        out[left[same]] = True
+        left = left[~same]
+        at[left] += 1
+        left = left[at[left] < len(known)]
+    return out
+
+
 def distinct(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct names, and which of them occur more than once."""
     names = np.sort(np.concatenate([np.empty(0, np.uint64), *parts]))
@@ -153,34 +178,55 @@ def distinct(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return names[first], np.diff(np.append(first, len(names))) > 1
 
 
-def lists(block: int, names: np.ndarray, twice: np.ndarray, n_buckets: int):
-    """Rows (bucket, block, names, twice) of a block: a bucket is a range of names."""
+def in_order(names: np.ndarray, check: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The order by name, then check, and which rows of that order equal the row before them."""
+    order = np.argsort(names)
+    same = np.zeros(len(names), bool)
+    same[1:] = names[order[1:]] == names[order[:-1]]
+    if check is not None:
+        other = np.zeros(len(names), bool)
+        other[1:] = check[order[1:]] != check[order[:-1]]
+        if (same & other).any():  # one name, several strings
+            order = np.lexsort((check, names))
+            same[1:] = (names[order[1:]] == names[order[:-1]]) & (check[order[1:]] == check[order[:-1]])
+    return order, same
+
+
+def distinct_ties(found: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (name, check) of a block's ties by name, then check, and which of them occur more than once."""
+    names, check = np.concatenate([x[2] for x in found]), np.concatenate([x[3] for x in found])
+    order, same = in_order(names, check)
+    first = np.flatnonzero(~same)
+    return names[order[first]], check[order[first]], np.diff(np.append(first, len(names))) > 1
+
+
+def lists(block: int, names: np.ndarray, check: np.ndarray | None, twice: np.ndarray, n_buckets: int):
+    """Rows (bucket, block, names, check, twice) of a block: a bucket is a range of names."""
     bucket = (((names >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)).astype(np.int64)
     cut = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist() + [len(names)]
     some, cut = bucket[cut[:-1]], list(zip(cut[:-1], cut[1:]))
     return pa.record_batch([
         pa.array(some.astype(np.int32)), pa.array([block] * len(some), pa.int64()),
         pa.array([names[a:b].tobytes() for a, b in cut], pa.binary()),
+        pa.array([None if check is None else check[a:b].tobytes() for a, b in cut], pa.binary()),
         pa.array([np.packbits(twice[a:b]).tobytes() for a, b in cut], pa.binary())],
-        names=["bucket", "block", "names", "twice"])
+        names=["bucket", "block", "names", "check", "twice"])
 
 
-LISTS = "bucket int, block long, names binary, twice binary"
+LISTS = "bucket int, block long, names binary, check binary, twice binary"
 
 
 def sort_bucket(group: pa.Table) -> pa.Table:
-    """Sort one bucket's names; answer every block which of its names occur more than once overall."""
+    """Sort one bucket's names and checks; answer every block which of them occur more than once overall."""
     parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["names"]]
     names = np.concatenate(parts)
     sizes = np.array([len(x) for x in parts])
     twice = np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=n)
                             for x, n in zip(group["twice"], sizes)]).astype(bool)
-    order = np.argsort(names)
-    s = names[order]
-    same = s[1:] == s[:-1]
-    repeat = np.zeros(len(s), bool)
-    repeat[1:] |= same
-    repeat[:-1] |= same
+    check = None if group["check"].null_count else np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in group["check"]])
+    order, same = in_order(names, check)
+    repeat = same.copy()
+    repeat[:-1] |= same[1:]
     out = twice
     out[order] |= repeat
     cut = np.cumsum(sizes) - sizes
@@ -189,12 +235,11 @@ def sort_bucket(group: pa.Table) -> pa.Table:
                      "repeated": pa.array([np.packbits(out[a:a + n]).tobytes() for a, n in zip(cut, sizes)], pa.binary())})
 
 
-def marked(names: np.ndarray, answers) -> np.ndarray:
-    """The names of a block (sorted, distinct) that the buckets' answers mark, in bucket order."""
+def marked(answers) -> np.ndarray:
+    """Which names of a block (sorted, distinct) the buckets' answers mark, in bucket order."""
     bits = [np.frombuffer(x.as_buffer(), np.uint8) for x in (answers.field("repeated") if len(answers) else [])]
     n = [int(x.as_py()) for x in (answers.field("n") if len(answers) else [])]
-    mask = np.concatenate([np.empty(0, np.uint8)] + [np.unpackbits(b, count=k) for b, k in zip(bits, n)]).astype(bool)
-    return names[mask]
+    return np.concatenate([np.empty(0, np.uint8)] + [np.unpackbits(b, count=k) for b, k in zip(bits, n)]).astype(bool)
 
 
 def one_bucket(batches):
@@ -241,11 +286,15 @@ def block_table(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 400,
-                   chunk: int = CHUNK) -> DataFrame:
-    """One row per input row: id, text (bytes), kept (the bytes left), spans (maximal removed runs)."""
+                   chunk: int = CHUNK, name_bits: int = 64) -> DataFrame:
+    """One row per input row: id, n_bytes, kept (the bytes left), spans (maximal removed runs).
+
+    ``name_bits``: leading bits of the names that are used; with few, one name stands for many strings and the
+    checks alone tell them apart.
+    """
     blocks, parts = block_table(docs, id_col, text_col)
     total = blocks.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    cover = Cover(width, chunk)
+    cover = Cover(width, chunk, name_bits)
     share = cover.inside.sum() / cover.v
     n_samples = max(1, int(total * share) // BUCKET_NAMES + 1)
     n_ties = max(1, total // 4 // BUCKET_NAMES + 1)
@@ -260,13 +309,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def send_samples(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                yield lists(batch.column("block")[k].as_py(), *sample_names(texts_of(batch, k)), n_samples)
+                names, twice = sample_names(texts_of(batch, k))
+                yield lists(batch.column("block")[k].as_py(), names, None, twice, n_samples)
 
     first = answered(blocks.select("block", "texts").mapInArrow(send_samples, LISTS), "first", n_samples, parts)
 
     def block_ties(batch, k, texts):
         got = batch.column("first")[k].values
-        repeated = marked(sample_names(texts)[0], got if got is not None else [])
+        if got is None:
+            return []
+        repeated = sample_names(texts)[0][marked(got)]
         return list(cover.ties(texts, repeated)) if len(repeated) else []
 
     def send_ties(batches):
@@ -274,7 +326,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for k in range(batch.num_rows):
                 found = block_ties(batch, k, texts_of(batch, k))
                 if found:
-                    yield lists(batch.column("block")[k].as_py(), *distinct([x[2] for x in found]), n_ties)
+                    yield lists(batch.column("block")[k].as_py(), *distinct_ties(found), n_ties)
         release()
 
     with_first = blocks.join(first.hint("shuffle_hash"), "block", "left").select("block", "texts", "first")
@@ -287,9 +339,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 starts: dict[int, list] = {}
                 found = block_ties(batch, k, texts) if batch.column("second")[k].is_valid else []
                 if found:
-                    repeated = marked(distinct([x[2] for x in found])[0], batch.column("second")[k].values)
-                    for text, at, names in found:
-                        yes = among(names, repeated)
+                    known, known_check, _ = distinct_ties(found)
+                    yes = marked(batch.column("second")[k].values)
+                    known, known_check = known[yes], known_check[yes]
+                    for text, at, names, check in found:
+                        yes = both_among(names, check, known, known_check)
                         for i in np.unique(text[yes]):
                             starts.setdefault(int(i), []).append(at[yes & (text == i)])
                 yield from _cut(batch.column("ids")[k].values, texts, starts, width)

@@ -83,12 +83,19 @@ def test_weak_names_are_told_apart_by_their_checks(spark, bits):
     assert [(bytes(r.kept), [tuple(s) for s in r.spans]) for r in sorted(got, key=lambda r: r.id)] == want
 
 
-def test_lookup_by_name_and_check():
-    u = lambda *x: np.array(x, np.uint64)
-    known, checks = u(3, 3, 3, 9), u(1, 4, 7, 2)
-    names, asked = u(3, 3, 3, 3, 9, 9, 1, 12), u(1, 7, 5, 8, 2, 3, 1, 1)
-    assert S.both_among(names, asked, known, checks).tolist() == [True, True, False, False, True, False, False, False]
-    assert not S.both_among(names, asked, u(), u()).any()
+def test_names_and_checks_in_order():
+    names, check = np.array([9, 3, 3, 9, 3], np.uint64), np.array([2, 7, 1, 2, 7], np.uint32)
+    order, same = S.in_order(names, check)
+    assert [(int(names[i]), int(check[i])) for i in order] == [(3, 1), (3, 7), (3, 7), (9, 2), (9, 2)]
+    assert same.tolist() == [False, False, True, False, True]
+    assert not len(S.in_order(names[:0], check[:0])[0])
+
+
+def test_packed_names():
+    rnd = np.random.default_rng(4)
+    for names in (np.array([0], np.uint64), np.array([5, 1 << 48, (1 << 64) - 1], np.uint64),
+                  np.sort(rnd.integers(0, 1 << 64, 5_000, np.uint64, endpoint=False))):
+        assert S.unpacked(*S.packed(names)).tolist() == names.tolist()
 
 
 def test_empty(spark):

@@ -15,9 +15,10 @@ suffixes that matter are those that share their first ``width`` bytes with anoth
 
 Only equality of the first ``width`` bytes matters here, so buckets and ties are ordered by name (64 mixed bits
 of a polynomial hash with random byte values) instead of by the bytes themselves; texts need not follow their
-suffixes into a bucket. Before bytes go, the suffixes of one name are told apart by a check, a second 64-bit name
-under other random byte values: two different strings share both with probability 2^-128. A false pair of sample
-names only makes one more suffix a tie.
+suffixes into a bucket. Before bytes go, the suffixes of one name are told apart by a check, 32 bits of a second name
+under other random byte values: two different strings share both with probability 2^-96. A false pair of sample
+names only makes one more suffix a tie. A list of names is sent as counts of their leading 16 bits, which rise, and the
+other 48 bits of each.
 
 Texts are packed into *blocks* of about ``BLOCK`` bytes, staged once in a table bucketed by block, so that
 answers are joined to their block without moving texts again. A block sends a bucket its distinct names
@@ -144,7 +145,7 @@ class Cover:
             begin = np.cumsum(sizes) - sizes
             if len(q):
                 yield (text[qof], q - begin[qof] + at[qof], self.named(sums, q, q + self.width),
-                       spans(prefix(CHECK[raw]), q, q + self.width))
+                       (spans(prefix(CHECK[raw]), q, q + self.width) >> np.uint64(32)).astype(np.uint32))
 
 
 def among(names: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -155,21 +156,6 @@ def among(names: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(at, len(known) - 1)] == names
 
 
-def both_among(names: np.ndarray, check: np.ndarray, known: np.ndarray, known_check: np.ndarray) -> np.ndarray:
-    """Which (name, check) are in arrays sorted by name, then check."""
-    out = np.zeros(len(names), bool)
-    at = np.searchsorted(known, names)
-    left = np.flatnonzero(at < len(known))
-    while len(left):  # a second turn only where one name has several checks
-        left = left[known[at[left]] == names[left]]
-        same = known_check[at[left]] == check[left]
-        out[left[same]] = True
-        left = left[~same]
-        at[left] += 1
-        left = left[at[left] < len(known)]
-    return out
-
-
 def distinct(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct names, and which of them occur more than once."""
     names = np.sort(np.concatenate([np.empty(0, np.uint64), *parts]))
@@ -192,38 +178,59 @@ def in_order(names: np.ndarray, check: np.ndarray | None) -> tuple[np.ndarray, n
     return order, same
 
 
+def ties_in_order(found: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Names and checks of a block's ties, their order, and which rows of that order equal the row before them."""
+    names, check = np.concatenate([x[2] for x in found]), np.concatenate([x[3] for x in found])
+    return names, check, *in_order(names, check)
+
+
 def distinct_ties(found: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (name, check) of a block's ties by name, then check, and which of them occur more than once."""
-    names, check = np.concatenate([x[2] for x in found]), np.concatenate([x[3] for x in found])
-    order, same = in_order(names, check)
+    names, check, order, same = ties_in_order(found)
     first = np.flatnonzero(~same)
     return names[order[first]], check[order[first]], np.diff(np.append(first, len(names))) > 1
 
 
+def packed(names: np.ndarray) -> tuple[int, bytes, bytes]:
+    """Sorted names as their first leading 16 bits, the counts of these and the following ones, and the other 48 bits."""
+    lead = (names >> np.uint64(48)).astype(np.int64)
+    counts = np.bincount(lead - lead[0]).astype("<u4")
+    return int(lead[0]), counts.tobytes(), names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(first: int, counts, rest) -> np.ndarray:
+    counts = np.frombuffer(counts, "<u4")
+    out = np.zeros((len(rest) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(rest, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel() | (np.repeat(np.arange(len(counts), dtype=np.uint64) + np.uint64(first), counts) << np.uint64(48))
+
+
 def lists(block: int, names: np.ndarray, check: np.ndarray | None, twice: np.ndarray, n_buckets: int):
-    """Rows (bucket, block, names, check, twice) of a block: a bucket is a range of names."""
+    """Rows (bucket, block, packed names, check, twice) of a block: a bucket is a range of names."""
     bucket = (((names >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)).astype(np.int64)
     cut = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist() + [len(names)]
     some, cut = bucket[cut[:-1]], list(zip(cut[:-1], cut[1:]))
+    sent = [packed(names[a:b]) for a, b in cut]
     return pa.record_batch([
         pa.array(some.astype(np.int32)), pa.array([block] * len(some), pa.int64()),
-        pa.array([names[a:b].tobytes() for a, b in cut], pa.binary()),
+        pa.array([x[0] for x in sent], pa.int32()), pa.array([x[1] for x in sent], pa.binary()),
+        pa.array([x[2] for x in sent], pa.binary()),
         pa.array([None if check is None else check[a:b].tobytes() for a, b in cut], pa.binary()),
         pa.array([np.packbits(twice[a:b]).tobytes() for a, b in cut], pa.binary())],
-        names=["bucket", "block", "names", "check", "twice"])
+        names=["bucket", "block", "first", "counts", "rest", "check", "twice"])
 
 
-LISTS = "bucket int, block long, names binary, check binary, twice binary"
+LISTS = "bucket int, block long, first int, counts binary, rest binary, check binary, twice binary"
 
 
 def sort_bucket(group: pa.Table) -> pa.Table:
     """Sort one bucket's names and checks; answer every block which of them occur more than once overall."""
-    parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["names"]]
+    parts = [unpacked(f.as_py(), c.as_buffer(), r.as_buffer()) for f, c, r in zip(group["first"], group["counts"], group["rest"])]
     names = np.concatenate(parts)
     sizes = np.array([len(x) for x in parts])
     twice = np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=n)
                             for x, n in zip(group["twice"], sizes)]).astype(bool)
-    check = None if group["check"].null_count else np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in group["check"]])
+    check = None if group["check"].null_count else np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in group["check"]])
     order, same = in_order(names, check)
     repeat = same.copy()
     repeat[:-1] |= same[1:]
@@ -339,11 +346,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 starts: dict[int, list] = {}
                 found = block_ties(batch, k, texts) if batch.column("second")[k].is_valid else []
                 if found:
-                    known, known_check, _ = distinct_ties(found)
-                    yes = marked(batch.column("second")[k].values)
-                    known, known_check = known[yes], known_check[yes]
-                    for text, at, names, check in found:
-                        yes = both_among(names, check, known, known_check)
+                    order, same = ties_in_order(found)[2:]
+                    repeated = np.empty(len(order), bool)
+                    repeated[order] = marked(batch.column("second")[k].values)[np.cumsum(~same) - 1]
+                    for text, at, names, _ in found:
+                        yes, repeated = repeated[:len(names)], repeated[len(names):]
                         for i in np.unique(text[yes]):
                             starts.setdefault(int(i), []).append(at[yes & (text == i)])
                 yield from _cut(batch.column("ids")[k].values, texts, starts, width)

@@ -93,8 +93,8 @@ def test_names_and_checks_in_order():
 
 def test_packed_names():
     rnd = np.random.default_rng(4)
-    for names in (np.array([0], np.uint64), np.array([5, 1 << 48, (1 << 64) - 1], np.uint64),
-                  np.sort(rnd.integers(0, 1 << 64, 5_000, np.uint64, endpoint=False))):
+    for names in (np.array([0], np.uint64), np.array([5 << 8, 1 << 48, ((1 << 56) - 1) << 8], np.uint64),
+                  np.sort(rnd.integers(0, 1 << 56, 5_000, np.uint64)) << np.uint64(8)):
         assert S.unpacked(*S.packed(names)).tolist() == names.tolist()
 
 

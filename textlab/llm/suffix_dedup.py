@@ -13,12 +13,12 @@ suffixes that matter are those that share their first ``width`` bytes with anoth
   rest (long ties) are resolved by names of their whole ``width`` bytes, composed from running sums, and sorted
   by bucket in the same way. Suffixes that share a name and its check there are repeats.
 
-Only equality of the first ``width`` bytes matters here, so buckets and ties are ordered by name (64 mixed bits
+Only equality of the first ``width`` bytes matters here, so buckets and ties are ordered by name (56 mixed bits
 of a polynomial hash with random byte values) instead of by the bytes themselves; texts need not follow their
 suffixes into a bucket. Before bytes go, the suffixes of one name are told apart by a check, 32 bits of a second name
-under other random byte values: two different strings share both with probability 2^-96. A false pair of sample
+under other random byte values: two different strings share both with probability 2^-88. A false pair of sample
 names only makes one more suffix a tie. A list of names is sent as counts of their leading 16 bits, which rise, and the
-other 48 bits of each.
+other 40 bits of each.
 
 Texts are packed into *blocks* of about ``BLOCK`` bytes, staged once in a table bucketed by block, so that
 answers are joined to their block without moving texts again. A block sends a bucket its distinct names
@@ -49,6 +49,8 @@ BLOCK = 4 << 20
 PART = 4 * BLOCK
 #: Names a bucket holds on average; it is sorted in the memory of one task.
 BUCKET_NAMES = 2_000_000
+#: Leading bits of a name that are kept: what ``packed`` sends.
+NAME_BITS = 56
 
 
 def difference_cover(r: int) -> tuple[int, np.ndarray]:
@@ -104,7 +106,7 @@ def places(sizes: np.ndarray, length: int, most: int) -> tuple[np.ndarray, np.nd
 class Cover:
     """Sample names and long ties of a block's texts."""
 
-    def __init__(self, width: int, chunk: int = CHUNK, name_bits: int = 64):
+    def __init__(self, width: int, chunk: int = CHUNK, name_bits: int = NAME_BITS):
         self.width, self.chunk = width, chunk
         self.rest = np.uint64(64 - name_bits)
         self.v, cover = cover_for(width)
@@ -192,16 +194,16 @@ def distinct_ties(found: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def packed(names: np.ndarray) -> tuple[int, bytes, bytes]:
-    """Sorted names as their first leading 16 bits, the counts of these and the following ones, and the other 48 bits."""
+    """Sorted names as their first leading 16 bits, the counts of these and the following ones, and the next 40 bits."""
     lead = (names >> np.uint64(48)).astype(np.int64)
     counts = np.bincount(lead - lead[0]).astype("<u4")
-    return int(lead[0]), counts.tobytes(), names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return int(lead[0]), counts.tobytes(), names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 1:6].tobytes()
 
 
 def unpacked(first: int, counts, rest) -> np.ndarray:
     counts = np.frombuffer(counts, "<u4")
-    out = np.zeros((len(rest) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(rest, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(rest) // 5, 8), np.uint8)
+    out[:, 1:6] = np.frombuffer(rest, np.uint8).reshape(-1, 5)
     return out.view("<u8").ravel() | (np.repeat(np.arange(len(counts), dtype=np.uint64) + np.uint64(first), counts) << np.uint64(48))
 
 
@@ -293,10 +295,10 @@ def block_table(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 400,
-                   chunk: int = CHUNK, name_bits: int = 64) -> DataFrame:
+                   chunk: int = CHUNK, name_bits: int = NAME_BITS) -> DataFrame:
     """One row per input row: id, n_bytes, kept (the bytes left), spans (maximal removed runs).
 
-    ``name_bits``: leading bits of the names that are used; with few, one name stands for many strings and the
+    ``name_bits``: leading bits of the names that are used, at most ``NAME_BITS``; with few, one name stands for many strings and the
     checks alone tell them apart.
     """
     blocks, parts = block_table(docs, id_col, text_col)

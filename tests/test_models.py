@@ -45,6 +45,82 @@ def test_prototype_clusters_reach_the_fixed_point(spark):
     assert (((x[:, None, :] - cents[None]) ** 2).sum(axis=2).argmin(axis=1) == lab).all()
 
 
+def test_pca_by_sums_matches_numpy(spark):
+    """Partitions, null vectors and extra columns change nothing; shares of variance are those of the covariance."""
+    import numpy as np
+    from textlab.operators.cluster import fit_pca
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 5)) * [5, 3, 1, 0.2, 0] + 7
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(-1, None)], "id int, embedding array<double>").repartition(5)
+    m = fit_pca(df, "embedding", 3)
+    values, axes = np.linalg.eigh(np.cov(x.T))
+    want = (x - x.mean(axis=0)) @ axes[:, ::-1][:, :3]
+    got = {r["id"]: r["pca"] for r in m.project(df).collect()}
+    assert got.pop(-1) is None
+    assert np.allclose(np.abs([got[i] for i in range(300)]), np.abs(want), atol=1e-9)
+    assert np.allclose(m.explained_variance, (values[::-1] / values.sum())[:3])
+    assert (m.components[np.abs(m.components).argmax(axis=0), range(3)] > 0).all()
+    with pytest.raises(ValueError):
+        fit_pca(df.limit(0), "embedding", 2)
+
+
+def _noisy(spark, n=600, d=4, seed=3):
+    import numpy as np
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, d)) * [1, 10, 0.1, 1] + [0, 5, 0, -2]
+    y = (rng.random(n) < 1 / (1 + np.exp(-(1.5 * x[:, 0] - 0.1 * x[:, 1] + 0.3)))).astype(int)
+    w = np.where(y == 1, 2.0, 0.7)
+    return spark.createDataFrame([(int(a), float(b), c.tolist()) for a, b, c in zip(y, w, x)], "label int, w double, embedding array<double>")
+
+
+def test_logistic_matches_spark_ml(spark):
+    """All sets fitted together equal Spark ML's separate fits: none, ridge, lasso, mixed; a constant dimension gets 0."""
+    from pyspark.ml.classification import LogisticRegression
+    from textlab.operators.logistic import fit_logistic
+    from textlab.operators.models import vector_features
+    df = _noisy(spark).withColumn("embedding", F.array_append("embedding", F.lit(4.0)))
+    params = [(0.0, 0.0), (0.05, 0.0), (0.05, 1.0), (0.02, 0.5)]
+    x = vector_features(df).withColumn("label", F.col("label").cast("double")).cache()
+    for (reg, l1), m in zip(params, fit_logistic(df.repartition(7), params, weight_col="w")):
+        ml = LogisticRegression(weightCol="w", regParam=reg, elasticNetParam=l1, maxIter=500, tol=1e-12).fit(x)
+        assert m.coefficients == pytest.approx(ml.coefficients.toArray(), abs=2e-5)
+        assert m.intercept == pytest.approx(ml.intercept, abs=2e-4)
+        assert m.coefficients[-1] == 0
+        assert [bool(c) for c in m.coefficients] == [abs(c) > 1e-9 for c in ml.coefficients.toArray()]
+
+
+def test_logistic_cases(spark):
+    """Rows that lack something take no part; separable data without a penalty ends; no rows are an error."""
+    from textlab.operators.logistic import fit_logistic
+    df = _noisy(spark, 200)
+    more = df.unionByName(spark.createDataFrame([(None, 1.0, [1.0] * 4), (1, 1.0, None), (0, None, [9.0] * 4)], df.schema))
+    a, b = fit_logistic(df, [(0.1, 0.0)], weight_col="w")[0], fit_logistic(more, [(0.1, 0.0)], weight_col="w")[0]
+    assert a.coefficients == pytest.approx(b.coefficients, abs=1e-12)
+    assert a.transform(more).where("embedding IS NULL").first()["prob"] is None
+    line = spark.createDataFrame([(int(i > 9), [float(i)]) for i in range(20)], "label int, embedding array<double>")
+    m, = fit_logistic(line, [(0.0, 0.0)])
+    scored = m.transform(line).collect()
+    assert all((r["prob"] > 0.5) == (r["label"] == 1) for r in scored) and m.steps < 60
+    with pytest.raises(ValueError):
+        fit_logistic(df.limit(0), [(0.0, 0.0)])
+
+
+def test_sweep_steps_serve_all_sets(spark):
+    """Jobs follow the steps, not the number of parameter sets."""
+    from textlab.operators.models import sweep
+    df = _noisy(spark)
+    seen = []
+    for name, grid in (("one", {"regParam": [0.1]}), ("many", {"regParam": [0.1, 0.2, 0.3, 0.4, 0.5, 0.6], "elasticNetParam": [0.0, 0.5]})):
+        spark.sparkContext.setJobGroup(f"sweep-{name}", name)
+        trials, best, _ = sweep(df, df, grid=grid)
+        seen.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"sweep-{name}")))
+        assert trials.count() == 3 * (1 if name == "one" else 12) and best.steps > 0
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert seen[1] <= seen[0] + 12  # a few more steps at most, not twelve fits
+    with pytest.raises(ValueError):
+        sweep(df, df, grid={"maxIter": [3]})
+
+
 def test_param_grid_216(spark):
     from textlab.operators.joins import param_grid
     grid = {"a": [1, 2, 3], "b": [10, 20, 30], "c": [0, 1], "d": ["x", "y", "z"], "e": [0.5], "f": [7, 8], "g": [0.1, 0.2]}

@@ -13,6 +13,7 @@ from pyspark.sql.types import (ArrayType, DoubleType, IntegerType, LongType, Str
                                StructType)
 
 from textlab.functions.vector import as_double_array
+from textlab.operators.logistic import stacked, task_sums
 from textlab.session import stage
 
 
@@ -163,38 +164,48 @@ def cluster_labels(df: DataFrame, cluster_col: str = "cluster",
 @dataclass
 class PcaModel:
     """A centred PCA fitted once (H6); ``project`` applies it to any frame."""
-    scaler: object
-    pca: object
-    signs: list[float]
+    mean: np.ndarray
+    components: np.ndarray
     explained_variance: list[float]
     vec_col: str = "embedding"
 
     def project(self, df: DataFrame, out_col: str = "pca") -> DataFrame:
-        from pyspark.ml.functions import array_to_vector, vector_to_array
-        v = df.withColumn("_v", array_to_vector(as_double_array(self.vec_col)))
-        out = self.pca.transform(self.scaler.transform(v)).withColumn("_pa", vector_to_array("_p"))
-        out = out.withColumn(out_col, F.array(*[F.col("_pa")[j] * F.lit(sg) for j, sg in enumerate(self.signs)]))
-        return out.drop("_v", "_c", "_p", "_pa")
+        """``df`` with its coordinates; null for a null vector."""
+        mean, axes = self.mean, self.components
 
+        @F.pandas_udf("array<double>")
+        def coordinates(vectors: pd.Series) -> pd.Series:
+            out = pd.Series([None] * len(vectors), index=vectors.index, dtype=object)
+            have = vectors.notna()
+            if have.any():
+                out[have] = pd.Series(((stacked(vectors[have]) - mean) @ axes).tolist(), index=vectors.index[have])
+            return out
 
-def fit_pca(df: DataFrame, vec_col: str = "embedding", k: int = 2) -> PcaModel:
-    """H6: centred PCA (Spark ML's PCA projects without subtracting the mean,
-    so a mean-only StandardScaler runs first). Signs are fixed so the
-    largest-magnitude loading of each component is positive. Fit once, then
-    project every frame (clusters, labels, groups) with the same model."""
-    from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import array_to_vector
+        return df.withColumn(out_col, coordinates(F.col(self.vec_col)))
 
-    v = df.withColumn("_v", array_to_vector(as_double_array(vec_col)))
-    scaler = StandardScaler(withMean=True, withStd=False, inputCol="_v", outputCol="_c").fit(v)
-    model = PCA(k=k, inputCol="_c", outputCol="_p").fit(scaler.transform(v))
-    pc = model.pc.toArray()
-    signs = []
-    for j in range(k):
-        col = pc[:, j]
-        i = max(range(len(col)), key=lambda t: abs(col[t]))
-        signs.append(1.0 if col[i] >= 0 else -1.0)
-    return PcaModel(scaler, model, signs, list(model.explainedVariance.toArray()), vec_col)
+
+def fit_pca(df: DataFrame, vec_col: str = "embedding", k: int = 2) -> PcaModel:
+    """H6: centred PCA from sums: the mean, then the covariance of centred rows, both added up by task in Spark; the d x d
+    matrix is decomposed on the driver. Signs are fixed so the largest-magnitude loading of each component is
+    positive. Rows with a null vector take no part; no rows are an error. Fit once, then project every frame with the model."""
+    rows = stage(df.select(as_double_array(vec_col).alias("v")).dropna(), "pca-input")
+    n, dim = rows.agg(F.count("v"), F.max(F.size("v"))).first()
+    if not n:
+        raise ValueError("no vectors to fit a PCA on")
+    mean = task_sums(rows, dim, lambda pdf: stacked(pdf["v"]).sum(axis=0)) / n
+    upper = np.triu_indices(dim)
+
+    def products(pdf):
+        x = stacked(pdf["v"]) - mean
+        return (x.T @ x)[upper]
+
+    cov = np.zeros((dim, dim))
+    cov[upper] = task_sums(rows, len(upper[0]), products) / max(n - 1, 1)
+    values, axes = np.linalg.eigh(cov + np.triu(cov, 1).T)
+    values, axes = np.maximum(values[::-1], 0.0), axes[:, ::-1][:, :k]
+    lead = axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])]
+    share = values / values.sum() if values.sum() > 0 else values
+    return PcaModel(mean, axes * np.where(lead < 0, -1.0, 1.0), share[:k].tolist(), vec_col)
 
 
 def pca(df: DataFrame, vec_col: str = "embedding", k: int = 2, out_col: str = "pca"):

@@ -15,6 +15,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textlab.operators.logistic import fit_logistic, probabilities
 from textlab.operators.metrics import attach_class_weights, binary_metrics, rank_auc
 
 
@@ -84,13 +85,20 @@ def batch_score(model, df: DataFrame, vec_col: str | None = None, threshold: flo
             .drop("_prob", "rawPrediction", "features", "_tok", "_tf", "_idf"))
 
 
+def fit_vectors(train: DataFrame, params: Sequence[tuple[float, float]], label_col: str = "label", vec_col: str = "embedding"):
+    """One class-weighted logistic regression (G12 weights) on supplied vectors for each (regParam, elasticNetParam)."""
+    return fit_logistic(attach_class_weights(train, label_col, "_w"), params, label_col, vec_col, "_w")
+
+
 def domain_shift_auc(train: DataFrame, test: DataFrame, label_col: str = "label",
-                     vec_col: str = "embedding") -> DataFrame:
+                     vec_col: str = "embedding", reg: float = 0.01) -> DataFrame:
     """H9: can a simple classifier tell two domains apart? One row: exact AUC (``metrics.rank_auc``),
     accuracy, F1 on the held-out split (AUC near 0.5 = no shift)."""
     from textlab.session import stage
-    m = train_weighted_classifier(train, label_col, None, vec_col)
-    scored = stage(batch_score(m, test, vec_col).select(F.lit("all").alias("_all"), label_col, "prob", "prediction"), "shift-scores")
+    m, = fit_vectors(train, [(reg, 0.0)], label_col, vec_col)
+    scored = m.transform(test, vec_col).select(F.lit("all").alias("_all"), label_col, "prob",
+                                               (F.col("prob") > 0.5).cast("int").alias("prediction"))
+    scored = stage(scored, "shift-scores")
     auc = rank_auc(scored, ["_all"], label_col, "prob")
     met = binary_metrics(scored, ["_all"], label_col, "prediction")
     return met.join(auc, "_all").select(F.round("auc", 6).alias("auc"), "accuracy", "f1", "tp", "fp", "fn", "tn")
@@ -98,33 +106,36 @@ def domain_shift_auc(train: DataFrame, test: DataFrame, label_col: str = "label"
 
 def sweep(train: DataFrame, val: DataFrame, label_col: str = "label", vec_col: str = "embedding",
           grid: Mapping[str, Sequence] | None = None, thresholds: Sequence[float] = (0.4, 0.5, 0.6)):
-    """A grid over class-weighted LogisticRegression parameters and the decision threshold, ranked by
-    the F1 on the held-out split; returns (trial table, best model, best threshold).
+    """A grid over the penalty of a class-weighted logistic regression (``regParam``, ``elasticNetParam``; one left
+    out is 0) and the decision threshold, ranked by the F1 on the held-out split; returns (trial table, best model, best
+    threshold).
 
-    One fit per parameter set; all its thresholds are scored in one pass over ``val``. Ties go to the
-    earlier trial, whose order is the grid's (the threshold varies fastest).
+    All parameter sets are fitted together, one job a step (``logistic.fit_logistic``), and all sets and thresholds
+    are scored in one pass over ``val``. Ties go to the earlier trial, whose order is the grid's (the threshold varies
+    fastest).
     """
     from itertools import product
     grid = grid or {"regParam": [0.0, 0.01, 0.1], "elasticNetParam": [0.0, 0.5]}
-    x = vector_features(attach_class_weights(train, label_col, "_w"), vec_col)
-    x = x.withColumn(label_col, F.col(label_col).cast("double")).cache()
-    rows, best = [], (-1.0, None, None)
+    if set(grid) - {"regParam", "elasticNetParam"}:
+        raise ValueError(f"the sweep knows regParam and elasticNetParam, not {sorted(set(grid) - {'regParam', 'elasticNetParam'})}")
+    sets = [dict(zip(grid, values)) for values in product(*grid.values())]
+    models = fit_vectors(train, [(s.get("regParam", 0.0), s.get("elasticNetParam", 0.0)) for s in sets], label_col, vec_col)
     y = F.col(label_col)
-    for values in product(*grid.values()):
-        lr = LogisticRegression(featuresCol="features", labelCol=label_col, weightCol="_w", probabilityCol="_prob",
-                                **dict(zip(grid, values)))
-        model = Pipeline(stages=[lr]).fit(x)
-        scored = batch_score(model, val, vec_col)
-        found = scored.agg(*[e for i, t in enumerate(thresholds) for e in (
-            F.count_if((F.col("prob") > t) & (y == 1)).alias(f"tp{i}"), F.count_if((F.col("prob") > t) & (y == 0)).alias(f"fp{i}"),
-            F.count_if(~(F.col("prob") > t) & (y == 1)).alias(f"fn{i}"))]).first()
+    counts = []
+    for m in range(len(sets)):
+        for i, t in enumerate(thresholds):
+            yes = F.col("_p")[m] > t
+            counts += [F.count_if(yes & (y == 1)).alias(f"tp{m}_{i}"), F.count_if(yes & (y == 0)).alias(f"fp{m}_{i}"),
+                       F.count_if(~yes & (y == 1)).alias(f"fn{m}_{i}")]
+    found = probabilities(val, models, vec_col, "_p").agg(*counts).first()
+    rows, best = [], (-1.0, None, None)
+    for m, s in enumerate(sets):
         for i, t in enumerate(thresholds):
-            tp, wrong = found[f"tp{i}"], found[f"fp{i}"] + found[f"fn{i}"]
+            tp, wrong = found[f"tp{m}_{i}"], found[f"fp{m}_{i}"] + found[f"fn{m}_{i}"]
             f1 = 2 * tp / (2 * tp + wrong) if tp + wrong else 0.0
-            rows.append((len(rows) + 1, *[float(v) for v in values], float(t), f1))
+            rows.append((len(rows) + 1, *[float(v) for v in s.values()], float(t), f1))
             if f1 > best[0]:
-                best = (f1, model, t)
-    x.unpersist()
+                best = (f1, models[m], t)
     cols = ", ".join(f"{n} double" for n in grid)
     trials = train.sparkSession.createDataFrame(rows, f"trial int, {cols}, threshold double, eval_f1 double")
     return trials, best[1], best[2]

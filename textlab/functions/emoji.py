@@ -6,7 +6,7 @@ fixed table, and a rule for skin tones. Only characters with the Unicode Emoji
 property count (so a check mark such as U+2713 stays), and variation selectors and
 joiners are dropped inside an emoji sequence only. Deviations: a joined sequence
 (a family) gives one name per member, and a flag gives its two regional letters.
-Rows without an emoji never leave the JVM.
+Texts never leave the JVM, only the emoji found in them.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # Code points and ranges with the Unicode Emoji property (digits, # and * aside).
 EMOJI_RANGES = (
@@ -54,7 +54,9 @@ TONES = ["light", "medium-light", "medium", "medium-dark", "dark"]
 _CLASS = "[" + "".join("-".join(f"\\U{int(x, 16):08X}" for x in r.split("-")) for r in EMOJI_RANGES) + "]"
 _TONE = "[\U0001F3FB-\U0001F3FF]"
 _RE = re.compile(f"({_CLASS})\uFE0F?({_TONE})?\uFE0F?(?:\u200D(?={_CLASS}))?")
-_JVM_CLASS = "[" + "".join("-".join(f"\\x{{{x}}}" for x in r.split("-")) for r in EMOJI_RANGES) + "]"
+# the leading look-ahead passes plain characters without trying every range
+_JVM_CLASS = r"(?=[^\x{0}-\x{A8}])[" + "".join("-".join(f"\\x{{{x}}}" for x in r.split("-")) for r in EMOJI_RANGES) + "]"
+_JVM_SEQUENCE = _JVM_CLASS + r"\x{FE0F}?[\x{1F3FB}-\x{1F3FF}]?\x{FE0F}?(?:\x{200D}(?=" + _JVM_CLASS + "))?"
 
 
 def _name(m: re.Match) -> str:
@@ -75,12 +77,23 @@ def demojize_text(s):
     return _RE.sub(_name, s)
 
 
-@F.pandas_udf(StringType())
-def _demojize(s: pd.Series) -> pd.Series:
-    return s.map(demojize_text)
+def _sequence_name(s: str) -> str:
+    """The name of one found sequence; a trailing joiner belongs to it, and stays with a character that has no name."""
+    m = _RE.match(s)
+    name = _name(m)
+    return s if name == m.group(0) else name
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _names(found: pd.Series) -> pd.Series:
+    return found.map(lambda x: None if x is None else [_sequence_name(s) for s in x])
 
 
 def demojize(text) -> Column:
-    """P4 on a column; texts without an emoji are passed on as they are."""
+    """P4 on a column. Only the emoji found go to Python, never the texts around them; texts without one are passed on as
+    they are."""
     c = F.col(text) if isinstance(text, str) else text
-    return F.coalesce(_demojize(F.when(c.rlike(_JVM_CLASS), c)), c)
+    have = c.rlike(_JVM_CLASS)
+    names = _names(F.when(have, F.regexp_extract_all(c, F.lit(_JVM_SEQUENCE), F.lit(0))))
+    parts = F.zip_with(F.split(c, _JVM_SEQUENCE, -1), names, lambda p, n: F.concat(p, F.coalesce(n, F.lit(""))))
+    return F.when(have, F.array_join(parts, "")).otherwise(c)

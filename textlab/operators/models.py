@@ -12,7 +12,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlab.operators.logistic import fit_logistic, probabilities
@@ -42,18 +42,20 @@ def hashed_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def tfidf_terms(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """H1 with the terms kept: (id, term, weight), L2-normalised per text, idf = ln((n + 1) / (df + 1)).
 
-    Same words and weights as ``featurize_pipeline`` without its hashing; a frequent term is counted in partial
-    aggregates, and its document frequency joins back on the term (AQE splits a hot one).
+    Same words and weights as ``featurize_pipeline`` without its hashing. Texts go by id once, and words are counted,
+    weighted and normalised where they are; a term's document frequency is added up in partial aggregates and comes back
+    by broadcast if the terms are few enough for it, else by a join on the term (AQE splits a hot one).
     """
+    from textlab.session import small
     tokens = F.filter(F.split(F.lower(text_col), r"(?U)\W+"), lambda t: t != "")
-    tf = df.select(F.col(id_col).alias("_id"), F.explode(tokens).alias("term")).groupBy("_id", "term").agg(
-        F.count(F.lit(1)).alias("_tf"))
+    tf = df.select(F.col(id_col).alias("_id"), F.col(text_col)).repartition("_id").select(
+        "_id", F.explode(tokens).alias("term")).groupBy("_id", "term").agg(F.count(F.lit(1)).alias("_tf"))
     n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    freq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-    raw = tf.join(freq, "term").withColumn("_w", F.col("_tf") * F.ln((n + 1.0) / (F.col("_df") + 1.0)))
-    norm = raw.groupBy("_id").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_n"))
-    return raw.join(norm, "_id").select(F.col("_id").alias(id_col), "term",
-                                        F.coalesce(F.try_divide("_w", "_n"), F.lit(0.0)).alias("weight"))
+    freq = small(tf.groupBy("term").agg(F.count(F.lit(1)).alias("_df")), 64)
+    raw = tf.where("_id is not null").join(freq, "term").withColumn("_w", F.col("_tf") * F.ln((n + 1.0) / (F.col("_df") + 1.0)))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("_id")))
+    return raw.withColumn("_n", norm).select(F.col("_id").alias(id_col), "term",
+                                             F.coalesce(F.try_divide("_w", "_n"), F.lit(0.0)).alias("weight"))
 
 
 def vector_features(df: DataFrame, vec_col: str = "embedding", out_col: str = "features") -> DataFrame:

@@ -1,6 +1,6 @@
 """Row scoring with a caller's function.
 
-The function is applied with ``mapInPandas``: Arrow batches, one Python
+Reply functions are applied with ``mapInArrow`` to parts of Arrow batches, scorers with ``mapInPandas``; one Python
 worker per task, initialised once per task (``init``), never per row. A
 failing row becomes a row with a status, not a failed task.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -17,6 +18,9 @@ from pyspark.sql.types import StructType
 from textlab.functions.parse import json_reply, two_line_reply
 from textlab.operators.joins import pending_rows
 
+#: The function sees rows of about this many bytes at a time: whole Arrow batches of long texts fill a worker's memory.
+CALL_BYTES = 1 << 20
+
 ReplyFn = Callable[[pd.DataFrame], pd.Series]
 
 
@@ -27,31 +31,32 @@ def apply_reply_fn(df: DataFrame, reply_fn: ReplyFn, out_col: str = "reply",
     runs once per task and is passed as ``reply_fn.state``."""
     schema = StructType(list(df.schema.fields)).add(out_col, "string").add("status", "string")
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def replied(pdf: pd.DataFrame, state) -> tuple[list, list]:
+        call = (lambda x: reply_fn(x)) if state is None else (lambda x: reply_fn(x, state))  # type: ignore[call-arg]
+        try:
+            return call(pdf).astype(object).tolist(), ["ok"] * len(pdf)
+        except Exception:  # noqa: BLE001 - fall back to row by row
+            vals, stats = [], []
+            for i in range(len(pdf)):
+                try:
+                    vals.append(call(pdf.iloc[i:i + 1]).iloc[0])
+                    stats.append("ok")
+                except Exception as e:  # noqa: BLE001
+                    vals.append(None)
+                    stats.append(f"error: {type(e).__name__}")
+            return vals, stats
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = init() if init else None
-        for pdf in it:
-            try:
-                if state is not None:
-                    replies = reply_fn(pdf, state)  # type: ignore[call-arg]
-                else:
-                    replies = reply_fn(pdf)
-                pdf[out_col] = replies.astype(object)
-                pdf["status"] = "ok"
-            except Exception:  # noqa: BLE001 - fall back to row by row
-                vals, stats = [], []
-                for i in range(len(pdf)):
-                    try:
-                        one = reply_fn(pdf.iloc[i:i + 1]) if state is None else reply_fn(pdf.iloc[i:i + 1], state)
-                        vals.append(one.iloc[0])
-                        stats.append("ok")
-                    except Exception as e:  # noqa: BLE001
-                        vals.append(None)
-                        stats.append(f"error: {type(e).__name__}")
-                pdf[out_col] = vals
-                pdf["status"] = stats
-            yield pdf
-
-    return df.mapInPandas(run, schema)
+        for batch in batches:
+            step = max(1, CALL_BYTES * batch.num_rows // max(batch.nbytes, 1))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                vals, stats = replied(part.to_pandas(), state)
+                vals = pa.array([None if v is None or v is pd.NA or v != v else v for v in vals], pa.string())
+                yield pa.record_batch([*part.columns, vals, pa.array(stats, pa.string())], names=schema.fieldNames())
+
+    return df.mapInArrow(run, schema)
 
 
 def label_with_reply_model(df: DataFrame, reply_fn: ReplyFn, text_col: str = "text") -> DataFrame:

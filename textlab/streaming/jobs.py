@@ -87,6 +87,10 @@ def score_new_files(spark: SparkSession, src: str, schema: StructType, out_dir:
     return q
 
 
+#: A slice is split over tasks of this many rows, at most one for each core.
+TASK_ROWS = 256
+
+
 def resume_generation(todo: DataFrame, out_dir: str, key: str,
                       generate: Callable[[DataFrame], DataFrame], slice_rows: int = 25) -> int:
     """R2 (batch form): generate only rows whose key is not yet in ``out_dir``, appended in hash slices of about
@@ -98,9 +102,12 @@ def resume_generation(todo: DataFrame, out_dir: str, key: str,
     n_slices = -(-pending.count() // slice_rows)
     if not n_slices:
         return 0
-    # the pending rows are written once, split by slice; each slice then reads its own files
+    # the pending rows are written once, split by slice; each slice then reads its own files, of which it has one for each
+    # core (or ``TASK_ROWS`` rows), as the slices follow each other
     sliced = pending.withColumn("_slice", F.pmod(F.xxhash64(F.col(key)), F.lit(n_slices)).cast("int"))
-    sliced = stage(sliced.repartition("_slice"), "resume-slices", ["_slice"])
+    files = max(1, min(spark.sparkContext.defaultParallelism, slice_rows // TASK_ROWS))
+    part = F.pmod(F.xxhash64(F.lit("part"), F.col(key)), F.lit(files))
+    sliced = stage(sliced.repartition(files * (4 + n_slices // 16), "_slice", part), "resume-slices", ["_slice"])
     for s in range(n_slices):
         generate(sliced.where(F.col("_slice") == s).drop("_slice")).write.mode("append").parquet(out_dir)
     return n_slices

@@ -8,7 +8,7 @@ bound can reach its k-th similarity so far. When no target has a cell left to vi
 all rows. Cells are cut into tiles of about ``TILE_ROWS`` rows; a task holds one tile and lets targets pass by in batches, so
 the pool is never copied, and a target goes to the tiles of the cells it visits only.
 
-**Silhouette.** Vectors are dealt to tiles, and a task compares one tile with another, keeping only per-cluster sums.
+**Silhouette.** Vectors are dealt to tiles, and a task compares one tile with another, once for the points of both, keeping only per-cluster sums.
 
 The driver holds the centres, at most ``session.BROADCAST_BYTES`` of them, and one number for each cell; never the pool.
 """
@@ -25,17 +25,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import (ArrayType, DoubleType, IntegerType, LongType, StructField, StructType)
+from pyspark.sql.types import (ArrayType, DoubleType, FloatType, IntegerType, LongType, StructField, StructType)
 
 from textlab.functions.vector import as_double_array
 from textlab.session import BROADCAST_BYTES, small, stage
 
-TILE_ROWS = 4096
+TILE_ROWS = 16384
 #: Rows of an average cell, at least: a cell fills a tile, so a target that must visit every cell is copied to no more
 #: tiles than there are.
-CELL_ROWS = 4096
+CELL_ROWS = 16384
 # Largest targets x tile matrix one task builds at a time (float64 bytes).
-MATMUL_BYTES = 64 << 20
+MATMUL_BYTES = 16 << 20
+#: Columns of which only the largest is looked at to bound the k-th value.
+BLOCK = 64
 
 
 def _matrix(vs) -> np.ndarray:
@@ -54,14 +56,21 @@ def _row_chunks(n: int, width: int) -> Iterator[slice]:
 
 
 def _top_k(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the k largest finite values of each row; ties go to the lower column."""
-    kk = min(k, s.shape[1])
-    kth = -np.partition(-s, kk - 1, axis=1)[:, kk - 1]
-    valid = np.isfinite(s)
-    above = (s > kth[:, None]) & valid
-    tied = (s == kth[:, None]) & valid
-    keep = above | (tied & (np.cumsum(tied, axis=1) <= (kk - above.sum(axis=1))[:, None]))
-    return np.nonzero(keep)
+    """Rows and columns of the k largest finite values of each row; ties go to the lower column. The k-th largest of the
+    maxima of blocks of columns is not above the k-th largest value, so only what reaches it is ordered."""
+    kk, n = min(k, s.shape[1]), s.shape[1] // BLOCK * BLOCK
+    least = s[:, :n].reshape(len(s), -1, BLOCK).max(axis=2) if n >= 4 * kk * BLOCK else s
+    if least is not s and np.isnan(least).any():
+        least = s
+    kth = -np.partition(-least, kk - 1, axis=1)[:, kk - 1]
+    r, c = np.nonzero(s >= kth[:, None])
+    v = s[r, c]
+    fine = np.isfinite(v)
+    r, c, v = r[fine], c[fine], v[fine]
+    order = np.lexsort((c, -v, r))
+    r, c = r[order], c[order]
+    rank = np.arange(len(r)) - np.searchsorted(r, np.arange(len(s)))[r]
+    return r[rank < kk], c[rank < kk]
 
 
 class Tree:
@@ -115,6 +124,11 @@ def _lists(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
+def _units(column: pa.Array) -> np.ndarray:
+    """A list column of equally long vectors as a matrix of unit vectors (zero stays zero)."""
+    return _unit(_lists(column)) if len(column) else np.empty((0, 0))
+
+
 def _match(visits: DataFrame, pool: DataFrame, k: int, schema: StructType, extra: list[str], exclude_self: bool) -> DataFrame:
     """The k best pool rows of each target within every tile of the cells it visits."""
     keys = ["_cell", "_tile"]
@@ -137,11 +151,11 @@ def _match(visits: DataFrame, pool: DataFrame, k: int, schema: StructType, extra
                     if tile is None:  # columns in the order of the ids: ties go to the smaller one
                         rows = pa.Table.from_batches(parts).combine_chunks()
                         rows = rows.take(pc.sort_indices(rows["_id"]))
-                        tile = rows, rows["_id"].to_numpy(), _lists(rows["_u"].combine_chunks())
+                        tile = rows, rows["_id"].to_numpy(), _units(rows["_u"].combine_chunks())
                     yield from compare(*tile, part)
 
     def compare(rows: pa.Table, ids: np.ndarray, u: np.ndarray, part: pa.RecordBatch):
-        tids, tu = part.column("_id").to_numpy(), _lists(part.column("_u"))
+        tids, tu = part.column("_id").to_numpy(), _units(part.column("_u"))
         for some in _row_chunks(len(tids), len(ids)):
             s = tu[some] @ u.T
             if exclude_self:
@@ -167,8 +181,10 @@ def knn(targets: DataFrame, pool: DataFrame, k: int, id_col: str = "id", vec_col
     types = {f.name: f.dataType for f in pool.schema.fields}
     schema = StructType([StructField("target_id", LongType()), StructField("neighbor_id", LongType()),
                          StructField("sim", DoubleType())] + [StructField(c, types[c]) for c in extra])
-    unit = ArrayType(DoubleType())
-    p = stage(pool.select(F.col(id_col).cast("long").alias("_pid"), F.col(vec_col).alias("_v"), *extra), "knn-pool")
+    # vectors travel as they are and are made unit vectors where they are compared; floats stay floats
+    same = targets.schema[vec_col].dataType == pool.schema[vec_col].dataType == ArrayType(FloatType())
+    unit = ArrayType(FloatType() if same else DoubleType())
+    p = stage(pool.select(F.col(id_col).cast("long").alias("_pid"), F.col(vec_col).cast(unit).alias("_v"), *extra), "knn-pool")
     n, dims = p.agg(F.count(F.lit(1)), F.max(F.size("_v"))).first()
     if not n:
         return spark.createDataFrame([], StructType(list(schema.fields)).add("rank", IntegerType()))
@@ -182,12 +198,10 @@ def knn(targets: DataFrame, pool: DataFrame, k: int, id_col: str = "id", vec_col
                 u = _unit(pdf["_v"])
                 pdf["_cell"] = tree.cells(u)
                 pdf["_far"] = np.linalg.norm(u - tree.centres[pdf["_cell"]], axis=1)
-                pdf["_pu"] = list(u)
-                yield pdf.drop(columns="_v")
+                yield pdf.rename(columns={"_v": "_pu"})
 
-    fields = [f for f in p.schema.fields if f.name != "_v"]
-    p = stage(p.mapInPandas(cells, StructType(fields + [StructField("_cell", LongType()), StructField("_far", DoubleType()),
-                                                        StructField("_pu", unit)])), "knn-cells")
+    fields = [StructField("_pu", unit) if f.name == "_v" else f for f in p.schema.fields]
+    p = stage(p.mapInPandas(cells, StructType(fields + [StructField("_cell", LongType()), StructField("_far", DoubleType())])), "knn-cells")
     size, radius = np.zeros(n_cells, np.int64), np.zeros(n_cells)
     for r in p.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_far").alias("r")).collect():  # one row a cell
         size[r["_cell"]], radius[r["_cell"]] = r["n"], r["r"]
@@ -195,13 +209,7 @@ def knn(targets: DataFrame, pool: DataFrame, k: int, id_col: str = "id", vec_col
     counts = small(p.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / tile_rows).alias("_tiles")), 16)
     p = stage(p.drop("_far").join(counts, "_cell").withColumn("_tile", F.pmod(F.xxhash64("_pid"), F.col("_tiles"))).drop("_tiles"), "knn-tiles")
 
-    def units(it):
-        for pdf in it:
-            if len(pdf):
-                yield pd.DataFrame({"_tid": pdf["_tid"], "_tu": list(_unit(pdf["_tv"]))})
-
-    t = targets.select(F.col(id_col).cast("long").alias("_tid"), F.col(vec_col).alias("_tv"))
-    t = stage(t.mapInPandas(units, StructType([StructField("_tid", LongType()), StructField("_tu", unit)])), "knn-targets")
+    t = stage(targets.select(F.col(id_col).cast("long").alias("_tid"), F.col(vec_col).cast(unit).alias("_tu")), "knn-targets")
 
     def next_cells(done: int, width: int):
         def run(batches):
@@ -209,7 +217,7 @@ def knn(targets: DataFrame, pool: DataFrame, k: int, id_col: str = "id", vec_col
             for batch in batches:
                 kth = batch.column("_kth").fill_null(-np.inf).to_numpy()
                 at, found = [], []
-                for i, u in enumerate(_lists(batch.column("_tu"))):
+                for i, u in enumerate(_units(batch.column("_tu"))):
                     for rank, (bound, cell) in enumerate(tree.best_first(u)):
                         if rank >= done + width or bound < kth[i]:
                             break
@@ -259,23 +267,36 @@ def silhouette(df: DataFrame, cluster_col: str = "cluster", id_col: str = "id",
     tiles = max(1, math.ceil(x.count() / tile_rows))
     every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)).cast("array<long>"))
     mine = F.pmod(F.xxhash64("_id"), F.lit(tiles))
-    left = x.withColumn("_i", mine).withColumn("_j", every)
-    right = x.withColumn("_j", mine).withColumn("_i", every)
+    # a pair of tiles is compared once, for the points of both
+    left = x.withColumn("_i", mine).withColumn("_j", every).where("_i <= _j")
+    right = x.withColumn("_j", mine).withColumn("_i", every).where("_i <= _j")
 
-    def run(t: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+    def run(key, t: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if not len(t) or not len(p):
             return pd.DataFrame({f.name: [] for f in schema.fields})
-        tm, pm, pc = _matrix(t["_v"]), _matrix(p["_v"]), p["_own"].to_numpy(dtype=np.int64)
-        psq, clusters = (pm * pm).sum(axis=1), np.unique(pc)
-        sums = np.empty((len(t), len(clusters)))
+        # points in the order of their clusters, which makes a cluster a range
+        t, p = t.sort_values("_own", kind="stable"), p.sort_values("_own", kind="stable")
+        (tc, ta), (pc, pa_) = (np.unique(y["_own"].to_numpy(dtype=np.int64), return_index=True) for y in (t, p))
+        tm, pm = _matrix(t["_v"]), _matrix(p["_v"])
+        tsq, psq = (tm * tm).sum(axis=1), (pm * pm).sum(axis=1)
+        rows_of, cols_of = np.empty((len(t), len(pc))), np.zeros((len(tc), len(p)))
+        both = key[0] != key[1]
         for rows in _row_chunks(len(t), len(p)):
-            d2 = (tm[rows] ** 2).sum(axis=1)[:, None] + psq[None, :] - 2.0 * (tm[rows] @ pm.T)
-            dist = np.sqrt(np.maximum(d2, 0.0))
-            for j, c in enumerate(clusters):
-                sums[rows, j] = dist[:, pc == c].sum(axis=1)
-        k = len(clusters)
-        return pd.DataFrame({"_id": np.repeat(t["_id"].to_numpy(), k), "_own": np.repeat(t["_own"].to_numpy(), k),
-                             "_c": np.tile(clusters, len(t)), "_sum": sums.ravel()})
+            dist = tm[rows] @ (-2.0 * pm.T)
+            dist += tsq[rows][:, None]
+            dist += psq
+            np.sqrt(np.maximum(dist, 0.0, out=dist), out=dist)
+            rows_of[rows] = np.add.reduceat(dist, pa_, axis=1)
+            if both:
+                first = rows.start
+                for j, at in enumerate(ta):
+                    end = ta[j + 1] if j + 1 < len(ta) else len(t)
+                    if at < first + len(dist) and end > first:
+                        cols_of[j] += dist[max(at - first, 0):max(end - first, 0)].sum(axis=0)
+        sides = [(t, pc, rows_of)] + ([(p, tc, cols_of.T)] if both else [])
+        return pd.concat([pd.DataFrame({
+            "_id": np.repeat(y["_id"].to_numpy(), len(c)), "_own": np.repeat(y["_own"].to_numpy(), len(c)),
+            "_c": np.tile(c, len(y)), "_sum": found.ravel()}) for y, c, found in sides])
 
     sums = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInPandas(run, schema)
     sums = sums.groupBy("_id", "_own", "_c").agg(F.sum("_sum").alias("_sum"))

@@ -70,6 +70,23 @@ def test_cases(spark, width, chunk):
         sorted(((i, k, s) for i, (k, s) in zip(ids, brute(texts, width))), key=key)
 
 
+def test_planted_passages(spark, tmpdir_fresh):
+    """A passage of 57 words that two documents hold goes at 400 bytes and stays at 399."""
+    rnd = random.Random(57)
+    say = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    at, under = say(57) + "xy", say(57) + "z"
+    assert (len(at), len(under)) == (400, 399)
+    texts = [f"{say(90)}{i}{p}{i}{say(70)}" for i, p in enumerate([at, under, at, under, say(57)])] + [None]
+    docs(spark, texts).select("doc_id", "text").write.parquet(f"{tmpdir_fresh}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op1_suffix_dedup"](spark, tmpdir_fresh).collect()}
+    assert [got[i].n_removed for i in range(6)] == [400, 0, 400, 0, 0, 0]
+    assert [got[i].n_spans for i in range(6)] == [1, 0, 1, 0, 0, 0]
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        assert got[i].n_bytes == len(raw)
+        assert got[i].kept_sha256 == hashlib.sha256(raw.replace(at.encode(), b"")).hexdigest()
+
+
 @pytest.mark.parametrize("bits", [0, 4, 12])
 def test_weak_names_are_told_apart_by_their_checks(spark, bits):
     """With 2^bits names most different strings share one; no clean byte may go for that."""
